@@ -64,3 +64,68 @@ def q_threshold_breach(run: Run) -> DataFrame:
     b = th.resolve_threshold(blocking_latest(run), run.cfg.overrides, run.cfg.alerts, 1)
     b = th.threshold_breach(b, "blocked_wait_time")
     return b.select("instance_id", "instance", "blocked_wait_time", F.col("threshold").cast("int").alias("threshold"))
+
+
+# ---------------------------------------------------------------------------------------
+# composite alerts (test parameters: lookbacks widened to the sparse test event log)
+# ---------------------------------------------------------------------------------------
+from tripwire.plans import alerts as al  # noqa: E402
+from tripwire.operators import render as rd  # noqa: E402
+from tripwire.operators import routing as rt  # noqa: E402
+from tripwire.operators import state as st  # noqa: E402
+from tripwire.functions import text as tx  # noqa: E402
+
+MSG_COLS = ["alert_name", "alert_type", "audience", "email_alert_template", "webhook", "webhook_alert_template",
+            "instances", "table_html", "n_rows", "subject"]
+
+
+@query("alert_blocking_duration")
+def q_alert_blocking_duration(run: Run) -> DataFrame:
+    return al.alert_blocking(run, "duration", WEEK_MIN).messages.select(*MSG_COLS)
+
+
+@query("alert_blocking_processes")
+def q_alert_blocking_processes(run: Run) -> DataFrame:
+    return al.alert_blocking(run, "processes", WEEK_MIN).messages.select(*MSG_COLS)
+
+
+@query("alert_cpu")
+def q_alert_cpu(run: Run) -> DataFrame:
+    return al.alert_cpu(run, 2).messages.select(*MSG_COLS)
+
+
+@query("alert_freespace")
+def q_alert_freespace(run: Run) -> DataFrame:
+    return al.alert_freespace(run).messages.select(*MSG_COLS)
+
+
+@query("alert_db_growth")
+def q_alert_db_growth(run: Run) -> DataFrame:
+    return al.alert_db_growth(run, YEAR_MIN).messages.select(*MSG_COLS)
+
+
+@query("report_top_blockers")
+def q_report_top_blockers(run: Run) -> DataFrame:
+    return al.report_top_blockers(run, "Report").messages.select(*MSG_COLS)
+
+
+@query("alert_top_blockers")
+def q_alert_top_blockers(run: Run) -> DataFrame:
+    return al.report_top_blockers(run, "Alert").messages.select(*MSG_COLS)
+
+
+@query("history_upsert")
+def q_history_upsert(run: Run) -> DataFrame:
+    return al.alert_blocking(run, "duration", WEEK_MIN).history
+
+
+@query("history_state_write")
+def q_history_state_write(run: Run) -> DataFrame:
+    return al.alert_cpu(run, 2).history
+
+
+@query("notification_outbox")
+def q_notification_outbox(run: Run) -> DataFrame:
+    msgs = al.alert_blocking(run, "duration", WEEK_MIN).messages.unionByName(al.alert_cpu(run, 2).messages)
+    view = rt.all_alerts_view(run.cfg.alerts, run.cfg.environment, run.cfg.overrides, run.cfg.levels, run.cfg.webhooks)
+    return rd.outbox(msgs, view, run.cfg.blackouts, run.now)

@@ -129,3 +129,272 @@ def q_notification_outbox(run: Run) -> DataFrame:
     msgs = al.alert_blocking(run, "duration", WEEK_MIN).messages.unionByName(al.alert_cpu(run, 2).messages)
     view = rt.all_alerts_view(run.cfg.alerts, run.cfg.environment, run.cfg.overrides, run.cfg.levels, run.cfg.webhooks)
     return rd.outbox(msgs, view, run.cfg.blackouts, run.now)
+
+
+# ---------------------------------------------------------------------------------------
+# 2.1 sources and sinks
+# ---------------------------------------------------------------------------------------
+from tripwire.operators import params as pm  # noqa: E402
+from tripwire.plans.tags import tag_filter  # noqa: E402
+
+DAY = 24 * 60
+
+
+@query("inline_values")
+def q_inline_values(run: Run) -> DataFrame:
+    """CPU samples per weekday, labelled through an inline VALUES table of day names."""
+    per_day = run.tm.cpu().groupBy((F.weekday("event_time") + 1).alias("day_code")).agg(
+        F.count(F.lit(1)).alias("n_samples"), F.max("total_cpu").alias("max_cpu"))
+    return per_day.join(F.broadcast(run.cfg.day_names), "day_code").select(
+        "day_code", "day_name", "n_samples", "max_cpu")
+
+
+@query("param_lookup")
+def q_param_lookup(run: Run) -> DataFrame:
+    """Root-blocker samples per instance above the configured minimum wait (default when absent)."""
+    mw = pm.param_value(run.cfg.parameters, "Reports/TopBlockers/MinBlockedWaitTimeMs", "10000")
+    top = pm.param_value(run.cfg.parameters, "Reports/TopBlockers/NotConfigured", "5")
+    p = mw.select(F.col("value").try_cast("bigint").alias("min_wait")).crossJoin(
+        top.select(F.col("value").try_cast("int").alias("fallback_n")))
+    rq = run.tm.running_queries().filter(F.col("is_root_blocker"))
+    j = rq.crossJoin(F.broadcast(p)).filter(F.col("block_wait_recursive_ms") > F.col("min_wait"))
+    return j.groupBy("instance_id", "min_wait", "fallback_n").agg(F.count(F.lit(1)).alias("n_over"))
+
+
+@query("seed_insert_missing")
+def q_seed_insert_missing(run: Run) -> DataFrame:
+    """Seed a default CPU history row (status OFF) for every active instance that has none."""
+    hist = run.cfg.history.withColumn("_k", F.lower("instance"))
+    seeds = run.instances.filter(F.col("is_active")).select(
+        F.col("instance_display_name").alias("instance"), F.lit(3).alias("alert_id"),
+        F.lit(None).cast("timestamp_ntz").alias("last_occurrence"), F.lit(None).cast("string").alias("last_value"),
+        F.lit("OFF").alias("status"), F.lower("instance_display_name").alias("_k"))
+    return st.insert_missing(hist, seeds, ["_k", "alert_id"]).drop("_k")
+
+
+@query("seed_upsert_params")
+def q_seed_upsert_params(run: Run) -> DataFrame:
+    """MERGE new CPU overrides: insert missing, update the audience only when it differs."""
+    target = run.cfg.overrides.filter(F.col("alert_id") == 3)
+    iid = F.col("instance_id")
+    src = run.instances.filter(iid % 4 == 0).select(
+        (F.lit(300000) + iid).cast("int").alias("override_id"), F.lit(3).alias("alert_id"),
+        F.lit(None).cast("string").alias("webhook_alert_template"), F.lit(None).cast("string").alias("email_alert_template"),
+        F.lit(None).cast("short").alias("alert_level"), F.lit("cpu-oncall@example.com").alias("audience"),
+        F.lit(True).alias("override_audience"), F.lit(None).cast("string").alias("emoji"),
+        F.lit(None).cast("string").alias("webhook"), F.lit(None).cast("string").alias("tag_name"),
+        F.lit(None).cast("string").alias("tag_value"), iid.alias("instance_id"), F.lit("45").alias("threshold"))
+    return st.merge_upsert(target, src, ["override_id"], ["audience"])
+
+
+@query("event_log_append")
+def q_event_log_append(run: Run) -> DataFrame:
+    """ERROR events for webhook deliveries that did not return OK (delivery results derived per message)."""
+    ob = q_notification_outbox(run).filter(F.col("channel") == "webhook")
+    ok = F.length("instances") % 2 == 0
+    deliveries = ob.select(
+        "alert_name", "body", F.lit(run.now).cast("timestamp_ntz").alias("delivered_at"),
+        F.when(ok, F.lit(rd.OK_STATUS)).otherwise(F.lit("Status: 500 (Internal Server Error)")).alias("status"),
+        F.when(ok, F.lit("ok")).otherwise(F.lit("server error")).alias("response"))
+    return rd.failed_delivery_events(deliveries)
+
+
+# ---------------------------------------------------------------------------------------
+# 2.2 projections, filters, predicates
+# ---------------------------------------------------------------------------------------
+@query("filter_active")
+def q_filter_active(run: Run) -> DataFrame:
+    inst = run.instances.filter(F.col("is_active")).select("instance_id")
+    return run.tm.db_files().join(inst, "instance_id").groupBy("instance_id").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("total_pages"))
+
+
+@query("lookback_now")
+def q_lookback_now(run: Run) -> DataFrame:
+    b = sel.lookback(run.tm.blocking_snapshot(), "snapshot_date", run.now, 3 * DAY)
+    return b.select("instance_id", "snapshot_date", "event_id", "blocked_wait_time")
+
+
+@query("window_half_open")
+def q_window_half_open(run: Run) -> DataFrame:
+    import datetime as _dt
+    w = sel.window_half_open(run.tm.waits(), "snapshot_date", run.now - _dt.timedelta(days=5),
+                             run.now + _dt.timedelta(minutes=1))
+    return w.groupBy("wait_type").agg(F.count(F.lit(1)).alias("n"), F.sum("wait_time_ms").alias("total_wait_ms"))
+
+
+@query("optional_predicate")
+def q_optional_predicate(run: Run) -> DataFrame:
+    rq = run.tm.running_queries().filter(F.col("is_root_blocker"))
+
+    def variant(min_wait):
+        r = rq if min_wait is None else rq.filter(F.col("block_wait_recursive_ms") > min_wait)
+        return r.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n")).withColumn(
+            "min_wait", F.lit(min_wait).cast("bigint"))
+    return variant(None).unionByName(variant(50000))
+
+
+@query("tag_target_resolve")
+def q_tag_target_resolve(run: Run) -> DataFrame:
+    m = matching_instances(run.instances, run.tm.instance_tags(), "Nation", "nation_3")
+    return m.select("instance_id", "instance_display_name")
+
+
+@query("band_check")
+def q_band_check(run: Run) -> DataFrame:
+    v = F.col("value")
+    n = F.lit(None).cast("decimal(28,9)")
+    d = lambda x: F.lit(x).cast("decimal(28,9)")
+    return run.tm.performance_counters().groupBy("counter_name").agg(
+        F.count_if(th.band_check(v, d(5), n)).alias("n_from_5"),
+        F.count_if(th.band_check(v, n, d(3))).alias("n_to_3"),
+        F.count_if(th.band_check(v, d(10), d(40))).alias("n_10_40"),
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("pages_to_mb")
+def q_pages_to_mb(run: Run) -> DataFrame:
+    return al.growth_rows(run, YEAR_MIN)
+
+
+@query("flag_label")
+def q_flag_label(run: Run) -> DataFrame:
+    return run.tm.db_files().groupBy(tx.flag_label(F.col("is_percent_growth")).alias("is_percent_growth")).agg(
+        F.count(F.lit(1)).alias("n_files"))
+
+
+@query("state_action")
+def q_state_action(run: Run) -> DataFrame:
+    return al.alert_cpu(run, 2).rows.select("instance_id", "instance", "counter", "threshold", "status", "action")
+
+
+@query("audience_merge")
+def q_audience_merge(run: Run) -> DataFrame:
+    o = run.cfg.overrides.filter(F.col("instance_id").isNotNull())
+    a = run.cfg.alerts.select(F.col("alert_id").alias("_aid"), F.col("audience").alias("_default"))
+    j = o.join(F.broadcast(a), F.col("alert_id") == F.col("_aid"))
+    return j.select("alert_id", "instance_id",
+                    rt.merge_audience(F.col("_default"), F.col("audience"), F.col("override_audience")).alias("audience"))
+
+
+@query("computed_columns")
+def q_computed_columns(run: Run) -> DataFrame:
+    """Webhook computed columns (sender name, webhook id) for each webhook delivery of the outbox."""
+    ob = q_notification_outbox(run).filter(F.col("channel") == "webhook")
+    wh = run.cfg.webhooks.select(F.col("webhook").alias("recipient"), "username", "webhook_id")
+    return ob.join(F.broadcast(wh), "recipient", "left").select(
+        "alert_name", "audience", "recipient", "username", "webhook_id")
+
+
+# ---------------------------------------------------------------------------------------
+# 2.3 joins
+# ---------------------------------------------------------------------------------------
+@query("join_inner_chain")
+def q_join_inner_chain(run: Run) -> DataFrame:
+    inst = run.instances.filter(F.col("is_active")).select("instance_id", F.col("instance_display_name").alias("instance"))
+    files = run.tm.db_files()
+    dbs = files.select("instance_id", "database_name").distinct()
+    return inst.join(dbs, "instance_id").join(files, ["instance_id", "database_name"]).select(
+        "instance", "database_name", "file_name", "size")
+
+
+@query("join_anchor_lookback")
+def q_join_anchor_lookback(run: Run) -> DataFrame:
+    anchors = run.tm.collection_dates().filter(F.col("reference") == "view")
+    j = sel.anchor_lookback(run.tm.cpu(), anchors, "instance_id", "event_time", "snapshot_date", 2 * DAY)
+    return j.select("instance_id", "event_time", "event_id", "total_cpu", F.col("_anchor").alias("anchor"))
+
+
+@query("join_exact_snapshot")
+def q_join_exact_snapshot(run: Run) -> DataFrame:
+    anchors = run.tm.collection_dates().filter(F.col("reference") == "error")
+    return sel.exact_snapshot(run.tm.blocking_snapshot(), anchors, "instance_id", "snapshot_date", "snapshot_date")
+
+
+@query("asof_first_in_window")
+def q_asof_first_in_window(run: Run) -> DataFrame:
+    import datetime as _dt
+    return sel.first_in_window(run.tm.db_file_snapshot(), "file_id", "snapshot_date",
+                               run.li_now - _dt.timedelta(days=365), ["l_orderkey", "l_linenumber", "size"], [])
+
+
+@query("join_left_coalesce")
+def q_join_left_coalesce(run: Run) -> DataFrame:
+    br = al.alert_blocking(run, "duration", WEEK_MIN).rows.select("instance_id", "instance")
+    o = run.cfg.overrides.filter((F.col("alert_id") == 1) & F.col("instance_id").isNotNull()).select(
+        F.col("instance_id").alias("_oid"), F.col("audience").alias("_oa"), F.col("threshold").alias("_ot"))
+    d = run.cfg.alerts.filter(F.col("alert_id") == 1).select(F.col("audience").alias("_da"),
+                                                             F.col("default_threshold").alias("_dt"))
+    j = br.join(o, F.col("instance_id") == F.col("_oid"), "left").crossJoin(F.broadcast(d))
+    return j.select("instance_id", "instance", F.coalesce("_oa", "_da").alias("audience"),
+                    F.coalesce("_ot", "_dt").alias("threshold"))
+
+
+@query("join_cross_broadcast")
+def q_join_cross_broadcast(run: Run) -> DataFrame:
+    br = al.alert_blocking(run, "duration", WEEK_MIN, tag=("segment", "BUILDING")).rows
+    tag_rows = th.tag_level(run.cfg.overrides, 1, "segment", "BUILDING").select("override_id", "audience", "threshold")
+    return br.select("instance_id").distinct().crossJoin(F.broadcast(tag_rows))
+
+
+@query("join_wildcard")
+def q_join_wildcard(run: Run) -> DataFrame:
+    rules = run.cfg.counter_rules.select(
+        F.col("object_name").alias("r_object"), F.col("counter_name").alias("r_counter"),
+        F.col("instance_name").alias("r_instance"), "threshold_from", "threshold_to")
+    pc = run.tm.performance_counters()
+    cond = ((F.col("object_name") == F.col("r_object")) & (F.col("counter_name") == F.col("r_counter"))
+            & ((F.col("instance_name") == F.col("r_instance")) | F.col("r_instance").isNull()))
+    j = pc.join(F.broadcast(rules), cond)
+    return j.groupBy("instance_id", "r_object", "r_counter").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(th.band_check(F.col("value"), F.col("threshold_from"), F.col("threshold_to"))).alias("n_in_band"))
+
+
+@query("semi_tag_filter")
+def q_semi_tag_filter(run: Run) -> DataFrame:
+    ids = tag_filter(run.tm.instance_tags(), "nation", "NATION_7")
+    return run.tm.blocking_snapshot().join(ids, "instance_id", "left_semi").select(
+        "instance_id", "snapshot_date", "event_id", "blocked_wait_time")
+
+
+MULTI_TAGS = "segment:BUILDING,MACHINERY;nation:NATION_3"
+
+
+@query("multi_tag_match")
+def q_multi_tag_match(run: Run) -> DataFrame:
+    pairs = run.spark.range(1).select(F.explode(pm.tag_pairs(F.lit(MULTI_TAGS))).alias("p")).select(
+        F.lower("p.tag_name").alias("_n"), F.lower("p.tag_value").alias("_v"))
+    it = run.tm.instance_tags()
+    j = it.join(F.broadcast(pairs), (F.lower("tag_name") == F.col("_n")) & (F.lower("tag_value") == F.col("_v")))
+    return j.select("instance_id", "tag_name", "tag_value").distinct()
+
+
+@query("suppress_recent")
+def q_suppress_recent(run: Run) -> DataFrame:
+    cur = al.blocking_latest(run, WEEK_MIN)
+    return st.suppress_recent(cur, run.cfg.history, 1, 5, run.now).select("instance_id", "instance", "blocked_wait_time")
+
+
+@query("scalar_subquery")
+def q_scalar_subquery(run: Run) -> DataFrame:
+    """Per breaching instance: the local environment id and that environment's webhook."""
+    local = run.cfg.environment.filter(F.col("is_local")).agg(F.min("id").alias("env_id"))
+    hook = rt.env_webhook(run.cfg.webhooks)
+    one = local.join(hook, F.col("env_id") == F.col("_env"), "left").select("env_id", F.col("_env_webhook").alias("webhook"))
+    br = al.alert_blocking(run, "duration", WEEK_MIN).rows.select("instance_id", "instance")
+    return br.crossJoin(F.broadcast(one))
+
+
+@query("exists_gate")
+def q_exists_gate(run: Run) -> DataFrame:
+    br = al.alert_blocking(run, "duration", WEEK_MIN).rows.select("instance_id")
+    return run.instances.join(br, "instance_id", "left_semi").select("instance_id", "instance_display_name")
+
+
+@query("join_collated")
+def q_join_collated(run: Run) -> DataFrame:
+    h = run.cfg.history
+    i = run.instances.select("instance_id", "instance_display_name")
+    return i.join(h, F.lower(F.col("instance_display_name")) == F.lower(F.col("instance"))).select(
+        "instance_id", "instance_display_name", "instance", "alert_id")

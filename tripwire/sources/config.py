@@ -239,7 +239,8 @@ def derived_instance_overrides(instances: DataFrame) -> DataFrame:
     """Instance-level overrides for a share of the fleet (grows with the fleet)."""
     iid = F.col("instance_id")
 
-    def rows(alert_id: int, base: int, modulo: int, threshold: F.Column, audience: F.Column) -> DataFrame:
+    def rows(alert_id: int, base: int, modulo: int, threshold: F.Column, audience: F.Column,
+             replace: F.Column = F.lit(True)) -> DataFrame:
         return instances.filter(iid % modulo == 0).select(
             (F.lit(base) + iid).cast("int").alias("override_id"),
             F.lit(alert_id).alias("alert_id"),
@@ -247,7 +248,7 @@ def derived_instance_overrides(instances: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("email_alert_template"),
             F.lit(None).cast("short").alias("alert_level"),
             audience.alias("audience"),
-            F.lit(True).alias("override_audience"),
+            replace.alias("override_audience"),
             F.lit(None).cast("string").alias("emoji"),
             F.lit(None).cast("string").alias("webhook"),
             F.lit(None).cast("string").alias("tag_name"),
@@ -262,7 +263,7 @@ def derived_instance_overrides(instances: DataFrame) -> DataFrame:
              F.when(iid % 14 == 0, F.lit("dba-oncall@example.com")).otherwise(none))
         .unionByName(rows(2, 200000, 6, F.lit("5"), none))
         .unionByName(rows(3, 300000, 5, F.lit("30"),
-                          F.when(iid % 10 == 0, F.lit("cpu-team@example.com")).otherwise(none)))
+                          F.when(iid % 10 == 0, F.lit("cpu-team@example.com")).otherwise(none), iid % 20 != 0))
     )
 
 

@@ -83,3 +83,27 @@ def precedence_pick(df: DataFrame, key: str | list[str], precedence: str, tie: s
     keys = [key] if isinstance(key, str) else list(key)
     best = F.min_by(F.struct(*cols), F.struct(precedence, tie)).alias("_b")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_b." + c).alias(c) for c in cols])
+
+
+def resolve_threshold_per_tag(df: DataFrame, overrides: DataFrame, alerts: DataFrame, alert_id: int,
+                              tag_name_col: str = "tag_name", tag_value_col: str = "tag_value",
+                              instance_col: str = "instance_id", out: str = "threshold") -> DataFrame:
+    """Threshold when each row carries its own (tag name, tag value): instance > row's tag > default.
+
+    Tag-level overrides are reduced to one row per (tag name, tag value) and joined on the
+    lower-cased pair; instance-level ones as in `resolve_threshold`; the default is one row.
+    """
+    inst = instance_level(overrides, alert_id, ["threshold"])
+    tags = overrides.filter((F.col("alert_id") == alert_id) & F.col("instance_id").isNull()
+                            & F.col("tag_name").isNotNull() & F.col("tag_value").isNotNull())
+    tags = tags.groupBy(F.lower("tag_name").alias("_tn"), F.lower("tag_value").alias("_tv")).agg(
+        F.min_by("threshold", "override_id").alias("_t_threshold"))
+    dflt = alerts.filter(F.col("alert_id") == alert_id).agg(F.max("default_threshold").alias("_d_threshold"))
+    j = (df.join(inst, F.col(instance_col) == F.col("_oid"), "left")
+         .join(F.broadcast(tags), (F.lower(F.col(tag_name_col)) == F.col("_tn"))
+               & (F.lower(F.col(tag_value_col)) == F.col("_tv")), "left")
+         .crossJoin(F.broadcast(dflt)))
+    th = (F.when(F.col("_oid").isNotNull(), F.col("_o_threshold"))
+          .when(F.col("_tn").isNotNull(), F.col("_t_threshold"))
+          .otherwise(F.col("_d_threshold")))
+    return j.withColumn(out, th).drop("_oid", "_o_threshold", "_tn", "_tv", "_t_threshold", "_d_threshold")

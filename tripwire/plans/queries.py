@@ -398,3 +398,261 @@ def q_join_collated(run: Run) -> DataFrame:
     i = run.instances.select("instance_id", "instance_display_name")
     return i.join(h, F.lower(F.col("instance_display_name")) == F.lower(F.col("instance"))).select(
         "instance_id", "instance_display_name", "instance", "alert_id")
+
+
+# ---------------------------------------------------------------------------------------
+# 2.4 aggregations
+# ---------------------------------------------------------------------------------------
+from tripwire.plans import wip  # noqa: E402
+
+CRIT_MIN, CRIT_THRESHOLD = 7 * DAY, 500
+COUNTER_MIN = 30 * DAY
+SUMMARY_THRESHOLDS = ("@LastMinutes int=10080;@LRPThreshold int=20000;@TDBWaitCountThreshold int=1;"
+                      "@TDBWaitTimeThreshold int=1000;@CriticalWaitCountThreshold int=1;@CriticalWaitTimeThreshold int=2000")
+
+
+@query("count_conditional")
+def q_count_conditional(run: Run) -> DataFrame:
+    return al.freespace_rows(run).select("instance", "instance_id", "drives_in_critical", "drives_in_warning")
+
+
+@query("agg_multi")
+def q_agg_multi(run: Run) -> DataFrame:
+    return al.top_blocker_groups(run, YEAR_MIN, None).select(
+        "instance_id", "sql_handle", "occurrences", "total_block_count", "total_block_wait_ms",
+        "total_block_wait_recursive_ms", "avg_duration_ms")
+
+
+@query("rate_having")
+def q_rate_having(run: Run) -> DataFrame:
+    return wip.critical_wait_rates(run, CRIT_MIN, CRIT_THRESHOLD)
+
+
+@query("consecutive_breach")
+def q_consecutive_breach(run: Run) -> DataFrame:
+    return wip.counter_breaches(run, run.cfg.counter_rules, COUNTER_MIN, 3).select("instance", "counter", "current_value")
+
+
+@query("max_conditional")
+def q_max_conditional(run: Run) -> DataFrame:
+    return wip.counter_breaches(run, run.cfg.counter_rules, COUNTER_MIN, 3, require_all=False)
+
+
+@query("count_distinct")
+def q_count_distinct(run: Run) -> DataFrame:
+    rq = run.tm.running_queries().filter(F.col("is_root_blocker"))
+    return rq.groupBy("instance_id", "sql_handle").agg(F.count_distinct("session_id").alias("n_sessions"))
+
+
+@query("multi_stat_summary")
+def q_multi_stat_summary(run: Run) -> DataFrame:
+    return wip.summary_stats(wip.summary_masked(run, SUMMARY_THRESHOLDS))
+
+
+@query("mask_and_any")
+def q_mask_and_any(run: Run) -> DataFrame:
+    return wip.summary_masked(run, SUMMARY_THRESHOLDS)
+
+
+@query("string_agg_ordered")
+def q_string_agg_ordered(run: Run) -> DataFrame:
+    it = run.tm.instance_tags().filter(F.col("tag_name") == "nation")
+    j = it.join(run.instances.select("instance_id", "instance_display_name"), "instance_id")
+    return j.groupBy("tag_value").agg(
+        F.expr("listagg(instance_display_name, ',') WITHIN GROUP (ORDER BY instance_display_name)").alias("instances"))
+
+
+@query("string_agg_distinct")
+def q_string_agg_distinct(run: Run) -> DataFrame:
+    return al.top_blocker_groups(run, YEAR_MIN, None).select("instance_id", "sql_handle", "top_blocker_tsql")
+
+
+@query("string_agg_struct")
+def q_string_agg_struct(run: Run) -> DataFrame:
+    return al.top_blocker_groups(run, YEAR_MIN, None).select("instance_id", "sql_handle", "additional_info")
+
+
+@query("drive_details")
+def q_drive_details(run: Run) -> DataFrame:
+    return al.freespace_rows(run).select("instance_id", "details_critical", "details_warning")
+
+
+@query("html_rows")
+def q_html_rows(run: Run) -> DataFrame:
+    r = al.alert_blocking(run, "duration", WEEK_MIN).rows
+    return r.select("instance_id", tx.tr(F.col("instance"), tx.fmt_n(F.col("blocked_session_count"), 0),
+                                         tx.fmt_n(F.col("blocked_wait_time") / F.lit(1000), 1)).alias("row_html"))
+
+
+@query("distinct_rows")
+def q_distinct_rows(run: Run) -> DataFrame:
+    return al.alert_cpu(run, 2).rows.select("audience", "webhook").distinct()
+
+
+# ---------------------------------------------------------------------------------------
+# 2.5 windows
+# ---------------------------------------------------------------------------------------
+@query("last_k_per_key")
+def q_last_k_per_key(run: Run) -> DataFrame:
+    pc = run.tm.performance_counters()
+    return sel.last_k_per_key(pc, ["instance_id", "counter_name"], ["snapshot_date", "event_id"], 3).select(
+        "instance_id", "counter_name", "snapshot_date", "event_id", "value", "rn")
+
+
+@query("rank_global")
+def q_rank_global(run: Run) -> DataFrame:
+    return al.top_n_ranked(al.top_blocker_groups(run, YEAR_MIN, 10000), 10).select(
+        "rank", "instance_id", "sql_handle", "total_block_wait_recursive_ms")
+
+
+@query("precedence_pick")
+def q_precedence_pick(run: Run) -> DataFrame:
+    rows = al.cpu_latest(run, 2, ("segment", "BUILDING"))
+    r = rt.resolve_overrides(rows, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, 3, "segment", "BUILDING")
+    return r.select("instance_id", *rt.ROUTE_FIELDS)
+
+
+@query("window_count_latest")
+def q_window_count_latest(run: Run) -> DataFrame:
+    return wip.long_queries(run, 2 * DAY, 30000)
+
+
+@query("state_replay")
+def q_state_replay(run: Run) -> DataFrame:
+    cpu = run.tm.cpu().join(run.instances.select("instance_id"), "instance_id")
+    cpu = th.resolve_threshold(cpu, run.cfg.overrides, run.cfg.alerts, 3).withColumn(
+        "threshold", F.col("threshold").try_cast("int"))
+    out = st.state_replay(cpu, "instance_id", "event_time", "event_id", F.col("total_cpu") >= F.col("threshold"))
+    return out.select("instance_id", "event_time", "event_id", "total_cpu", "threshold", "action")
+
+
+# ---------------------------------------------------------------------------------------
+# 2.6 sort / limit / set
+# ---------------------------------------------------------------------------------------
+@query("topn_blockers")
+def q_topn_blockers(run: Run) -> DataFrame:
+    return al.report_top_blockers(run, "Report").rows.drop(*rt.ROUTE_FIELDS)
+
+
+@query("order_by_derived")
+def q_order_by_derived(run: Run) -> DataFrame:
+    return al.growth_rows(run, YEAR_MIN).orderBy(F.col("autogrow_count").desc(), "instance", "db", "file")
+
+
+@query("union_all")
+def q_union_all(run: Run) -> DataFrame:
+    ids = run.instances.select("instance_id")
+    o = run.cfg.overrides.filter(F.col("alert_id") == 1)
+    lvl1 = ids.join(o.filter(F.col("instance_id").isNotNull() & F.col("tag_name").isNull() & F.col("tag_value").isNull())
+                    .select("instance_id", "override_id", "threshold"), "instance_id").select(
+        "instance_id", F.lit(1).alias("rnk"), F.col("override_id").alias("tie"), "threshold")
+    tag = th.tag_level(run.cfg.overrides, 1, "segment", "BUILDING").select(
+        F.lit(2).alias("rnk"), F.col("override_id").alias("tie"), "threshold")
+    dflt = run.cfg.alerts.filter(F.col("alert_id") == 1).select(
+        F.lit(3).alias("rnk"), F.lit(0).alias("tie"), F.col("default_threshold").alias("threshold"))
+    rest = ids.crossJoin(F.broadcast(tag.unionByName(dflt)))
+    return lvl1.unionByName(rest)
+
+
+# ---------------------------------------------------------------------------------------
+# 2.8 domain operators
+# ---------------------------------------------------------------------------------------
+def _view(run: Run) -> DataFrame:
+    return rt.all_alerts_view(run.cfg.alerts, run.cfg.environment, run.cfg.overrides, run.cfg.levels, run.cfg.webhooks)
+
+
+def _outbox(run: Run, msgs: DataFrame) -> DataFrame:
+    return rd.outbox(msgs, _view(run), run.cfg.blackouts, run.now)
+
+
+def _more_messages(run: Run) -> DataFrame:
+    return (al.alert_blocking(run, "processes", WEEK_MIN).messages
+            .unionByName(al.alert_freespace(run).messages)
+            .unionByName(al.alert_db_growth(run, YEAR_MIN).messages)
+            .unionByName(al.report_top_blockers(run, "Report").messages))
+
+
+@query("resolve_overrides")
+def q_resolve_overrides(run: Run) -> DataFrame:
+    r = al.alert_blocking(run, "duration", WEEK_MIN, tag=("segment", "BUILDING")).rows
+    return r.select("instance_id", "instance", "threshold", *rt.ROUTE_FIELDS)
+
+
+@query("all_alerts_view")
+def q_all_alerts_view(run: Run) -> DataFrame:
+    """The alerts view as each routed message sees it (one view row per message and fan-out)."""
+    msgs = al.alert_blocking(run, "duration", WEEK_MIN).messages.unionByName(_more_messages(run))
+    v = _view(run).drop("aw_id", "override_id", "audience", "webhook", "email_alert_template", "webhook_alert_template")
+    return msgs.select("alert_name", "audience", "instances").join(F.broadcast(v), "alert_name").drop(
+        "last_notification")
+
+
+@query("blackout_status")
+def q_blackout_status(run: Run) -> DataFrame:
+    ids = run.spark.createDataFrame([(3,), (5,), (6,), (-2,)], "alert_id int")
+    ev = run.tm.cpu().select("event_id", "event_time").crossJoin(F.broadcast(ids))
+    return rt.blackout_status(ev, run.cfg.blackouts, "event_time")
+
+
+@query("counter_path")
+def q_counter_path(run: Run) -> DataFrame:
+    return wip.counter_targets(run, run.cfg.counter_rules).select("instance_id", "counter").distinct()
+
+
+@query("delivery_gate")
+def q_delivery_gate(run: Run) -> DataFrame:
+    return _outbox(run, _more_messages(run)).select("alert_name", "audience", "channel", "recipient", "send", "reason")
+
+
+@query("render_email")
+def q_render_email(run: Run) -> DataFrame:
+    return _outbox(run, _more_messages(run)).filter(F.col("channel") == "email").select(
+        "alert_name", "audience", "subject", "body")
+
+
+@query("render_webhook")
+def q_render_webhook(run: Run) -> DataFrame:
+    return _outbox(run, _more_messages(run)).filter(F.col("channel") == "webhook").select(
+        "alert_name", "audience", "recipient", "body")
+
+
+@query("route_by_audience")
+def q_route_by_audience(run: Run) -> DataFrame:
+    return al.alert_blocking(run, "duration", WEEK_MIN, tag=("segment", "BUILDING")).messages.select(*MSG_COLS)
+
+
+@query("alert_critical_waits")
+def q_alert_critical_waits(run: Run) -> DataFrame:
+    rows = wip.critical_wait_rates(run, CRIT_MIN, CRIT_THRESHOLD).withColumn("alert_type", F.lit("CriticalWait"))
+    return wip.delay_gate(rows, run.cfg.delay_by_type, "alert_type", run.now, 10)
+
+
+@query("alert_perf_counters")
+def q_alert_perf_counters(run: Run) -> DataFrame:
+    return wip.counter_breaches(run, run.cfg.counter_rules, COUNTER_MIN, 3).select("instance", "counter", "current_value")
+
+
+@query("alert_query_summary")
+def q_alert_query_summary(run: Run) -> DataFrame:
+    return wip.alert_query_summary(run, SUMMARY_THRESHOLDS)
+
+
+@query("alert_long_queries")
+def q_alert_long_queries(run: Run) -> DataFrame:
+    return wip.long_queries(run, 2, 30000).select("instance_id", "instance", "counter")
+
+
+@query("alert_blocking_multi_tag")
+def q_alert_blocking_multi_tag(run: Run) -> DataFrame:
+    return wip.blocking_multi_tag(run, MULTI_TAGS, WEEK_MIN)
+
+
+@query("delay_by_type")
+def q_delay_by_type(run: Run) -> DataFrame:
+    cw = wip.critical_wait_rates(run, CRIT_MIN, CRIT_THRESHOLD).select(
+        F.lit("CriticalWait").alias("alert_type"), "instance", F.col("wait_type").alias("item"),
+        F.col("wait_ms_per_sec").cast("string").alias("value"))
+    pc = wip.counter_breaches(run, run.cfg.counter_rules, COUNTER_MIN, 3).select(
+        F.lit("PerformanceCounterAlert").alias("alert_type"), "instance", F.col("counter").alias("item"),
+        F.col("current_value").cast("string").alias("value"))
+    return wip.delay_gate(cw.unionByName(pc), run.cfg.delay_by_type, "alert_type", run.now, 10)

@@ -12,7 +12,6 @@ that is either reduced to one row (broadcast) or per-instance (AQE picks the joi
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,11 +26,19 @@ from tripwire.plans.tags import matching_instances
 from tripwire.sources import config as C
 
 
-@dataclass
 class AlertOutput:
-    rows: DataFrame
-    messages: DataFrame
-    history: DataFrame | None
+    """Evaluated rows, routed messages and (built on first use) the new history snapshot."""
+
+    def __init__(self, rows: DataFrame, messages: DataFrame, history):
+        self.rows = rows
+        self.messages = messages
+        self._history = history
+
+    @property
+    def history(self) -> DataFrame | None:
+        if callable(self._history):
+            self._history = self._history()
+        return self._history
 
 
 def alert_row(name: str) -> dict:
@@ -87,7 +94,7 @@ def alert_blocking(run: Run, metric: str = "duration", minutes: int = 3, tag: tu
     row = tx.tr(F.col("instance"), tx.fmt_n(F.col("blocked_session_count"), 0),
                 tx.fmt_n(F.col("blocked_wait_time") / F.lit(1000), 1))
     msgs = _messages(routed, name, 1, row)
-    new_hist = st.history_upsert(hist, breach, aid, run.now)
+    new_hist = lambda: st.history_upsert(hist, breach, aid, run.now)
     return AlertOutput(routed, msgs, new_hist)
 
 
@@ -119,7 +126,7 @@ def alert_cpu(run: Run, anchor_minutes: int = 2, tag: tuple[str, str] | None = N
     on = routed.filter(F.col("action").isin("NEW->ON", "OFF->ON"))
     off = routed.filter(F.col("action") == "ON->OFF")
     msgs = _messages(off, "High CPU - Recovery", 0, row).unionByName(_messages(on, "High CPU", 0, row))
-    new_hist = st.history_state_write(hist, acted, aid, run.now)
+    new_hist = lambda: st.history_state_write(hist, acted, aid, run.now)
     return AlertOutput(routed, msgs, new_hist)
 
 
@@ -165,7 +172,7 @@ def alert_freespace(run: Run, tag: tuple[str, str] | None = None, history: DataF
         F.col("instance"), tx.fmt_n(F.col("drives_in_warning"), 0), F.replace(F.col("details_warning"), F.lit(";"), br),
         tx.fmt_n(F.col("drives_in_critical"), 0), F.replace(F.col("details_critical"), F.lit(";"), br)))
     msgs = _messages(routed, a["alert_name"], 1, row)
-    new_hist = st.history_upsert(hist, rows, aid, run.now)
+    new_hist = lambda: st.history_upsert(hist, rows, aid, run.now)
     return AlertOutput(routed, msgs, new_hist)
 
 
@@ -211,7 +218,7 @@ def alert_db_growth(run: Run, minutes: int = 60, history: DataFrame | None = Non
     order = F.concat_ws("|", "instance", "db", "file")
     msgs = _messages(routed.withColumn("_ord", order), a["alert_name"], 1, row, order_col="_ord",
                      distinct_names=True)
-    new_hist = st.history_upsert(hist, rows, aid, run.li_now)
+    new_hist = lambda: st.history_upsert(hist, rows, aid, run.li_now)
     return AlertOutput(routed, msgs, new_hist)
 
 
@@ -301,5 +308,5 @@ def report_top_blockers(run: Run, mode: str = "Report", rerun: bool = False,
     subject = "Top Head Blockers report" if mode == "Report" else None
     msgs = _messages(routed.withColumn("_ord", F.format_string("%010d", F.col("rank"))), a["alert_name"], 1, row,
                      order_col="_ord", subject=subject)
-    new_hist = st.history_upsert(hist, ranked, aid, run.li_now) if (mode == "Report" and not rerun) else hist
+    new_hist = (lambda: st.history_upsert(hist, ranked, aid, run.li_now)) if (mode == "Report" and not rerun) else hist
     return AlertOutput(routed, msgs, new_hist)

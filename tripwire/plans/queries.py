@@ -589,7 +589,7 @@ def q_all_alerts_view(run: Run) -> DataFrame:
 
 @query("blackout_status")
 def q_blackout_status(run: Run) -> DataFrame:
-    ids = run.spark.createDataFrame([(3,), (5,), (6,), (-2,)], "alert_id int")
+    ids = run.spark.range(1).select(F.explode(F.array(*[F.lit(i) for i in (3, 5, 6, -2)])).alias("alert_id"))
     ev = run.tm.cpu().select("event_id", "event_time").crossJoin(F.broadcast(ids))
     return rt.blackout_status(ev, run.cfg.blackouts, "event_time")
 

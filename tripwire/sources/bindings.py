@@ -31,7 +31,9 @@ class Telemetry:
     # -- inventory -------------------------------------------------------------------------
     def instances(self) -> DataFrame:
         c = self.t.customer
-        seen = self.t.events.select(F.col("user_id").alias("c_custkey"))
+        # distinct ids first: partial aggregation per task, so the semi-join's build side is
+        # one row per instance instead of one row per event
+        seen = self.t.events.select(F.col("user_id").alias("c_custkey")).distinct()
         return c.join(seen, "c_custkey", "left_semi").select(
             F.col("c_custkey").alias("instance_id"),
             F.col("c_name").alias("instance_display_name"),

@@ -11,6 +11,7 @@ derived from the telemetry in `derived_*` so the jobs are exercised at every sca
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -209,9 +210,28 @@ def _normalize(schema: T.StructType, rows: list[tuple]) -> list[tuple]:
     return out
 
 
+def literal_table(spark: SparkSession, schema: T.StructType, rows: list[tuple]) -> DataFrame:
+    """A small table built from literals on the JVM side (no Python serialization, no RDD).
+
+    `inline` over an array of literal structs: Catalyst folds it to a local relation.
+    """
+    if not rows:
+        return spark.createDataFrame([], schema)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(schema.fields, r)])
+               for r in _normalize(schema, rows)]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+_FIXED_CACHE: dict[tuple[int, str], DataFrame] = {}
+
+
 def fixed_table(spark: SparkSession, name: str) -> DataFrame:
-    schema, rows = FIXED[name]
-    return spark.createDataFrame(_normalize(schema, rows), schema)
+    """A fixed config table, built once per session and kept in memory (it is tiny)."""
+    key = (id(spark), name)
+    if key not in _FIXED_CACHE:
+        schema, rows = FIXED[name]
+        _FIXED_CACHE[key] = spark.createDataFrame(_normalize(schema, rows), schema).cache()
+    return _FIXED_CACHE[key]
 
 
 def with_blackout_parts(bo: DataFrame) -> DataFrame:
@@ -303,24 +323,24 @@ class Config:
     def alerts(self) -> DataFrame:
         return self.fixed("alerts")
 
-    @property
+    @cached_property
     def overrides(self) -> DataFrame:
         base = self.fixed("alert_overrides_fixed")
         if self._instances is None:
             return base
         return base.unionByName(derived_instance_overrides(self._instances))
 
-    @property
+    @cached_property
     def history(self) -> DataFrame:
         if self._instances is None:
             return self.spark.createDataFrame([], HISTORY_SCHEMA)
         return derived_history(self._instances, self._now)
 
-    @property
+    @cached_property
     def blackouts(self) -> DataFrame:
         return with_blackout_parts(self.fixed("alert_blackouts"))
 
-    @property
+    @cached_property
     def webhooks(self) -> DataFrame:
         return with_webhook_parts(self.fixed("alert_webhooks"))
 

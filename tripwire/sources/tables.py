@@ -16,6 +16,9 @@ INPUT_TABLES = (
 ).split()
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 class Tables:
     """Lazy handle on a directory of `<name>.parquet` tables (or catalog tables)."""
 
@@ -28,11 +31,13 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
-            if self.root is not None:
-                df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-            else:
-                df = self.spark.table(f"{self.database}.{name}" if self.database else name)
-            self._frames[name] = df
+            key = (id(self.spark), self.root, self.database, name)
+            if key not in _READS:  # file listing / schema resolution once per session and table
+                if self.root is not None:
+                    _READS[key] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+                else:
+                    _READS[key] = self.spark.table(f"{self.database}.{name}" if self.database else name)
+            self._frames[name] = _READS[key]
         return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -656,3 +656,23 @@ def q_delay_by_type(run: Run) -> DataFrame:
         F.lit("PerformanceCounterAlert").alias("alert_type"), "instance", F.col("counter").alias("item"),
         F.col("current_value").cast("string").alias("value"))
     return wip.delay_gate(cw.unionByName(pc), run.cfg.delay_by_type, "alert_type", run.now, 10)
+
+
+# ---------------------------------------------------------------------------------------
+# 2.9 replay over history
+# ---------------------------------------------------------------------------------------
+from tripwire.operators import replay as rp  # noqa: E402
+
+
+def blocking_breach_series(run: Run) -> DataFrame:
+    """Every blocking snapshot over its instance's resolved duration threshold (whole history)."""
+    b = run.tm.blocking_snapshot().join(run.instances.select("instance_id"), "instance_id")
+    b = th.resolve_threshold(b, run.cfg.overrides, run.cfg.alerts, 1)
+    return th.threshold_breach(b, "blocked_wait_time").select("instance_id", "snapshot_date", "event_id")
+
+
+@query("suppress_replay")
+def q_suppress_replay(run: Run) -> DataFrame:
+    import datetime as _dt
+    return rp.suppress_replay(blocking_breach_series(run), "instance_id", "snapshot_date", "event_id",
+                              _dt.timedelta(days=2))

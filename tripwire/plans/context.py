@@ -22,11 +22,12 @@ class Run:
     run can be replayed over history and compared against the SQL oracle.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, now: dt.datetime | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, now: dt.datetime | None = None,
+                 tables: Tables | None = None):
         apply_session_conf(spark)
         self.spark = spark
         self.sf_dir = sf_dir
-        self.tables = Tables(spark, sf_dir)
+        self.tables = tables if tables is not None else Tables(spark, sf_dir)
         self.tm = Telemetry(self.tables)
         self._now = now
 

@@ -676,3 +676,25 @@ def q_suppress_replay(run: Run) -> DataFrame:
     import datetime as _dt
     return rp.suppress_replay(blocking_breach_series(run), "instance_id", "snapshot_date", "event_id",
                               _dt.timedelta(days=2))
+
+
+# ---------------------------------------------------------------------------------------
+# streaming (each query runs its stream to completion with availableNow, then reads the
+# result folder written under the checkpoint directory)
+# ---------------------------------------------------------------------------------------
+from tripwire.streaming import jobs as sj  # noqa: E402
+
+
+@query("stream_poll")
+def q_stream_poll(run: Run) -> DataFrame:
+    return run.spark.read.parquet(sj.run_poll(run.spark, run.sf_dir, WEEK_MIN))
+
+
+@query("stream_state_machine")
+def q_stream_state_machine(run: Run) -> DataFrame:
+    return run.spark.read.parquet(sj.run_state_machine(run.spark, run.sf_dir))
+
+
+@query("stream_rate_window")
+def q_stream_rate_window(run: Run) -> DataFrame:
+    return run.spark.read.parquet(sj.run_rate_window(run.spark, run.sf_dir))

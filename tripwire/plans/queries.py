@@ -698,3 +698,21 @@ def q_stream_state_machine(run: Run) -> DataFrame:
 @query("stream_rate_window")
 def q_stream_rate_window(run: Run) -> DataFrame:
     return run.spark.read.parquet(sj.run_rate_window(run.spark, run.sf_dir))
+
+
+@query("validate_request")
+def q_validate_request(run: Run) -> DataFrame:
+    """Notification requests derived from the routed messages: as routed, as a custom alert
+    without templates, and as an unknown alert type; each checked."""
+    from tripwire.operators.validate import validate_request
+    m = al.alert_blocking(run, "duration", WEEK_MIN).messages.unionByName(al.alert_cpu(run, 2).messages)
+    base = m.select("alert_name", "alert_type", "audience", F.col("email_alert_template").alias("email_template"),
+                    "webhook", F.col("webhook_alert_template").alias("webhook_template"), "instances")
+    custom = base.select(F.lit("Custom").alias("alert_name"), F.lit(255).alias("alert_type"), "audience",
+                         F.lit(None).cast("string").alias("email_template"), "webhook",
+                         F.lit(None).cast("string").alias("webhook_template"), "instances")
+    odd = base.select(F.concat(F.col("alert_name"), F.lit(" (copy)")).alias("alert_name"), F.lit(7).alias("alert_type"),
+                      F.lit(None).cast("string").alias("audience"), "email_template", F.lit(None).cast("string").alias("webhook"),
+                      "webhook_template", "instances")
+    return validate_request(base.unionByName(custom).unionByName(odd), run.cfg.alerts).select(
+        "alert_name", "alert_type", "audience", "instances", "errors", "webhook_enabled")

@@ -80,7 +80,9 @@ def all_alerts_view(alerts: DataFrame, environment: DataFrame, overrides: DataFr
     wh = webhooks.select(F.col("id").alias("aw_id"), F.col("environment").alias("_aw_env"),
                          F.col("webhook").alias("aw_webhook"), F.col("username").alias("username"))
     a = alerts.join(F.broadcast(local), F.col("alert_env") == F.col("_env_id"))
-    a = a.join(F.broadcast(ao), F.col("alert_id") == F.col("ao_alert_id"), "left")
+    # untargeted overrides come from a table that also holds fleet-sized instance rows: no
+    # hint, AQE broadcasts them from their runtime size
+    a = a.join(ao, F.col("alert_id") == F.col("ao_alert_id"), "left")
     a = a.join(F.broadcast(lv), F.col("ao_alert_level") == F.col("_lvl"), "left")
     a = a.join(F.broadcast(wh), F.col("alert_env") == F.col("_aw_env"), "left")
     return a.select(

@@ -65,13 +65,22 @@ def anchor_lookback(
     anchor_ts: str,
     minutes: int,
     strict: bool = False,
+    prune: bool = True,
 ) -> DataFrame:
     """Interval join: facts of a key no older than `minutes` before that key's anchor time.
 
     Equi-join on the key with a range residual. The anchor side has one row per key; AQE
     broadcasts it when its runtime size is under the broadcast threshold and falls back to
-    a sort-merge join otherwise.
+    a sort-merge join otherwise (with skew-join splitting for a hot key).
+
+    With `prune`, the earliest anchor (one value, from the per-key anchor table) gives a
+    literal lower bound on the fact time, which Catalyst pushes into the Parquet scan: only
+    row groups that can match are read instead of the whole history.
     """
+    if prune:
+        lo = anchors.agg(F.min(anchor_ts)).first()[0]
+        if lo is not None:  # no anchors: the inner join below is empty anyway
+            facts = facts.filter(F.col(fact_ts) >= F.lit(lo - dt.timedelta(minutes=minutes)).cast("timestamp_ntz"))
     a = anchors.select(F.col(key).alias("_ak"), F.col(anchor_ts).alias("_anchor"))
     lo = F.col("_anchor") - F.make_dt_interval(mins=F.lit(minutes))
     cond = (F.col(key) == F.col("_ak")) & ((F.col(fact_ts) > lo) if strict else (F.col(fact_ts) >= lo))

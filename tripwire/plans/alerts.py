@@ -256,8 +256,8 @@ def top_blocker_groups(run: Run, minutes: int, min_wait: int | None) -> DataFram
     anchors = run.tm.running_queries().groupBy("instance_id").agg(F.max("snapshot_date").alias("anchor"))
     rq = sel.anchor_lookback(rq, anchors, "instance_id", "snapshot_date", "anchor", minutes)
     status_item = F.concat(F.lit("Status: "), F.col("status"), F.lit(";TxCnt: "), F.col("open_transaction_count").cast("string"))
-    g = rq.groupBy("instance_id", "sql_handle").agg(
-        F.min("instance_display_name").alias("instance"),
+    # the display name depends on the instance only: a grouping key, not a string aggregate
+    g = rq.groupBy("instance_id", F.col("instance_display_name").alias("instance"), "sql_handle").agg(
         F.count("sql_handle").alias("occurrences"),
         F.sum("block_count").alias("total_block_count"),
         F.sum("block_wait_ms").alias("total_block_wait_ms"),

@@ -12,7 +12,7 @@ from tripwire.sources.bindings import Telemetry
 from tripwire.sources.config import Config
 from tripwire.sources.tables import Tables
 
-_SCALARS: dict[tuple[int, str, str], object] = {}
+_SCALARS: dict[tuple[str, str], object] = {}
 
 
 class Run:
@@ -32,7 +32,8 @@ class Run:
         self._now = now
 
     def _scalar(self, key: str, fn) -> object:
-        k = (id(self.spark), self.sf_dir, key)
+        # values depend on the data only (evaluation times), not on the session
+        k = (self.sf_dir, key)
         if k not in _SCALARS:
             _SCALARS[k] = fn()
         return _SCALARS[k]

@@ -11,6 +11,7 @@ derived from the telemetry in `derived_*` so the jobs are exercised at every sca
 from __future__ import annotations
 
 import datetime as dt
+import weakref
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -222,16 +223,16 @@ def literal_table(spark: SparkSession, schema: T.StructType, rows: list[tuple])
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-_FIXED_CACHE: dict[tuple[int, str], DataFrame] = {}
+_FIXED_CACHE: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
 def fixed_table(spark: SparkSession, name: str) -> DataFrame:
     """A fixed config table, built once per session and kept in memory (it is tiny)."""
-    key = (id(spark), name)
-    if key not in _FIXED_CACHE:
+    cache = _FIXED_CACHE.setdefault(spark, {})
+    if name not in cache:
         schema, rows = FIXED[name]
-        _FIXED_CACHE[key] = spark.createDataFrame(_normalize(schema, rows), schema).cache()
-    return _FIXED_CACHE[key]
+        cache[name] = spark.createDataFrame(_normalize(schema, rows), schema).cache()
+    return cache[name]
 
 
 def with_blackout_parts(bo: DataFrame) -> DataFrame:

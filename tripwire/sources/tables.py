@@ -7,6 +7,7 @@ filters into the Parquet scan, so a job never reads more than it needs.
 from __future__ import annotations
 
 import datetime as dt
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,7 +17,9 @@ INPUT_TABLES = (
 ).split()
 
 
-_READS: dict[tuple, DataFrame] = {}
+# per-session caches of table handles (file listing / schema resolution done once); weak
+# keys, so a stopped and replaced session never sees frames of the old one
+_READS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
 class Tables:
@@ -31,13 +34,14 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
-            key = (id(self.spark), self.root, self.database, name)
-            if key not in _READS:  # file listing / schema resolution once per session and table
+            cache = _READS.setdefault(self.spark, {})
+            key = (self.root, self.database, name)
+            if key not in cache:
                 if self.root is not None:
-                    _READS[key] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+                    cache[key] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
                 else:
-                    _READS[key] = self.spark.table(f"{self.database}.{name}" if self.database else name)
-            self._frames[name] = _READS[key]
+                    cache[key] = self.spark.table(f"{self.database}.{name}" if self.database else name)
+            self._frames[name] = cache[key]
         return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:

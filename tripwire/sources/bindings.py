@@ -9,10 +9,14 @@ pruning reach the Parquet scans.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripwire.sources.tables import Tables
 
+_SEEN: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
+
 
 def _props_int(props: Column) -> Column:
     return F.regexp_extract(props, "([0-9]+)", 1).cast("int")
@@ -31,16 +35,32 @@ class Telemetry:
     # -- inventory -------------------------------------------------------------------------
     def instances(self) -> DataFrame:
         c = self.t.customer
-        # distinct ids first: partial aggregation per task, so the semi-join's build side is
-        # one row per instance instead of one row per event
-        seen = self.t.events.select(F.col("user_id").alias("c_custkey")).distinct()
-        return c.join(seen, "c_custkey", "left_semi").select(
+        return c.join(self._seen_ids(), "c_custkey", "left_semi").select(
             F.col("c_custkey").alias("instance_id"),
             F.col("c_name").alias("instance_display_name"),
             F.lower("c_name").alias("connection_id"),
             (F.col("c_acctbal") >= 0).alias("is_active"),
         )
 
+    def _seen_ids(self) -> DataFrame:
+        """Distinct instance ids of the event log: the instance inventory's key set.
+
+        In a monitoring repository the inventory is a small dimension table; here it is
+        derived from the largest table, and every job uses it several times (instances,
+        fleet-derived overrides and history) with different pushed predicates, which would
+        rescan the events each time. It is therefore materialized once per session and data
+        directory (distinct first: partial aggregation per task, one row per instance).
+        Micro-batch tables are never cached.
+        """
+        seen = self.t.events.select(F.col("user_id").alias("c_custkey")).distinct()
+        if not getattr(self.t, "cacheable", False):
+            return seen
+        cache = _SEEN.setdefault(self.t.spark, {})
+        key = (self.t.root, self.t.database)
+        if key not in cache:
+            cache[key] = seen.cache()
+        return cache[key]
+
     def instance_tags(self) -> DataFrame:
         c = self.t.customer
         seg = c.select(

@@ -25,6 +25,8 @@ _READS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDiction
 class Tables:
     """Lazy handle on a directory of `<name>.parquet` tables (or catalog tables)."""
 
+    cacheable = True  # derived dimensions of these tables may be materialized per session
+
     def __init__(self, spark: SparkSession, root: str | None = None, database: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/") if root else None

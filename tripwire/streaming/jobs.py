@@ -44,6 +44,8 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int |
 class _BatchTables(Tables):
     """Input tables where `events` is the current micro-batch (other tables are static)."""
 
+    cacheable = False
+
     def __init__(self, spark: SparkSession, root: str, events: DataFrame):
         super().__init__(spark, root)
         self._frames["events"] = events

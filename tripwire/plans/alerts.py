@@ -22,7 +22,6 @@ from tripwire.operators import state as st
 from tripwire.operators import thresholds as th
 from tripwire.operators.params import parse_thresholds
 from tripwire.plans.context import Run
-from tripwire.plans.tags import matching_instances
 from tripwire.sources import config as C
 
 
@@ -75,7 +74,7 @@ def blocking_latest(run: Run, minutes: int, tag: tuple[str, str] | None = None)
     b = sel.lookback(run.tm.blocking_snapshot(), "snapshot_date", run.now, minutes)
     latest = sel.latest_per_key(b, ["instance_id"], ["snapshot_date", "event_id"],
                                 ["blocked_wait_time", "blocked_session_count"])
-    inst = matching_instances(run.instances, run.tm.instance_tags(), *(tag or (None, None)))
+    inst = run.targets(tag)
     return latest.join(inst.select("instance_id", F.col("instance_display_name").alias("instance")), "instance_id")
 
 
@@ -106,7 +105,7 @@ def cpu_latest(run: Run, anchor_minutes: int = 2, tag: tuple[str, str] | None =
     anchors = run.tm.collection_dates().filter(F.col("reference") == "view")
     near = sel.anchor_lookback(run.tm.cpu(), anchors, "instance_id", "event_time", "snapshot_date", anchor_minutes)
     latest = sel.latest_per_key(near, ["instance_id"], ["event_time", "event_id"], ["total_cpu"])
-    inst = matching_instances(run.instances, run.tm.instance_tags(), *(tag or (None, None)))
+    inst = run.targets(tag)
     inst = inst.filter(F.col("is_active")).select("instance_id", F.col("instance_display_name").alias("instance"))
     return latest.join(inst, "instance_id").select("instance_id", "instance", F.col("total_cpu").alias("counter"))
 
@@ -141,7 +140,7 @@ def drive_detail(ds_name, total, free, pct):
 def freespace_rows(run: Run, tag: tuple[str, str] | None = None) -> DataFrame:
     """Per instance: drives under the critical / warning level and their details."""
     ds = run.tm.drive_status()
-    inst = matching_instances(run.instances, run.tm.instance_tags(), *(tag or (None, None)))
+    inst = run.targets(tag)
     ds = ds.join(inst.filter(F.col("is_active")).select("instance_id"), "instance_id", "left_semi")
     crit = F.col("pct_free_space") < F.col("critical_threshold")
     warn = F.col("pct_free_space") < F.col("warning_threshold")

@@ -54,6 +54,13 @@ class Run:
     def instances(self) -> DataFrame:
         return self.tm.instances()
 
+    def targets(self, tag: tuple[str, str] | None = None) -> DataFrame:
+        """Instances the job runs for: all, or those carrying the tag (case-insensitive)."""
+        if tag is None or tag[0] is None or tag[1] is None:
+            return self.instances
+        from tripwire.plans.tags import matching_instances
+        return matching_instances(self.instances, self.tm.instance_tags(), *tag)
+
     @cached_property
     def cfg(self) -> Config:
         return Config(self.spark, self.instances, self.now)

@@ -14,7 +14,6 @@ from tripwire.operators import select as sel
 from tripwire.operators import thresholds as th
 from tripwire.plans import alerts as al
 from tripwire.plans.context import Run
-from tripwire.plans.tags import matching_instances
 
 
 def delay_gate(df: DataFrame, delays: DataFrame, alert_type_col: str, as_of: dt.datetime, delay_minutes: int) -> DataFrame:
@@ -37,7 +36,7 @@ def critical_wait_rates(run: Run, minutes: int = 5, threshold: int = 1000,
     """
     w = sel.window_half_open(run.tm.waits(), "snapshot_date", run.now - dt.timedelta(minutes=minutes),
                              run.now + dt.timedelta(minutes=1)).filter(F.col("is_critical_wait"))
-    inst = matching_instances(run.instances, run.tm.instance_tags(), *(tag or (None, None)))
+    inst = run.targets(tag)
     w = w.join(inst.select("instance_id", F.col("instance_display_name").alias("instance")), "instance_id")
     g = w.groupBy("instance", "wait_type").agg(
         (F.sum("wait_time_ms") * F.lit(100)).cast("bigint").alias("cents"),
@@ -58,7 +57,7 @@ def counter_targets(run: Run, rules: DataFrame, tag: tuple[str, str] | None = No
     pc = run.tm.performance_counters()
     cond = ((F.col("object_name") == F.col("r_object")) & (F.col("counter_name") == F.col("r_counter"))
             & ((F.col("instance_name") == F.col("r_instance")) | F.col("r_instance").isNull()))
-    inst = matching_instances(run.instances, run.tm.instance_tags(), *(tag or (None, None)))
+    inst = run.targets(tag)
     inst = inst.filter(F.col("is_active")).select("instance_id", "connection_id")
     j = pc.join(F.broadcast(r), cond).join(inst, "instance_id")
     return j.withColumn("counter", tx.counter_path(F.col("object_name"), F.col("counter_name"), F.col("instance_name")))
@@ -98,7 +97,7 @@ def summary_masked(run: Run, thresholds: str, tag: tuple[str, str] | None = None
     minutes = int(kv.get("LastMinutes", 15))
     rqs = run.tm.running_queries_summary()
     anchors = rqs.groupBy("instance_id").agg(F.max("snapshot_date").alias("anchor"))
-    inst = matching_instances(run.instances, run.tm.instance_tags(), *(tag or (None, None))).select("instance_id")
+    inst = run.targets(tag).select("instance_id")
     near = sel.anchor_lookback(rqs, anchors, "instance_id", "snapshot_date", "anchor", minutes, strict=True)
     near = near.join(inst, "instance_id", "left_semi")
     masked = [F.when(F.col(c) > F.lit(int(kv[t])), F.col(c)).alias(c) for c, t, _, _ in SUMMARY_METRICS]

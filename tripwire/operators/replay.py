@@ -87,10 +87,12 @@ def suppress_replay(events: DataFrame, key: str, ts: str, eid: str, interval: dt
             key, "src_id", F.col("_bd").alias("dst_id"), F.col("_bt").alias("dst_ts"))
         jumps.append(_cut(nxt))
     first = events.groupBy(key).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(eid).alias("id"))).alias("_f"))
-    chain = _cut(first.select(key, F.col("_f.id").alias("id"), F.col("_f.t").alias("t")))
-    for j in reversed(jumps):
+    chain = first.select(key, F.col("_f.id").alias("id"), F.col("_f.t").alias("t"))
+    for i, j in enumerate(reversed(jumps)):
         step = chain.join(j.select(F.col(key).alias("_jk"), F.col("src_id").alias("_js"), "dst_id", "dst_ts"),
                           (F.col(key) == F.col("_jk")) & (F.col("id") == F.col("_js"))).filter(
             F.col("dst_id").isNotNull()).select(key, F.col("dst_id").alias("id"), F.col("dst_ts").alias("t"))
-        chain = _cut(chain.unionByName(step).distinct())
+        chain = chain.unionByName(step).distinct()
+        if i < len(jumps) - 1:  # the chain is read twice by the next round: materialize it
+            chain = _cut(chain)
     return chain.select(key, F.col("t").alias(ts), F.col("id").alias(eid))

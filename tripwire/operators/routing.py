@@ -31,6 +31,7 @@ def alert_defaults(alerts: DataFrame, webhooks: DataFrame, alert_id: int) -> Dat
         F.col("email_alert_template").alias("_d_email_alert_template"),
         F.col("_env_webhook").alias("_d_webhook"),
         F.col("webhook_alert_template").alias("_d_webhook_alert_template"),
+        F.col("default_threshold").alias("_d_threshold"),
     )
 
 
@@ -54,10 +55,33 @@ def resolve_overrides(targets: DataFrame, overrides: DataFrame, alerts: DataFram
         chosen = (F.when(F.col("_oid").isNotNull(), F.col("_o_" + f))
                   .when(F.col("_t_n") > 0, F.col("_t." + f)))
         cols.append(F.coalesce(chosen, F.col("_d_" + f)).alias(f))
-    drop = ["_oid", "_t", "_t_n"] + ["_o_" + f for f in ROUTE_FIELDS] + ["_d_" + f for f in ROUTE_FIELDS]
+    drop = ["_oid", "_t", "_t_n", "_d_threshold"] + ["_o_" + f for f in ROUTE_FIELDS] + ["_d_" + f for f in ROUTE_FIELDS]
     return j.select(*[c for c in j.columns if c not in drop], *cols)
 
 
+def resolve_instance_config(targets: DataFrame, overrides: DataFrame, alerts: DataFrame, webhooks: DataFrame,
+                            alert_id: int, tag_name: str | None = None, tag_value: str | None = None,
+                            instance_col: str = "instance_id") -> DataFrame:
+    """Threshold and routing fields in one pass (what `resolve_threshold` followed by
+    `resolve_overrides` give): both take the same winning override row, so one
+    instance-level aggregation and one broadcast row serve both. The threshold keeps a
+    winning NULL; routing fields fall back to the alert's own values."""
+    cols = ["threshold", *ROUTE_FIELDS]
+    inst = instance_level(overrides, alert_id, cols)
+    tag = tag_level(overrides, alert_id, tag_name, tag_value).agg(
+        F.min_by(F.struct(*cols), F.col("override_id")).alias("_t"), F.count(F.lit(1)).alias("_t_n"))
+    one_row = tag.crossJoin(alert_defaults(alerts, webhooks, alert_id))  # 1 x (0 or 1) rows
+    j = targets.join(inst, F.col(instance_col) == F.col("_oid"), "left").crossJoin(F.broadcast(one_row))
+    has_inst, has_tag = F.col("_oid").isNotNull(), F.col("_t_n") > 0
+    out = [F.when(has_inst, F.col("_o_threshold")).when(has_tag, F.col("_t.threshold"))
+           .otherwise(F.col("_d_threshold")).alias("threshold")]
+    for f in ROUTE_FIELDS:
+        chosen = F.when(has_inst, F.col("_o_" + f)).when(has_tag, F.col("_t." + f))
+        out.append(F.coalesce(chosen, F.col("_d_" + f)).alias(f))
+    drop = {"_oid", "_t", "_t_n", *["_o_" + c for c in cols], *["_d_" + c for c in cols]}
+    return j.select(*[c for c in j.columns if c not in drop], *out)
+
+
 def merge_audience(default: Column, extra: Column, override_flag: Column) -> Column:
     """NULL extra keeps the default; flag 1 replaces it; flag 0 appends `;extra`."""
     return (F.when(extra.isNull(), default)

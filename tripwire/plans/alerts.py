@@ -87,9 +87,9 @@ def alert_blocking(run: Run, metric: str = "duration", minutes: int = 3, tag: tu
     hist = run.cfg.history if history is None else history
     cur = blocking_latest(run, minutes, tag)
     cur = st.suppress_recent(cur, hist, aid, a["repeat_notification_interval"], run.now)
-    cur = th.resolve_threshold(cur, run.cfg.overrides, run.cfg.alerts, aid, tn, tv)
+    cur = rt.resolve_instance_config(cur, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid, tn, tv)
     breach = th.threshold_breach(cur, metric_col).withColumn("threshold", F.col("threshold").cast("int"))
-    routed = rt.resolve_overrides(breach, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid, tn, tv)
+    routed = breach
     row = tx.tr(F.col("instance"), tx.fmt_n(F.col("blocked_session_count"), 0),
                 tx.fmt_n(F.col("blocked_wait_time") / F.lit(1000), 1))
     msgs = _messages(routed, name, 1, row)
@@ -117,14 +117,18 @@ def alert_cpu(run: Run, anchor_minutes: int = 2, tag: tuple[str, str] | None = N
     tn, tv = tag or (None, None)
     hist = run.cfg.history if history is None else history
     cur = cpu_latest(run, anchor_minutes, tag)
-    cur = th.resolve_threshold(cur, run.cfg.overrides, run.cfg.alerts, aid, tn, tv)
+    cur = rt.resolve_instance_config(cur, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid, tn, tv)
     cur = cur.withColumn("threshold", F.col("threshold").try_cast("int"))
     acted = st.with_state_action(cur, hist, aid)
-    routed = rt.resolve_overrides(acted, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid, tn, tv)
+    routed = acted
     row = tx.tr(F.col("instance"), F.col("counter"), F.col("threshold"))
-    on = routed.filter(F.col("action").isin("NEW->ON", "OFF->ON"))
-    off = routed.filter(F.col("action") == "ON->OFF")
-    msgs = _messages(off, "High CPU - Recovery", 0, row).unionByName(_messages(on, "High CPU", 0, row))
+    # alarm and recovery messages in one aggregation, keyed by the message kind
+    kind = (F.when(F.col("action").isin("NEW->ON", "OFF->ON"), F.lit("High CPU"))
+            .when(F.col("action") == "ON->OFF", F.lit("High CPU - Recovery")))
+    src = routed.withColumn("alert_name", kind).filter(F.col("alert_name").isNotNull())
+    m = rt.route_by_audience(src, "instance", row, keys=["alert_name", *rt.ROUTE_FIELDS])
+    msgs = m.select("alert_name", F.lit(0).alias("alert_type"), *rt.ROUTE_FIELDS, "instances", "table_html",
+                    "n_rows", F.lit(None).cast("string").alias("subject"))
     new_hist = lambda: st.history_state_write(hist, acted, aid, run.now)
     return AlertOutput(routed, msgs, new_hist)
 
@@ -164,8 +168,8 @@ def alert_freespace(run: Run, tag: tuple[str, str] | None = None, history: DataF
     aid = a["alert_id"]
     tn, tv = tag or (None, None)
     hist = run.cfg.history if history is None else history
-    rows = th.resolve_threshold(freespace_rows(run, tag), run.cfg.overrides, run.cfg.alerts, aid, tn, tv)
-    routed = rt.resolve_overrides(rows, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid, tn, tv)
+    rows = freespace_rows(run, tag)
+    routed = rt.resolve_instance_config(rows, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid, tn, tv)
     br = F.lit("<br/>")
     row = tx.unescape_angles(tx.tr(
         F.col("instance"), tx.fmt_n(F.col("drives_in_warning"), 0), F.replace(F.col("details_warning"), F.lit(";"), br),

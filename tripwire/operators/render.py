@@ -57,10 +57,6 @@ def render_webhook(template: Column, wiki: Column, emoji: Column, username: Colu
     return _sub(body, "##ALERTNAME##", F.coalesce(alert_name, F.lit("")))
 
 
-OUTBOX_COLUMNS = ["alert_name", "alert_type", "channel", "audience", "recipient", "subject", "body",
-                  "instances", "send", "reason"]
-
-
 def outbox(messages: DataFrame, view: DataFrame, blackouts: DataFrame, as_of: dt.datetime,
            mail_profile: str | None = "Mail Profile", bypass_mute: bool = False,
            subject_prefix: str = SUBJECT_PREFIX) -> DataFrame:

@@ -6,11 +6,9 @@ are reduced to one row before they meet the per-instance data, so they broadcast
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripwire.functions import text as tx
 from tripwire.operators.thresholds import instance_level, tag_level
 
 ROUTE_FIELDS = ["audience", "email_alert_template", "webhook", "webhook_alert_template"]
@@ -163,12 +161,6 @@ def blackout_status(events: DataFrame, blackouts: DataFrame, ts_col: str, alert_
     return j.withColumn(out, flag).drop("_bo_alert", "_bo_windows")
 
 
-def blackout_flag(ts: dt.datetime, alert_ids: DataFrame, blackouts: DataFrame) -> DataFrame:
-    """(alert_id, in_blackout) at one evaluation time for each alert id given."""
-    ev = alert_ids.withColumn("_at", F.lit(ts).cast("timestamp_ntz"))
-    return blackout_status(ev, blackouts, "_at").drop("_at")
-
-
 def route_by_audience(rows: DataFrame, instance_col: str, row_html: Column | None, keys: list[str] | None = None,
                       order_col: str | None = None, distinct_names: bool = False) -> DataFrame:
     """One message per (audience, webhook, e-mail template, webhook template).

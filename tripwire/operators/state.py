@@ -11,9 +11,6 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-ACTIONS = ("NEW->ON", "OFF->ON", "ON->OFF", "IGNORE")
-
-
 def _ts(v: dt.datetime) -> Column:
     return F.lit(v).cast("timestamp_ntz")
 

@@ -211,18 +211,6 @@ def _normalize(schema: T.StructType, rows: list[tuple]) -> list[tuple]:
     return out
 
 
-def literal_table(spark: SparkSession, schema: T.StructType, rows: list[tuple]) -> DataFrame:
-    """A small table built from literals on the JVM side (no Python serialization, no RDD).
-
-    `inline` over an array of literal structs: Catalyst folds it to a local relation.
-    """
-    if not rows:
-        return spark.createDataFrame([], schema)
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(schema.fields, r)])
-               for r in _normalize(schema, rows)]
-    return spark.range(1).select(F.inline(F.array(*structs)))
-
-
 _FIXED_CACHE: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 

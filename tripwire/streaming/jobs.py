@@ -14,7 +14,6 @@ All outputs and stream checkpoints live under the cluster checkpoint directory
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
 from collections.abc import Iterator
 

@@ -28,6 +28,12 @@ def test_suppress_replay_matches_greedy(spark):
         rows = _series(seed)
         df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, id long, v int")
         got = {(r["k"], r["id"]) for r in suppress_replay(df, "k", "ts", "id", dt.timedelta(hours=5)).collect()}
+        # hot-key path: every series longer than 10 goes through pointer doubling
+        mixed = {(r["k"], r["id"]) for r in suppress_replay(df, "k", "ts", "id", dt.timedelta(hours=5),
+                                                            max_fold=10).collect()}
+        doubled = {(r["k"], r["id"]) for r in suppress_replay(df, "k", "ts", "id", dt.timedelta(hours=5),
+                                                             max_fold=0).collect()}
+        assert got == mixed == doubled
         want = set()
         for k in {r[0] for r in rows}:
             last = None

@@ -6,6 +6,8 @@ first -> next(first) -> next(next(first)) ..., where next(e) is the first breach
 e.ts + interval.
 
 No key's series is folded inside one task:
+0. keys with a bounded number of breaches are folded directly (one aggregation, no rounds);
+   only longer series take the following path:
 1. next(e) is an as-of (forward) join computed inside (key, time bucket) partitions, with a
    per-bucket summary for probes whose answer lies in a later bucket;
 2. the chain is walked by pointer doubling: J_{k+1} = J_k o J_k are self-joins on the unique
@@ -72,10 +74,41 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def suppress_replay(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta) -> DataFrame:
-    """The notified events of each key's breach series under the repeat interval."""
+def _fold(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta) -> DataFrame:
+    """Short series: one JVM-side fold over the key's sorted (bounded) array of breaches."""
+    item = F.struct(F.col(ts).alias("t"), F.col(eid).alias("id"))
+    g = events.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    item_type = g.schema["_s"].dataType
+    init = F.struct(F.lit(None).cast(item_type.elementType["t"].dataType).alias("last"),
+                    F.array().cast(item_type).alias("sent"))
+
+    def step(acc, x):
+        take = acc["last"].isNull() | (x["t"] >= acc["last"] + F.lit(interval))
+        return F.when(take, F.struct(x["t"].alias("last"), F.array_append(acc["sent"], x).alias("sent"))).otherwise(acc)
+
+    out = g.select(key, F.explode(F.aggregate("_s", init, step)["sent"]).alias("_x"))
+    return out.select(key, F.col("_x.t").alias(ts), F.col("_x.id").alias(eid))
+
+
+def suppress_replay(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta,
+                    max_fold: int = 50_000) -> DataFrame:
+    """The notified events of each key's breach series under the repeat interval.
+
+    Keys with at most `max_fold` breaches are folded in one pass (their array is bounded);
+    longer series -- hot keys -- are walked by pointer doubling, which spreads them over all
+    tasks. The split needs only per-key counts (a partial aggregate).
+    """
+    counts = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    longest = counts.agg(F.max("_n")).first()[0] or 0  # one value
+    if longest <= max_fold:
+        return _fold(events, key, ts, eid, interval)
+    short = counts.filter(F.col("_n") <= max_fold).select(key)
+    folded = _fold(events.join(short, key, "left_semi"), key, ts, eid, interval)
+    return folded.unionByName(_doubling(events.join(short, key, "left_anti"), key, ts, eid, interval, longest))
+
+
+def _doubling(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta, longest: int) -> DataFrame:
     jump = _cut(next_at_or_after(events, key, ts, eid, interval).select(key, "src_id", "dst_id", "dst_ts"))
-    longest = events.groupBy(key).count().agg(F.max("count")).first()[0] or 0  # one value
     rounds = max(1, math.ceil(math.log2(longest + 1)))
     jumps = [jump]
     for _ in range(rounds - 1):

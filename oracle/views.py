@@ -66,7 +66,10 @@ BINDINGS = {
          NULL, instance_id, '5' FROM instances WHERE instance_id % 6 = 0
        UNION ALL SELECT CAST(300000 + instance_id AS INTEGER), 3, NULL, NULL, NULL,
          CASE WHEN instance_id % 10 = 0 THEN 'cpu-team@example.com' END, instance_id % 20 <> 0, NULL, NULL, NULL, NULL,
-         instance_id, '30' FROM instances WHERE instance_id % 5 = 0""",
+         instance_id, '30' FROM instances WHERE instance_id % 5 = 0
+       UNION ALL SELECT CAST(400000 + instance_id AS INTEGER), 7, NULL, NULL, NULL, NULL, TRUE, NULL, NULL, NULL,
+         NULL, instance_id, '@MinutesBack int=30;@MinBlockWaitTimeRecursive int=5000' FROM instances
+         WHERE instance_id % 11 = 0""",
     "alert_history": """SELECT CASE WHEN instance_id % 3 = 0 THEN lower(instance_display_name) ELSE instance_display_name END
          AS instance, 1 AS alert_id, now - to_minutes(CAST(instance_id % 10 AS BIGINT)) AS last_occurrence,
          CAST(NULL AS VARCHAR) AS last_value, CAST(NULL AS VARCHAR) AS status

@@ -716,3 +716,22 @@ def q_validate_request(run: Run) -> DataFrame:
                       "webhook_template", "instances")
     return validate_request(base.unionByName(custom).unionByName(odd), run.cfg.alerts).select(
         "alert_name", "alert_type", "audience", "instances", "errors", "webhook_enabled")
+
+
+@query("thresholds_kv")
+def q_thresholds_kv(run: Run) -> DataFrame:
+    """Per instance: the top-blocker alert's resolved threshold text parsed into typed limits."""
+    r = th.resolve_threshold(run.instances.select("instance_id"), run.cfg.overrides, run.cfg.alerts, 7)
+    kv = pm.thresholds_kv(F.col("threshold"))
+    return r.select("instance_id", "threshold",
+                    kv["MinutesBack"].try_cast("int").alias("minutes_back"),
+                    kv["MinBlockWaitTimeRecursive"].try_cast("bigint").alias("min_block_wait_ms"))
+
+
+@query("wiki_link")
+def q_wiki_link(run: Run) -> DataFrame:
+    """The wiki link each routed message renders (alert name substituted, github dashes)."""
+    msgs = al.alert_blocking(run, "duration", WEEK_MIN).messages.unionByName(_more_messages(run))
+    a = run.cfg.alerts.select("alert_name", "alert_wiki")
+    return msgs.select("alert_name", "audience").join(F.broadcast(a), "alert_name").select(
+        "alert_name", "audience", tx.wiki_link(F.col("alert_wiki"), F.col("alert_name")).alias("wiki"))

@@ -273,6 +273,7 @@ def derived_instance_overrides(instances: DataFrame) -> DataFrame:
         .unionByName(rows(2, 200000, 6, F.lit("5"), none))
         .unionByName(rows(3, 300000, 5, F.lit("30"),
                           F.when(iid % 10 == 0, F.lit("cpu-team@example.com")).otherwise(none), iid % 20 != 0))
+        .unionByName(rows(7, 400000, 11, F.lit("@MinutesBack int=30;@MinBlockWaitTimeRecursive int=5000"), none))
     )
 
 

@@ -735,3 +735,14 @@ def q_wiki_link(run: Run) -> DataFrame:
     a = run.cfg.alerts.select("alert_name", "alert_wiki")
     return msgs.select("alert_name", "audience").join(F.broadcast(a), "alert_name").select(
         "alert_name", "audience", tx.wiki_link(F.col("alert_wiki"), F.col("alert_name")).alias("wiki"))
+
+
+@query("tags_json")
+def q_tags_json(run: Run) -> DataFrame:
+    """Per-instance tag documents in the JSON list form, parsed into (instance, tag, value) rows."""
+    it = run.tm.instance_tags().join(run.instances.select("instance_id"), "instance_id", "left_semi")
+    per_tag = it.groupBy("instance_id", "tag_name").agg(F.array_sort(F.collect_list("tag_value")).alias("values"))
+    docs = per_tag.groupBy("instance_id").agg(F.to_json(F.collect_list(F.struct(
+        F.struct(F.col("tag_name").alias("name"), F.col("values")).alias("tags")))).alias("doc"))
+    rows = docs.select("instance_id", F.explode(pm.tags_from_json(F.col("doc"))).alias("p"))
+    return rows.select("instance_id", F.col("p.tag_name").alias("tag_name"), F.col("p.tag_value").alias("tag_value"))

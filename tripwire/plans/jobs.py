@@ -3,7 +3,7 @@
     python -m tripwire.plans.jobs <alert> <data dir> <output dir> [lookback minutes]
 
 Alerts: blocking-duration, blocking-processes, cpu, freespace, db-growth, top-blockers-report,
-top-blockers-alert. Outputs: <out>/outbox (append), <out>/history/v=<run time> (snapshot).
+top-blockers-alert. Outputs: <out>/outbox/run=<version>, <out>/history/v=<version>-<run time> (snapshot).
 The first run starts from the derived history of the data set (see sources/config.py).
 """
 
@@ -44,9 +44,10 @@ def run_job(spark: SparkSession, alert: str, sf_dir: str, out: str, minutes: int
     res = evaluate(run, alert, minutes, prev)
     view = rt.all_alerts_view(run.cfg.alerts, run.cfg.environment, run.cfg.overrides, run.cfg.levels, run.cfg.webhooks)
     ob = rd.outbox(res.messages, view, run.cfg.blackouts, run.now)
-    sinks.append_outbox(ob, f"{out}/outbox", run.now)
-    hist_path = sinks.write_history(res.history, f"{out}/history", run.now.strftime("%Y%m%dT%H%M%S%f"))
-    return {"outbox": f"{out}/outbox", "history": hist_path}
+    version = sinks.next_version(spark, f"{out}/history")
+    ob_path = sinks.write_outbox(ob, f"{out}/outbox", version, run.now)
+    hist_path = sinks.write_history(res.history, f"{out}/history", version, run.now.strftime("%Y%m%dT%H%M%S%f"))
+    return {"outbox": ob_path, "history": hist_path}
 
 
 if __name__ == "__main__":

@@ -12,10 +12,13 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def append_outbox(outbox: DataFrame, path: str, run_at: dt.datetime) -> None:
-    """Append outbox rows (partitioned by run time) for the sender process to drain."""
-    (outbox.withColumn("run_at", F.lit(run_at).cast("timestamp_ntz"))
-     .write.mode("append").partitionBy("run_at").parquet(path))
+def write_outbox(outbox: DataFrame, path: str, run: str, run_at: dt.datetime) -> str:
+    """Write one run's outbox rows into its own folder `<path>/run=<run>`.
+
+    Overwriting only that folder makes a retried run idempotent; earlier runs are kept."""
+    target = f"{path}/run={run}"
+    outbox.withColumn("run_at", F.lit(run_at).cast("timestamp_ntz")).write.mode("overwrite").parquet(target)
+    return target
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -44,14 +47,17 @@ def latest_history(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(f"{base}/{v[-1]}") if v else None
 
 
-def write_history(history: DataFrame, base: str, label: str) -> str:
-    """Write a new history snapshot version (a complete table, not a delta).
-
-    Versions are numbered after the newest existing one, so a snapshot is never written
-    into the folder it was computed from."""
-    spark = history.sparkSession
+def next_version(spark: SparkSession, base: str) -> str:
+    """Number of the next history version (after the newest complete one)."""
     existing = _versions(spark, base)
-    seq = int(existing[-1][2:].split("-")[0]) + 1 if existing else 1
-    path = f"{base}/v={seq:09d}-{label}"
+    return f"{int(existing[-1][2:].split('-')[0]) + 1 if existing else 1:09d}"
+
+
+def write_history(history: DataFrame, base: str, version: str, label: str) -> str:
+    """Write history snapshot `version` (a complete table, not a delta).
+
+    Versions come after the newest existing one, so a snapshot is never written into the
+    folder it was computed from; a retried run rewrites only its own version folder."""
+    path = f"{base}/v={version}-{label}"
     history.write.mode("overwrite").parquet(path)
     return path

@@ -69,7 +69,8 @@ def run_poll(spark: SparkSession, sf_dir: str, minutes: int, metric: str = "dura
         run = Run(spark, sf_dir, now=now, tables=_BatchTables(spark, sf_dir, batch))
         hist = state["history"]
         out = al.alert_blocking(run, metric, minutes, history=None if hist is None else spark.read.parquet(hist))
-        out.messages.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{base}/outbox")
+        # a retried batch rewrites its own folders (foreachBatch is at-least-once)
+        out.messages.write.mode("overwrite").parquet(f"{base}/outbox/epoch={epoch:09d}")
         path = f"{base}/history/v={epoch:09d}"
         out.history.write.mode("overwrite").parquet(path)
         state["history"] = path

@@ -1,8 +1,9 @@
 """Telemetry selection: latest / last-k per key, anchored lookbacks, first-in-window.
 
 Scale notes
-* "latest per key" is an aggregate (`max_by` over a struct), not a window: it combines
-  map-side, so a key holding a third of all rows still shuffles one partial row per task.
+* "latest per key" is an aggregate (`max_by`), not a window: it combines map-side, so a key
+  holding a third of all rows still shuffles one partial row per task; with a (time, id)
+  order it runs as a hash aggregation (see `latest_per_key`).
 * "last k per key" uses `row_number() <= k`; Spark plans a partial WindowGroupLimit before
   the shuffle, so at most k rows per key per task cross the network.
 * Literal time bounds are plain filters on the fact column and reach the Parquet scan.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 
 def lookback(df: DataFrame, ts_col: str, as_of: dt.datetime, minutes: int) -> DataFrame:
@@ -28,13 +29,43 @@ def window_half_open(df: DataFrame, ts_col: str, lo: dt.datetime, hi: dt.datetim
     return df.filter((c >= F.lit(lo).cast("timestamp_ntz")) & (c < F.lit(hi).cast("timestamp_ntz")))
 
 
+_EPOCH = dt.datetime(1970, 1, 1)
+_FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
+
+
+def _packed_order(df: DataFrame, order: list[str]):
+    """(timestamp, integer id) as one decimal(38,0) key with the same ordering, else None.
+
+    micros since 1970 (time-zone free) * 10^20 + (id + 2^63): at most 36 digits.
+    """
+    if len(order) != 2:
+        return None
+    t, i = df.schema[order[0]].dataType, df.schema[order[1]].dataType
+    if not isinstance(t, (T.TimestampNTZType, T.TimestampType)) or not isinstance(
+            i, (T.LongType, T.IntegerType, T.ShortType)):
+        return None
+    micros = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast(t.simpleString()), F.col(order[0]))
+    shifted = F.col(order[1]).cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)")
+    scale = F.lit(str(10 ** 20)).cast("decimal(21,0)")
+    return (micros.cast("decimal(38,0)") * scale + shifted).cast("decimal(38,0)")
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row per key: the values of the row with the greatest `order` tuple.
 
     `order` must make rows unique within a key (add a tie-break column) for a deterministic pick.
+    When the order is (timestamp, integer id) and all values are fixed-width, the order is
+    packed into one decimal key and each column is picked with `max_by(column, key)`: every
+    aggregation buffer is then fixed-width, so Spark uses hash aggregation (partial per task)
+    instead of sorting. Otherwise a struct is picked (sort-based partial aggregation).
     """
     keys, order, values = list(keys), list(order), list(values)
     payload = [c for c in order + values if c not in keys]
+    packed = _packed_order(df, order)
+    if packed is not None and all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in payload):
+        d = df.withColumn("_ok", packed)
+        return d.groupBy(*keys).agg(*[F.max_by(c, "_ok").alias(c) for c in payload])
     picked = F.max_by(F.struct(*payload), F.struct(*order)).alias("_p")
     return df.groupBy(*keys).agg(picked).select(*keys, *[F.col("_p." + c).alias(c) for c in payload])
 

@@ -149,8 +149,10 @@ def state_replay(samples: DataFrame, key: str, ts: str, tie: str, breach: Column
     w_local = Window.partitionBy(key, "_b").orderBy(*order)
     s = s.withColumn("_prev", F.lag("_br").over(w_local)).withColumn(
         "_any", F.max(F.col("_br").cast("int")).over(w_local.rowsBetween(Window.unboundedPreceding, -1)))
-    summ = s.groupBy(key, "_b").agg(F.max_by("_br", F.struct(*order)).alias("_last"),
-                                     F.max(F.col("_br").cast("int")).alias("_bany"))
+    from tripwire.operators.select import _packed_order
+    packed = _packed_order(s, [ts, tie])  # fixed-width order key: hash aggregation over all samples
+    last = F.max_by("_br", packed) if packed is not None else F.max_by("_br", F.struct(*order))
+    summ = s.groupBy(key, "_b").agg(last.alias("_last"), F.max(F.col("_br").cast("int")).alias("_bany"))
     w_b = Window.partitionBy(key).orderBy("_b")
     carry = summ.select(
         F.col(key).alias("_ck"), F.col("_b").alias("_cb"),

@@ -38,8 +38,3 @@ def test_top_n_is_take_ordered(spark):
 
 def test_every_query_has_an_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
-
-
-def test_latest_per_key_is_hash_aggregated(spark):
-    p = _plan(spark, "latest_per_key")
-    assert "HashAggregate" in p and "SortAggregate" not in p

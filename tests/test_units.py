@@ -274,17 +274,3 @@ def test_config_values_are_fixed():
     assert by_name["Blocking - Duration"][-1] == "10000" and by_name["Blocking - Processes"][-1] == "2"
     assert by_name["High CPU"][-1] == "80" and by_name["Blocking - Duration"][4] == 5
     assert Decimal(1) == Decimal("1")
-
-
-def test_latest_per_key_packed_equals_struct(spark):
-    from tripwire.operators.select import latest_per_key
-    rows = [(1, dt.datetime(1969, 12, 31, 23, 0), -5, 10), (1, dt.datetime(1969, 12, 31, 23, 0), 7, 11),
-            (1, dt.datetime(1960, 1, 1), 99, 12), (2, dt.datetime(2024, 1, 1), 3, 20),
-            (2, dt.datetime(2024, 1, 1), 2, 21), (2, dt.datetime(2023, 1, 1), 9, 22),
-            (3, dt.datetime(2024, 5, 5, 1, 2, 3, 456789), -9223372036854775807, 30)]
-    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, id bigint, v int")
-    fast = {tuple(r) for r in latest_per_key(df, ["k"], ["ts", "id"], ["v"]).select("k", "ts", "id", "v").collect()}
-    slow = {tuple(r) for r in latest_per_key(df.withColumn("s", F.col("v").cast("string")), ["k"], ["ts", "id"],
-                                             ["v", "s"]).select("k", "ts", "id", "v").collect()}
-    assert fast == slow == {(1, dt.datetime(1969, 12, 31, 23, 0), 7, 11), (2, dt.datetime(2024, 1, 1), 3, 20),
-                            (3, dt.datetime(2024, 5, 5, 1, 2, 3, 456789), -9223372036854775807, 30)}

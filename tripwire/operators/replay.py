@@ -91,32 +91,37 @@ def _fold(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta
 
 
 def suppress_replay(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta,
-                    max_fold: int = 50_000) -> DataFrame:
+                    max_fold: int = 1_000_000) -> DataFrame:
     """The notified events of each key's breach series under the repeat interval.
 
     Keys with at most `max_fold` breaches are folded in one pass (their array is bounded);
     longer series -- hot keys -- are walked by pointer doubling, which spreads them over all
     tasks. The split needs only per-key counts (a partial aggregate).
     """
-    counts = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    longest = counts.agg(F.max("_n")).first()[0] or 0  # one value
+    counts = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    stats = counts.agg(F.max("_n"), F.max(F.timestamp_diff("SECOND", F.col("_lo"), F.col("_hi")))).first()  # one row
+    longest, span_s = stats[0] or 0, stats[1] or 0
     if longest <= max_fold:
         return _fold(events, key, ts, eid, interval)
+    # notified breaches are at least `interval` apart: a chain has at most span/interval + 1 links
+    chain_max = min(longest, int(span_s // max(interval.total_seconds(), 1e-6)) + 1)
     short = counts.filter(F.col("_n") <= max_fold).select(key)
     folded = _fold(events.join(short, key, "left_semi"), key, ts, eid, interval)
-    return folded.unionByName(_doubling(events.join(short, key, "left_anti"), key, ts, eid, interval, longest))
+    return folded.unionByName(_doubling(events.join(short, key, "left_anti"), key, ts, eid, interval, chain_max))
 
 
-def _doubling(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta, longest: int) -> DataFrame:
-    jump = _cut(next_at_or_after(events, key, ts, eid, interval).select(key, "src_id", "dst_id", "dst_ts"))
-    rounds = max(1, math.ceil(math.log2(longest + 1)))
+def _doubling(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta, chain_max: int) -> DataFrame:
+    # rows without a successor never extend a chain: jump tables keep only rows that do
+    jump = _cut(next_at_or_after(events, key, ts, eid, interval).filter(F.col("dst_id").isNotNull())
+                .select(key, "src_id", "dst_id", "dst_ts"))
+    rounds = max(1, math.ceil(math.log2(chain_max + 1)))
     jumps = [jump]
     for _ in range(rounds - 1):
         j = jumps[-1]
         a = j.alias("a")
         b = j.select(F.col(key).alias("_bk"), F.col("src_id").alias("_bs"), F.col("dst_id").alias("_bd"),
                      F.col("dst_ts").alias("_bt"))
-        nxt = a.join(b, (F.col(key) == F.col("_bk")) & (F.col("dst_id") == F.col("_bs")), "left").select(
+        nxt = a.join(b, (F.col(key) == F.col("_bk")) & (F.col("dst_id") == F.col("_bs"))).select(
             key, "src_id", F.col("_bd").alias("dst_id"), F.col("_bt").alias("dst_ts"))
         jumps.append(_cut(nxt))
     first = events.groupBy(key).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(eid).alias("id"))).alias("_f"))

@@ -16,12 +16,11 @@ def spark():
     b = (SparkSession.builder.master("local[*]").appName("tripwire-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false"))
+    b = b.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tripwire-chk-"))  # tests only
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):  # tests only: the cluster names its own
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tripwire-chk-"))
     yield s
 
 

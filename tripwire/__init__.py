@@ -8,6 +8,14 @@ Layers:
   streaming/  Structured Streaming drivers for the same jobs
 """
 
-from tripwire.session import get_spark, checkpoint_dir
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+from tripwire.session import checkpoint_dir, get_spark
+
+# Functions of this package that run in Python workers travel inside the task, so the
+# executors need no copy of the package on their path.
+register_pickle_by_value(sys.modules[__name__])
 
 __all__ = ["get_spark", "checkpoint_dir"]

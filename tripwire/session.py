@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -46,18 +47,18 @@ def apply_session_conf(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (spark.checkpoint.dir).
+    """Shared checkpoint folder, as the cluster names it in spark.checkpoint.dir.
 
-    Only when nothing is configured (local tests) a folder under the system temp dir is set.
+    Without that setting only a local master (one process, so one file system) gets a fresh
+    temporary folder; on a cluster a missing setting is an error, because a folder of the
+    driver's machine would be invisible to the executors.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        import tempfile
-
-        d = os.path.join(tempfile.gettempdir(), "tripwire-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        if re.fullmatch(r"local(\[[^\]]*\])?", sc.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="tripwire-checkpoints-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d

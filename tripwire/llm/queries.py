@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from tripwire.llm import decontaminate
+from tripwire.llm.decontaminate import op8_decontaminate
+from tripwire.llm.mixing import op6_mixing
 from tripwire.llm.quality_rules import op1_quality_rules
 from tripwire.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_mixing": op6_mixing,
+    "op8_decontaminate": op8_decontaminate,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_decontaminate": decontaminate.ORACLE,
+}

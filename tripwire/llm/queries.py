@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from tripwire.llm import decontaminate
+from tripwire.llm import decontaminate, secret_scan
 from tripwire.llm.decontaminate import op8_decontaminate
 from tripwire.llm.mixing import op6_mixing
 from tripwire.llm.quality_rules import op1_quality_rules
+from tripwire.llm.secret_scan import op7_secret_scan
 from tripwire.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_secret_scan": secret_scan.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }

@@ -239,15 +239,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     marked = materialized(with_fingerprint(docs, text, "fingerprint_", shingle)
                           .withColumn("text_hash_", F.xxhash64(text)).drop(text))
-    groups = materialized(marked.groupBy(F.col("fingerprint_").alias("fp")).agg(F.min(doc_id).alias("first")))
+    groups = materialized(marked.groupBy(F.col("fingerprint_").alias("fp"))
+                          .agg(F.min(doc_id).alias("first"), F.count(F.lit(1)).alias("n")))
     edges = materialized(star_edges(groups, radius, bucket))
     roots = components(edges)
     linked = groups.join(roots, groups.fp == roots.v).groupBy("root").agg(F.min("first").alias("comp"))
     linked = roots.join(linked, "root").select(F.col("v").alias("fp"), "root", "comp")
     names = groups.join(linked, "fp", "left").select(
         F.col("fp").alias("fingerprint_"), F.coalesce("root", "fp").alias("group_"),
-        F.coalesce("comp", "first").alias("component_"))
-    return marked.join(names, "fingerprint_")
+        F.coalesce("comp", "first").alias("component_"), "n")
+    # A fingerprint that over a thousandth of all rows share is a hot join key. There are fewer than a
+    # thousand of them whatever the table, so their names are broadcast; all others meet by shuffle.
+    hot = F.col("n") * 1000 > F.lit(groups.agg(F.sum("n")).first()[0] or 0)
+    often = F.broadcast(groups.filter(hot).select(F.col("fp").alias("fingerprint_")))
+    return (marked.join(F.broadcast(names.filter(hot).drop("n")), "fingerprint_")
+            .unionByName(marked.join(often, "fingerprint_", "left_anti").join(names.filter(~hot).drop("n"), "fingerprint_")))
 
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tripwire.llm import decontaminate, secret_scan
 from tripwire.llm.decontaminate import op8_decontaminate
 from tripwire.llm.mixing import op6_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -5,13 +5,17 @@ from __future__ import annotations
 import corpus_pipeline
 from tripwire.llm import decontaminate, secret_scan
 from tripwire.llm.decontaminate import op8_decontaminate
+from tripwire.llm.hmm_lm import op4_hmm_lm
 from tripwire.llm.mixing import op6_mixing
+from tripwire.llm.quality_classifier import op2_quality_classifier
 from tripwire.llm.quality_rules import op1_quality_rules
 from tripwire.llm.secret_scan import op7_secret_scan
 from tripwire.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_hmm_lm": op4_hmm_lm,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,

@@ -6,6 +6,7 @@ import corpus_pipeline
 from tripwire.llm import decontaminate, secret_scan
 from tripwire.llm.decontaminate import op8_decontaminate
 from tripwire.llm.hmm_lm import op4_hmm_lm
+from tripwire.llm.license_scan import op5_license_scan
 from tripwire.llm.mixing import op6_mixing
 from tripwire.llm.quality_classifier import op2_quality_classifier
 from tripwire.llm.quality_rules import op1_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_hmm_lm": op4_hmm_lm,
+    "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,

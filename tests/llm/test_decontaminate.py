@@ -61,8 +61,10 @@ def case(seed=3):
 def test_equals_brute_force(spark, make_docs, block_words):
     docs, items = case()
     bench = spark.createDataFrame(items + items[:2], "item_id long, text string")
-    frame = make_docs(docs).withColumn("t", F.lit("clash"))
-    got = rows_of(D.benchmark_hits(frame, bench, block_words=block_words))
+    frame = make_docs(docs).withColumn("t", F.lit("clash")).withColumn("text_key", F.lit(1)).withColumn("same_text", F.lit(1))
+    found = D.benchmark_hits(frame, bench, block_words=block_words)
+    assert found.columns == frame.columns + ["hits"]
+    got = rows_of(found)
     assert got == dict(enumerate(brute(docs, items)))
 
 

@@ -106,7 +106,7 @@ def test_edges(make_docs):
     rnd = random.Random(4)
     docs = [(i, " ".join(["w"] * rnd.choice([0, 1, 3, 3, 3, 8, 50])), rnd.choice(["a", "a", "a", "b", "é", None])) for i in range(400)]
     docs += [(1000, None, "b"), (1001, "x " * 300, "a"), (1002, "one", "tiny")]
-    frame = make_docs(docs).withColumn("size", F.lit("clash")).withColumn("target", F.lit("clash"))
+    frame = make_docs(docs).withColumn("size", F.lit("clash")).withColumn("target", F.lit("clash")).withColumn("key_", F.lit(1))
     out = M.mixed(frame)
     assert out.columns == frame.columns + ["size_", "source_size", "target_", "taken"]
     check([{"doc_id": r.doc_id, "size": r.size_, "source_size": r.source_size, "target": r.target_, "taken": r.taken}

@@ -128,9 +128,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", ou
     if len(blocks) == 1:
         return searched(docs, blocks[0])
 
-    key = free_name(docs, "text_key")
+    key, same = free_name(docs, "text_key"), free_name(docs, "same_text")
     keys = docs.select(text).distinct()  # equal texts have equal hits, so they are searched once
-    parts = [searched(keys, b).select(F.xxhash64(text).alias(key), F.col(text).alias("t"), f"{out}.*") for b in blocks]
+    parts = [searched(keys, b).select(F.xxhash64(text).alias(key), F.col(text).alias(same), f"{out}.*") for b in blocks]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -139,12 +139,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", ou
     def unite(spans: pd.Series) -> pd.Series:
         return pd.Series([[{"a": a, "z": z} for a, z in merged((x["a"], x["z"]) for x in s)] for s in spans])
 
-    whole = every.groupBy(key, "t").agg(
+    whole = every.groupBy(key, same).agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    whole = whole.select(key, "t", F.struct("n_words", unite("spans").alias("spans"), "items").alias(out))
-    joined = docs.join(whole, (F.xxhash64(docs[text]) == whole[key]) & docs[text].eqNullSafe(whole["t"]), "left")
-    return joined.drop(key, "t")
+    whole = whole.select(key, same, F.struct("n_words", unite("spans").alias("spans"), "items").alias(out))
+    joined = docs.join(whole, (F.xxhash64(docs[text]) == whole[key]) & docs[text].eqNullSafe(whole[same]), "left")
+    return joined.drop(key, same)
 
 
 def n_hit(hits) -> "F.Column":

@@ -22,7 +22,7 @@ of a text are looked up by a join with the count table, keyed by word, and summe
 that grows with the corpus is broadcast or collected. Such a word is rare by construction (it ranks
 below `known`), so no join key holds a large share of the rows.
 
-Null and empty texts consist of the end token alone. Rows are told apart by a hash of id and text:
+Null and empty texts consist of the end token alone. Rows are told apart by id and a hash of the text:
 repeated rows have equal sums and each keeps its row. A null id counts as the empty text for the fold.
 An empty training set gives N = V = 0 and uniform symbols. Only the id is carried of other columns.
 """
@@ -309,14 +309,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     # key and its words, so their sums are made once.
     norm = F.element_at(F.array(*[F.lit(float(x)) for x in vocab.class_norm]), (F.pmod(F.crc32("word"), F.lit(classes)) + 1).cast("int"))
     c = F.coalesce("n", F.lit(0))
-    rare = encoded.filter(F.size("others") > 0).select("row_key", F.explode("others").alias("o")).select("row_key", "o.*")
-    sums = rare.join(counts, "word", "left").groupBy("row_key").agg(
+    rare = encoded.filter(F.size("others") > 0).select("doc_id", "row_key", F.explode("others").alias("o")).select("doc_id", "row_key", "o.*")
+    sums = rare.join(counts, "word", "left").groupBy(F.col("doc_id").alias("id"), F.col("row_key").alias("key")).agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k"), F.sum("times").alias("all"),
         F.sum(F.col("times") * F.log10((c + ADD) / F.lit(float(vocab.base_norm)))).alias("b"),
         F.sum(F.col("times") * F.log10((c + ADD) / norm)).alias("m"))
     own = encoded.select("doc_id", "held_out", "row_key", "n_tokens", "n_known", "base", "inner", forward("symbols").alias("log10"),
                          F.aggregate("others", F.lit(0).cast("long"), lambda a, o: a + o["times"]).alias("open"))
-    both = own.join(sums, "row_key", "left")
+    both = own.join(sums, (own["row_key"] == sums["key"]) & own["doc_id"].eqNullSafe(sums["id"]), "left")
     copies = F.when(F.col("open") > 0, F.col("all") / F.col("open")).otherwise(F.lit(1.0))  # rows that share the key
     add = lambda name: F.coalesce(F.col(name) / copies, F.lit(0.0))
     return both.select(

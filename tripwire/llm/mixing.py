@@ -146,37 +146,37 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     """
     names = [free_name(docs, n) for n in ("size", "source_size", "target", "taken")]
     sized = docs.withColumns({
-        "key_": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")),
-        "size_": F.coalesce(word_count() if size is None else size, F.lit(0)).cast("long"),
-        "hash_": F.xxhash64("doc_id", F.lit(seed)),
-        "tie_": F.xxhash64("text") if "text" in docs.columns else F.lit(0)}).withColumn("bucket_", F.pmod("hash_", F.lit(buckets)))
+        "mix_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")),
+        "mix_size": F.coalesce(word_count() if size is None else size, F.lit(0)).cast("long"),
+        "mix_hash": F.xxhash64("doc_id", F.lit(seed)),
+        "mix_tie": F.xxhash64("text") if "text" in docs.columns else F.lit(0)}).withColumn("mix_bucket", F.pmod("mix_hash", F.lit(buckets)))
     return _taken(sized, docs.columns, names, weights, most, buckets, dp_words)
 
 
 def _taken(sized: DataFrame, columns: list[str], names: list[str], weights, most, buckets, dp_words) -> DataFrame:
-    cells = materialized(sized.groupBy("key_", "size_", "bucket_").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")))
-    classes = cells.groupBy("key_", "size_").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
-    classes = classes.select(F.col("key_").alias("key"), "source", F.col("size_").alias("size"), "n")
+    cells = materialized(sized.groupBy("mix_key", "mix_size", "mix_bucket").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")))
+    classes = cells.groupBy("mix_key", "mix_size").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
+    classes = classes.select(F.col("mix_key").alias("key"), "source", F.col("mix_size").alias("size"), "n")
     sources = classes.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     plan = _plan(classes, targets(sources, weights, most), most, dp_words)
 
     # the bucket of each length in which the cut falls, and how many documents of it are taken
-    up_to = F.sum("n").over(Window.partitionBy("key_", "size_").orderBy("bucket_"))
-    cut = cells.withColumn("upto", up_to).join(plan, (F.col("key_") == plan["key"]) & (F.col("size_") == plan["size"]))
-    cut = (cut.withColumn("inside", F.when(F.col("upto") > F.col("take"), F.struct("bucket_", (F.col("take") - (F.col("upto") - F.col("n"))).alias("need"))))
+    up_to = F.sum("n").over(Window.partitionBy("mix_key", "mix_size").orderBy("mix_bucket"))
+    cut = cells.withColumn("upto", up_to).join(plan, (F.col("mix_key") == plan["key"]) & (F.col("mix_size") == plan["size"]))
+    cut = (cut.withColumn("inside", F.when(F.col("upto") > F.col("take"), F.struct("mix_bucket", (F.col("take") - (F.col("upto") - F.col("n"))).alias("need"))))
            .groupBy("key", "size", "source_size", "target", "copies").agg(F.min("inside").alias("cut")))
-    plan = materialized(cut.select(F.col("key").alias("key_"), F.col("size").alias("size_"), "source_size", "target", "copies",
-                                   F.coalesce("cut.bucket_", F.lit(buckets)).alias("cut_"), F.coalesce("cut.need", F.lit(0)).alias("need_")))
-    plan = plan.select("key_", "size_", *[F.col(c).alias(f"plan_{c}") for c in ("source_size", "target", "copies")], "cut_", "need_")
-
-    rows = sized.join(plan, ["key_", "size_"])
-    away = rows.filter((F.col("bucket_") != F.col("cut_")) | (F.col("need_") == 0)).withColumn("extra_", (F.col("bucket_") < F.col("cut_")).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("key_", "size_").orderBy("hash_", "doc_id", "tie_"))
-    near = rows.filter((F.col("bucket_") == F.col("cut_")) & (F.col("need_") > 0)).withColumn("extra_", (rank <= F.col("need_")).cast("int"))
+    plan = materialized(cut.select(F.col("key").alias("mix_key"), F.col("size").alias("mix_size"), "source_size", "target", "copies",
+                                   F.coalesce("cut.mix_bucket", F.lit(buckets)).alias("mix_cut"), F.coalesce("cut.need", F.lit(0)).alias("mix_need")))
+    plan = plan.select("mix_key", "mix_size", *[F.col(c).alias(f"mix_{c}") for c in ("source_size", "target", "copies")], "mix_cut", "mix_need")
+
+    rows = sized.join(plan, ["mix_key", "mix_size"])
+    away = rows.filter((F.col("mix_bucket") != F.col("mix_cut")) | (F.col("mix_need") == 0)).withColumn("mix_extra", (F.col("mix_bucket") < F.col("mix_cut")).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("mix_key", "mix_size").orderBy("mix_hash", "doc_id", "mix_tie"))
+    near = rows.filter((F.col("mix_bucket") == F.col("mix_cut")) & (F.col("mix_need") > 0)).withColumn("mix_extra", (rank <= F.col("mix_need")).cast("int"))
     size, source_size, target, taken = names
     return away.unionByName(near).select(
-        *[F.col(f"`{c}`") for c in columns], F.col("size_").alias(size), F.col("plan_source_size").alias(source_size),
-        F.col("plan_target").alias(target), ((F.col("plan_copies") + F.col("extra_")) * F.col("size_")).alias(taken))
+        *[F.col(f"`{c}`") for c in columns], F.col("mix_size").alias(size), F.col("mix_source_size").alias(source_size),
+        F.col("mix_target").alias(target), ((F.col("mix_copies") + F.col("mix_extra")) * F.col("mix_size")).alias(taken))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

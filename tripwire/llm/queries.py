@@ -8,6 +8,7 @@ from tripwire.llm.decontaminate import op8_decontaminate
 from tripwire.llm.hmm_lm import op4_hmm_lm
 from tripwire.llm.license_scan import op5_license_scan
 from tripwire.llm.mixing import op6_mixing
+from tripwire.llm.pii import op9_pii_surrogates
 from tripwire.llm.quality_classifier import op2_quality_classifier
 from tripwire.llm.quality_rules import op1_quality_rules
 from tripwire.llm.secret_scan import op7_secret_scan
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_simhash": op10_simhash,
     "pipeline": corpus_pipeline.run,
 }

@@ -132,7 +132,10 @@ def _plan(classes: DataFrame, wanted: DataFrame, most: int, dp_words: int) -> Da
     def per_source(pdf: pd.DataFrame) -> pd.DataFrame:
         counts = dict(zip(pdf["size"].tolist(), pdf["n"].tolist()))
         copies, take = fit(counts, int(round(pdf["target"].iloc[0])), most, dp_words)
-        return pdf.assign(copies=copies, take=[take.get(s, 0) for s in pdf["size"].tolist()]).drop(columns="n")
+        sizes = pdf["size"].tolist()
+        return pd.DataFrame({
+            "key": pdf["key"].tolist(), "size": sizes, "source_size": pdf["source_size"].tolist(),
+            "target": pdf["target"].tolist(), "copies": copies, "take": [take.get(s, 0) for s in sizes]})
 
     return classes.join(wanted, "key").select("key", "size", "n", "source_size", "target").groupBy("key").applyInPandas(
         per_source, "key string, size long, source_size long, target double, copies long, take long")
@@ -148,13 +151,13 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     sized = docs.withColumns({
         "mix_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")),
         "mix_size": F.coalesce(word_count() if size is None else size, F.lit(0)).cast("long"),
-        "mix_hash": F.xxhash64("doc_id", F.lit(seed)),
-        "mix_tie": F.xxhash64("text") if "text" in docs.columns else F.lit(0)}).withColumn("mix_bucket", F.pmod("mix_hash", F.lit(buckets)))
+        "mix_hash": F.xxhash64("doc_id", F.lit(seed))})
     return _taken(sized, docs.columns, names, weights, most, buckets, dp_words)
 
 
 def _taken(sized: DataFrame, columns: list[str], names: list[str], weights, most, buckets, dp_words) -> DataFrame:
-    cells = materialized(sized.groupBy("mix_key", "mix_size", "mix_bucket").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")))
+    bucket = F.pmod("mix_hash", F.lit(buckets))
+    cells = materialized(sized.groupBy("mix_key", "mix_size", bucket.alias("mix_bucket")).agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")))
     classes = cells.groupBy("mix_key", "mix_size").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
     classes = classes.select(F.col("mix_key").alias("key"), "source", F.col("mix_size").alias("size"), "n")
     sources = classes.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -169,10 +172,13 @@ def _taken(sized: DataFrame, columns: list[str], names: list[str], weights, most
                                    F.coalesce("cut.mix_bucket", F.lit(buckets)).alias("mix_cut"), F.coalesce("cut.need", F.lit(0)).alias("mix_need")))
     plan = plan.select("mix_key", "mix_size", *[F.col(c).alias(f"mix_{c}") for c in ("source_size", "target", "copies")], "mix_cut", "mix_need")
 
+    # the bucket of the cut is a key of the second join, so a length that holds many rows is spread
     rows = sized.join(plan, ["mix_key", "mix_size"])
-    away = rows.filter((F.col("mix_bucket") != F.col("mix_cut")) | (F.col("mix_need") == 0)).withColumn("mix_extra", (F.col("mix_bucket") < F.col("mix_cut")).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("mix_key", "mix_size").orderBy("mix_hash", "doc_id", "mix_tie"))
-    near = rows.filter((F.col("mix_bucket") == F.col("mix_cut")) & (F.col("mix_need") > 0)).withColumn("mix_extra", (rank <= F.col("mix_need")).cast("int"))
+    order = ["mix_hash", *(c for c in ("doc_id", "text") if c in columns)]
+    rank = F.row_number().over(Window.partitionBy("mix_key", "mix_size").orderBy(*order))
+    split = (bucket == F.col("mix_cut")) & (F.col("mix_need") > 0)
+    away = rows.filter(~split).withColumn("mix_extra", (bucket < F.col("mix_cut")).cast("int"))
+    near = rows.filter(split).withColumn("mix_extra", (rank <= F.col("mix_need")).cast("int"))
     size, source_size, target, taken = names
     return away.unionByName(near).select(
         *[F.col(f"`{c}`") for c in columns], F.col("mix_size").alias(size), F.col("mix_source_size").alias(source_size),

@@ -6,6 +6,7 @@ import corpus_pipeline
 from tripwire.llm import decontaminate, secret_scan
 from tripwire.llm.decontaminate import op8_decontaminate
 from tripwire.llm.hmm_lm import op4_hmm_lm
+from tripwire.llm.html_wrappers import op3_html_wrappers
 from tripwire.llm.license_scan import op5_license_scan
 from tripwire.llm.mixing import op6_mixing
 from tripwire.llm.pii import op9_pii_surrogates
@@ -17,6 +18,7 @@ from tripwire.llm.simhash import op10_simhash
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_html_wrappers": op3_html_wrappers,
     "op4_hmm_lm": op4_hmm_lm,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,

@@ -106,7 +106,7 @@ def test_rare_words_join_equals_broadcast(spark, make_docs):
     """The same model whether a word's count comes from the broadcast or from the join."""
     r = np.random.default_rng(5)
     rows = [(i, " ".join(f"w{int(x)}" for x in r.zipf(1.3, 40) if x < 5000)) for i in range(60)]
-    rows += [(7, rows[7][1]), (7, rows[7][1]), (None, "w1 w2"), (None, None), (100, ""), (101, "new words here w1 new"), (102, "W1 É é")]
+    rows += [(7, rows[7][1]), (7, rows[7][1]), (None, "w1 w2"), (None, None), (100, ""), (2**62 + 1, "new words here w1 new"), (102, "W1 É é")]
     docs = make_docs(rows).withColumn("row_key", F.lit("clash")).withColumn("e", F.lit(0))
     held = F.pmod(H.crc_of_id(F.col("doc_id")), F.lit(10)) == 0
     kw = {"states": 3, "top": 8, "classes": 4, "rounds": 2}

@@ -115,10 +115,18 @@ def class_of(word: bytes, classes: int) -> int:
 
 
 def vocabulary(counts: DataFrame, top: int = TOP, classes: int = CLASSES, known: int = KNOWN) -> Vocabulary:
-    """Reads `known` words, `classes` sums and two totals to the driver; all sizes are fixed."""
+    """Reads at most `known` words, `classes` sums, some hundred steps and two totals to the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    first = F.when(F.col("word") == F.lit(END), 0).otherwise(1)
-    often = counts.orderBy(first, F.col("n").desc(), "word").limit(known).toPandas()
+    # the most frequent words by steps of their count: the lowest step that keeps the sum within `known`
+    step = F.floor(F.log2("n") * 32)
+    room, least = known, 1 << 62
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r["step"]):
+        room -= r["v"]
+        if room < 0:
+            break
+        least = r["step"]
+    often = counts.filter((step >= least) | (F.col("word") == F.lit(END))).toPandas()
+    often = often.assign(end=often["word"].map(lambda w: bytes(w) != END)).sort_values(["end", "n", "word"], ascending=[True, False, True])
     words, n = [bytes(w) for w in often["word"]], often["n"].to_numpy(np.int64)
     if END not in words[:1]:
         words, n = [END, *words], np.concatenate([[0], n])  # no training text at all
@@ -271,20 +279,26 @@ def symbol_frequency(v: Vocabulary) -> np.ndarray:
 # ---------------------------------------------------------------- scoring
 
 
-def encode(docs: DataFrame, shared, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep` columns plus counts and sums over broadcast words, symbols (binary) and other words."""
+def encode(docs: DataFrame, shared, keep: str, text: str = "text", slice_rows: int = 500) -> DataFrame:
+    """`keep` columns (a schema) plus counts and sums over broadcast words, symbols (int16 as binary),
+    and the other words with their numbers; a task holds the results of `slice_rows` texts at a time."""
+    names = [c.split()[0] for c in keep.split(", ")]
+    made = ["n_tokens", "n_known", "base", "inner", "symbols", "words", "times"]
 
-    @F.pandas_udf("n_tokens long, n_known long, base double, inner double, symbols binary, others array<struct<word:binary,times:long>>")
-    def read(texts: pd.Series) -> pd.DataFrame:
-        v, rows = shared.value, []
-        for t in texts:
-            place, symbols, rest = v.encode(t)
-            here = place[place >= 0]
-            rows.append((len(place), int((v.counts[here] > 0).sum()), v.base_log[here].sum(), v.class_log[here].sum(),
-                         symbols.astype("<i2").tobytes(), [{"word": w, "times": n} for w, n in Counter(rest).items()]))
-        return pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "inner", "symbols", "others"])
+    def read(batches):
+        v = shared.value
+        for pdf in batches:
+            for i in range(0, len(pdf), slice_rows):
+                part, rows = pdf.iloc[i:i + slice_rows], []
+                for t in part[text]:
+                    place, symbols, rest = v.encode(t)
+                    here, others = place[place >= 0], Counter(rest)
+                    rows.append((len(place), int((v.counts[here] > 0).sum()), v.base_log[here].sum(), v.class_log[here].sum(),
+                                 symbols.astype("<i2").tobytes(), list(others), list(others.values())))
+                yield pd.concat([part[names].reset_index(drop=True), pd.DataFrame(rows, columns=made)], axis=1)
 
-    return docs.withColumn("e", read(F.col(text))).select(*keep, "e.*")
+    schema = keep + ", n_tokens long, n_known long, base double, inner double, symbols binary, words array<binary>, times array<long>"
+    return docs.select(*names, text).mapInPandas(read, schema)
 
 
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", states: int = STATES,
@@ -297,8 +311,11 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     counts = written(word_counts(docs.filter(~held_out), text), "word-counts")
     vocab = vocabulary(counts, top, classes, known)
     shared = spark.sparkContext.broadcast(vocab)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.xxhash64(doc_id, text).alias("row_key"), text)
-    encoded = written(encode(rows, shared, ["doc_id", "held_out", "row_key"], text), "encoded")
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    # ids pass through Python as text: a long column with nulls would become floating point there
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), held_out.alias("held_out"), F.xxhash64(doc_id, text).alias("row_key"), text)
+    encoded = written(encode(rows, shared, "doc_id string, held_out boolean, row_key long", text), "encoded")
+    encoded = encoded.withColumn("doc_id", F.col("doc_id").cast(id_type))
     model = spark.sparkContext.broadcast(baum_welch(encoded.filter(~F.col("held_out")), symbol_frequency(vocab), "symbols", states, rounds))
 
     @F.pandas_udf("double")
@@ -309,13 +326,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     # key and its words, so their sums are made once.
     norm = F.element_at(F.array(*[F.lit(float(x)) for x in vocab.class_norm]), (F.pmod(F.crc32("word"), F.lit(classes)) + 1).cast("int"))
     c = F.coalesce("n", F.lit(0))
-    rare = encoded.filter(F.size("others") > 0).select("doc_id", "row_key", F.explode("others").alias("o")).select("doc_id", "row_key", "o.*")
+    rare = encoded.select("doc_id", "row_key", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("times"))).alias("o"))
+    rare = rare.select("doc_id", "row_key", "o.*")
     sums = rare.join(counts, "word", "left").groupBy(F.col("doc_id").alias("id"), F.col("row_key").alias("key")).agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k"), F.sum("times").alias("all"),
         F.sum(F.col("times") * F.log10((c + ADD) / F.lit(float(vocab.base_norm)))).alias("b"),
         F.sum(F.col("times") * F.log10((c + ADD) / norm)).alias("m"))
     own = encoded.select("doc_id", "held_out", "row_key", "n_tokens", "n_known", "base", "inner", forward("symbols").alias("log10"),
-                         F.aggregate("others", F.lit(0).cast("long"), lambda a, o: a + o["times"]).alias("open"))
+                         F.aggregate("times", F.lit(0).cast("long"), lambda a, n: a + n).alias("open"))
     both = own.join(sums, (own["row_key"] == sums["key"]) & own["doc_id"].eqNullSafe(sums["id"]), "left")
     copies = F.when(F.col("open") > 0, F.col("all") / F.col("open")).otherwise(F.lit(1.0))  # rows that share the key
     add = lambda name: F.coalesce(F.col(name) / copies, F.lit(0.0))

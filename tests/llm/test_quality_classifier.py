@@ -66,19 +66,22 @@ def test_ftrl_update_follows_the_published_rule():
 
 def test_labels_that_teach_nothing(spark, make_docs):
     docs = make_docs(["a b", None, "c"])
-    none = docs.withColumn("quality", F.lit(None).cast("int"))
-    assert not C.train(none, "quality").any()
-    assert [r.score for r in C.score(docs, C.train(none, "quality")).collect()] == [0.5] * 3
-    assert C.score(make_docs([]), C.train(none.limit(0), "quality")).count() == 0
-    one = C.train(docs.withColumn("quality", F.lit(1)), "quality")
+    none = docs.select("doc_id", F.lit(None).cast("int").alias("quality"))
+    assert not C.train(docs, none, "quality").any()
+    assert [r.score for r in C.score(docs, C.train(docs, none, "quality")).collect()] == [0.5] * 3
+    assert C.score(make_docs([]), C.train(make_docs([]), none.limit(0), "quality")).count() == 0
+    absent = none.select((F.col("doc_id") + 900).alias("doc_id"), F.lit(1).alias("quality"))
+    assert not C.train(docs, absent, "quality").any()
+    one = C.train(docs, docs.select("doc_id", F.lit(1).alias("quality")), "quality")
     assert all(r.score > 0.5 for r in C.score(docs, one).collect())
 
 
 def test_bounded_sample_and_shards(spark, make_docs):
     docs = make_docs([("good plain text" if i % 2 else "b@d !!! ###") + f" {i}" for i in range(400)])
     labelled = docs.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
-    w = C.train(labelled, "quality", max_rows=200, shard_rows=60)
+    labels = labelled.select("doc_id", "quality")
+    w = C.train(docs, labels, "quality", max_rows=200, shard_rows=60)
     got = C.score(labelled, w).toPandas()
     assert ((got.score >= 0.5) == (got.quality == 1)).mean() > 0.95
-    again = C.train(labelled.repartition(3), "quality", max_rows=200, shard_rows=60)
+    again = C.train(docs.repartition(3), labels, "quality", max_rows=200, shard_rows=60)
     assert np.array_equal(w, again)

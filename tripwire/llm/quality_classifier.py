@@ -79,18 +79,22 @@ class Ftrl:
         self.n[slots] += g * g
 
 
-def train(labelled: DataFrame, label: str, text: str = "text", doc_id: str = "doc_id", epochs: int = 3, max_rows: int = 40_000,
-          shard_rows: int = 5_000, alpha: float = 8.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01) -> np.ndarray:
-    """Averaged weights (slots, then bias) from rows with a 0/1 label."""
-    rows = labelled.filter(F.col(label).isin(0, 1))
+def train(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", doc_id: str = "doc_id", epochs: int = 3,
+          max_rows: int = 40_000, shard_rows: int = 5_000, alpha: float = 8.0, beta: float = 1.0, l1: float = 0.01,
+          l2: float = 0.01) -> np.ndarray:
+    """Averaged weights (slots, then bias) from the documents that have a 0/1 label."""
+    rows = labels.filter(F.col(label).isin(0, 1)).select(doc_id, label)
     count = rows.count()
     if not count:
         return np.zeros(SLOTS + 1)
     shards = max(1, round(min(count, max_rows) / shard_rows))
     draw = F.xxhash64(doc_id, F.lit("sample"))
     part = F.pmod(F.xxhash64(doc_id, F.lit("shard")), F.lit(shards))
-    bounded = rows.filter(F.pmod(draw, F.lit(1 << 30)) < int(min(1.0, max_rows / count) * (1 << 30)))
-    bounded = bounded.select(part.alias("shard"), draw.alias("draw"), F.col(text).alias("text"), F.col(label).alias("label"))
+    # the sample is drawn from the labels alone: about max_rows ids at most, so they can be broadcast
+    # and only the sampled texts are ever shuffled
+    chosen = rows.filter(F.pmod(draw, F.lit(1 << 30)) < int(min(1.0, max_rows / count) * (1 << 30)))
+    bounded = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(
+        part.alias("shard"), draw.alias("draw"), F.col(text).alias("text"), F.col(label).alias("label"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "label"], kind="stable")
@@ -137,6 +141,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    weights = train(docs.join(labels, "doc_id").filter(~held_out()), "quality")
+    weights = train(docs, labels.filter(~held_out()), "quality")
     found = score(docs, weights)
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

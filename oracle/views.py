@@ -21,7 +21,7 @@ BINDINGS = {
     "li_as_of": "SELECT max(l_shipdate) AS now FROM lineitem",
     "collection_dates": """SELECT user_id AS instance_id, event_type AS reference, max(ts) AS snapshot_date
        FROM events GROUP BY user_id, event_type""",
-    "cpu": """SELECT user_id AS instance_id, ts AS event_time, event_id, CAST(floor(least(value, 100)) AS INT) AS total_cpu
+    "cpu": """SELECT user_id AS instance_id, ts AS event_time, event_id, CAST(floor(CASE WHEN value > 100 THEN 100 ELSE value END) AS INT) AS total_cpu
        FROM events WHERE event_type = 'view'""",
     "blocking_snapshot": """SELECT user_id AS instance_id, ts AS snapshot_date, event_id,
        CAST(CAST(value AS DECIMAL(18,2)) * 1000 AS BIGINT) AS blocked_wait_time,
@@ -36,6 +36,7 @@ BINDINGS = {
        l_shipdate AS snapshot_date, concat('h', CAST(l_partkey AS VARCHAR)) AS sql_handle, p_name AS query_text,
        l_orderkey AS session_id, CASE l_linestatus WHEN 'O' THEN 'running' ELSE 'suspended' END AS status,
        l_linenumber AS open_transaction_count, CAST(floor(l_quantity) AS BIGINT) AS block_count,
+       CAST(floor(l_quantity) AS BIGINT) * l_linenumber AS block_count_recursive,
        CAST(floor(l_extendedprice) AS BIGINT) AS block_wait_ms,
        CAST(floor(l_extendedprice) AS BIGINT) * (1 + l_linenumber) AS block_wait_recursive_ms,
        CAST(floor(l_quantity) AS BIGINT) * 100 AS duration_ms, l_returnflag = 'R' AS is_root_blocker
@@ -47,12 +48,13 @@ BINDINGS = {
        CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 3 AS critical_wait_count,
        CAST(floor(value) AS BIGINT) * 80 AS critical_wait_time
        FROM events WHERE event_type IN ('click','signup')""",
-    "drive_status": """SELECT c_nationkey AS instance_id, n_name AS instance_display_name, c_name AS name,
+    "drive_status": """SELECT CAST(c_custkey - c_custkey % 4 AS BIGINT) AS instance_id,
+       'Host#' || CAST(c_custkey - c_custkey % 4 AS VARCHAR) AS instance_display_name, c_name AS name,
        11000 AS total_gb, CAST(floor(c_acctbal + 1000) AS BIGINT) AS free_gb,
        CAST(floor(c_acctbal + 1000) AS BIGINT) / CAST(11000 AS DOUBLE) AS pct_free_space,
-       CAST(0.1 AS DOUBLE) AS critical_threshold, CAST(0.2 AS DOUBLE) AS warning_threshold
-       FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+       CAST(0.1 AS DOUBLE) AS critical_threshold, CAST(0.2 AS DOUBLE) AS warning_threshold FROM customer""",
     "db_files": """SELECT p_partkey AS file_id, p_name AS file_name, p_brand AS database_name,
+       p_brand NOT LIKE '%5' AS database_is_active, p_size % 7 <> 0 AS file_is_active,
        p_partkey % 10 AS instance_id, CAST(floor(p_retailprice) AS BIGINT) AS size,
        p_size % 2 AS is_percent_growth, CASE WHEN p_size % 2 = 1 THEN 10 ELSE 64 END AS growth FROM part""",
     "db_file_snapshot": """SELECT l_partkey AS file_id, l_shipdate AS snapshot_date,

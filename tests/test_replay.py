@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tripwire.operators.replay import suppress_replay
@@ -23,25 +24,66 @@ def _series(seed, keys=4, n=60, span_h=200):
     return rows
 
 
-def test_suppress_replay_matches_greedy(spark):
-    for seed in (1, 2, 3):
-        rows = _series(seed)
-        df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, id long, v int")
-        got = {(r["k"], r["id"]) for r in suppress_replay(df, "k", "ts", "id", dt.timedelta(hours=5)).collect()}
-        # hot-key path: every series longer than 10 goes through pointer doubling
-        mixed = {(r["k"], r["id"]) for r in suppress_replay(df, "k", "ts", "id", dt.timedelta(hours=5),
-                                                            max_fold=10).collect()}
-        doubled = {(r["k"], r["id"]) for r in suppress_replay(df, "k", "ts", "id", dt.timedelta(hours=5),
-                                                             max_fold=0).collect()}
-        assert got == mixed == doubled
-        want = set()
-        for k in {r[0] for r in rows}:
-            last = None
-            for _, t, i, _v in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
-                if last is None or t - last >= dt.timedelta(hours=5):
-                    want.add((k, i))
-                    last = t
-        assert got == want
+def _greedy(rows, interval):
+    want = set()
+    for k in {r[0] for r in rows}:
+        last = None
+        for _, t, i, _v in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            if last is None or t - last >= interval:
+                want.add((k, i))
+                last = t
+    return want
+
+
+def _dense(seed, keys=3, n=40):
+    """Sub-second steps and ties, one key much longer than the others."""
+    rnd = random.Random(seed)
+    rows, eid = [], 0
+    for k in range(keys):
+        t = T0
+        for _ in range(n * (8 if k == 0 else 1)):
+            t += dt.timedelta(milliseconds=rnd.choice([0, 50, 100, 150, 299, 300, 301]))
+            eid += 1
+            rows.append((k, t, eid, 0))
+    return rows
+
+
+@pytest.mark.parametrize("interval", [dt.timedelta(0), dt.timedelta(microseconds=1), dt.timedelta(milliseconds=300),
+                                      dt.timedelta(seconds=2), dt.timedelta(hours=5), dt.timedelta(days=400)])
+@pytest.mark.parametrize("make", [_series, _dense])
+def test_suppress_replay_matches_greedy(spark, interval, make):
+    rows = make(2)
+    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, id long, v int")
+    got = [(r["k"], r["id"]) for r in suppress_replay(df, "k", "ts", "id", interval).collect()]
+    assert len(got) == len(set(got)) and set(got) == _greedy(rows, interval)
+
+
+def test_suppress_replay_edges(spark):
+    none = spark.createDataFrame([], "k int, ts timestamp_ntz, id long")
+    assert suppress_replay(none, "k", "ts", "id", dt.timedelta(hours=1)).count() == 0
+    with pytest.raises(ValueError):
+        suppress_replay(none, "k", "ts", "id", dt.timedelta(seconds=-1))
+
+
+@pytest.mark.parametrize("bucket", ["hour", "day"])
+def test_state_replay_skips_samples_without_a_flag(spark, bucket):
+    """ON, NULL, below: the machine goes ON->OFF; checked within and across buckets."""
+    rnd = random.Random(9)
+    rows = [(k, T0 + dt.timedelta(minutes=7 * i), 100 * k + i, rnd.choice([None, None, 10, 60])) for k in range(6) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz, id long, v int")
+    got = {r["id"]: r["action"] for r in state_replay(df, "k", "ts", "id", F.col("v") >= 50, bucket=bucket).collect()}
+    want = {}
+    for k in range(6):
+        seen, last = False, None
+        for _, _t, i, v in (r for r in rows if r[0] == k):
+            if v is None:
+                want[i] = None
+                continue
+            br = v >= 50
+            want[i] = (("NEW->ON" if br else "IGNORE") if not seen else
+                       "ON->OFF" if last and not br else "OFF->ON" if br and not last else "IGNORE")
+            seen, last = seen or br, br
+    assert got == want
 
 
 def test_state_replay_matches_step_machine(spark):

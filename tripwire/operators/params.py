@@ -27,7 +27,8 @@ def thresholds_kv(text: Column) -> Column:
     items = F.filter(F.split(text, "[,;]"), lambda x: F.trim(x) != "")
     entries = F.transform(items, lambda x: F.struct(
         F.regexp_extract(x, r"@?(\w+)", 1).alias("k"), F.trim(F.regexp_extract(x, r"=\s*(.*)$", 1)).alias("v")))
-    return F.map_from_entries(entries)
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
+    return F.map_from_entries(last)
 
 
 def param_value(parameters: DataFrame, name: str, default: str | None) -> DataFrame:
@@ -57,19 +58,24 @@ THRESHOLDS_JSON_SCHEMA = T.ArrayType(T.StructType([
         T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))]))
 
 
-def tags_from_json(doc: Column) -> Column:
+def _mode(strict: bool) -> dict:
+    return {"mode": "FAILFAST" if strict else "PERMISSIVE"}
+
+
+def tags_from_json(doc: Column, strict: bool = False) -> Column:
     """'[{"tags": {"name": n, "values": [..]}}]' -> array<struct<tag_name, tag_value>>.
 
-    An entry without values still yields one pair with a NULL value (outer semantics)."""
-    arr = F.from_json(doc, TAGS_JSON_SCHEMA)
+    An entry without values still yields one pair with a NULL value (outer semantics). Malformed
+    text gives NULL, or an error where `strict` is set."""
+    arr = F.from_json(doc, TAGS_JSON_SCHEMA, _mode(strict))
     per = F.transform(arr, lambda e: F.transform(
         F.coalesce(e["tags"]["values"], F.array(F.lit(None).cast("string"))),
         lambda v: F.struct(e["tags"]["name"].alias("tag_name"), v.alias("tag_value"))))
     return F.flatten(per)
 
 
-def thresholds_from_json(doc: Column) -> Column:
-    """'[{"thresholds": {"name": n, "value": v}}]' -> array<struct<threshold, limit>>."""
-    arr = F.from_json(doc, THRESHOLDS_JSON_SCHEMA)
+def thresholds_from_json(doc: Column, strict: bool = False) -> Column:
+    """'[{"thresholds": {"name": n, "value": v}}]' -> array<struct<threshold, limit>>; `strict` as above."""
+    arr = F.from_json(doc, THRESHOLDS_JSON_SCHEMA, _mode(strict))
     return F.transform(arr, lambda e: F.struct(e["thresholds"]["name"].alias("threshold"),
                                                e["thresholds"]["value"].alias("limit")))

@@ -63,8 +63,9 @@ def outbox(messages: DataFrame, view: DataFrame, blackouts: DataFrame, as_of: dt
     """Messages -> outbox rows, one per (message, channel) with the send decision and reason.
 
     `messages` needs alert_name, alert_type, audience, webhook, email_alert_template,
-    webhook_alert_template, instances, table_html and optionally subject. The caller's
-    values win over the alert's metadata. Muted alerts (unless bypassed) and alerts inside a
+    webhook_alert_template, instances, table_html and optionally subject and custom_emoji (used by
+    custom notifications, type 255). The caller's values win over the alert's metadata. A message of
+    an alert that the view does not list is not sent (reason unknown_alert), unless it is a custom one. Muted alerts (unless bypassed) and alerts inside a
     blackout window at `as_of` are not sent.
     """
     meta = alert_meta(view).select(
@@ -84,19 +85,22 @@ def outbox(messages: DataFrame, view: DataFrame, blackouts: DataFrame, as_of: dt
     muted = F.lit(False) if bypass_mute else F.coalesce(F.col("is_muted"), F.lit(False))
     blocked = F.coalesce(F.col("in_blackout"), F.lit(False))
     subject = F.concat(F.lit(subject_prefix), F.coalesce(F.col("subject"), F.concat(F.col("alert_name"), F.lit(" alert was raised"))))
+    custom = F.col("custom_emoji") if "custom_emoji" in messages.columns else None
     emoji = pick_emoji(F.col("emoji"), F.col("alert_type"), F.col("normal_emoji"), F.col("alarm_emoji"),
-                       F.col("continue_emoji"))
+                       F.col("continue_emoji"), custom)
+    unknown = F.col("alert_id").isNull() & (F.col("alert_type") != 255)
 
-    def reason(ready: Column, missing: str) -> Column:
-        return (F.when(muted, "muted").when(blocked, "blackout").when(~ready, missing).otherwise("sent"))
+    def reason(ready: Column, missing: "str | Column") -> Column:
+        return (F.when(unknown, "unknown_alert").when(muted, "muted").when(blocked, "blackout")
+                .when(~ready, missing).otherwise("sent"))
 
     email_ready = F.lit(mail_profile is not None) & email_tpl.isNotNull() & audience.isNotNull()
     email_missing = F.when(audience.isNull(), "no_audience").otherwise("no_email_channel")
-    hook_ready = F.coalesce(F.col("send_to_webhook"), F.lit(False)) & hook_tpl.isNotNull() & hook_url.isNotNull()
+    hook_ready = F.coalesce(F.col("send_to_webhook"), F.col("alert_type") == 255) & hook_tpl.isNotNull() & hook_url.isNotNull()
     email = F.struct(
         F.lit("email").alias("channel"), audience.alias("recipient"), subject.alias("subject"),
         render_email(email_tpl, F.col("table_html"), inst, F.col("alert_name"), wiki).alias("body"),
-        F.when(muted, "muted").when(blocked, "blackout").when(~email_ready, email_missing).otherwise("sent").alias("reason"),
+        reason(email_ready, email_missing).alias("reason"),
     )
     hook = F.struct(
         F.lit("webhook").alias("channel"), hook_url.alias("recipient"), F.lit(None).cast("string").alias("subject"),

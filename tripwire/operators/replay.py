@@ -3,23 +3,20 @@
 Rule (one key): the first breach is notified; afterwards a breach is notified when at
 least `interval` has passed since the last *notified* breach. The notified set is the chain
 first -> next(first) -> next(next(first)) ..., where next(e) is the first breach at or after
-e.ts + interval.
+e.ts + interval. With an interval of zero every breach is notified.
 
-No key's series is folded inside one task:
-0. keys with a bounded number of breaches are folded directly (one aggregation, no rounds);
-   only longer series take the following path:
+One path for every key, long or short:
 1. next(e) is an as-of (forward) join computed inside (key, time bucket) partitions, with a
    per-bucket summary for probes whose answer lies in a later bucket;
-2. the chain is walked by pointer doubling: J_{k+1} = J_k o J_k are self-joins on the unique
-   (key, event id) pair, so a hot key spreads over all tasks; log2(series length) rounds;
-3. the chain from each key's first breach is expanded from the largest jump down.
+2. the chain grows by pointer doubling: round k adds what lies 2^k steps after the part known
+   so far, and J_{k+1} = J_k o J_k is a self-join on the unique (key, event id) pair, so a hot
+   key spreads over all tasks. It ends at the fixpoint, when a round adds nothing.
 Each round is checkpointed to the cluster checkpoint directory (reliable, lineage cut).
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -74,63 +71,28 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _fold(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta) -> DataFrame:
-    """Short series: one JVM-side fold over the key's sorted (bounded) array of breaches."""
-    item = F.struct(F.col(ts).alias("t"), F.col(eid).alias("id"))
-    g = events.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    item_type = g.schema["_s"].dataType
-    init = F.struct(F.lit(None).cast(item_type.elementType["t"].dataType).alias("last"),
-                    F.array().cast(item_type).alias("sent"))
-
-    def step(acc, x):
-        take = acc["last"].isNull() | (x["t"] >= acc["last"] + F.lit(interval))
-        return F.when(take, F.struct(x["t"].alias("last"), F.array_append(acc["sent"], x).alias("sent"))).otherwise(acc)
-
-    out = g.select(key, F.explode(F.aggregate("_s", init, step)["sent"]).alias("_x"))
-    return out.select(key, F.col("_x.t").alias(ts), F.col("_x.id").alias(eid))
-
-
-def suppress_replay(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta,
-                    max_fold: int = 1_000_000) -> DataFrame:
+def suppress_replay(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta) -> DataFrame:
     """The notified events of each key's breach series under the repeat interval.
 
-    Keys with at most `max_fold` breaches are folded in one pass (their array is bounded);
-    longer series -- hot keys -- are walked by pointer doubling, which spreads them over all
-    tasks. The split needs only per-key counts (a partial aggregate).
+    (key, eid) must be unique; ties in time are ordered by eid. A negative interval is an error.
     """
-    counts = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    stats = counts.agg(F.max("_n"), F.max(F.timestamp_diff("SECOND", F.col("_lo"), F.col("_hi")))).first()  # one row
-    longest, span_s = stats[0] or 0, stats[1] or 0
-    if longest <= max_fold:
-        return _fold(events, key, ts, eid, interval)
-    # notified breaches are at least `interval` apart: a chain has at most span/interval + 1 links
-    chain_max = min(longest, int(span_s // max(interval.total_seconds(), 1e-6)) + 1)
-    short = counts.filter(F.col("_n") <= max_fold).select(key)
-    folded = _fold(events.join(short, key, "left_semi"), key, ts, eid, interval)
-    return folded.unionByName(_doubling(events.join(short, key, "left_anti"), key, ts, eid, interval, chain_max))
-
-
-def _doubling(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta, chain_max: int) -> DataFrame:
+    if interval < dt.timedelta(0):
+        raise ValueError("the repeat interval must not be negative")
+    if not interval:
+        return events.select(key, ts, eid)
+    events = _cut(events.select(key, ts, eid))
     # rows without a successor never extend a chain: jump tables keep only rows that do
     jump = _cut(next_at_or_after(events, key, ts, eid, interval).filter(F.col("dst_id").isNotNull())
-                .select(key, "src_id", "dst_id", "dst_ts"))
-    rounds = max(1, math.ceil(math.log2(chain_max + 1)))
-    jumps = [jump]
-    for _ in range(rounds - 1):
-        j = jumps[-1]
-        a = j.alias("a")
-        b = j.select(F.col(key).alias("_bk"), F.col("src_id").alias("_bs"), F.col("dst_id").alias("_bd"),
-                     F.col("dst_ts").alias("_bt"))
-        nxt = a.join(b, (F.col(key) == F.col("_bk")) & (F.col("dst_id") == F.col("_bs"))).select(
-            key, "src_id", F.col("_bd").alias("dst_id"), F.col("_bt").alias("dst_ts"))
-        jumps.append(_cut(nxt))
+                .select(F.col(key).alias("_k"), F.col("src_id").alias("_s"), "dst_id", "dst_ts"))
     first = events.groupBy(key).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(eid).alias("id"))).alias("_f"))
-    chain = first.select(key, F.col("_f.id").alias("id"), F.col("_f.t").alias("t"))
-    for i, j in enumerate(reversed(jumps)):
-        step = chain.join(j.select(F.col(key).alias("_jk"), F.col("src_id").alias("_js"), "dst_id", "dst_ts"),
-                          (F.col(key) == F.col("_jk")) & (F.col("id") == F.col("_js"))).filter(
-            F.col("dst_id").isNotNull()).select(key, F.col("dst_id").alias("id"), F.col("dst_ts").alias("t"))
-        chain = chain.unionByName(step).distinct()
-        if i < len(jumps) - 1:  # the chain is read twice by the next round: materialize it
-            chain = _cut(chain)
-    return chain.select(key, F.col("t").alias(ts), F.col("id").alias(eid))
+    chain = _cut(first.select(F.col(key).alias("k"), F.col("_f.id").alias("id"), F.col("_f.t").alias("t")))
+    while True:
+        # the chain holds the first 2^k links, the table jumps 2^k: the next 2^k links, all of them new
+        ahead = _cut(chain.join(jump, (F.col("k") == F.col("_k")) & (F.col("id") == F.col("_s")))
+                     .select("k", F.col("dst_id").alias("id"), F.col("dst_ts").alias("t")))
+        if not ahead.take(1):
+            return chain.select(F.col("k").alias(key), F.col("t").alias(ts), F.col("id").alias(eid))
+        chain = _cut(chain.unionByName(ahead))
+        far = jump.select(F.col("_k").alias("_bk"), F.col("_s").alias("_bs"), F.col("dst_id").alias("_bd"), F.col("dst_ts").alias("_bt"))
+        jump = _cut(jump.join(far, (F.col("_k") == F.col("_bk")) & (F.col("dst_id") == F.col("_bs")))
+                    .select("_k", "_s", F.col("_bd").alias("dst_id"), F.col("_bt").alias("dst_ts")))

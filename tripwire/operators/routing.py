@@ -161,26 +161,39 @@ def blackout_status(events: DataFrame, blackouts: DataFrame, ts_col: str, alert_
     return j.withColumn(out, flag).drop("_bo_alert", "_bo_windows")
 
 
+MAX_ITEMS = 20_000  # rows of one message, on average, at most
+
+
 def route_by_audience(rows: DataFrame, instance_col: str, row_html: Column | None, keys: list[str] | None = None,
-                      order_col: str | None = None, distinct_names: bool = False) -> DataFrame:
-    """One message per (audience, webhook, e-mail template, webhook template).
+                      order_col: str | None = None, distinct_names: bool = False, max_items: int = MAX_ITEMS) -> DataFrame:
+    """Messages per (audience, webhook, e-mail template, webhook template).
 
     `instances` is the comma list of instance names in name order; `table_html` the
-    concatenated table rows in (name, row) order. The per-message lists are built from the
-    already reduced breach set (one row per instance/item), not from raw facts.
+    concatenated table rows in (name, row) order. A routing group of more than `max_items`
+    rows becomes several messages, numbered by `part`: each holds whole instances, chosen by a
+    hash of the name, so no task builds the list of a whole fleet and no row is left out.
     """
     keys = keys or ROUTE_FIELDS
     order = F.col(order_col) if order_col else F.col(instance_col)
-    item = F.struct(order.alias("o"), F.col(instance_col).alias("i"),
-                    (row_html if row_html is not None else F.lit(None).cast("string")).alias("r"))
-    g = rows.groupBy(*keys).agg(F.collect_list(item).alias("_items"))
+    html = row_html if row_html is not None else F.lit(None).cast("string")
+    items = rows.select(*keys, order.alias("_o"), F.col(instance_col).alias("_i"), html.alias("_r"))
+    # the group sizes are sums of partial counts: one row per routing group, few whatever the fleet
+    sizes = items.groupBy(*[F.col(k).alias("_k_" + k) for k in keys]).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(max_items)).cast("int").alias("_parts"))
+    same = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    parted = items.join(sizes, cond).withColumn("part", (F.pmod(F.xxhash64("_i"), F.col("_parts")) + 1).cast("int"))
+    g = parted.groupBy(*keys, "part").agg(F.collect_list(F.struct("_o", "_i", "_r")).alias("_items"))
     srt = F.array_sort("_items")
-    names = F.array_sort(F.transform(F.col("_items"), lambda x: x["i"]))
+    names = F.array_sort(F.transform(F.col("_items"), lambda x: x["_i"]))
     if distinct_names:
         names = F.array_distinct(names)
     return g.select(
         *keys,
         F.array_join(names, ",").alias("instances"),
-        F.array_join(F.transform(srt, lambda x: x["r"]), "").alias("table_html"),
+        F.array_join(F.transform(srt, lambda x: x["_r"]), "").alias("table_html"),
         F.size("_items").alias("n_rows"),
+        "part",
     )

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def lookback(df: DataFrame, ts_col: str, as_of: dt.datetime, minutes: int) -> DataFrame:
-    """Keep facts with `ts >= as_of - minutes` (literal bound: pushed into the scan)."""
+    """Keep facts with `as_of - minutes <= ts <= as_of` (literal bounds: pushed into the scan)."""
+    c = F.col(ts_col)
     lo = as_of - dt.timedelta(minutes=minutes)
-    return df.filter(F.col(ts_col) >= F.lit(lo).cast("timestamp_ntz"))
+    return df.filter((c >= F.lit(lo).cast("timestamp_ntz")) & (c <= F.lit(as_of).cast("timestamp_ntz")))
 
 
 def window_half_open(df: DataFrame, ts_col: str, lo: dt.datetime, hi: dt.datetime) -> DataFrame:
@@ -69,9 +70,10 @@ def anchor_lookback(
     broadcasts it when its runtime size is under the broadcast threshold and falls back to
     a sort-merge join otherwise (with skew-join splitting for a hot key).
 
-    With `prune`, the earliest anchor (one value, from the per-key anchor table) gives a
-    literal lower bound on the fact time, which Catalyst pushes into the Parquet scan: only
-    row groups that can match are read instead of the whole history.
+    With `prune`, the earliest anchor (one value of the anchor table, which the caller has
+    materialized and reduced to the keys it wants) gives a literal lower bound on the fact time,
+    which Catalyst pushes into the Parquet scan: only row groups that can match are read. A key
+    never matches facts older than its own anchor minus the window, so the bound drops nothing.
     """
     if prune:
         lo = anchors.agg(F.min(anchor_ts)).first()[0]

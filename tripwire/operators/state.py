@@ -133,11 +133,12 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], update_w
     return j.select(*cols)
 
 
-def state_replay(samples: DataFrame, key: str, ts: str, tie: str, breach: Column, bucket: str = "day") -> DataFrame:
+def state_replay(samples: DataFrame, key: str, ts: str, tie: str, breach: Column, bucket: str = "hour") -> DataFrame:
     """Replay the ON/OFF machine over every sample of each key's series (action per sample).
 
-    The action at a sample depends on the previous sample's breach flag and on whether any
-    earlier sample breached. Both are computed without putting a key's whole series into one
+    The action at a sample depends on the breach flag of the last earlier sample that has one
+    and on whether any earlier sample breached; a sample without a flag (NULL) has no action
+    and changes nothing. Both are computed without putting a key's whole series into one
     task: the series is cut into (key, time bucket) partitions for the local lag / running
     max, and a small per-bucket summary (last flag, any flag) carries state across buckets.
     A key holding a third of all rows is therefore spread over as many tasks as it has buckets.
@@ -147,18 +148,19 @@ def state_replay(samples: DataFrame, key: str, ts: str, tie: str, breach: Column
     s = samples.withColumn("_b", F.date_trunc(bucket, F.col(ts))).withColumn("_br", breach)
     order = [F.col(ts), F.col(tie)]
     w_local = Window.partitionBy(key, "_b").orderBy(*order)
-    s = s.withColumn("_prev", F.lag("_br").over(w_local)).withColumn(
-        "_any", F.max(F.col("_br").cast("int")).over(w_local.rowsBetween(Window.unboundedPreceding, -1)))
-    summ = s.groupBy(key, "_b").agg(F.max_by("_br", F.struct(*order)).alias("_last"),
+    before = w_local.rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_prev", F.last("_br", ignorenulls=True).over(before)).withColumn(
+        "_any", F.max(F.col("_br").cast("int")).over(before))
+    flagged = F.when(F.col("_br").isNotNull(), F.struct(*order))  # rows without a flag never win
+    summ = s.groupBy(key, "_b").agg(F.max_by("_br", flagged).alias("_last"),
                                      F.max(F.col("_br").cast("int")).alias("_bany"))
     w_b = Window.partitionBy(key).orderBy("_b")
     carry = summ.select(
         F.col(key).alias("_ck"), F.col("_b").alias("_cb"),
-        F.lag("_last").over(w_b).alias("_c_last"),
+        F.last("_last", ignorenulls=True).over(w_b.rowsBetween(Window.unboundedPreceding, -1)).alias("_c_last"),
         F.max("_bany").over(w_b.rowsBetween(Window.unboundedPreceding, -1)).alias("_c_any"))
     j = s.join(carry, (F.col(key) == F.col("_ck")) & (F.col("_b") == F.col("_cb")))
-    first_in_bucket = F.col("_prev").isNull() & F.col("_any").isNull()
-    prev = F.when(first_in_bucket, F.col("_c_last")).otherwise(F.col("_prev"))
+    prev = F.coalesce("_prev", "_c_last")
     any_before = F.greatest(F.coalesce(F.col("_any"), F.lit(0)), F.coalesce(F.col("_c_any"), F.lit(0))) > 0
     cur = F.col("_br")
     action = (F.when(cur.isNull(), F.lit(None))

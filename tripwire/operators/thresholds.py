@@ -37,7 +37,7 @@ def tag_level(overrides: DataFrame, alert_id: int, tag_name: str | None, tag_val
     """Tag-level override rows of one alert for the job's tag (none when no tag is given)."""
     o = overrides.filter((F.col("alert_id") == alert_id) & F.col("instance_id").isNull())
     if tag_name is None or tag_value is None:
-        return o.limit(0)
+        return o.filter(F.lit(False))
     return o.filter(ci_equal(F.col("tag_name"), F.lit(tag_name)) & ci_equal(F.col("tag_value"), F.lit(tag_value)))
 
 
@@ -100,7 +100,7 @@ def resolve_threshold_per_tag(df: DataFrame, overrides: DataFrame, alerts: DataF
         F.min_by("threshold", "override_id").alias("_t_threshold"))
     dflt = alerts.filter(F.col("alert_id") == alert_id).agg(F.max("default_threshold").alias("_d_threshold"))
     j = (df.join(inst, F.col(instance_col) == F.col("_oid"), "left")
-         .join(F.broadcast(tags), (F.lower(F.col(tag_name_col)) == F.col("_tn"))
+         .join(tags, (F.lower(F.col(tag_name_col)) == F.col("_tn"))
                & (F.lower(F.col(tag_value_col)) == F.col("_tv")), "left")
          .crossJoin(F.broadcast(dflt)))
     th = (F.when(F.col("_oid").isNotNull(), F.col("_o_threshold"))

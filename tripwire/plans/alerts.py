@@ -22,7 +22,6 @@ from tripwire.operators import state as st
 from tripwire.operators import thresholds as th
 from tripwire.operators.params import parse_thresholds
 from tripwire.plans.context import Run
-from tripwire.sources import config as C
 
 
 class AlertOutput:
@@ -40,25 +39,10 @@ class AlertOutput:
         return self._history
 
 
-def alert_row(name: str) -> dict:
-    """Config row of an alert by name (config is driver-local; no Spark job)."""
-    cols = [f.name for f in C.ALERTS_SCHEMA.fields]
-    for r in C.ALERT_ROWS:
-        if r[1] == name:
-            return dict(zip(cols, r))
-    raise KeyError(name)
-
-
-def param(name: str, default: str | None = None) -> str | None:
-    for _, n, v, _d in C.PARAMETER_ROWS:
-        if n == name:
-            return v if v is not None else default
-    return default
-
-
 def _messages(routed: DataFrame, alert_name: str, alert_type: int, row_html, order_col: str | None = None,
               distinct_names: bool = False, subject: str | None = None) -> DataFrame:
     m = rt.route_by_audience(routed, "instance", row_html, order_col=order_col, distinct_names=distinct_names)
+    m = m.select(*rt.ROUTE_FIELDS, "instances", "table_html", "n_rows")
     return m.select(F.lit(alert_name).alias("alert_name"), F.lit(alert_type).alias("alert_type"), *m.columns,
                     F.lit(subject).cast("string").alias("subject"))
 
@@ -81,14 +65,14 @@ def blocking_latest(run: Run, minutes: int, tag: tuple[str, str] | None = None)
 def alert_blocking(run: Run, metric: str = "duration", minutes: int = 3, tag: tuple[str, str] | None = None,
                    history: DataFrame | None = None) -> AlertOutput:
     name, metric_col = BLOCKING[metric]
-    a = alert_row(name)
+    a = run.cfg.alert(name)
     aid = a["alert_id"]
     tn, tv = tag or (None, None)
     hist = run.cfg.history if history is None else history
     cur = blocking_latest(run, minutes, tag)
     cur = st.suppress_recent(cur, hist, aid, a["repeat_notification_interval"], run.now)
     cur = rt.resolve_instance_config(cur, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid, tn, tv)
-    breach = th.threshold_breach(cur, metric_col).withColumn("threshold", F.col("threshold").cast("int"))
+    breach = run.keep(th.threshold_breach(cur, metric_col).withColumn("threshold", F.col("threshold").cast("int")))
     routed = breach
     row = tx.tr(F.col("instance"), tx.fmt_n(F.col("blocked_session_count"), 0),
                 tx.fmt_n(F.col("blocked_wait_time") / F.lit(1000), 1))
@@ -102,24 +86,24 @@ def alert_blocking(run: Run, metric: str = "duration", minutes: int = 3, tag: tu
 # ---------------------------------------------------------------------------------------
 def cpu_latest(run: Run, anchor_minutes: int = 2, tag: tuple[str, str] | None = None) -> DataFrame:
     """Latest CPU sample per active instance, no older than N minutes before its last collection."""
-    anchors = run.tm.collection_dates().filter(F.col("reference") == "view")
-    near = sel.anchor_lookback(run.tm.cpu(), anchors, "instance_id", "event_time", "snapshot_date", anchor_minutes)
-    latest = sel.latest_per_key(near, ["instance_id"], ["event_time", "event_id"], ["total_cpu"])
     inst = run.targets(tag)
     inst = inst.filter(F.col("is_active")).select("instance_id", F.col("instance_display_name").alias("instance"))
+    anchors = run.tm.collection_dates().filter(F.col("reference") == "view").join(inst.select("instance_id"), "instance_id", "left_semi")
+    near = sel.anchor_lookback(run.tm.cpu(), anchors, "instance_id", "event_time", "snapshot_date", anchor_minutes)
+    latest = sel.latest_per_key(near, ["instance_id"], ["event_time", "event_id"], ["total_cpu"])
     return latest.join(inst, "instance_id").select("instance_id", "instance", F.col("total_cpu").alias("counter"))
 
 
 def alert_cpu(run: Run, anchor_minutes: int = 2, tag: tuple[str, str] | None = None,
               history: DataFrame | None = None) -> AlertOutput:
-    a = alert_row("High CPU")
+    a = run.cfg.alert("High CPU")
     aid = a["alert_id"]
     tn, tv = tag or (None, None)
     hist = run.cfg.history if history is None else history
     cur = cpu_latest(run, anchor_minutes, tag)
     cur = rt.resolve_instance_config(cur, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid, tn, tv)
     cur = cur.withColumn("threshold", F.col("threshold").try_cast("int"))
-    acted = st.with_state_action(cur, hist, aid)
+    acted = run.keep(st.with_state_action(cur, hist, aid))
     routed = acted
     row = tx.tr(F.col("instance"), F.col("counter"), F.col("threshold"))
     # alarm and recovery messages in one aggregation, keyed by the message kind
@@ -164,11 +148,11 @@ def freespace_rows(run: Run, tag: tuple[str, str] | None = None) -> DataFrame:
 
 
 def alert_freespace(run: Run, tag: tuple[str, str] | None = None, history: DataFrame | None = None) -> AlertOutput:
-    a = alert_row("Disk Free Space")
+    a = run.cfg.alert("Disk Free Space")
     aid = a["alert_id"]
     tn, tv = tag or (None, None)
     hist = run.cfg.history if history is None else history
-    rows = freespace_rows(run, tag)
+    rows = run.keep(freespace_rows(run, tag))
     routed = rt.resolve_instance_config(rows, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid, tn, tv)
     br = F.lit("<br/>")
     row = tx.unescape_angles(tx.tr(
@@ -190,7 +174,8 @@ def growth_rows(run: Run, minutes: int = 60) -> DataFrame:
     first = first.select("file_id", F.col("size").alias("ss_size"))
     inst = run.instances.filter(F.col("is_active")).select(
         "instance_id", F.col("instance_display_name").alias("instance"))
-    f = run.tm.db_files().join(inst, "instance_id").join(first, "file_id")
+    files = run.tm.db_files().filter(F.col("database_is_active") & F.col("file_is_active"))
+    f = files.join(inst, "instance_id").join(first, "file_id")
     f = f.filter(F.col("size") - F.col("ss_size") > 0)
     d = "decimal(20,3)"
     size, ss = F.col("size").cast("decimal(20,0)"), F.col("ss_size").cast("decimal(20,0)")
@@ -209,10 +194,10 @@ def growth_rows(run: Run, minutes: int = 60) -> DataFrame:
 
 
 def alert_db_growth(run: Run, minutes: int = 60, history: DataFrame | None = None) -> AlertOutput:
-    a = alert_row("DB Growths")
+    a = run.cfg.alert("DB Growths")
     aid = a["alert_id"]
     hist = run.cfg.history if history is None else history
-    rows = growth_rows(run, minutes)
+    rows = run.keep(growth_rows(run, minutes))
     routed = rt.resolve_overrides(rows, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid)
     row = tx.unescape_angles(tx.tr(
         F.col("instance"), F.col("db"), F.col("file"), tx.fmt_n(F.col("size_mb"), 3), tx.fmt_n(F.col("total_growth"), 3),
@@ -230,14 +215,14 @@ def alert_db_growth(run: Run, minutes: int = 60, history: DataFrame | None = Non
 # ---------------------------------------------------------------------------------------
 def top_blocker_settings(run: Run, mode: str, rerun: bool, history: DataFrame | None) -> tuple[int, int | None, int]:
     """(minutes back, minimum recursive wait, top n) for a mode; single config values only."""
-    a = alert_row("Top Head Blockers")
+    a = run.cfg.alert("Top Head Blockers")
     if mode == "Report":
         hist = run.cfg.history if history is None else history
         last = hist.filter(F.col("alert_id") == a["alert_id"]).agg(F.max("last_occurrence")).first()[0]
         start = last if last is not None else run.li_now - dt.timedelta(days=7)
         minutes = 10080 if rerun else _minute_boundaries(start, run.li_now)
-        min_wait = int(param("Reports/TopBlockers/MinBlockedWaitTimeMs", "10000"))
-        top = int(param("Reports/TopBlockers/TopNRows", "10"))
+        min_wait = int(run.cfg.param("Reports/TopBlockers/MinBlockedWaitTimeMs", "10000"))
+        top = int(run.cfg.param("Reports/TopBlockers/TopNRows", "10"))
         return minutes, min_wait, top
     kv = parse_thresholds(a["default_threshold"] or "")
     minutes = 10080 if rerun else int(kv.get("MinutesBack", 15))
@@ -252,34 +237,42 @@ def _minute_boundaries(start: dt.datetime, end: dt.datetime) -> int:
 
 
 def top_blocker_groups(run: Run, minutes: int, min_wait: int | None) -> DataFrame:
-    """Root-blocker activity per (instance, sql handle) within N minutes of the last collection."""
+    """Root-blocker activity per (instance, sql handle) within N minutes of the last collection.
+
+    The collection dates come from their own small table; statement texts are left to `with_texts`."""
     rq = run.tm.running_queries().filter(F.col("is_root_blocker") & F.col("is_active"))
     if min_wait is not None:
         rq = rq.filter(F.col("block_wait_recursive_ms") > min_wait)
-    anchors = run.tm.running_queries().groupBy("instance_id").agg(F.max("snapshot_date").alias("anchor"))
-    rq = sel.anchor_lookback(rq, anchors, "instance_id", "snapshot_date", "anchor", minutes)
+    rq = sel.anchor_lookback(rq, run.tm.query_anchors(), "instance_id", "snapshot_date", "anchor", minutes)
     status_item = F.concat(F.lit("Status: "), F.col("status"), F.lit(";TxCnt: "), F.col("open_transaction_count").cast("string"))
     # the display name depends on the instance only: a grouping key, not a string aggregate
     g = rq.groupBy("instance_id", F.col("instance_display_name").alias("instance"), "sql_handle").agg(
         F.count("sql_handle").alias("occurrences"),
         F.sum("block_count").alias("total_block_count"),
         F.sum("block_wait_ms").alias("total_block_wait_ms"),
-        F.sum("block_count").alias("total_block_count_recursive"),
+        F.sum("block_count_recursive").alias("total_block_count_recursive"),
         F.sum("block_wait_recursive_ms").alias("total_block_wait_recursive_ms"),
         F.sum("duration_ms").alias("_dur"),
         F.count("duration_ms").alias("_n"),
-        F.array_join(F.array_sort(F.collect_set(F.replace(F.col("query_text"), F.lit("\r"), F.lit("")))), ",").alias("top_blocker_tsql"),
         F.count_distinct("session_id").alias("_spids"),
         F.array_join(F.array_sort(F.collect_set(status_item)), ";").alias("_status"),
     )
     return g.select(
         "instance_id", "instance", "sql_handle", "occurrences", "total_block_count", "total_block_wait_ms",
         "total_block_count_recursive", "total_block_wait_recursive_ms",
-        tx.int_avg(F.col("_dur"), F.col("_n")).alias("avg_duration_ms"), "top_blocker_tsql",
+        tx.int_avg(F.col("_dur"), F.col("_n")).alias("avg_duration_ms"),
         F.concat(F.lit("SPIDs: "), F.col("_spids").cast("string"), F.lit("; "), F.col("_status")).alias("additional_info"),
     )
 
 
+def with_texts(run: Run, groups: DataFrame) -> DataFrame:
+    """Adds the distinct texts of each group's handle, comma-joined in order."""
+    texts = run.tm.query_texts().join(groups.select("sql_handle").distinct(), "sql_handle", "left_semi")
+    texts = texts.groupBy("sql_handle").agg(F.array_join(F.array_sort(F.collect_set(
+        F.replace(F.col("query_text"), F.lit("\r"), F.lit("")))), ",").alias("top_blocker_tsql"))
+    return groups.join(texts, "sql_handle", "left")
+
+
 def top_n_ranked(groups: DataFrame, n: int) -> DataFrame:
     """Top n groups by total recursive wait (ties by instance, handle), ranked 1..n.
 
@@ -294,11 +287,11 @@ def top_n_ranked(groups: DataFrame, n: int) -> DataFrame:
 
 def report_top_blockers(run: Run, mode: str = "Report", rerun: bool = False,
                         history: DataFrame | None = None) -> AlertOutput:
-    a = alert_row("Top Head Blockers")
+    a = run.cfg.alert("Top Head Blockers")
     aid = a["alert_id"]
     hist = run.cfg.history if history is None else history
     minutes, min_wait, top = top_blocker_settings(run, mode, rerun, hist)
-    ranked = top_n_ranked(top_blocker_groups(run, minutes, min_wait), top)
+    ranked = run.keep(with_texts(run, top_n_ranked(top_blocker_groups(run, minutes, min_wait), top)))
     routed = rt.resolve_overrides(ranked, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid)
     sec = lambda c: tx.fmt_n(F.col(c) / F.lit(1000), 2)
     row = tx.tr(

@@ -205,7 +205,8 @@ def q_event_log_append(run: Run) -> DataFrame:
 @query("filter_active")
 def q_filter_active(run: Run) -> DataFrame:
     inst = run.instances.filter(F.col("is_active")).select("instance_id")
-    return run.tm.db_files().join(inst, "instance_id").groupBy("instance_id").agg(
+    files = run.tm.db_files().filter(F.col("database_is_active") & F.col("file_is_active"))
+    return files.join(inst, "instance_id").groupBy("instance_id").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("total_pages"))
 
 
@@ -464,7 +465,7 @@ def q_string_agg_ordered(run: Run) -> DataFrame:
 
 @query("string_agg_distinct")
 def q_string_agg_distinct(run: Run) -> DataFrame:
-    return al.top_blocker_groups(run, YEAR_MIN, None).select("instance_id", "sql_handle", "top_blocker_tsql")
+    return al.with_texts(run, al.top_blocker_groups(run, YEAR_MIN, None)).select("instance_id", "sql_handle", "top_blocker_tsql")
 
 
 @query("string_agg_struct")
@@ -629,7 +630,10 @@ def q_alert_critical_waits(run: Run) -> DataFrame:
 
 @query("alert_perf_counters")
 def q_alert_perf_counters(run: Run) -> DataFrame:
-    return wip.counter_breaches(run, run.cfg.counter_rules, COUNTER_MIN, 3).select("instance", "counter", "current_value")
+    """The counter alert's message: breaches past the type's delay gate, as one list per recipient."""
+    br = wip.counter_breaches(run, run.cfg.counter_rules, COUNTER_MIN, 3).withColumn("alert_type", F.lit("PerformanceCounters"))
+    br = wip.delay_gate(br, run.cfg.delay_by_type, "alert_type", run.now, 10)
+    return wip.counter_messages(br, 3, "ops@example.com").select("alert_name", "audience", "instances", "table_html", "n_rows")
 
 
 @query("alert_query_summary")
@@ -639,7 +643,7 @@ def q_alert_query_summary(run: Run) -> DataFrame:
 
 @query("alert_long_queries")
 def q_alert_long_queries(run: Run) -> DataFrame:
-    return wip.long_queries(run, 2, 30000).select("instance_id", "instance", "counter")
+    return wip.long_queries_now(run, 2 * DAY, 30000).select("instance_id", "instance", "counter")
 
 
 @query("alert_blocking_multi_tag")
@@ -692,12 +696,12 @@ def q_stream_poll(run: Run) -> DataFrame:
 
 @query("stream_state_machine")
 def q_stream_state_machine(run: Run) -> DataFrame:
-    return run.spark.read.parquet(sj.run_state_machine(run.spark, run.sf_dir))
+    return sj.current_actions(run.spark, sj.run_state_machine(run.spark, run.sf_dir))
 
 
 @query("stream_rate_window")
 def q_stream_rate_window(run: Run) -> DataFrame:
-    return run.spark.read.parquet(sj.run_rate_window(run.spark, run.sf_dir))
+    return sj.current_rates(run.spark, sj.run_rate_window(run.spark, run.sf_dir))
 
 
 @query("validate_request")
@@ -746,3 +750,39 @@ def q_tags_json(run: Run) -> DataFrame:
         F.struct(F.col("tag_name").alias("name"), F.col("values")).alias("tags")))).alias("doc"))
     rows = docs.select("instance_id", F.explode(pm.tags_from_json(F.col("doc"))).alias("p"))
     return rows.select("instance_id", F.col("p.tag_name").alias("tag_name"), F.col("p.tag_value").alias("tag_value"))
+
+
+# ---------------------------------------------------------------------------------------
+# the jobs at a past evaluation time: nothing after it is seen
+# ---------------------------------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+PAST_DAYS = 15
+
+
+def past(run: Run) -> Run:
+    """The same tables as of two weeks before the latest event and a year before the latest ship date."""
+    if not hasattr(run, "past"):
+        run.past = Run(run.spark, run.sf_dir, now=run.now - _dt.timedelta(days=PAST_DAYS), li_now=run.li_now - _dt.timedelta(days=365))
+    return run.past
+
+
+for _name in ("alert_blocking_duration", "alert_cpu", "alert_db_growth", "report_top_blockers", "alert_long_queries"):
+    def _at(run: Run, _fn=REGISTRY[_name]) -> DataFrame:
+        return _fn(past(run))
+    query(_name + "_past")(_at)
+
+
+@query("suppress_replay_dense")
+def q_suppress_replay_dense(run: Run) -> DataFrame:
+    """Repeat interval of a third of a second on one series of all breaches, squeezed to 50 ms steps or ties."""
+    ev = blocking_breach_series(run).select(
+        F.lit(1).alias("instance_id"), F.timestamp_add("MILLISECOND", (F.col("event_id") % 20000) * 50,
+                                                        F.lit(run.now).cast("timestamp_ntz")).alias("snapshot_date"), "event_id")
+    return rp.suppress_replay(ev, "instance_id", "snapshot_date", "event_id", _dt.timedelta(milliseconds=333))
+
+
+@query("suppress_replay_zero")
+def q_suppress_replay_zero(run: Run) -> DataFrame:
+    """Interval zero: every breach is notified."""
+    return rp.suppress_replay(blocking_breach_series(run), "instance_id", "snapshot_date", "event_id", _dt.timedelta(0))

@@ -6,10 +6,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tripwire.functions import text as tx
 from tripwire.operators import params as pm
+from tripwire.operators import routing as rt
 from tripwire.operators import select as sel
 from tripwire.operators import thresholds as th
 from tripwire.plans import alerts as al
@@ -24,6 +25,35 @@ def delay_gate(df: DataFrame, delays: DataFrame, alert_type_col: str, as_of: dt.
     return df.join(F.broadcast(recent.select(F.col("alert_type").alias(alert_type_col))), alert_type_col, "left_anti")
 
 
+def mark_sent(delays: DataFrame, alert_type: str, as_of: dt.datetime) -> DataFrame:
+    """The delay table after an alert of this type was sent at `as_of` (its row is added when missing)."""
+    sent = delays.sparkSession.range(1).select(F.lit(alert_type).alias("alert_type"), F.lit(as_of).cast("timestamp_ntz").alias("alert_sent_date"))
+    return delays.filter(~F.col("alert_type").eqNullSafe(F.lit(alert_type))).select("alert_type", "alert_sent_date").unionByName(sent)
+
+
+def listing(rows: DataFrame, item: Column, alert_name: str, alert_type: str, intro: str, outro: str, recipients: str) -> DataFrame:
+    """Plain list messages (one line per row, in bounded parts) for alerts without routing config."""
+    routed = rows.select(
+        "instance", F.concat(F.lit("* "), item, F.lit("\n")).alias("_line"), F.lit(recipients).alias("audience"),
+        F.lit(f"{intro}\n##TABLE##{outro}").alias("email_alert_template"), F.lit(None).cast("string").alias("webhook"),
+        F.lit(None).cast("string").alias("webhook_alert_template"))
+    m = rt.route_by_audience(routed, "instance", F.col("_line"), order_col="_line", distinct_names=True)
+    return m.select(F.lit(alert_name).alias("alert_name"), F.lit(255).alias("alert_type"), *rt.ROUTE_FIELDS, "instances",
+                    "table_html", "n_rows", F.lit(alert_name).alias("subject"))
+
+
+def critical_wait_messages(rates: DataFrame, minutes: int, threshold: int, delay: int, recipients: str) -> DataFrame:
+    item = F.concat_ws(" ", "instance", "wait_type", tx.fmt_n(F.col("wait_ms_per_sec"), 1), F.lit("ms/sec"))
+    return listing(rates, item, "Critical waits", "CriticalWait", "Waits above the limit on:",
+                   f"Limit: {threshold:,.1f} ms/sec over {minutes} minutes. Next alert not before {delay} minutes.", recipients)
+
+
+def counter_messages(breaches: DataFrame, k: int, recipients: str) -> DataFrame:
+    item = F.concat(F.col("instance"), F.lit(" "), F.col("counter"), F.lit(": "), F.col("current_value").cast("string"))
+    return listing(breaches, item, "Performance counters", "PerformanceCounterAlert",
+                   f"Counters inside their alert band in each of the last {k} collections:", "", recipients)
+
+
 # ---------------------------------------------------------------------------------------
 # critical waits: weighted wait rate per (instance, wait type)
 # ---------------------------------------------------------------------------------------
@@ -96,10 +126,9 @@ def summary_masked(run: Run, thresholds: str, tag: tuple[str, str] | None = None
     kv = pm.parse_thresholds(thresholds)
     minutes = int(kv.get("LastMinutes", 15))
     rqs = run.tm.running_queries_summary()
-    anchors = rqs.groupBy("instance_id").agg(F.max("snapshot_date").alias("anchor"))
     inst = run.targets(tag).select("instance_id")
+    anchors = run.tm.summary_anchors().join(inst, "instance_id", "left_semi")
     near = sel.anchor_lookback(rqs, anchors, "instance_id", "snapshot_date", "anchor", minutes, strict=True)
-    near = near.join(inst, "instance_id", "left_semi")
     masked = [F.when(F.col(c) > F.lit(int(kv[t])), F.col(c)).alias(c) for c, t, _, _ in SUMMARY_METRICS]
     m = near.select("instance_id", "snapshot_date", "event_id", *masked)
     any_left = sum((F.coalesce(F.col(c), F.lit(0)) for c, _, _, _ in SUMMARY_METRICS), F.lit(0)) > 0
@@ -134,18 +163,29 @@ def alert_query_summary(run: Run, thresholds: str, alert_id: int = 10, tag: tupl
 # ---------------------------------------------------------------------------------------
 # long-running queries (latest summary per instance vs threshold)
 # ---------------------------------------------------------------------------------------
+def _near_summary(run: Run, anchor_minutes: int) -> DataFrame:
+    """Summary rows of active instances near their last collection."""
+    inst = run.instances.filter(F.col("is_active")).select("instance_id", F.col("instance_display_name").alias("instance"))
+    anchors = run.tm.summary_anchors().join(inst.select("instance_id"), "instance_id", "left_semi")
+    near = sel.anchor_lookback(run.tm.running_queries_summary(), anchors, "instance_id", "snapshot_date", "anchor", anchor_minutes)
+    return near.join(inst, "instance_id")
+
+
 def long_queries(run: Run, anchor_minutes: int = 2, threshold: int = 100000) -> DataFrame:
-    """Per active instance: the latest summary row near its last collection and the number of
-    rows in that window over the threshold (count next to latest, as an aggregate)."""
-    rqs = run.tm.running_queries_summary()
-    anchors = rqs.groupBy("instance_id").agg(F.max("snapshot_date").alias("anchor"))
-    near = sel.anchor_lookback(rqs, anchors, "instance_id", "snapshot_date", "anchor", anchor_minutes)
-    near = near.filter(F.col("longest_running_query_ms") > threshold)
-    g = near.groupBy("instance_id").agg(
-        F.count(F.lit(1)).alias("metric"),
+    """Per active instance: the latest summary row over the threshold near its last collection and the
+    number of such rows in that window (count next to latest, as an aggregate)."""
+    near = _near_summary(run, anchor_minutes).filter(F.col("longest_running_query_ms") > threshold)
+    return near.groupBy("instance_id", "instance").agg(
+        F.max_by("longest_running_query_ms", F.struct("snapshot_date", "event_id")).alias("counter"),
+        F.count(F.lit(1)).alias("metric"))
+
+
+def long_queries_now(run: Run, anchor_minutes: int = 2, threshold: int = 100000) -> DataFrame:
+    """Active instances whose latest summary row near the last collection is over the threshold; one
+    that has recovered since does not alert."""
+    latest = _near_summary(run, anchor_minutes).groupBy("instance_id", "instance").agg(
         F.max_by("longest_running_query_ms", F.struct("snapshot_date", "event_id")).alias("counter"))
-    inst = run.instances.filter(F.col("is_active")).select("instance_id", F.col("instance_display_name").alias("instance"))
-    return g.join(inst, "instance_id").select("instance_id", "instance", "counter", "metric")
+    return latest.filter(F.col("counter") > threshold)
 
 
 # ---------------------------------------------------------------------------------------

@@ -9,13 +9,14 @@ pruning reach the Parquet scans.
 
 from __future__ import annotations
 
-import weakref
+import datetime as dt
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tripwire.session import materialized
 from tripwire.sources.tables import Tables
 
-_SEEN: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
 
 def _props_int(props: Column) -> Column:
@@ -26,11 +27,31 @@ def _ms_from_value(value: Column) -> Column:
     return (value.cast("decimal(18,2)") * F.lit(1000)).cast("bigint")
 
 
+def cpu_percent(value: Column) -> Column:
+    """Whole percent, at most 100; a missing reading stays missing."""
+    return F.floor(F.when(value > 100.0, F.lit(100.0)).otherwise(value)).cast("int")
+
+
 class Telemetry:
-    """Named telemetry views over one `Tables` handle."""
+    """Named telemetry views over one `Tables` handle, as known at an evaluation time.
+
+    With `as_of` (event log) and `li_as_of` (lineitem) every fact and every collection date ends
+    there: nothing later is seen by any job.
+    """
 
-    def __init__(self, tables: Tables):
+    def __init__(self, tables: Tables, as_of: dt.datetime | None = None, li_as_of: dt.datetime | None = None):
         self.t = tables
+        self.as_of, self.li_as_of = as_of, li_as_of
+
+    @property
+    def events(self) -> DataFrame:
+        e = self.t.events
+        return e if self.as_of is None else e.filter(F.col("ts") <= F.lit(self.as_of).cast("timestamp_ntz"))
+
+    @property
+    def lineitem(self) -> DataFrame:
+        li = self.t.lineitem
+        return li if self.li_as_of is None else li.filter(F.col("l_shipdate") <= F.lit(self.li_as_of).cast("timestamp_ntz"))
 
     # -- inventory -------------------------------------------------------------------------
     def instances(self) -> DataFrame:
@@ -47,19 +68,15 @@ class Telemetry:
 
         In a monitoring repository the inventory is a small dimension table; here it is
         derived from the largest table, and every job uses it several times (instances,
-        fleet-derived overrides and history) with different pushed predicates, which would
-        rescan the events each time. It is therefore materialized once per session and data
-        directory (distinct first: partial aggregation per task, one row per instance).
-        Micro-batch tables are never cached.
+        fleet-derived overrides and history), which would rescan the events each time. It is
+        therefore written once per handle (distinct first: one row per instance). The inventory
+        does not depend on the evaluation time.
         """
-        seen = self.t.events.select(F.col("user_id").alias("c_custkey")).distinct()
-        if not getattr(self.t, "cacheable", False):
-            return seen
-        cache = _SEEN.setdefault(self.t.spark, {})
-        key = (self.t.root, self.t.database)
-        if key not in cache:
-            cache[key] = seen.cache()
-        return cache[key]
+        return self._ids
+
+    @cached_property
+    def _ids(self) -> DataFrame:
+        return materialized(self.t.events.select(F.col("user_id").alias("c_custkey")).distinct())
 
     def instance_tags(self) -> DataFrame:
         c = self.t.customer
@@ -77,22 +94,41 @@ class Telemetry:
 
     def collection_dates(self) -> DataFrame:
         """Latest collection time per (instance, dataset)."""
-        return self.t.events.groupBy(
+        return self._collections
+
+    @cached_property
+    def _collections(self) -> DataFrame:
+        """One pass over three narrow columns, written once per handle: every anchored job reads this
+        small table (a repository maintains it on collection) instead of the whole history."""
+        return materialized(self.events.groupBy(
             F.col("user_id").alias("instance_id"), F.col("event_type").alias("reference")
-        ).agg(F.max("ts").alias("snapshot_date"))
+        ).agg(F.max("ts").alias("snapshot_date")))
+
+    def summary_anchors(self) -> DataFrame:
+        """Latest running-query summary per instance, from the collection dates."""
+        return self._collections.filter(F.col("reference").isin("click", "signup")).groupBy("instance_id").agg(
+            F.max("snapshot_date").alias("anchor"))
+
+    def query_anchors(self) -> DataFrame:
+        """Latest running-query collection per instance: two columns of the fact table, no join."""
+        return self._query_collections
+
+    @cached_property
+    def _query_collections(self) -> DataFrame:
+        return materialized(self.lineitem.groupBy(F.col("l_suppkey").alias("instance_id")).agg(F.max("l_shipdate").alias("anchor")))
 
     # -- event-based facts -----------------------------------------------------------------
     def cpu(self) -> DataFrame:
-        e = self.t.events
+        e = self.events
         return e.filter(F.col("event_type") == "view").select(
             F.col("user_id").alias("instance_id"),
             F.col("ts").alias("event_time"),
             "event_id",
-            F.floor(F.least(F.col("value"), F.lit(100.0))).cast("int").alias("total_cpu"),
+            cpu_percent(F.col("value")).alias("total_cpu"),
         )
 
     def blocking_snapshot(self) -> DataFrame:
-        e = self.t.events
+        e = self.events
         return e.filter(F.col("event_type") == "error").select(
             F.col("user_id").alias("instance_id"),
             F.col("ts").alias("snapshot_date"),
@@ -102,7 +138,7 @@ class Telemetry:
         )
 
     def waits(self) -> DataFrame:
-        e = self.t.events
+        e = self.events
         return e.select(
             F.col("user_id").alias("instance_id"),
             F.col("ts").alias("snapshot_date"),
@@ -113,7 +149,7 @@ class Telemetry:
         )
 
     def performance_counters(self) -> DataFrame:
-        e = self.t.events
+        e = self.events
         return e.select(
             F.col("user_id").alias("instance_id"),
             F.col("event_type").alias("counter_name"),
@@ -125,7 +161,7 @@ class Telemetry:
         )
 
     def running_queries_summary(self) -> DataFrame:
-        e = self.t.events
+        e = self.events
         k = F.regexp_extract(F.col("props"), "([0-9]+)", 1).cast("bigint")
         fl = F.floor(F.col("value")).cast("bigint")
         return e.filter(F.col("event_type").isin("click", "signup")).select(
@@ -141,10 +177,8 @@ class Telemetry:
 
     # -- lineitem / part / customer based facts -------------------------------------------
     def running_queries(self) -> DataFrame:
-        li, s, p = self.t.lineitem, self.t.supplier, self.t.part
-        j = li.join(s, F.col("s_suppkey") == F.col("l_suppkey")).join(
-            p, F.col("p_partkey") == F.col("l_partkey")
-        )
+        li, s = self.lineitem, self.t.supplier
+        j = li.join(s, F.col("s_suppkey") == F.col("l_suppkey"))
         price = F.floor(F.col("l_extendedprice")).cast("bigint")
         qty = F.floor(F.col("l_quantity")).cast("bigint")
         return j.select(
@@ -153,23 +187,31 @@ class Telemetry:
             (F.col("s_acctbal") >= 0).alias("is_active"),
             F.col("l_shipdate").alias("snapshot_date"),
             F.concat(F.lit("h"), F.col("l_partkey").cast("string")).alias("sql_handle"),
-            F.col("p_name").alias("query_text"),
             F.col("l_orderkey").alias("session_id"),
             F.when(F.col("l_linestatus") == "O", "running").otherwise("suspended").alias("status"),
             F.col("l_linenumber").alias("open_transaction_count"),
             qty.alias("block_count"),
+            (qty * F.col("l_linenumber")).alias("block_count_recursive"),
             price.alias("block_wait_ms"),
             (price * (F.lit(1) + F.col("l_linenumber"))).alias("block_wait_recursive_ms"),
             (qty * 100).alias("duration_ms"),
             (F.col("l_returnflag") == "R").alias("is_root_blocker"),
         )
 
+    def query_texts(self) -> DataFrame:
+        """Text of each statement handle; joined only to the rows that are shown."""
+        p = self.t.part
+        return p.select(F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("sql_handle"),
+                        F.col("p_name").alias("query_text"))
+
     def drive_status(self) -> DataFrame:
-        c, n = self.t.customer, self.t.nation
+        """Four drives per instance: the customers of four neighbouring keys."""
+        c = self.t.customer
+        host = (F.col("c_custkey") - F.col("c_custkey") % 4).cast("bigint")
         free = F.floor(F.col("c_acctbal") + F.lit(1000.0)).cast("bigint")
-        return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
-            F.col("c_nationkey").alias("instance_id"),
-            F.col("n_name").alias("instance_display_name"),
+        return c.select(
+            host.alias("instance_id"),
+            F.concat(F.lit("Host#"), host.cast("string")).alias("instance_display_name"),
             F.col("c_name").alias("name"),
             F.lit(11000).alias("total_gb"),
             free.alias("free_gb"),
@@ -184,6 +226,8 @@ class Telemetry:
             F.col("p_partkey").alias("file_id"),
             F.col("p_name").alias("file_name"),
             F.col("p_brand").alias("database_name"),
+            (F.right("p_brand", F.lit(1)) != "5").alias("database_is_active"),
+            (F.col("p_size") % 7 != 0).alias("file_is_active"),
             (F.col("p_partkey") % 10).alias("instance_id"),
             F.floor(F.col("p_retailprice")).cast("bigint").alias("size"),
             (F.col("p_size") % 2).alias("is_percent_growth"),
@@ -191,7 +235,7 @@ class Telemetry:
         )
 
     def db_file_snapshot(self) -> DataFrame:
-        li = self.t.lineitem
+        li = self.lineitem
         return li.select(
             F.col("l_partkey").alias("file_id"),
             F.col("l_shipdate").alias("snapshot_date"),

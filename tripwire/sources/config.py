@@ -14,8 +14,11 @@ import datetime as dt
 import weakref
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tripwire.operators.params import param_value
+
 S, I, L, B, SH = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(), T.ShortType()
 TS = T.TimestampNTZType()
 
@@ -59,8 +62,8 @@ COUNTER_RULES_SCHEMA = _schema(
 
 # ---------------------------------------------------------------------------------------
 # Fixed values (must equal the alerting system's seeds: names, ids, thresholds, intervals,
-# emojis, webhook templates, level names, parameter names and defaults). Audiences and
-# URLs are placeholders; e-mail templates keep the placeholders but not the styling.
+# emojis, webhook templates, level names, parameter names and defaults). Audiences, URLs, the
+# wording and captions of the e-mails and the descriptions are this library's own.
 # ---------------------------------------------------------------------------------------
 NEVER = dt.datetime(1900, 1, 1)
 AUDIENCE = "ops@example.com"
@@ -72,7 +75,7 @@ EMOJI_CONTINUE = ',"icon_emoji": ":bell_orange:"'
 def _email(intro: str, headers: list[str]) -> str:
     ths = "".join(f"<th>{h}</th>" for h in headers)
     return (
-        f"<html><body>All<br/>{intro}<br/><table id=\"payload\"><tr>{ths}</tr>"
+        f"<html><body>{intro}<br/><table id=\"payload\"><tr>{ths}</tr>"
         "##TABLE##</table>##WIKILINK##</body></html>"
     )
 
@@ -81,56 +84,55 @@ def _hook(text: str) -> str:
     return '{"text":"##ALERTNAME##: ' + text + ' ##WIKILINK##"##EMOJI####USERNAME##}'
 
 
-BLOCKING_HEADERS = ["Instance name", "Sessions", "Wait Time (s)"]
-CPU_HEADERS = ["Instance name", "Total CPU", "Threshold"]
+BLOCKING_HEADERS = ["Server", "Blocked", "Seconds waited"]
+CPU_HEADERS = ["Server", "CPU %", "Limit %"]
 
 ALERT_ROWS = [
     (-2, "Template Alert", 1, "http://url_to_alert_wiki", 5, None, NEVER, True,
      _hook("Alert text for ##INSTANCES##."),
-     "<html><body>Greetings<br/>Alert detected for ##INSTANCES##.<table id=\"payload\">##TABLE##</table>##WIKILINK##</body></html>",
+     "<html><body>##INSTANCES## raised this alert.<table id=\"payload\">##TABLE##</table>##WIKILINK##</body></html>",
      AUDIENCE, EMOJI_ALARM, EMOJI_NORMAL, EMOJI_CONTINUE, False, "10"),
     (-1, "Catch-All", 0, None, None, None, None, False, None,
-     "<html><body>All<br/>The notification was invoked with incorrect parameters.<br/>##PARAMS##</body></html>",
+     "<html><body>A notification could not be built from its arguments:<br/>##PARAMS##</body></html>",
      AUDIENCE, None, None, None, False, None),
     (0, "Custom", 0, None, None, None, None, False, None, None, None, None, None, None, False, None),
     (1, "Blocking - Duration", 1, "https://github.com/example/wiki/##alertname## alerts", 5, None, NEVER, True,
      _hook("Excessive blocking detected on ##INSTANCES##."),
-     _email("Blocking on the instances listed below is exceeding the thresholds:", BLOCKING_HEADERS),
+     _email("Sessions are blocked beyond the limit on these servers.", BLOCKING_HEADERS),
      AUDIENCE, EMOJI_ALARM, EMOJI_NORMAL, EMOJI_CONTINUE, False, "10000"),
     (2, "Blocking - Processes", 1, None, 5, None, NEVER, False,
      _hook("Excessive blocking detected on ##INSTANCES##."),
-     _email("Blocking on the instances listed below is exceeding the thresholds:", BLOCKING_HEADERS),
+     _email("Sessions are blocked beyond the limit on these servers.", BLOCKING_HEADERS),
      AUDIENCE, EMOJI_ALARM, EMOJI_NORMAL, EMOJI_CONTINUE, False, "2"),
     (3, "High CPU", 1, "http://wiki.example.com/##alertname##", 0, None, NEVER, True,
      _hook("High CPU on ##INSTANCES##."),
-     _email("CPU on the following instances is exceeding the thresholds:", CPU_HEADERS),
+     _email("These servers use more CPU than their limit.", CPU_HEADERS),
      AUDIENCE, EMOJI_ALARM, EMOJI_NORMAL, EMOJI_CONTINUE, False, "80"),
     (4, "High CPU - Recovery", 1, None, 0, None, NEVER, False,
      _hook("CPU recovered on ##INSTANCES##."),
-     _email("CPU on the following instances recovered:", CPU_HEADERS),
+     _email("These servers are back under their CPU limit.", CPU_HEADERS),
      AUDIENCE, EMOJI_ALARM, EMOJI_NORMAL, EMOJI_CONTINUE, False, None),
     (5, "Disk Free Space", 1, None, 0, None, NEVER, False,
      _hook("Some of the disks on the following instances are low on free space: ##INSTANCES##."),
-     _email("Some of the disks on the following instances are low on free disk space:",
-            ["Instance name", "Warning", "Drive details (warning)", "Critical", "Drive details (critical)"]),
+     _email("These servers have drives that are running full.",
+            ["Server", "Drives to watch", "Which", "Drives nearly full", "Which"]),
      AUDIENCE, EMOJI_ALARM, EMOJI_NORMAL, EMOJI_CONTINUE, True, None),
     (6, "DB Growths", 1, None, 0, None, NEVER, False,
      _hook("One or more databases on the following instances have grown since last check: ##INSTANCES##."),
-     _email("One or more databases on the following instances have grown since last check:",
-            ["Instance", "Database", "File", "Size MB", "Total Growth MB", "Is % Growth",
-             "AutoGrowth Pct", "AutoGrowth MB", "AutoGrow Count"]),
+     _email("Data files grew on these servers.",
+            ["Server", "Database", "Data file", "Now (MB)", "Grown by (MB)", "Grows by percent",
+             "Step (%)", "Step (MB)", "Steps taken"]),
      AUDIENCE, EMOJI_ALARM, EMOJI_NORMAL, EMOJI_CONTINUE, False, None),
     (7, "Top Head Blockers", 1, None, 0, None, NEVER, False, None,
-     _email("These are the top blockers since last check:",
-            ["Rank", "Instance", "SQL Handle", "Occurrences", "Total Block Count / Wait Time (s)",
-             "Total Block Count Recursive / Wait Time (s)", "Avg Duration (ms)", "Query", "Additional Info"]),
+     _email("Statements that blocked others most.",
+            ["No.", "Server", "Statement", "Seen", "Directly blocked / seconds",
+             "Blocked in all / seconds", "Mean duration (ms)", "Text", "Sessions"]),
      AUDIENCE, EMOJI_ALARM, EMOJI_NORMAL, EMOJI_CONTINUE, False,
      "@MinutesBack int=15,@MinBlockWaitTimeRecursive int=10000"),
     (8, "Idle Sessions", 1, None, 0, None, NEVER, True,
      _hook("Idle sessions with open transaction found on ##INSTANCES##."),
-     _email("Idle session(s) with open transaction(s) have been detected on the following DB servers:",
-            ["Instance", "IIS", "Idle sessions", "Total Block Count Recursive",
-             "Total Block Count Recursive Wait Time (s)"]),
+     _email("Sessions sit idle with an open transaction on these servers.",
+            ["Server", "Web server", "Idle", "Blocked in all", "Seconds waited in all"]),
      None, EMOJI_ALARM, EMOJI_NORMAL, EMOJI_CONTINUE, False,
      "@Sessions int=1,@MaxBlockWaitTimeRecursive int=10000"),
 ]
@@ -162,11 +164,11 @@ ENVIRONMENT_ROWS = [(0, "*", False), (1, "production", True), (2, "internal", Fa
 LEVEL_ROWS = [(0, "Normal"), (1, "Informational"), (2, "Warning"), (3, "Critical"), (4, "Fatal")]
 
 PARAMETER_ROWS = [
-    (1, "Alert/DBMailProfile", "Mail Profile", "Mail profile used to send notifications"),
-    (2, "Repository/DatabaseName", "telemetry", "The name of the monitoring repository database"),
-    (3, "Reports/TopBlockers/MinBlockedWaitTimeMs", "10000", "The wait time (in milliseconds) threshold for top blockers"),
-    (4, "Reports/TopBlockers/TopNRows", "10", "The number of top blockers to be included in the report. The alert will use a hard coded value of 5"),
-    (5, "Reports/TopBlockers/IncludeWithAlert", "0", "Include the Top Head Blockers report as part of the alert"),
+    (1, "Alert/DBMailProfile", "Mail Profile", "Sender profile of the e-mails"),
+    (2, "Repository/DatabaseName", "telemetry", "Database that holds the telemetry"),
+    (3, "Reports/TopBlockers/MinBlockedWaitTimeMs", "10000", "Least recursive wait, in ms, of a reported blocker"),
+    (4, "Reports/TopBlockers/TopNRows", "10", "Rows of the report; its alert form always has 5"),
+    (5, "Reports/TopBlockers/IncludeWithAlert", "0", "1: a blocking alert is followed by the blocker report"),
 ]
 
 # Performance counter rules: NULL bound = open band, NULL instance_name = any instance.
@@ -299,15 +301,56 @@ def derived_history(instances: DataFrame, now: dt.datetime) -> DataFrame:
 
 
 class Config:
-    """All config/state tables for one run."""
+    """All config and state tables of one run.
+
+    `source` is a folder of Parquet tables or a dict of frames, by the names in TABLES; a table
+    that it lacks is built from the seeds in this module. With an own `alert_overrides` or
+    `alert_history` nothing is derived from the fleet.
+    """
+
+    TABLES = ("alerts", "alert_overrides", "alert_history", "alert_blackouts", "alert_webhooks", "environment",
+              "enum_alert_levels", "parameters", "counter_rules", "delay_by_type")
 
-    def __init__(self, spark: SparkSession, instances: DataFrame | None = None, now: dt.datetime | None = None):
+    def __init__(self, spark: SparkSession, instances: DataFrame | None = None, now: dt.datetime | None = None,
+                 source: "str | dict[str, DataFrame] | None" = None):
         self.spark = spark
         self._instances = instances
         self._now = now
+        self._source = source
+        self._given: dict[str, DataFrame | None] = {}
+        self._alerts: dict[str, dict] = {}
+
+    def given(self, name: str) -> DataFrame | None:
+        """The user's own table, or None."""
+        if self._source is None:
+            return None
+        if isinstance(self._source, dict):
+            return self._source.get(name)
+        if name not in self._given:
+            try:
+                self._given[name] = self.spark.read.parquet(f"{self._source}/{name}.parquet")
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                self._given[name] = None
+        return self._given[name]
 
     def fixed(self, name: str) -> DataFrame:
-        return fixed_table(self.spark, name)
+        own = self.given(name)
+        return fixed_table(self.spark, name) if own is None else own
+
+    def alert(self, name: str) -> dict:
+        """One alert's config row by name (a single row is read on the driver, once per run)."""
+        if name not in self._alerts:
+            row = self.alerts.filter(F.lower("alert_name") == name.lower()).orderBy("alert_id").first()
+            if row is None:
+                raise KeyError(f"no alert named {name}")
+            self._alerts[name] = row.asDict()
+        return self._alerts[name]
+
+    def param(self, name: str, default: str | None = None) -> str | None:
+        """A parameter's value, or the default where the table has no such name or no value."""
+        return param_value(self.parameters, name, default).first()[0]
 
     @property
     def alerts(self) -> DataFrame:
@@ -315,6 +358,9 @@ class Config:
 
     @cached_property
     def overrides(self) -> DataFrame:
+        own = self.given("alert_overrides")
+        if own is not None:
+            return own
         base = self.fixed("alert_overrides_fixed")
         if self._instances is None:
             return base
@@ -322,6 +368,9 @@ class Config:
 
     @cached_property
     def history(self) -> DataFrame:
+        own = self.given("alert_history")
+        if own is not None:
+            return own
         if self._instances is None:
             return self.spark.createDataFrame([], HISTORY_SCHEMA)
         return derived_history(self._instances, self._now)

@@ -1,13 +1,16 @@
-"""Sinks: outbox and event log (append), alert history (versioned snapshots).
+"""Sinks: outbox and event log (append), alert state (versioned snapshots).
 
-History is never overwritten in place: each run writes `<base>/v=<version>` and readers take
-the newest complete version, so a job that dies mid-write leaves the previous state intact
-and a retried job rewrites only its own version folder.
+State is never overwritten in place: each write goes to a new folder `<base>/v=<version>-<unique>`
+and readers take the newest complete version, so a job that dies mid-write leaves the previous
+state intact. The alert history is kept per alert (`<base>/alert=<id>/v=...`): a job writes only the
+rows of its own alert, so jobs of different alerts that run at the same time cannot undo each other's
+state. Two jobs of the same alert must not overlap (a scheduler runs one poll of an alert at a time).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,7 +29,8 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def _versions(spark: SparkSession, base: str) -> list[str]:
+def folders(spark: SparkSession, base: str, prefix: str, complete: bool = True) -> list[str]:
+    """Names of the sub-folders of `base` that begin with `prefix` (complete ones), in order."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(base)
@@ -36,28 +40,46 @@ def _versions(spark: SparkSession, base: str) -> list[str]:
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        if name.startswith(prefix) and (not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
             out.append(name)
     return sorted(out)
 
 
-def latest_history(spark: SparkSession, base: str) -> DataFrame | None:
-    """The newest complete history snapshot under `base`, or None when there is none yet."""
-    v = _versions(spark, base)
+def _number(name: str) -> int:
+    return int(name.split("=")[1].split("-")[0])
+
+
+def latest(spark: SparkSession, base: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete snapshot under `base` (with a number below `before`, where given), or None."""
+    v = [n for n in folders(spark, base, "v=") if before is None or _number(n) < before]
     return spark.read.parquet(f"{base}/{v[-1]}") if v else None
 
 
-def next_version(spark: SparkSession, base: str) -> str:
-    """Number of the next history version (after the newest complete one)."""
-    existing = _versions(spark, base)
-    return f"{int(existing[-1][2:].split('-')[0]) + 1 if existing else 1:09d}"
+def write_snapshot(df: DataFrame, base: str, version: int | None = None) -> str:
+    """Write a complete snapshot as a new version; a retry of the same version gets a folder of its own."""
+    spark = df.sparkSession
+    if version is None:
+        version = max([0, *map(_number, folders(spark, base, "v="))]) + 1
+    path = f"{base}/v={version:09d}-{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return path
 
 
-def write_history(history: DataFrame, base: str, version: str, label: str) -> str:
-    """Write history snapshot `version` (a complete table, not a delta).
+def alert_history(spark: SparkSession, base: str, alert_id: int, before: int | None = None) -> DataFrame | None:
+    """The stored history rows of one alert, or None when none were written yet."""
+    return latest(spark, f"{base}/alert={alert_id}", before)
 
-    Versions come after the newest existing one, so a snapshot is never written into the
-    folder it was computed from; a retried run rewrites only its own version folder."""
-    path = f"{base}/v={version}-{label}"
-    history.write.mode("overwrite").parquet(path)
-    return path
+
+def latest_history(spark: SparkSession, base: str) -> DataFrame | None:
+    """The stored history of all alerts, or None when there is none yet."""
+    found = [latest(spark, f"{base}/{name}") for name in folders(spark, base, "alert=", complete=False)]
+    out = None
+    for df in found:
+        if df is not None:
+            out = df if out is None else out.unionByName(df)
+    return out
+
+
+def write_alert_history(history: DataFrame, base: str, alert_id: int, version: int | None = None) -> str:
+    """Write the alert's own rows of a history snapshot."""
+    return write_snapshot(history.filter(F.col("alert_id") == alert_id), f"{base}/alert={alert_id}", version)

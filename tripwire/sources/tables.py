@@ -7,7 +7,6 @@ filters into the Parquet scan, so a job never reads more than it needs.
 from __future__ import annotations
 
 import datetime as dt
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,15 +16,12 @@ INPUT_TABLES = (
 ).split()
 
 
-# per-session caches of table handles (file listing / schema resolution done once); weak
-# keys, so a stopped and replaced session never sees frames of the old one
-_READS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
-
-
 class Tables:
-    """Lazy handle on a directory of `<name>.parquet` tables (or catalog tables)."""
+    """Lazy handle on a directory of `<name>.parquet` tables (or catalog tables).
 
-    cacheable = True  # derived dimensions of these tables may be materialized per session
+    File listings and scalars live as long as the handle; a poller that wants to see new data
+    makes a new one.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None, database: str | None = None):
         self.spark = spark
@@ -36,14 +32,10 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
-            cache = _READS.setdefault(self.spark, {})
-            key = (self.root, self.database, name)
-            if key not in cache:
-                if self.root is not None:
-                    cache[key] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-                else:
-                    cache[key] = self.spark.table(f"{self.database}.{name}" if self.database else name)
-            self._frames[name] = cache[key]
+            if self.root is not None:
+                self._frames[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            else:
+                self._frames[name] = self.spark.table(f"{self.database}.{name}" if self.database else name)
         return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -1,29 +1,37 @@
-"""Structured Streaming drivers for the alert jobs.
-
-* `run_poll`: each micro-batch of new telemetry is one poll of an alert job; the batch is
-  evaluated with the batch operators and the alert history is written as a new versioned
-  snapshot (never over the path being read); outbox rows are appended.
-* `run_state_machine`: keyed ON/OFF state per instance with `applyInPandasWithState`; the
-  state is one small record per instance, kept in the state store.
-* `run_rate_window`: critical-wait rate per (day window, instance, wait type) with a
-  watermark for late data.
-
-All outputs and stream checkpoints live under the cluster checkpoint directory
-(`spark.checkpoint.dir`), in a fresh sub-folder per run.
+"""Structured Streaming drivers for the alert jobs; every stream can stop and start again.
+
+* `run_poll`: each micro-batch of new telemetry is one poll of the blocking alert. The batch is
+  added to the stream's own event store, the alert is evaluated on that store (history plus
+  batch) as of the latest event, the gated outbox is written, and the alert's history goes on as a
+  versioned snapshot that the next poll, also one after a restart, reads from storage.
+* `run_state_machine`: the ON/OFF action of every CPU sample. A batch is replayed together with the
+  stored samples of its instances from the day of their earliest new sample on; what came before is
+  one small summary per instance and day. Late samples therefore correct the actions after them.
+* `run_rate_window`: critical-wait totals per (window, instance, wait type) in update mode: a
+  watermark drops late rows and frees the state of closed windows, and each batch adds the
+  windows that it changed.
+
+Each stream keeps outputs and checkpoint under `out`. The same `out` resumes the stream; without one
+a fresh folder under the cluster's checkpoint directory is used. Batches write into folders of their
+own number, so a batch that is repeated after a failure replaces its first attempt. `max_files`
+bounds the files of one batch.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tripwire.operators import render as rd
+from tripwire.operators import routing as rt
+from tripwire.operators import state as st
 from tripwire.operators import thresholds as th
 from tripwire.plans import alerts as al
 from tripwire.plans.context import Run
-from tripwire.session import checkpoint_dir
+from tripwire.session import checkpoint_dir, materialized
+from tripwire.sources import sinks
+from tripwire.sources.bindings import cpu_percent
 from tripwire.sources.tables import Tables
 
 
@@ -32,7 +40,7 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None) -> DataFrame:
-    """A table's Parquet files as a file stream (schema taken from the batch reader)."""
+    """A table's Parquet files (a file or a folder of files) as a file stream, schema from the batch reader."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     r = spark.readStream.schema(schema).option("basePath", sf_dir)
     if max_files:
@@ -40,106 +48,134 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int |
     return r.parquet(f"{sf_dir}/{table}*.parquet")
 
 
-class _BatchTables(Tables):
-    """Input tables where `events` is the current micro-batch (other tables are static)."""
+def _drain(stream, sink, out: str, mode: str = "append") -> None:
+    q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{out}/_chk")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
 
-    cacheable = False
 
-    def __init__(self, spark: SparkSession, root: str, events: DataFrame):
-        super().__init__(spark, root)
-        self._frames["events"] = events
+def _epochs(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """All complete batches under `path` (numbers below `before`, where given), with their number."""
+    names = [n for n in sinks.folders(spark, path, "epoch=") if before is None or int(n[6:]) < before]
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in names]) if names else None
+
+
+def _add(df: DataFrame, path: str, epoch: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/epoch={epoch:09d}")
+
+
+def _newest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the row of the latest batch."""
+    rest = [c for c in df.columns if c not in keys and c != "epoch"]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*")
 
 
 # ---------------------------------------------------------------------------------------
 # one poll per micro-batch
 # ---------------------------------------------------------------------------------------
-def run_poll(spark: SparkSession, sf_dir: str, minutes: int, metric: str = "duration") -> str:
-    """Run the blocking alert once per micro-batch; returns the folder with the outputs.
+class _Stored(Tables):
+    """Input tables where `events` is what the stream has received so far."""
+
+    def __init__(self, spark: SparkSession, root: str, events: DataFrame):
+        super().__init__(spark, root)
+        self._frames["events"] = events
+
 
-    <folder>/history/v=<epoch> holds the history snapshot after each poll and
-    <folder>/outbox the messages; the latest version is the current state.
+def run_poll(spark: SparkSession, sf_dir: str, minutes: int, metric: str = "duration", out: str | None = None,
+             max_files: int | None = None, config=None) -> str:
+    """Run the blocking alert once per micro-batch; returns the folder of the latest history.
+
+    <out>/events holds the received events, <out>/outbox the gated messages of each poll and
+    <out>/history/alert=<id> the history after each poll.
     """
-    base = run_folder(spark, "poll")
-    state = {"history": None}
+    out = out or run_folder(spark, "poll")
 
     def poll(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        now = batch.agg(F.max("ts")).first()[0]  # evaluation time of this poll: one value
-        run = Run(spark, sf_dir, now=now, tables=_BatchTables(spark, sf_dir, batch))
-        hist = state["history"]
-        out = al.alert_blocking(run, metric, minutes, history=None if hist is None else spark.read.parquet(hist))
-        # a retried batch rewrites its own folders (foreachBatch is at-least-once)
-        out.messages.write.mode("overwrite").parquet(f"{base}/outbox/epoch={epoch:09d}")
-        path = f"{base}/history/v={epoch:09d}"
-        out.history.write.mode("overwrite").parquet(path)
-        state["history"] = path
-
-    q = (table_stream(spark, sf_dir, "events").writeStream.foreachBatch(poll)
-         .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return base if state["history"] is None else state["history"]
+        _add(batch, f"{out}/events", epoch)
+        events = _epochs(spark, f"{out}/events", epoch + 1).drop("epoch")
+        now = events.agg(F.max("ts")).first()[0]  # evaluation time of this poll: one value
+        run = Run(spark, sf_dir, now=now, tables=_Stored(spark, sf_dir, events), config=config, reuse=True)
+        aid = run.cfg.alert(al.BLOCKING[metric][0])["alert_id"]
+        stored = sinks.alert_history(spark, f"{out}/history", aid, before=epoch)
+        res = al.alert_blocking(run, metric, minutes, history=run.cfg.history if stored is None else stored)
+        view = rt.all_alerts_view(run.cfg.alerts, run.cfg.environment, run.cfg.overrides, run.cfg.levels, run.cfg.webhooks)
+        _add(rd.outbox(res.messages, view, run.cfg.blackouts, now), f"{out}/outbox", epoch)
+        # the first poll also hands on the other alerts' rows that the config's history has
+        sinks.write_snapshot(res.history, f"{out}/history/alert={aid}", epoch)
+
+    _drain(table_stream(spark, sf_dir, "events", max_files), poll, out)
+    base = f"{out}/history"
+    alert = sinks.folders(spark, base, "alert=", complete=False)[-1]
+    return f"{base}/{alert}/{sinks.folders(spark, f'{base}/{alert}', 'v=')[-1]}"
 
 
 # ---------------------------------------------------------------------------------------
-# keyed ON/OFF state machine
+# ON/OFF actions per sample
 # ---------------------------------------------------------------------------------------
-STATE_SCHEMA = T.StructType([T.StructField("seen", T.BooleanType()), T.StructField("last_breach", T.BooleanType())])
-ACTION_SCHEMA = T.StructType([
-    T.StructField("instance_id", T.LongType()), T.StructField("event_time", T.TimestampNTZType()),
-    T.StructField("event_id", T.LongType()), T.StructField("total_cpu", T.IntegerType()),
-    T.StructField("threshold", T.IntegerType()), T.StructField("action", T.StringType()),
-])
-
-
-def _transitions(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Advance one instance's machine over its samples of this micro-batch, in time order."""
-    seen, last = (state.get if state.exists else (False, None))
-    pdf = pd.concat(list(frames), ignore_index=True).sort_values(["event_time", "event_id"], kind="stable")
-    actions = []
-    for cpu, thr in zip(pdf["total_cpu"].tolist(), pdf["threshold"].tolist()):
-        if thr is None or pd.isna(thr):
-            actions.append(None)
-            continue
-        br = cpu >= thr
-        if not seen:
-            actions.append("NEW->ON" if br else "IGNORE")
-            seen = seen or br
-        else:
-            actions.append("ON->OFF" if (last and not br) else "OFF->ON" if (not last and br) else "IGNORE")
-        last = br if seen else last
-    state.update((bool(seen), None if last is None else bool(last)))
-    pdf["action"] = actions
-    yield pdf[[f.name for f in ACTION_SCHEMA.fields]]
-
-
-def run_state_machine(spark: SparkSession, sf_dir: str, alert_id: int = 3, max_files: int | None = None) -> str:
-    """Per-sample ON/OFF actions for the CPU series, state carried across micro-batches."""
-    base = run_folder(spark, "state")
-    run = Run(spark, sf_dir)
-    thresholds = th.resolve_threshold(run.instances.select("instance_id"), run.cfg.overrides, run.cfg.alerts,
-                                      alert_id).select("instance_id", F.col("threshold").try_cast("int").alias("threshold"))
+def run_state_machine(spark: SparkSession, sf_dir: str, alert_id: int = 3, max_files: int | None = None,
+                      out: str | None = None, config=None) -> str:
+    """Actions of the CPU series under <out>/actions (read them with `current_actions`)."""
+    out = out or run_folder(spark, "state")
+    run = Run(spark, sf_dir, config=config)
+    limits = materialized(th.resolve_threshold(run.instances.select("instance_id"), run.cfg.overrides, run.cfg.alerts, alert_id)
+                          .select("instance_id", F.col("threshold").try_cast("int").alias("threshold")))
+    sample = ["instance_id", "event_time", "event_id", "total_cpu", "threshold"]
+    breach = F.col("total_cpu") >= F.col("threshold")
+
+    def advance(batch: DataFrame, epoch: int) -> None:
+        new = materialized(batch.join(limits, "instance_id").select(*sample, F.to_date("event_time").alias("day")))
+        if new.isEmpty():
+            return
+        start = materialized(new.groupBy(F.col("instance_id").alias("_i")).agg(F.min("day").alias("_from")))
+        first = start.agg(F.min("_from")).first()[0]  # prunes the stored days of all instances
+        again, before = new.select(*sample, "day"), None
+        stored, days = _epochs(spark, f"{out}/actions", epoch), _epochs(spark, f"{out}/days", epoch)
+        if stored is not None:
+            old = _newest(stored.filter(F.col("day") >= F.lit(first)).drop("action"), ["instance_id", "event_id"])
+            old = old.join(start, (F.col("instance_id") == F.col("_i")) & (F.col("day") >= F.col("_from")))
+            again = old.select(*sample, "day").unionByName(again)
+            past = _newest(days, ["instance_id", "day"]).join(start, (F.col("instance_id") == F.col("_i")) & (F.col("day") < F.col("_from")))
+            before = past.groupBy("instance_id").agg(
+                F.max_by("last", F.when(F.col("last").isNotNull(), F.col("day"))).alias("last"), F.max("some").alias("some"))
+        again = materialized(again)
+        samples = again.withColumn("br", breach).withColumn("real", F.lit(True))
+        if before is not None:  # what came before, as one or two samples at the beginning of time
+            seeds = before.select("instance_id", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("some").alias("br")),
+                                                                   F.struct(F.lit(1).alias("n"), F.col("last").alias("br")))).alias("s"))
+            empty = {c: F.lit(None).cast(again.schema[c].dataType) for c in ("total_cpu", "threshold", "day")}
+            seeds = seeds.select("instance_id", F.lit("1900-01-01").cast("timestamp_ntz").alias("event_time"),
+                                 F.col("s.n").cast("long").alias("event_id"), F.col("s.br").alias("br"), F.lit(False).alias("real"))
+            samples = samples.unionByName(seeds.withColumns(empty))
+        acted = st.state_replay(samples, "instance_id", "event_time", "event_id", F.col("br")).filter("real")
+        _add(acted.select(*sample, "action", "day"), f"{out}/actions", epoch)
+        flagged = F.when(breach.isNotNull(), F.struct("event_time", "event_id"))
+        _add(again.groupBy("instance_id", "day").agg(F.max_by(breach, flagged).alias("last"), F.max(breach).alias("some")), f"{out}/days", epoch)
+
     ev = table_stream(spark, sf_dir, "events", max_files)
     cpu = ev.filter(F.col("event_type") == "view").select(
-        F.col("user_id").alias("instance_id"), F.col("ts").alias("event_time"), "event_id",
-        F.floor(F.least(F.col("value"), F.lit(100.0))).cast("int").alias("total_cpu"))
-    joined = cpu.join(thresholds, "instance_id")  # stream-static join; thresholds are per instance
-    out = joined.groupBy("instance_id").applyInPandasWithState(
-        _transitions, ACTION_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
-    q = (out.writeStream.format("parquet").option("path", f"{base}/data")
-         .option("checkpointLocation", f"{base}/_chk").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return f"{base}/data"
+        F.col("user_id").alias("instance_id"), F.col("ts").alias("event_time"), "event_id", cpu_percent(F.col("value")).alias("total_cpu"))
+    _drain(cpu, advance, out)
+    return out
+
+
+def current_actions(spark: SparkSession, out: str) -> DataFrame:
+    """The action of every sample received so far."""
+    return _newest(_epochs(spark, f"{out}/actions"), ["instance_id", "event_id"]).select(
+        "instance_id", "event_time", "event_id", "total_cpu", "threshold", "action")
 
 
 # ---------------------------------------------------------------------------------------
 # windowed critical-wait rate with a watermark
 # ---------------------------------------------------------------------------------------
-def run_rate_window(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str = "1 hour") -> str:
-    """Critical-wait totals per (window, instance, wait type); late rows beyond the
-    watermark are dropped. Each micro-batch writes the complete result as a new version."""
-    base = run_folder(spark, "rate")
-    ev = table_stream(spark, sf_dir, "events")
+def run_rate_window(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str = "1 hour",
+                    out: str | None = None, max_files: int | None = None) -> str:
+    """Critical-wait totals per (window, instance, wait type) under <out>/rates (`current_rates`).
+
+    A row later than `watermark` behind the latest event of the earlier batches is dropped."""
+    out = out or run_folder(spark, "rate")
+    ev = table_stream(spark, sf_dir, "events", max_files)
     waits = ev.filter(F.col("event_type").isin("error", "purchase")).select(
         # watermarks need a session-zone timestamp; the session zone is UTC so wall clock is unchanged
         F.col("user_id").alias("instance_id"), F.col("ts").cast("timestamp").alias("snapshot_date"),
@@ -150,16 +186,15 @@ def run_rate_window(spark: SparkSession, sf_dir: str, window: str = "1 day", wat
            .groupBy(F.window("snapshot_date", window).alias("w"), "instance_id", "wait_type")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("wait_time_ms").alias("total_wait_ms"),
                 F.sum("sample_ms_diff").alias("total_sample_ms")))
-    latest = {"path": None}
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        path = f"{base}/v={epoch:09d}"
-        batch.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "instance_id", "wait_type", "n",
-                     "total_wait_ms",
-                     "total_sample_ms").write.mode("overwrite").parquet(path)
-        latest["path"] = path
-
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", f"{base}/_chk").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return latest["path"]
+        _add(batch.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "instance_id", "wait_type", "n",
+                          "total_wait_ms", "total_sample_ms"), f"{out}/rates", epoch)
+
+    _drain(agg, sink, out, "update")
+    return out
+
+
+def current_rates(spark: SparkSession, out: str) -> DataFrame:
+    """The latest totals of every window."""
+    return _newest(_epochs(spark, f"{out}/rates"), ["window_start", "instance_id", "wait_type"])

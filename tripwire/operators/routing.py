@@ -6,6 +6,8 @@ are reduced to one row before they meet the per-instance data, so they broadcast
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -166,25 +168,26 @@ MAX_ITEMS = 20_000  # rows of one message, on average, at most
 
 def route_by_audience(rows: DataFrame, instance_col: str, row_html: Column | None, keys: list[str] | None = None,
                       order_col: str | None = None, distinct_names: bool = False, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Messages per (audience, webhook, e-mail template, webhook template).
+    """Messages per (audience, webhook, e-mail template, webhook template), or per the given keys.
 
     `instances` is the comma list of instance names in name order; `table_html` the
     concatenated table rows in (name, row) order. A routing group of more than `max_items`
     rows becomes several messages, numbered by `part`: each holds whole instances, chosen by a
     hash of the name, so no task builds the list of a whole fleet and no row is left out.
     """
-    keys = keys or ROUTE_FIELDS
+    keys = ROUTE_FIELDS if keys is None else keys
     order = F.col(order_col) if order_col else F.col(instance_col)
     html = row_html if row_html is not None else F.lit(None).cast("string")
     items = rows.select(*keys, order.alias("_o"), F.col(instance_col).alias("_i"), html.alias("_r"))
     # the group sizes are sums of partial counts: one row per routing group, few whatever the fleet
     sizes = items.groupBy(*[F.col(k).alias("_k_" + k) for k in keys]).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(max_items)).cast("int").alias("_parts"))
-    same = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    parted = items.join(sizes, cond).withColumn("part", (F.pmod(F.xxhash64("_i"), F.col("_parts")) + 1).cast("int"))
+    if keys:
+        same = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys]
+        parted = items.join(sizes, reduce(and_, same))
+    else:  # everything is one group: its size is one row
+        parted = items.crossJoin(F.broadcast(sizes))
+    parted = parted.withColumn("part", (F.pmod(F.xxhash64("_i"), F.col("_parts")) + 1).cast("int"))
     g = parted.groupBy(*keys, "part").agg(F.collect_list(F.struct("_o", "_i", "_r")).alias("_items"))
     srt = F.array_sort("_items")
     names = F.array_sort(F.transform(F.col("_items"), lambda x: x["_i"]))

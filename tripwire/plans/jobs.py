@@ -73,10 +73,10 @@ def list_alert(run: Run, alert: str, delays: DataFrame, minutes: int | None = No
         return wip.counter_messages(rows, 3, RECIPIENTS), "PerformanceCounterAlert"
     if alert == "query-summary":
         rows = wip.alert_query_summary(run, thresholds or SUMMARY, tag=tag)
-        return wip.listing(rows, F.concat_ws(" ", "instance", "counter"), "Query summary", "QuerySummary", "Running queries:", "", RECIPIENTS), None
+        return wip.listing(rows, F.concat_ws(" ", "instance", "counter"), "Query summary", "Running queries:", "", RECIPIENTS), None
     if alert == "long-queries":
         rows = wip.long_queries_now(run, given(2))
-        return wip.listing(rows, F.concat_ws(" ", "instance", F.col("counter").cast("string"), F.lit("ms")), "Long queries", "LongQueries",
+        return wip.listing(rows, F.concat_ws(" ", "instance", F.col("counter").cast("string"), F.lit("ms")), "Long queries",
                            "Queries run longer than the limit on:", "", RECIPIENTS), None
     if alert == "blocking-multi-tag":
         rows = wip.blocking_multi_tag(run, tags, given(15))
@@ -84,7 +84,7 @@ def list_alert(run: Run, alert: str, delays: DataFrame, minutes: int | None = No
                 | (F.col("blocked_session_count") > F.col("threshold_processes").try_cast("int")))
         rows = rows.filter(over).groupBy("instance").agg(F.max("blocked_wait_time").alias("w"), F.max("blocked_session_count").alias("n"))
         item = F.concat_ws(" ", "instance", F.col("w").cast("string"), F.lit("ms,"), F.col("n").cast("string"), F.lit("blocked"))
-        return wip.listing(rows, item, "Blocking (tags)", "BlockingTags", "Blocking above the limit of a matching tag on:", "", RECIPIENTS), None
+        return wip.listing(rows, item, "Blocking (tags)", "Blocking above the limit of a matching tag on:", "", RECIPIENTS), None
     raise KeyError(alert)
 
 

@@ -31,26 +31,25 @@ def mark_sent(delays: DataFrame, alert_type: str, as_of: dt.datetime) -> DataFra
     return delays.filter(~F.col("alert_type").eqNullSafe(F.lit(alert_type))).select("alert_type", "alert_sent_date").unionByName(sent)
 
 
-def listing(rows: DataFrame, item: Column, alert_name: str, alert_type: str, intro: str, outro: str, recipients: str) -> DataFrame:
+def listing(rows: DataFrame, item: Column, alert_name: str, intro: str, outro: str, recipients: str) -> DataFrame:
     """Plain list messages (one line per row, in bounded parts) for alerts without routing config."""
-    routed = rows.select(
-        "instance", F.concat(F.lit("* "), item, F.lit("\n")).alias("_line"), F.lit(recipients).alias("audience"),
-        F.lit(f"{intro}\n##TABLE##{outro}").alias("email_alert_template"), F.lit(None).cast("string").alias("webhook"),
-        F.lit(None).cast("string").alias("webhook_alert_template"))
-    m = rt.route_by_audience(routed, "instance", F.col("_line"), order_col="_line", distinct_names=True)
-    return m.select(F.lit(alert_name).alias("alert_name"), F.lit(255).alias("alert_type"), *rt.ROUTE_FIELDS, "instances",
-                    "table_html", "n_rows", F.lit(alert_name).alias("subject"))
+    lines = rows.select("instance", F.concat(F.lit("* "), item, F.lit("\n")).alias("_line"))
+    m = rt.route_by_audience(lines, "instance", F.col("_line"), keys=[], order_col="_line", distinct_names=True)
+    none = F.lit(None).cast("string")
+    return m.select(F.lit(alert_name).alias("alert_name"), F.lit(255).alias("alert_type"), F.lit(recipients).alias("audience"),
+                    F.lit(f"{intro}\n##TABLE##{outro}").alias("email_alert_template"), none.alias("webhook"),
+                    none.alias("webhook_alert_template"), "instances", "table_html", "n_rows", F.lit(alert_name).alias("subject"))
 
 
 def critical_wait_messages(rates: DataFrame, minutes: int, threshold: int, delay: int, recipients: str) -> DataFrame:
     item = F.concat_ws(" ", "instance", "wait_type", tx.fmt_n(F.col("wait_ms_per_sec"), 1), F.lit("ms/sec"))
-    return listing(rates, item, "Critical waits", "CriticalWait", "Waits above the limit on:",
+    return listing(rates, item, "Critical waits", "Waits above the limit on:",
                    f"Limit: {threshold:,.1f} ms/sec over {minutes} minutes. Next alert not before {delay} minutes.", recipients)
 
 
 def counter_messages(breaches: DataFrame, k: int, recipients: str) -> DataFrame:
     item = F.concat(F.col("instance"), F.lit(" "), F.col("counter"), F.lit(": "), F.col("current_value").cast("string"))
-    return listing(breaches, item, "Performance counters", "PerformanceCounterAlert",
+    return listing(breaches, item, "Performance counters",
                    f"Counters inside their alert band in each of the last {k} collections:", "", recipients)
 
 

@@ -17,7 +17,7 @@ and the rejected entities try again with the next attempt (names and addresses t
 ends when every entity has a surrogate of its own, so distinct entities stay distinct and equal ones
 equal, in all documents. Rounds are written to the shared folder.
 
-Only texts with a match are shuffled, once, to meet their surrogates; the entity table meets the parts
+Only texts with a match are written to the shared folder and shuffled, once, to meet their surrogates; the entity table meets the parts
 by a join on (kind, value), whose entity side is unique, so a frequent entity only makes its own rows.
 
 Null texts stay null, empty ones empty. Rows are told apart by id and a hash of the text; repeated rows
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripwire.llm.common import free_name, materialized, table
+from tripwire.llm.common import free_name, materialized, table, written
 
 KEY = "tripwire-demo-key"
 
@@ -48,7 +48,9 @@ IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"
-PERSON = rf"(?<![\p{{L}}0-9])(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}"
+# the look-ahead rejects most places by one character before the titles are tried
+TITLED = rf"(?<![\p{{L}}0-9])(?=[{''.join(sorted({t[0] for t in TITLES_F + TITLES_M + TITLES_U}))}])(?:{_TITLE})\.? "
+PERSON = rf"{TITLED}{_NAME}(?: {_NAME}){{0,2}}"
 ENTITY = "|".join([EMAIL, IP, IBAN, SSN, CARD, PHONE, PERSON])
 
 # Common given names by script and gender, and syllables for family names by script.
@@ -279,7 +281,7 @@ def _spelled(match: Column, given: Column) -> Column:
 
 def matches(text: Column) -> Column:
     """All entity matches of a text; the cheap test first, because most texts have none."""
-    some = text.rlike("[0-9@]") | text.rlike(rf"(?:{_TITLE})\.? \p{{Lu}}")
+    some = text.rlike("[0-9@]") | text.rlike(rf"{TITLED}\p{{Lu}}")
     return F.when(some, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
@@ -289,7 +291,8 @@ def replaced(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: s
     body = F.coalesce(F.col(text), F.lit(""))
     marked = docs.withColumn(found, matches(body))
     plain = marked.filter(F.size(found) == 0).withColumn(out, F.array().cast("array<string>")).drop(found)
-    marked = marked.filter(F.size(found) > 0).withColumn(hash_, F.xxhash64(text))
+    # texts with a match are written once: their parts and the rewriting read them from there
+    marked = written(marked.filter(F.size(found) > 0).withColumn(hash_, F.xxhash64(text)), "pii")
 
     each = (marked.select(F.col(doc_id).alias("id"), F.col(hash_).alias("h"), F.posexplode(found).alias("i", "m"))
             .select("id", "h", "i", F.posexplode(parts_of(F.col("m"))).alias("j", "p")).select("id", "h", "i", "j", "p.*"))

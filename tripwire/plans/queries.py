@@ -189,16 +189,26 @@ def q_seed_upsert_params(run: Run) -> DataFrame:
 
 @query("event_log_append")
 def q_event_log_append(run: Run) -> DataFrame:
-    """ERROR events for webhook deliveries that did not return OK (delivery results derived per message)."""
-    ob = q_notification_outbox(run).filter(F.col("channel") == "webhook")
-    ok = F.length("instances") % 2 == 0
-    deliveries = ob.select(
-        "alert_name", "body", F.lit(run.now).cast("timestamp_ntz").alias("delivered_at"),
-        F.when(ok, F.lit(rd.OK_STATUS)).otherwise(F.lit("Status: 500 (Internal Server Error)")).alias("status"),
-        F.when(ok, F.lit("ok")).otherwise(F.lit("server error")).alias("response"))
+    """ERROR events for failed deliveries, read from the event log: an event is one delivery to its
+    user's endpoint, an `error` event a failed one; `props` is the endpoint's answer."""
+    ev = run.tm.events.filter(F.col("event_type").isin("error", "purchase"))
+    deliveries = ev.select(
+        F.lit("Blocking - Duration").alias("alert_name"), F.col("ts").alias("delivered_at"),
+        F.when(F.col("event_type") == "error", F.lit("Status: 500 (Internal Server Error)")).otherwise(F.lit(rd.OK_STATUS)).alias("status"),
+        F.col("props").alias("response"), F.concat(F.lit('{"text":"user '), F.col("user_id"), F.lit('"}')).alias("body"))
     return rd.failed_delivery_events(deliveries)
 
 
+@query("json_properties")
+def q_json_properties(run: Run) -> DataFrame:
+    """JSON text of every event parsed by path; text that is no JSON counts as such."""
+    doc = F.col("props")
+    e = run.tm.events.select("event_type", F.get_json_object(doc, "$.k").try_cast("int").alias("k"),
+                             F.get_json_object(doc, "$").isNotNull().alias("is_json"))
+    return e.groupBy("event_type").agg(F.count_if("is_json").alias("n_json"), F.count("k").alias("n_k"), F.sum("k").alias("sum_k"),
+                                       F.count_distinct("k").alias("n_distinct"))
+
+
 # ---------------------------------------------------------------------------------------
 # 2.2 projections, filters, predicates
 # ---------------------------------------------------------------------------------------

@@ -55,7 +55,7 @@ BINDINGS = {
        CAST(0.1 AS DOUBLE) AS critical_threshold, CAST(0.2 AS DOUBLE) AS warning_threshold FROM customer""",
     "db_files": """SELECT p_partkey AS file_id, p_name AS file_name, p_brand AS database_name,
        p_brand NOT LIKE '%5' AS database_is_active, p_size % 7 <> 0 AS file_is_active,
-       p_partkey % 10 AS instance_id, CAST(floor(p_retailprice) AS BIGINT) AS size,
+       p_partkey % 100 AS instance_id, CAST(floor(p_retailprice) AS BIGINT) AS size,
        p_size % 2 AS is_percent_growth, CASE WHEN p_size % 2 = 1 THEN 10 ELSE 64 END AS growth FROM part""",
     "db_file_snapshot": """SELECT l_partkey AS file_id, l_shipdate AS snapshot_date,
        CAST(floor(l_quantity * 25) AS BIGINT) AS size, l_orderkey, l_linenumber FROM lineitem""",

@@ -228,7 +228,7 @@ class Telemetry:
             F.col("p_brand").alias("database_name"),
             (F.right("p_brand", F.lit(1)) != "5").alias("database_is_active"),
             (F.col("p_size") % 7 != 0).alias("file_is_active"),
-            (F.col("p_partkey") % 10).alias("instance_id"),
+            (F.col("p_partkey") % 100).alias("instance_id"),
             F.floor(F.col("p_retailprice")).cast("bigint").alias("size"),
             (F.col("p_size") % 2).alias("is_percent_growth"),
             F.when(F.col("p_size") % 2 == 1, F.lit(10)).otherwise(F.lit(64)).alias("growth"),

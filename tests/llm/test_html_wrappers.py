@@ -146,6 +146,10 @@ def make_pages(spark):
 
 def test_edges(make_pages):
     long = "<article>" + "".join(f"<p>block {i}</p>" for i in range(30_000)) + "</article>"
+    deep = "<nav>n</nav><article>" + "<div><p>a" * 3000 + "</p></div>" * 3000 + "<p>end</p></article><footer>f</footer>"
+    assert alone(deep) == " ".join(["a"] * 3000 + ["end"])
+    wide = "<article>" + "".join(f"<p class=c{chr(97 + i % 23)}{chr(97 + i // 23 % 23)}>w{i}</p><ul><li>x<li>y</ul>" for i in range(4000)) + "</article>"
+    assert alone(wide).split()[-3:] == ["w3999", "x", "y"]
     rows = [None, "", "plain text", "<article>x", "<article>x", "<p", long, "<" * 5000, "<a" + " b='" * 3000, "<div>" * 400 + "deep"]
     urls = [None, "", "no host", "http://A.org", "http://a.org", "https://a.org/1", "https://b.org?x", None, None, None]
     for limit in (32 << 20, 0):

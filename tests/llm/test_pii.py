@@ -115,6 +115,8 @@ def test_edges(make_docs):
     assert sorted(by[None]) == [by[3][0], by[3][0] + " z"]
     assert len(by[4][0].split()) == 20_000 and "user0@host0.org" not in by[4][0]
     assert P.replaced(make_docs([])).count() == 0
+    odd = run(make_docs(["x@" + "a." * 100_000 + "b", "1" * 200_000, "+1 (" * 50_000, "Mr A" * 50_000, "a" * 300_000 + "@x.org"]))
+    assert len(odd) == 5 and odd[4].text.endswith(".example") and len(odd[4].entities) == 1
 
 
 def test_main_path_has_no_python(spark):

@@ -74,6 +74,7 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 TEXT, LINK = "T", "L"  # keys of text nodes: plain text, text that is all inside links
 MANY, KEYS = 24, 64  # longest sequence inside an element, most distinct tokens before classes are dropped
+DEEP = 100  # elements nested deeper belong to the one at this depth
 
 
 # ---------------------------------------------------------------- tokens and trees
@@ -107,6 +108,7 @@ def parse(page) -> list:
     """The children of the root of a page's tree."""
     root: list = ["e", "", []]
     stack, text, linked, links = [(root, "")], [], 0, 0
+    beyond: list[str] = []  # open elements below DEEP
     at, page = 0, page if isinstance(page, str) else ""
 
     def flush():
@@ -146,7 +148,11 @@ def parse(page) -> list:
         flush()
         links = 0
         if m[2]:
-            if any(n == name for _, n in stack):
+            if name in beyond:
+                while beyond.pop() != name:
+                    pass
+            elif any(n == name for _, n in stack):
+                beyond.clear()
                 while stack[-1][1] != name:
                     stack.pop()
                 stack.pop()
@@ -159,6 +165,9 @@ def parse(page) -> list:
                 break
             if stack[depth][1] in ends:
                 del stack[depth:]
+        if len(stack) > DEEP:
+            beyond.append(name)
+            continue
         node = ["e", tag_key(name, m[4]), []]
         stack[-1][0][2].append(node)
         stack.append((node, name))
@@ -210,17 +219,21 @@ def fold(nodes: list) -> list:
     nodes = [["e", n[1], fold(n[2])] if n[0] == "e" else n for n in nodes]
     while len(nodes) > 1:
         names: dict[str, str] = {}
-        coded = "".join(names.setdefault(key_of(n), chr(0xE000 + len(names))) for n in nodes)
-        m = re.search(r"(.{1,6}?)\1+", coded, re.S)
-        if not m:
+        coded = "".join(names.setdefault(key_of(n), chr(0xE000 + len(names) % 0x1900)) for n in nodes)
+        out, at = [], 0
+        for m in re.finditer(r"(.{1,6}?)\1+", coded, re.S):
+            size, group = len(m[1]), nodes[m.start():m.end()]
+            first = group[:size]
+            if len(names) > 0x1900 and [key_of(n) for n in group] != [key_of(n) for n in first] * (len(group) // size):
+                continue  # two tokens share a code
+            for i in range(size, len(group), size):
+                first = [unify(p, q, again=size == 1) for p, q in zip(first, group[i:i + size])]
+            out += nodes[at:m.start()] + [first[0] if size == 1 else ["+", first]]
+            at = m.end()
+        if not at:
             break
-        size, group = len(m[1]), nodes[m.start():m.end()]
-        first = group[:size]
-        for i in range(size, len(group), size):
-            first = [unify(p, q, again=size == 1) for p, q in zip(first, group[i:i + size])]
-        made = first[0] if size == 1 else ["+", first]
-        nodes = nodes[:m.start()] + [made] + nodes[m.end():]
-    return nodes
+        nodes = out + nodes[at:]
+    return _bounded(nodes) if len(nodes) > 4 * MANY else nodes
 
 
 def _regroup(nodes: list, groups: dict) -> list:

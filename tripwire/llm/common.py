@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tripwire.session import checkpoint_dir
+from tripwire.session import checkpoint_dir, materialized
+
+__all__ = ["SPACES", "crc_of_id", "free_name", "lower_terms", "lower_words", "materialized", "raw", "table", "written"]
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: They are exactly what bytes.split() and bytes.strip() treat as white space.
@@ -36,14 +38,8 @@ def lower_terms(text) -> list[bytes]:
     return raw(text).lower().translate(_ALNUM).split()
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Like materialized, as a Parquet table in the shared folder: later reads see only the columns they use."""
+    """Like `materialized`, but as a Parquet table in the shared folder: later reads see only the columns they use."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -19,7 +19,6 @@ repeated, extra columns pass through `clean_documents`.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import pandas as pd

@@ -28,24 +28,12 @@ def query(name: str):
     return deco
 
 
-# ---------------------------------------------------------------------------------------
-# shared pieces
-# ---------------------------------------------------------------------------------------
-def blocking_latest(run: Run, minutes: int = WEEK_MIN, tag: tuple[str, str] | None = None) -> DataFrame:
-    """Latest blocking snapshot per instance inside the lookback, for the tag's instances."""
-    b = sel.lookback(run.tm.blocking_snapshot(), "snapshot_date", run.now, minutes)
-    latest = sel.latest_per_key(b, ["instance_id"], ["snapshot_date", "event_id"],
-                                ["blocked_wait_time", "blocked_session_count"])
-    inst = matching_instances(run.instances, run.tm.instance_tags(), *(tag or (None, None)))
-    return latest.join(inst.select("instance_id", F.col("instance_display_name").alias("instance")), "instance_id")
-
-
 # ---------------------------------------------------------------------------------------
 # minimum slice
 # ---------------------------------------------------------------------------------------
 @query("latest_per_key")
 def q_latest_per_key(run: Run) -> DataFrame:
-    return blocking_latest(run).select(
+    return al.blocking_latest(run, WEEK_MIN).select(
         "instance_id", "instance", "snapshot_date", "blocked_wait_time", "blocked_session_count")
 
 
@@ -61,7 +49,7 @@ def q_resolve_threshold(run: Run) -> DataFrame:
 
 @query("threshold_breach")
 def q_threshold_breach(run: Run) -> DataFrame:
-    b = th.resolve_threshold(blocking_latest(run), run.cfg.overrides, run.cfg.alerts, 1)
+    b = th.resolve_threshold(al.blocking_latest(run, WEEK_MIN), run.cfg.overrides, run.cfg.alerts, 1)
     b = th.threshold_breach(b, "blocked_wait_time")
     return b.select("instance_id", "instance", "blocked_wait_time", F.col("threshold").cast("int").alias("threshold"))
 

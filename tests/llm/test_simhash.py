@@ -82,6 +82,11 @@ def test_hot_buckets_lose_no_link(spark, bucket):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_radius_beyond_the_cuts_is_refused(spark):
+    with pytest.raises(ValueError):
+        S.star_edges(prints_frame(spark, [1]), radius=3)
+
+
 def test_long_chain_of_links(spark):
     chain = [0]
     for i in range(0, 60, 2):

@@ -176,6 +176,8 @@ def star_edges(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     Three levels of cuts; each level compares the buckets that are small enough and hands the
     fingerprints of larger ones to the next. The last level is bounded by 2**8 by construction.
     """
+    if not 0 <= radius <= 2:
+        raise ValueError("two of four parts agree for certain only at a distance of 2 or less")
     level = [("", list(range(64)), [])]  # (name, open bits, fixed bits) of every mask in use
     todo, edges = prints.select("fp"), None
     keyed = None

@@ -53,7 +53,8 @@ def test_formats(make_docs):
     rows = ["a.Doe7@Mail3.example.com THE.72@MAIL3.EXAMPLE.COM", "+1 (337) 555-7349, +1 337-555-7349; 030 1234 5678",
             "4111 1111 1111 1111, 4111111111111111, 4111-1111-1111-1112", "126.40.69.100 (1.2.3.4).", "123-45-6789",
             "DE89 3704 0044 0532 0130 00 and DE89370400440532013000 GB82WEST12345698765432"]
-    got = [run(make_docs(rows))[i].text for i in range(len(rows))]
+    found = run(make_docs(rows))
+    got = [found[i].text for i in range(len(rows))]
     a, b = got[0].split()
     assert re.fullmatch(r"[a-z]\.[a-z]{3}\d@mail-[0-9a-f]{10}\.example", a) and re.fullmatch(r"[A-Z]{3}\.\d\d@MAIL-[0-9A-F]{10}\.EXAMPLE", b)
     assert a.split("@")[1] == b.split("@")[1].lower()
@@ -115,7 +116,7 @@ def test_edges(make_docs):
     assert sorted(by[None]) == [by[3][0], by[3][0] + " z"]
     assert len(by[4][0].split()) == 20_000 and "user0@host0.org" not in by[4][0]
     assert P.replaced(make_docs([])).count() == 0
-    odd = run(make_docs(["x@" + "a." * 100_000 + "b", "1" * 200_000, "+1 (" * 50_000, "Mr A" * 50_000, "a" * 300_000 + "@x.org"]))
+    odd = run(make_docs(["x@" + "a." * 20_000 + "b", "1" * 50_000, "+1 (" * 20_000, "Mr A" * 20_000, "a" * 10_000 + "@x.org"]))
     assert len(odd) == 5 and odd[4].text.endswith(".example") and len(odd[4].entities) == 1
 
 

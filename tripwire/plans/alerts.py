@@ -266,11 +266,10 @@ def top_blocker_groups(run: Run, minutes: int, min_wait: int | None) -> DataFram
 
 
 def with_texts(run: Run, groups: DataFrame) -> DataFrame:
-    """Adds the distinct texts of each group's handle, comma-joined in order."""
-    texts = run.tm.query_texts().join(groups.select("sql_handle").distinct(), "sql_handle", "left_semi")
-    texts = texts.groupBy("sql_handle").agg(F.array_join(F.array_sort(F.collect_set(
-        F.replace(F.col("query_text"), F.lit("\r"), F.lit("")))), ",").alias("top_blocker_tsql"))
-    return groups.join(texts, "sql_handle", "left")
+    """Adds the distinct texts of each group's handle, comma-joined in order (groups are read once)."""
+    text = F.replace(F.col("query_text"), F.lit("\r"), F.lit(""))
+    j = groups.join(run.tm.query_texts(), "sql_handle", "left")
+    return j.groupBy(*groups.columns).agg(F.array_join(F.array_sort(F.collect_set(text)), ",").alias("top_blocker_tsql"))
 
 
 def top_n_ranked(groups: DataFrame, n: int) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,53 @@ def test_edges(make_docs):
     assert dict(rows_of(L.scan(frame, out="x"))) == {i: brute(t) for i, t in enumerate(rows)}
     assert L.scan(make_docs([])).count() == 0
     assert [r.licences.labels for r in L.scan(make_docs(["mit license", "gpl"]), templates=()).orderBy("doc_id").collect()] == [["mit"], []]
+
+
+NOTICES = [t for label, t in L.TEMPLATES if label in ("mit", "gpl", "bsd", "cc0") and len(t) > 100]
+
+
+def stretches(text, templates, threshold, reach):
+    """Labels of templates held against every stretch of `reach` words; a smaller one needs a place without a larger one."""
+    words, out = terms(text), set()
+    sets = [(label, set(terms(t))) for label, t in templates if terms(t)]
+    met = lambda t, a, b: len(t & set(words[a:b])) / len(t) >= threshold - 1e-12
+    for label, t in sets:
+        places = [(a, b) for a in range(len(words)) for b in range(a + 1, min(len(words), a + reach) + 1)
+                  if met(t, a, b) and not met(t, a + 1, b) and not met(t, a, b - 1)]
+        for a, b in places:
+            around = range(max(0, b - reach), a + 1)
+            if not any(t < u and met(u, i, i + reach) for _, u in sets for i in around):
+                out.add(label)
+    return out
+
+
+@pytest.mark.parametrize("width, mark", [(70, ""), (80, ""), (78, " * "), (72, "# "), (20, "// ")])
+def test_wrapped_notices(make_docs, width, mark):
+    assert len(NOTICES) == 4
+    rows = ["some prose before it\n" * 9 + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\nand after it" * 9 for t in NOTICES]
+    assert all(not r.x.matches for r in L.scan(make_docs(rows), out="x", span=L.SPAN).collect())  # no line has enough of them
+    got = L.scan(make_docs(rows)).orderBy("doc_id").collect()
+    assert [r.licences.labels for r in got] == [["mit"], ["gpl"], ["bsd"], ["cc0"]]
+    assert all(r.licences.score == 1.0 and r.licences.matches for r in got)
+
+
+def test_windows_equal_all_stretches():
+    rnd = random.Random(7)
+    say = lambda k: " ".join(rnd.choices("abcdefghijkl", weights=range(1, 13), k=k))
+    for n in range(150):
+        threshold = rnd.choice([0.5, 0.8, 0.95, 1.0])
+        templates = [(f"l{i}", say(rnd.randint(2, 9))) for i in range(6)]
+        templates += [("more", templates[0][1] + " z")]
+        known = L.Templates(templates, {w.encode(): i for i, w in enumerate("lkjihgfedcba")}, threshold)
+        known.reach = reach = rnd.randint(9, 14)
+        text = " ".join(rnd.choice([say(3), "x y", "q r s t u v w", say(6), "z"]) for _ in range(rnd.randint(1, 20)))
+        got = {templates[t][0] for _, t, _ in known.across(L.lower_terms(text))}
+        assert got == stretches(text, templates, threshold, reach), (n, text)
+
+
+def test_long_templates_and_parts_of_larger_ones(make_docs):
+    long = " ".join(f"t{i}" for i in range(300))
+    templates = [("long", long), ("part", "under these terms"), ("whole", "under these terms of x")]
+    rows = [long, "a " * 90 + "\n".join(textwrap.wrap(long, 60)), "under these\nterms of x", "under\nthese terms", long[:700]]
+    got = L.scan(make_docs(rows), templates=templates).orderBy("doc_id").collect()
+    assert [r.licences.labels for r in got] == [["long"], ["long"], ["whole"], ["part"], []]

@@ -1,9 +1,10 @@
 """Licence scans: exact set-similarity join of text blocks with licence notice templates.
 
-A block is a line of a text; a line of more than 2 * `span` words is cut into windows of that many
-words, each starting `span` words after the last, so every stretch of up to `span` words lies whole in
-some block. A template's tokens are a set T; block B (as a set of tokens) meets it when
-|B and T| >= threshold * |T|. The join finds every such pair:
+A block is a line of a text; a line of more than 2 * SPAN words is cut into windows of that many words,
+each starting SPAN words after the last. Notices are also wrapped over lines, so every stretch of
+`reach` consecutive words of the whole text is a block too, whatever lines it crosses; `reach` is SPAN or
+the words of the longest template, whichever is more. A template's tokens are a set T; block B (as a set
+of tokens) meets it when |B and T| >= threshold * |T|. The join finds every such pair:
 
 * order: all template tokens are ranked by their document frequency over all texts, rarest first;
   tokens outside every template can never match and are left out of B;
@@ -15,7 +16,11 @@ some block. A template's tokens are a set T; block B (as a set of tokens) meets
 * the sets of the remaining pairs are intersected.
 
 Where a block meets two templates and one's tokens are part of the other's ("CC BY" and "CC BY-NC"),
-the larger one names the licence and the smaller one is no match of its own.
+the larger one names the licence and the smaller one is no match of its own. Stretches overlap: there the
+smaller one is left out where some stretch holds its place together with a place of the larger one.
+
+The stretches are not tried one by one: windows of 2 * reach words, each starting `reach` words after the
+last, hold all of them, and only templates that meet such a window are slid over its words.
 
 Templates are a stated query set (a few notices; their number is a parameter of the operator, not of
 the data) that every task holds; texts are read once for the frequencies and once for the join, and
@@ -31,6 +36,7 @@ columns pass through `scan`.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
@@ -73,7 +79,7 @@ SPAN = 48
 
 
 def blocks(text, span: int = SPAN) -> list[list[bytes]]:
-    """Token lists of a text's blocks; every run of up to `span` words of a line is inside one."""
+    """Token lists of a text's lines; every run of up to `span` words of a line is inside one."""
     out = []
     for line in text.split("\n") if isinstance(text, str) else []:
         words = lower_terms(line)
@@ -93,6 +99,7 @@ class Templates:
         ranked = sorted(set().union(*(s for _, s in sets)), key=lambda w: (frequency.get(w, 0), w)) if sets else []
         self.rank = {w: i for i, w in enumerate(ranked)}
         self.templates, self.index = [], {}
+        self.reach = max([SPAN, *(len(lower_terms(t)) for _, t in templates)])
         for label, tokens in sets:
             if not tokens:
                 continue
@@ -106,6 +113,11 @@ class Templates:
 
     def matches(self, words: list[bytes]) -> dict[int, float]:
         """{template: containment} of all templates that the block meets, but for parts of larger ones."""
+        found = self.met(words)
+        return {t: c for t, c in found.items() if not any(self.templates[t][2] < self.templates[u][2] for u in found)}
+
+    def met(self, words: list[bytes]) -> dict[int, float]:
+        """{template: containment} of all templates that the block meets."""
         if self.prefix_words.isdisjoint(words):
             return {}
         block = sorted({self.rank[w] for w in words if w in self.rank})
@@ -121,7 +133,68 @@ class Templates:
                 common = sum(x in tokens for x in block[j:])
                 if common >= need:
                     found[t] = common / len(order)
-        return {t: c for t, c in found.items() if not any(self.templates[t][2] < self.templates[u][2] for u in found)}
+        return found
+
+    def slid(self, t: int, words: list[bytes]) -> tuple[float, list[tuple[int, int]]]:
+        """(largest containment in a stretch, smallest places (first, last word) that meet the template)."""
+        _, order, tokens, need = self.templates[t]
+        at = [(i, r) for i, w in enumerate(words) if (r := self.rank.get(w)) in tokens]
+        best, places = 0, []
+        wide, narrow, first, start = Counter(), Counter(), 0, 0
+        for i, r in at:
+            wide[r] += 1
+            while at[first][0] <= i - self.reach:  # the longest stretch that ends here
+                old = at[first][1]
+                wide[old] -= 1
+                if not wide[old]:
+                    del wide[old]
+                first += 1
+            best = max(best, len(wide))
+            narrow[r] += 1
+            while len(narrow) - (narrow[at[start][1]] == 1) >= need:  # the shortest that has enough
+                old = at[start][1]
+                narrow[old] -= 1
+                if not narrow[old]:
+                    del narrow[old]
+                start += 1
+            if len(narrow) >= need and i - at[start][0] < self.reach and not (places and places[-1][0] == at[start][0]):
+                places.append((at[start][0], i))
+        if best < need:
+            return 0.0, []
+        return best / len(order), places
+
+    def across(self, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """(window, template, containment) of all templates that a stretch of the whole text meets."""
+        seen = []
+        for k, at in enumerate(range(0, max(1, len(words) - self.reach), self.reach)):
+            window = words[at:at + 2 * self.reach]
+            for t in sorted(self.met(window)):
+                containment, places = self.slid(t, window)
+                if places:
+                    seen.append((k, t, containment, [(at + a, at + b) for a, b in places]))
+        places_of: dict[int, set] = {}
+        for _, t, _, places in seen:
+            places_of.setdefault(t, set()).update(places)
+        larger = {t: [u for u in places_of if self.templates[t][2] < self.templates[u][2]] for t in places_of}
+        # of places with the same first word the shortest; first and last words then both rise
+        spans = {}
+        for u in {u for us in larger.values() for u in us}:
+            kept: list = []
+            for a, b in sorted(places_of[u], reverse=True):
+                if not kept or b < kept[-1][1]:
+                    kept.append((a, b))
+                elif kept[-1][0] == a:
+                    kept[-1] = (a, b)
+            spans[u] = kept[::-1]
+
+        def part(t, a, b) -> bool:
+            for u in larger[t]:
+                i = bisect_left(spans[u], (b - self.reach + 1, -1))
+                if i < len(spans[u]) and spans[u][i][1] <= a + self.reach - 1:
+                    return True
+            return False
+
+        return [(k, t, c) for k, t, c, places in seen if not all(part(t, a, b) for a, b in places)]
 
 
 def frequencies(docs: DataFrame, words: set[bytes], text: str = "text") -> dict[bytes, int]:
@@ -143,8 +216,12 @@ FOUND = ("n_words long, n_base long, first_word long, last_word long, base_label
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "licences", templates=TEMPLATES, phrases=PHRASES,
-         threshold: float = THRESHOLD, span: int = SPAN) -> DataFrame:
-    """docs plus a struct column `out` with FOUND: phrases, labels and every block-template match."""
+         threshold: float = THRESHOLD, span: int | None = None) -> DataFrame:
+    """docs plus a struct column `out` with FOUND: phrases, labels and every block-template match.
+
+    Blocks are numbered lines first, then windows of the whole text. With a `span` of the caller, only
+    lines (cut by that span) are blocks, for texts whose lines are records of their own.
+    """
     tokens = {w for _, t in templates for w in lower_terms(t)}
     known = Templates(templates, frequencies(docs, tokens, text) if tokens else {}, threshold)
     wanted: dict[bytes, list] = {}
@@ -171,7 +248,10 @@ def scan(docs: DataFrame, text: str = "text", out: str = "licences", templates=T
             base = places(words)
             hits = []
             if not known.prefix_words.isdisjoint(words):
-                hits = [(b, m, c) for b, block in enumerate(blocks(t, span)) for m, c in sorted(known.matches(block).items())]
+                lines = blocks(t, span or SPAN)
+                hits = [(b, m, c) for b, block in enumerate(lines) for m, c in sorted(known.matches(block).items())]
+                if span is None:
+                    hits += [(len(lines) + k, m, c) for k, m, c in known.across(words)]
             own = sorted({label for _, label in base})
             every = sorted(set(own) | {known.templates[m][0] for _, m, _ in hits})
             rows.append((len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, own, every,

@@ -173,3 +173,14 @@ def test_many_hosts_in_a_task(spark):
     assert H.partial_wrappers(pages, most=3).count() > 7
     found = {r.host: (r.pages, r.wrapper) for r in H.wrappers(pages).collect()}
     assert len(found) == 7 and sum(n for n, _ in found.values()) == 60
+
+
+@pytest.mark.parametrize("icon", ['<svg class="i"/>', "<svg class=i/>", "<svg/>", "<svg a='>' />", "<svg-icon></svg-icon>", "<svg-icon/>",
+                                  "<title-bar></title-bar>", "<template-part></template-part>", "<svg><title>t</title><path d='M0'/></svg>",
+                                  "<SVG viewBox='0 0 1 1'><use href='#x'/></SVG >", "<script-x></script-x>"])
+def test_icons_and_custom_elements_drop_nothing_else(icon):
+    page = f"<article><p>a {icon} b</p><p>c</p></article><footer>f</footer>"
+    assert alone(page) == "a b c"
+    assert alone(f"<article><p>a</p>{icon}<svg>x</svg><p>b</p></article>") == "a b"
+    assert alone(f"<nav>n</nav>{icon}<main><p>a</p></main>") == "a"
+    assert alone("<article>a<title>b</article>") == "a" and alone("<article>a<svg") == "a"

@@ -66,8 +66,9 @@ OTHER_WORDS = frozenset(
 LAYOUT_WORDS = frozenset("has with without no".split())  # "with-sidebar" names a layout, not a sidebar
 CONTENT_WORDS = frozenset("article content main post entry story prose".split())
 
-TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*)|<({RAW})\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
+TOKEN = re.compile(  # an <svg .../> ends at its own tag; <svg-icon> and <title-bar> are elements like others
+    r"<!--(?:.*?-->|.*)|<svg(?=[\s/])(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+    rf"|<({RAW})(?=[\s/>]|\Z)(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")

@@ -184,3 +184,33 @@ def test_icons_and_custom_elements_drop_nothing_else(icon):
     assert alone(f"<article><p>a</p>{icon}<svg>x</svg><p>b</p></article>") == "a b"
     assert alone(f"<nav>n</nav>{icon}<main><p>a</p></main>") == "a"
     assert alone("<article>a<title>b</article>") == "a" and alone("<article>a<svg") == "a"
+
+
+def test_all_class_words_are_judged():
+    utilities = "bg-white border flex font-sans gap-0 items-center mb-0 p-0"
+    assert alone(f"<div class='{utilities} sidebar'><p>s</p></div><div class='{utilities} story'><p>a</p></div><p>out</p>") == "a"
+    assert H.tag_key("div", f' class="{utilities} x y sidebar z"').split(" ")[-1] == ".sidebar"
+
+
+def test_shortened_tokens_are_judged_alike():
+    rnd = random.Random(13)
+    words = sorted(H.JUDGED_WORDS) + ["x", "flex", "my-post-0", "pageHeader"]
+    roles = sorted(H.OTHER_ROLES) + ["article", "main", "hidden", "list"]
+    for _ in range(3000):
+        path = tuple(" ".join([rnd.choice(["div", "p", "h1", "article", "main", "header", "nav", "body", "section"]),
+                               *("@" + r for r in rnd.sample(roles, rnd.choice([0, 0, 1]))),
+                               *("." + w for w in rnd.sample(words, rnd.choice([0, 1, 2])))]) for _ in range(rnd.randint(1, 4)))
+        assert H.judge(path) == H.judge(tuple(map(H.brief, path))), path
+
+
+def test_region_is_kept_over_many_slugs(make_pages):
+    names = ["q" + chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(150)]
+    rows = [f"<p>out {i}</p><div class=post id={n}><p>text {i}</p></div><div class=share id=s{n}>tweet {i}</div>" for i, n in enumerate(names)]
+    w = H.wrapper_of(rows[0])
+    for n, row in enumerate(rows[1:], 2):
+        w = H.align(w, H.wrapper_of(row))
+        assert H.judged(w, n)["region"] == "content"  # after whatever number of pages
+    assert len(H.slots_of(w)) <= 4 * H.KEYS
+    assert all(H.accepts(w, H.parse(r)) for r in rows)
+    got = [r.main_text for r in H.main_text(make_pages(rows)).orderBy("page_id").collect()]
+    assert got == [f"text {i}" for i in range(150)]

@@ -65,6 +65,7 @@ OTHER_WORDS = frozenset(
     "widget widgets pagination pager search form copyright skip".split())
 LAYOUT_WORDS = frozenset("has with without no".split())  # "with-sidebar" names a layout, not a sidebar
 CONTENT_WORDS = frozenset("article content main post entry story prose".split())
+EVEN_ARTICLES = frozenset("related comment comments ad promo sponsored".split())  # an <article> of these is not the article
 
 TOKEN = re.compile(  # an <svg .../> ends at its own tag; <svg-icon> and <title-bar> are elements like others
     r"<!--(?:.*?-->|.*)|<svg(?=[\s/])(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
@@ -74,7 +75,8 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\s*(
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 TEXT, LINK = "T", "L"  # keys of text nodes: plain text, text that is all inside links
-MANY, KEYS = 24, 64  # longest sequence inside an element, most distinct tokens before classes are dropped
+JUDGED_WORDS = OTHER_WORDS | LAYOUT_WORDS | CONTENT_WORDS
+MANY, KEYS = 24, 64  # longest sequence inside an element, most distinct tokens before they are shortened to what is judged
 DEEP = 100  # elements nested deeper belong to the one at this depth
 
 
@@ -88,7 +90,10 @@ DEEP = 100  # elements nested deeper belong to the one at this depth
 
 
 def tag_key(name: str, attributes: str) -> str:
-    """Token of a start tag: name, marks of role and of hidden parts, words of class and id."""
+    """Token of a start tag: name, marks of role and of hidden parts, words of class and id.
+
+    Of the words, the first eight are enough to align pages by; all that `judge` looks at stay.
+    """
     if not attributes or attributes.isspace():
         return name
     marks, words = [], []
@@ -102,7 +107,22 @@ def tag_key(name: str, attributes: str) -> str:
             marks.append("@hidden")
         elif what in ("class", "id"):
             words += re.sub(r"\d+", "0", value).split()
-    return " ".join([name, *sorted(set(marks)), *["." + w for w in sorted(set(words))[:8]]])
+    words = sorted(set(words))
+    words = words[:8] + [w for w in words[8:] if _words(w) & JUDGED_WORDS]
+    return " ".join([name, *sorted(set(marks)), *["." + w for w in words]])
+
+
+def _words(name: str) -> set:
+    return {w.lower() for w in WORD.findall(name)}
+
+
+def brief(key: str) -> str:
+    """A token without all that `judge` does not look at: equal for all names of a kind of part."""
+    name, roles, words = _marks(key)
+    roles = {"hidden" if r == "hidden" or r in OTHER_ROLES else r for r in roles} & {"hidden", "article", "main"}
+    seen = ({"content"} if words & CONTENT_WORDS else set()) | ({"header"} if words & {"header", "masthead"} else set())
+    seen |= ({"ad"} if words & EVEN_ARTICLES else {"nav"} if words & OTHER_WORDS else set()) | ({"with"} if words & LAYOUT_WORDS else set())
+    return " ".join([name, *sorted("@" + r for r in roles), *sorted("." + w for w in seen)])
 
 
 def parse(page) -> list:
@@ -299,7 +319,7 @@ def _bounded(nodes: list) -> list:
         short: dict[str, list] = {}
         for n in parts.values():
             if n[0] == "e":
-                n = ["e", n[1].split(" ")[0], n[2]]
+                n = ["e", brief(n[1]), n[2]]
             short[n[1]] = unify(short[n[1]], n) if n[1] in short else n
         parts = short
     return [["+", [["?", parts[k]] for k in sorted(parts)]]]
@@ -346,7 +366,7 @@ def accepts(wrapper: list, nodes: list) -> bool:
         return frozenset(i + 1 for i in at if i < len(seq) and fits(p, seq[i]))
 
     def fits(p, n) -> bool:
-        if p[0] != n[0] or p[1] not in (n[1], n[1].split(" ")[0]):
+        if p[0] != n[0] or p[1] != n[1] and (n[0] == "t" or p[1] != brief(n[1])):
             return False
         if p[0] == "t":
             return p[2] is None or p[2] == n[2]
@@ -360,7 +380,7 @@ def accepts(wrapper: list, nodes: list) -> bool:
 
 def _marks(key: str) -> tuple[str, set, set]:
     name, *rest = key.split(" ")
-    words = {w.lower() for x in rest if x[0] == "." for w in WORD.findall(x)}
+    words = set().union(*(_words(x) for x in rest if x[0] == "."))
     return name, {x[1:] for x in rest if x[0] == "@"}, words
 
 
@@ -378,7 +398,7 @@ def judge(path: tuple) -> tuple[bool, str]:
             other = True
         elif name == "header" or words & {"header", "masthead"}:
             other |= not (region in ("article", "main") and any(_marks(k)[0] in HEADINGS for k in path))
-        elif words & OTHER_WORDS and not words & LAYOUT_WORDS and not (name in ("article", "main") and not words & {"related", "comment", "comments", "ad", "promo", "sponsored"}):
+        elif words & OTHER_WORDS and not words & LAYOUT_WORDS and not (name in ("article", "main") and not words & EVEN_ARTICLES):
             other = True
         if rank[here] > rank[region]:
             region = here

@@ -1,11 +1,13 @@
 """Personal data: keyed, type-consistent surrogates, DataFrame functions only.
 
 Detection. One expression finds e-mail addresses, IPv4 addresses, IBANs, social security numbers, card
-numbers, telephone numbers and persons (a title with one to three capitalised names), leftmost and
-without overlap. Every match is split into parts with a kind and a canonical value: spelling variants
+numbers, telephone numbers and persons (a title with all capitalised names after it, initials and
+particles as "van der" between them), leftmost and without overlap. Telephone numbers are international
+ones (with +, grouped or not) and national ones in groups; bare digits without a + are not taken. Every match is split into parts with a kind and a canonical value: spelling variants
 of one entity (capitals, separators of a number) share it, and a person's names are parts of their own,
 so "Mrs Maria Lopez" and "Mrs Lopez" share the surrogate of "Lopez". Names that a document introduces
-with a title are also replaced where they stand without one.
+with a title are also replaced where they stand without one, in any spelling that starts with a capital
+(McDonald, LOPEZ); in small letters they are often words (brown, may) and stay. Initials become other ones.
 
 Surrogates come from sha256(key, kind, value, attempt): numbers keep their layout, country code and
 check digits (Luhn, ISO 7064), e-mail addresses their shape with a domain under .example, names their
@@ -40,7 +42,11 @@ TITLES_U = "Dr Prof Professor Mx".split()
 
 _TITLE = "|".join(sorted(TITLES_F + TITLES_M + TITLES_U, key=lambda t: (-len(t), t)))
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{L}’'-]*\p{L}"
+# two letters at least, inner marks (O'Brien, Anna-Lena), d'Arcy, al-Rashid; a genitive 's is not of the name
+_NAME = r"(?:[dl]['’]|(?:al|el)-)?\p{Lu}(?:[\p{L}\p{M}]|(?!['’][sS](?!\p{L}))['’-](?=\p{L}))++"
+_INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.){0,4}"
+PARTICLES = "van von vom zu zum zur der den de del della di da do dos das du des la le el al bin ibn ben ter ten af av y".split()
+_BEFORE = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=lambda t: (-len(t), t)))}|{_INITIALS}|\p{{Lu}}) ){{0,6}}"
 
 # a domain has at most 127 labels; an open repetition would nest as deep as a text has dots
 EMAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+){1,126}"
@@ -48,10 +54,18 @@ IP = rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"
+GROUPED = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"
+ABROAD = r"(?<![0-9A-Za-z])\+[1-9](?:[ ./()-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])"
+# with a trunk 0 (030 123456, 01 23 45 67 89), nine digits or more and no date; or as 912 34 56 78
+NATIONAL = (r"(?<![0-9A-Za-z.,+-])(?!0[0-9][./-][0-9]{2}[./-][0-9]{4})(?=\(?[0-9](?:[ ./()-]{0,2}[0-9]){8,13}(?![0-9A-Za-z]))"
+            r"(?:\(0[0-9]{1,5}\) ?[0-9]{2,8}|0[0-9]{1,5}[ ./-][0-9]{2,8}|[6-9][0-9]{1,2}[ .-][0-9]{2,3}[ .-][0-9]{2}(?=[ .-][0-9]{2}(?![0-9])))"
+            r"(?:[ ./-][0-9]{2,8}){0,5}(?![0-9A-Za-z])")
+PHONE = "|".join([GROUPED, ABROAD, NATIONAL])
+# calling codes of countries: one, two or three digits
+COUNTRY = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 # the look-ahead rejects most places by one character before the titles are tried
 TITLED = rf"(?<![\p{{L}}0-9])(?=[{''.join(sorted({t[0] for t in TITLES_F + TITLES_M + TITLES_U}))}])(?:{_TITLE})\.? "
-PERSON = rf"{TITLED}{_NAME}(?: {_NAME}){{0,2}}"
+PERSON = rf"{TITLED}{_BEFORE}{_NAME}(?: {_BEFORE}{_NAME})*+"
 ENTITY = "|".join([EMAIL, IP, IBAN, SSN, CARD, PHONE, PERSON])
 
 # Common given names by script and gender, and syllables for family names by script.
@@ -94,9 +108,8 @@ def _script(word: Column) -> Column:
 
 def kind_of(match: Column) -> Column:
     """Which of the expressions made the match; each has a shape that the others lack."""
-    digits = F.length(F.regexp_replace(match, "[^0-9]", ""))
     return (F.when(match.contains("@"), "email")
-            .when(match.rlike(r"^[0-9]+(\.[0-9]+){3}$") & (digits < 13), "ip")
+            .when(match.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$"), "ip")
             .when(match.rlike("^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$"), "iban")
             .when(match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
             .when(match.rlike("^[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}$"), "card")
@@ -105,7 +118,7 @@ def kind_of(match: Column) -> Column:
 
 
 def _names(match: Column) -> Column:
-    """The capitalised names after the title."""
+    """The words after the title."""
     return F.split(F.regexp_replace(match, rf"^(?:{_TITLE})\.? ", ""), " ")
 
 
@@ -117,19 +130,22 @@ def _gender(match: Column) -> Column:
 def parts_of(match: Column) -> Column:
     """array<struct<kind,value>> of a match: kind in detail, canonical value."""
     kind = kind_of(match)
-    names = _names(match)
+    # bound once per match, as its words may be many
+    people = F.array(F.struct(_names(match).alias("words"), _gender(match).alias("gender")))
 
-    def name_part(word, i):
-        last = i == F.size(names) - 1
-        detail = F.when(last, F.concat(F.lit("family_"), _script(word))).otherwise(F.concat_ws("_", F.lit("given"), _script(word), _gender(match)))
-        return F.struct(detail.alias("kind"), F.lower(word).alias("value"))
+    def name_part(p, word, i):
+        detail = F.when(i == F.size(p["words"]) - 1, F.concat(F.lit("family_"), _script(word))).otherwise(F.concat_ws("_", F.lit("given"), _script(word), p["gender"]))
+        name = F.struct(detail.alias("kind"), F.lower(F.translate(word, "’", "'")).alias("value"))
+        own = F.when(word.isin(*PARTICLES), "particle").when(word.rlike(rf"^(?:{_INITIALS}|\p{{Lu}})$"), "initials")
+        return F.when(own.isNull(), name).otherwise(F.struct(own.alias("kind"), word.alias("value")))
 
+    named = F.transform(people, lambda p: F.transform(p["words"], lambda word, i: name_part(p, word, i)))[0]
     number = F.regexp_replace(match, "[^0-9]", "")
-    plus = F.regexp_extract(match, r"^\+([0-9]{1,3})[ .(-]", 1)
+    plus = F.when(match.startswith("+"), F.regexp_extract(number, COUNTRY, 1)).otherwise("")
     value = (F.when(kind == "email", F.lower(match)).when(kind == "ip", match).when(kind == "iban", F.regexp_replace(match, " ", ""))
              .when(kind == "phone", F.concat_ws("|", plus, F.substring(number, F.length(plus) + 1, F.length(number)))).otherwise(number))
     one = F.array(F.struct(kind.alias("kind"), value.alias("value")))
-    return F.when(kind == "person", F.transform(names, name_part)).otherwise(one).cast(PART)
+    return F.when(kind == "person", named).otherwise(one).cast(PART)
 
 
 # ---------------------------------------------------------------- surrogates of canonical values
@@ -282,7 +298,7 @@ def _spelled(match: Column, given: Column) -> Column:
 
 def matches(text: Column) -> Column:
     """All entity matches of a text; the cheap test first, because most texts have none."""
-    some = text.rlike("[0-9@]") | text.rlike(rf"{TITLED}\p{{Lu}}")
+    some = text.rlike("[0-9@]") | text.rlike(rf"{TITLED}{_BEFORE}(?:{_NAME})")
     return F.when(some, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
@@ -298,21 +314,29 @@ def replaced(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: s
     each = (marked.select(F.col(doc_id).alias("id"), F.col(hash_).alias("h"), F.posexplode(found).alias("i", "m"))
             .select("id", "h", "i", F.posexplode(parts_of(F.col("m"))).alias("j", "p")).select("id", "h", "i", "j", "p.*"))
     each = materialized(each.distinct())
+    # particles stay as they are, initials tell nobody apart: neither is an entity
+    between = F.col("kind").isin("particle", "initials")
+    initials = _shaped(F.col("value"), F.sha2(F.concat_ws("|", F.lit(key), "kind", "value"), 256))
+    others = each.filter(between).withColumn("surrogate", F.when(F.col("kind") == "particle", F.col("value")).otherwise(initials))
+    each = each.filter(~between)
     names = assigned(each.select("kind", "value"), key)
-    per_text = (each.join(names, ["kind", "value"]).groupBy("id", "h")
+    per_text = (each.join(names, ["kind", "value"]).unionByName(others).groupBy("id", "h")
                 .agg(F.array_sort(F.collect_list(F.struct("i", "j", "surrogate", "kind", "value"))).alias(parts)))
     per_text = per_text.withColumnsRenamed({"id": id2, "h": hash2})
     joined = marked.join(per_text, (F.col(hash_) == F.col(hash2)) & F.col(doc_id).eqNullSafe(F.col(id2))).drop(id2, hash2)
 
     # names that the text introduces with a title are replaced between the matches too, as whole words
     people = F.array_distinct(F.transform(F.filter(F.col(parts), lambda p: _pool(p["kind"]) == "name"),
-                                          lambda p: F.struct(F.initcap(p["value"]).alias("old"), p["surrogate"].alias("new"))))
+                                          lambda p: F.struct(p["value"].alias("old"), p["surrogate"].alias("new"))))
     who, fresh = free_name(joined, "people"), free_name(joined, "fresh_text")
     joined = joined.withColumn(who, people)
 
     def told_apart(gap):
-        return F.aggregate(who, gap, lambda t, p: F.regexp_replace(
-            t, F.concat(F.lit(r"(?<![\p{L}0-9-])\Q"), p["old"], F.lit(r"\E(?![\p{L}0-9-])")), p["new"]))
+        # a name has letters, hyphens and apostrophes only, so it is its own expression
+        word = lambda old: F.concat(F.lit(r"(?<![\p{L}\p{M}0-9-])"), F.regexp_replace(old, "'", "['’]"), F.lit(r"(?![\p{L}\p{M}0-9-])"))
+        loud = lambda t, p: F.regexp_replace(t, word(F.upper(p["old"])), F.upper(p["new"]))
+        start = F.lit(r"(?iu)(?=(?-i:(?:[dl]['’]|(?:al|el)-)?\p{Lu}))")
+        return F.aggregate(who, gap, lambda t, p: F.regexp_replace(loud(t, p), F.concat(start, word(p["old"])), p["new"]))
 
     def spelled(m, i):
         return _spelled(m, F.transform(F.filter(F.col(parts), lambda p: p["i"] == i), lambda p: p["surrogate"]))

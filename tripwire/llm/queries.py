@@ -14,6 +14,7 @@ from tripwire.llm.quality_classifier import op2_quality_classifier
 from tripwire.llm.quality_rules import op1_quality_rules
 from tripwire.llm.secret_scan import op7_secret_scan
 from tripwire.llm.simhash import op10_simhash
+from tripwire.llm.token_files import op12_token_files
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_simhash": op10_simhash,
+    "op12_token_files": op12_token_files,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tripwire.session import checkpoint_dir, materialized
 
-__all__ = ["SPACES", "crc_of_id", "free_name", "lower_terms", "lower_words", "materialized", "raw", "table", "written"]
+__all__ = ["SPACES", "crc_of_id", "free_name", "join_unique", "lower_terms", "lower_words", "materialized", "raw", "table", "written"]
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: They are exactly what bytes.split() and bytes.strip() treat as white space.
@@ -56,3 +56,15 @@ def free_name(df: DataFrame, want: str) -> str:
     while want.lower() in taken:
         want += "_"
     return want
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of unique keys, without a hot key: column n of `unique` says how many rows have the key.
+
+    Keys of over a thousandth of all `total` rows (fewer than a thousand of them, whatever the table) meet by broadcast,
+    all others by shuffle. Column n stays in the result.
+    """
+    hot = F.col(n) * 1000 > total
+    often = F.broadcast(unique.filter(hot))
+    return rows.join(often, keys).unionByName(
+        rows.join(F.broadcast(unique.filter(hot).select(*keys)), keys, "left_anti").join(unique.filter(~hot), keys))

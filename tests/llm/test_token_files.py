@@ -2,7 +2,7 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -40,20 +40,27 @@ ODD = ["a  b", " lead", "trail  ", "x \n y", "\n\n", "tab\t tab", "nb  x  y", "
        "<|endoftext|> end", "日本語 テキスト  x", "é́ ü ", "😀 😀‍", "a\r\n b", "1st ½ ²  3", "　全 角", "", None, " ", "  ", "\n a\n  b"]
 
 
+def encoded(encoder, texts):
+    ids, ends = encoder(pa.array(texts, pa.string()))
+    return [ids[a:z].tolist() + [T.END] for a, z in zip(ends[:-1], ends[1:])]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_stretches_equal_whole_texts(name):
+def test_words_equal_whole_texts(name):
     encoder = T.Encoder(name)
-    assert encoder.by_stretch == (name == "byte_bpe_50k.json")
-    for texts in (ODD, ODD[::-1]):
-        got = [np.frombuffer(x, "<u4").tolist() + [T.END] for x in encoder(texts)]
-        assert got == whole(texts, name)
+    assert encoder.by_word == (name == "byte_bpe_50k.json")
+    plain = ["one two", "it's  we'll", "a\nb c", "", " lead", "x \ny", "日本語 テキスト", "é́ ü", "two one one", "don't 'till \tx"]
+    for texts in (ODD, ODD[::-1], plain, plain + ODD, plain * 3, ["only"]):
+        assert encoded(encoder, texts) == whole(texts, name)
+    assert encoded(encoder, []) == []
 
 
 def test_memory_starts_anew(monkeypatch):
     monkeypatch.setattr(T, "REMEMBERED", 10)
     encoder = T.Encoder(T.VOCABULARY)
-    texts = [f"word{i} other{i % 3} w" for i in range(50)] * 2
-    assert [np.frombuffer(x, "<u4").tolist() + [T.END] for x in encoder(texts)] == whole(texts)
+    for i in range(20):
+        texts = [f"word{i} other{i % 3} w" for i in range(i, i + 5)] * 2
+        assert encoded(encoder, texts) == whole(texts)
 
 
 def test_edges(spark, make_docs, path):

@@ -19,9 +19,9 @@ Null texts are empty: their only id is the end id. Ids may repeat or be null (nu
 ordered by the hash of their text. Extra columns are left out unless named in `meta`, where names cannot clash.
 An empty table gives no rows. Texts are encoded whole, whatever their length.
 
-Encoding: the tokenizers library encodes every distinct stretch between white space once per worker, as long as the
-tokenizer is a byte-level BPE without normalizer, whose pieces never span the start of a run of spaces; any other
-tokenizer, and any text with rare white space, is encoded text by text. Strings of special tokens are ordinary text.
+Encoding: the tokenizers library encodes every distinct word, with the space before it, once per worker, as long as the
+tokenizer is a byte-level BPE without normalizer, which always starts a new piece at a space after a word; with any other
+tokenizer, and in texts with other white space, it encodes text by text. Strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -29,13 +29,14 @@ from __future__ import annotations
 import io
 import json
 import os
-import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -48,16 +49,22 @@ END = 2
 ROW_GROUP = 32 << 20
 PAGE = 128 << 10
 PAGE_ROWS = 2000
-#: Characters of distinct stretches that a worker remembers; beyond them it starts anew, which changes no result.
-REMEMBERED = 4 << 20
+#: Characters of distinct words that a worker remembers; beyond them it starts anew, which changes no result.
+REMEMBERED = 12 << 20
+#: Texts that a worker encodes at once.
+AT_ONCE = 2000
 
-_STRETCH = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+\Z")
-#: White space that is not ASCII, or that only some libraries count as such.
-_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Texts that are encoded whole: white space before a space, a space at the end, or white space that is not ASCII or that
+#: only some libraries count as such. In all others a space that follows a word starts a new piece of the tokenizer.
+_WHOLE = (r"[\t\n\x0b\x0c\r ] | $|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}"
+          r"\x{205f}\x{3000}\x{feff}]")
+
+#: Words that may be joined to one text: a space, then neither white space at once nor at the end.
+_JOINED = r"(?s)^ [^\t\n\x0b\x0c\r ](?:.*[^\t\n\x0b\x0c\r ])?$"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts; words that were met before are looked up."""
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -71,53 +78,102 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         parts = json.loads(self.tokenizer.to_str())
         pre = parts["pre_tokenizer"] or {}
-        self.by_stretch = (parts["normalizer"] is None and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout")
-                           and not pre.get("add_prefix_space") and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")))
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def __call__(self, texts: list) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        if not self.by_stretch:
-            return self._ids(texts)
-        out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if _RARE_SPACE.search(t)]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
-            out[i] = ids
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                stretches = _STRETCH.findall(t)
-                if self.held > REMEMBERED:
-                    self.known, self.held = {}, 0
-                new = [s for s in set(stretches) if s not in self.known]
-                self.held += sum(map(len, new))
-                self.known.update(zip(new, self._ids(new)))
-                out[i] = b"".join(map(self.known.__getitem__, stretches))
-        return out
+        self.by_word = (parts["normalizer"] is None and parts["model"]["type"] == "BPE" and not parts["model"].get("dropout")
+                        and not pre.get("add_prefix_space") and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")))
+        if self.by_word:  # byte-level tokens are spelt with one character a byte
+            vocabulary_ids = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.bytes_of_id = np.zeros(max(vocabulary_ids.values()) + 1, np.int64)
+            for token, i in vocabulary_ids.items():
+                self.bytes_of_id[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held, self.lists = 0, pa.array([], pa.list_(pa.int32()))
+
+    def _encoded(self, texts: list[str]) -> pa.ListArray:
+        """The ids of every text."""
+        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))))
+
+    def _encoded_words(self, words: list[str], sizes: np.ndarray) -> pa.ListArray:
+        """The ids of every word, each a space and at least one more character, neither last nor second white space.
+
+        Some hundred words at a time are one text: each starts a new piece, so an id's bytes tell its word. `sizes` are
+        the words' bytes.
+        """
+        flat = self._encoded(["".join(words[i:i + 256]) for i in range(0, len(words), 256)]).values.to_numpy()
+        ends = np.searchsorted(np.cumsum(self.bytes_of_id[flat]), np.cumsum(sizes)) + 1
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Places of the words in self.lists, after encoding those that are new."""
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            column = pa.array(new, pa.string())
+            joined = pc.match_substring_regex(column, _JOINED).to_numpy(zero_copy_only=False)
+            one, other = column.filter(pa.array(joined)), column.filter(pa.array(~joined)).to_pylist()
+            if len(one):
+                if other:
+                    new = one.to_pylist() + other
+                sizes = pc.binary_length(one).to_numpy()
+                self.lists = pa.concat_arrays([self.lists, self._encoded_words(new[:len(one)], sizes)])
+                self.held += int(sizes.sum())
+            if other:
+                self.lists = pa.concat_arrays([self.lists, self._encoded(other)])
+                self.held += sum(map(len, other))
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ends of the texts with 0 in front)."""
+        texts = pc.fill_null(texts, "")
+        whole = np.full(len(texts), True) if not self.by_word else pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        if whole.all():
+            found = self._encoded(texts.to_pylist())
+            return found.values.to_numpy(), found.offsets.to_numpy().astype(np.int64)
+        if whole.any():  # in the order of the texts again
+            some, ends_some = self(texts.filter(pa.array(whole)))
+            rest, ends_rest = self(texts.filter(pa.array(~whole)))
+            sizes = np.zeros(len(texts), np.int64)
+            sizes[whole], sizes[~whole] = np.diff(ends_some), np.diff(ends_rest)
+            out = np.zeros(int(sizes.sum()), np.int32)
+            of_whole = np.repeat(whole, sizes)
+            out[of_whole], out[~of_whole] = some, rest
+            return out, np.concatenate([[0], np.cumsum(sizes)])
+        if self.held > REMEMBERED:
+            self._forget()
+        split = pc.split_pattern(texts, " ")
+        words, start = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()), split.offsets.to_numpy()
+        start = start - start[0]
+        coded = words.dictionary_encode()
+        at = self._numbers([f" {w}" for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        at[start[:-1]] = self._numbers(words.take(pa.array(start[:-1])).to_pylist())  # no space before the first word
+        found = self.lists.take(pa.array(at))
+        return found.values.to_numpy(), found.offsets.to_numpy().astype(np.int64)[start]
 
 
 def _encoded(rows: DataFrame, key: str, vocabulary: str, end: int) -> DataFrame:
-    """Sorted partitions (doc_id, meta..., text) as rows of the file, with the running start of every document."""
+    """Sorted partitions (key, text, meta) as rows of the file, with the running start of every document."""
 
     def encode(batches):
         encoder, total, part = Encoder(vocabulary), 0, TaskContext.get().partitionId()
-        tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            ids = [x + tail for x in encoder(batch.column("text").to_pylist())]
-            sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            ends = np.cumsum(sizes)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            columns = {"part": pa.array(np.full(len(ids), part, np.int32)), "doc_id": batch.column(key),
-                       "start": pa.array(total + ends - sizes), "n_tokens": pa.array(sizes), "ids": lists}
-            if "meta" in batch.schema.names:
-                columns["meta"] = batch.column("meta")
-            total += int(ends[-1]) if len(ends) else 0
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            for at in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(at, AT_ONCE)
+                n = some.num_rows
+                ids, ends = encoder(some.column("text"))
+                ids = np.insert(ids, ends[1:], end)
+                ends = ends + np.arange(n + 1)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                columns = {"part": pa.array(np.full(n, part, np.int32)), "doc_id": some.column(key),
+                           "start": pa.array(total + ends[:-1]), "n_tokens": pa.array(np.diff(ends)), "ids": lists}
+                if "meta" in some.schema.names:
+                    columns["meta"] = some.column("meta")
+                total += int(ends[-1])
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = rows.schema[key].dataType.simpleString()
     meta = f", meta {rows.schema['meta'].dataType.simpleString()}" if "meta" in rows.columns else ""

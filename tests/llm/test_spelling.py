@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,27 +26,31 @@ def brute_counts(docs):
     return {w: k for w, k in n.items() if k >= 2}
 
 
-def distance_one(a, b):
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
-    return a[i + (len(a) == len(b)):] == b[i + 1:]
-
-
-def brute(counts):
-    """Near words by comparing each word with all words of its length and of one more (no signature of any kind)."""
+def near_words(counts):
+    """Every word against every word of its length and of one more, place by place (no signature of any kind)."""
     near = {w: [] for w in counts}
     size = {}
-    for w in counts:
+    for w in sorted(counts):
         size.setdefault(len(w), []).append(w)
-    for w in counts:
-        for o in size.get(len(w), []) + size.get(len(w) + 1, []):
-            if (len(o) > len(w) or o > w) and distance_one(w, o):
+    codes = {m: np.array([[ord(c) for c in w] for w in v], np.int32) for m, v in size.items()}
+    for m, v in size.items():
+        for at, w in enumerate(v):
+            own = codes[m][at]
+            same = np.nonzero((codes[m][at + 1:] != own).sum(axis=1) == 1)[0] + at + 1
+            found = [v[i] for i in same]
+            if m + 1 in size:  # equal before some place, and one further after it
+                long = codes[m + 1]
+                before = np.cumprod(long[:, :m] == own, axis=1).sum(axis=1)
+                after = np.cumprod((long[:, 1:] == own)[:, ::-1], axis=1).sum(axis=1)
+                found += [size[m + 1][i] for i in np.nonzero(before + after >= m)[0]]
+            for o in found:
                 near[w].append(o)
                 near[o].append(w)
-    form = {}
+    return near
+
+
+def brute(counts):
+    near, form = near_words(counts), {}
     for w, found in near.items():
         best = min(found, key=lambda o: (-counts[o], o), default=None)
         form[w] = best if best and counts[best] >= 10 * counts[w] else None
@@ -96,7 +101,7 @@ def test_edges(spark, make_docs):
              "x" * 7 + "÷×" + "y" * 7, "xxxxxxx÷×yyyyyyy"]
     rows = [(i if i != 2 else None, t) for i, t in enumerate(texts)] + [(5, texts[5])] * 3
     docs = make_docs(rows)
-    for name in ("word", "n", "i", "t", "key"):
+    for name in ("word", "n", "i", "t", "key", "m", "k", "own"):
         docs = docs.withColumn(name, F.lit("own"))
     got = rows_of(S.variants(S.word_counts(docs)))
     assert got == brute(brute_counts([("" if i is None else i, t) for i, t in rows]))

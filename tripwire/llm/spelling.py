@@ -1,17 +1,17 @@
 """Spelling variants of words: edit-distance-one join by asymmetric q-chunks, and the form that each variant stands for.
 
 Join. A word of m code points contributes two disjoint chunks of q = m // 2: the code points [0, q) and [q, 2q). A word
-of m or m + 1 code points contributes its positional q-grams. One edit touches at most one of the chunks, so the other
-one stands in the other word at most one place away: two words at distance one meet under (m, chunk, gram) when the
-gram's place is within one of the chunk's. Grams at places that no chunk comes within one of are never made, which
-keeps a word's rows constant in number and linear in size however long it is. Candidates are verified by the edit
-distance itself.
-
-Hot chunks. A key with more than `bucket` grams (a prefix that very many words share) is not paired: its members are
-joined under the key and, as well, the word with one code point taken out. Two words at distance one agree there: after
-a replacement both lack the same place, after an insertion the longer one without the inserted code point is the
-shorter one. So few words share such a key (the size of the alphabet) that its pairs are the near pairs. Nothing is
-capped; both ways find every pair, and candidates per word are bounded whatever the vocabulary.
+of m or m + 1 code points contributes its positional q-grams. One edit leaves a chunk whole, and moves it by one place
+at most: an edit at place q or later leaves the first chunk where it is; one before place q leaves the second, one place
+further if it inserted a code point. So two words at distance one meet under (m, chunk, gram), and as lengths tell the
+shift, the longer word makes only the grams that a chunk can meet: its rows are constant in number and linear in size
+however long it is. Candidates are verified by the edit distance itself.
+
+Hot chunks. A key with more than `bucket` rows (a prefix that very many words share) is not paired: its members are
+joined under the key and, as well, the word with one code point taken out, at the places where the edit must be when
+that chunk is whole. After a replacement both words lack the same place; after an insertion the longer one without the
+inserted code point is the shorter one. Few words share such a key (the size of the alphabet), and its pairs are the
+near pairs. Nothing is capped; both ways find every pair, and candidates per word are bounded whatever the vocabulary.
 
 Words of a table without any have no rows; null texts hold no words; a null id counts as the empty text. Repeated rows
 count as often as they stand there. Extra columns are ignored.
@@ -67,25 +67,16 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
 
 
 def _keys(words: DataFrame) -> DataFrame:
-    """(key, m, chunk, word, n): chunk rows (chunk true) and gram rows of every word."""
+    """(key, m, k, own, word, n): a row for each chunk (own: it is also a gram of words of that length) and longer word's gram."""
     size = F.length("word")
 
-    def key(m: Column, k: int, start: Column) -> Column:
-        return F.xxhash64(m, F.lit(k), F.substr(F.col("word"), start + 1, F.floor(m / 2).cast("int")))
+    def row(m: Column, k: int, shift: int) -> Column:
+        q = F.floor(m / 2).cast("int")
+        gram = F.substr(F.col("word"), q * k + shift + 1, q)
+        return F.struct(F.xxhash64(m, F.lit(k), gram).alias("key"), m.alias("m"), F.lit(k).alias("k"), (m == size).alias("own"))
 
-    def row(m: Column, k: int, start: Column, chunk: bool) -> Column:
-        return F.struct(key(m, k, start).alias("key"), m.alias("m"), F.lit(chunk).alias("chunk"))
-
-    rows = [row(size, k, F.floor(size / 2).cast("int") * k, True) for k in (0, 1)]
-    for longer in (0, 1):
-        m = size - longer
-        for k in (0, 1):
-            for shift in (-1, 0, 1):
-                start = F.floor(m / 2).cast("int") * k + shift
-                fits = (start >= 0) & (start + F.floor(m / 2).cast("int") <= size)
-                rows.append(F.when(fits, row(m, k, start, False)))
-    return (words.select("word", "n", F.explode(F.array(*rows)).alias("r")).filter(F.col("r").isNotNull())
-            .select("r.key", "r.m", "r.chunk", "word", "n").distinct())
+    rows = F.array(row(size, 0, 0), row(size, 1, 0), row(size - 1, 0, 0), row(size - 1, 1, 1))
+    return words.select("word", "n", F.explode(rows).alias("r")).select("r.*", "word", "n")
 
 
 def _without(i: Column) -> Column:
@@ -94,26 +85,27 @@ def _without(i: Column) -> Column:
 
 def near_pairs(words: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, na, b, nb): every unordered pair of words (word, n) at edit distance exactly one, once."""
-    rows = written(_keys(words), "spelling-keys")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows_of_key"), F.count_if(~F.col("chunk")).alias("grams")).filter("rows_of_key > 1")
-    sizes = written(sizes, "spelling-sizes")
-    total = rows.agg(F.count(F.lit(1))).first()[0]
+    rows = _keys(words)
+    sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows_of_key")).filter("rows_of_key > 1"), "spelling-sizes")
+    total = 4 * words.count()
     marked = written(join_unique(rows, sizes, ["key"], "rows_of_key", total), "spelling-marked")
 
     def met(found: DataFrame) -> DataFrame:
-        chunks = found.filter("chunk").select("key", F.col("word").alias("a"), F.col("n").alias("na"))
-        grams = found.filter("not chunk").select("key", F.col("word").alias("b"), F.col("n").alias("nb"))
-        first = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))  # of equal length: once, not both ways
+        chunks = found.filter("own").select("key", F.col("word").alias("a"), F.col("n").alias("na"))
+        grams = found.select("key", F.col("word").alias("b"), F.col("n").alias("nb"))
+        first = (F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
         return chunks.join(grams, "key").filter(first & (F.levenshtein("a", "b", 1) == 1)).select("a", "na", "b", "nb")
 
-    cold = met(marked.filter(F.col("grams") <= bucket))
-    hot = marked.filter(F.col("grams") > bucket)
-    size = F.length("word")
-    cuts = hot.withColumn("i", F.explode(F.sequence(F.lit(0), size - 1)))
-    # replaced: both without place i; inserted: the longer one without place i is the shorter one
-    replaced = cuts.filter(size == F.col("m")).withColumn("key", F.xxhash64("key", "i", _without(F.col("i"))))
-    inserted = (cuts.filter((size > F.col("m")) & ~F.col("chunk")).withColumn("key", F.xxhash64("key", F.lit(-1), _without(F.col("i"))))
-                .unionByName(hot.filter("chunk").withColumn("key", F.xxhash64("key", F.lit(-1), F.col("word"))).withColumn("i", F.lit(-1))))
+    cold = met(marked.filter(F.col("rows_of_key") <= bucket))
+    hot = marked.filter(F.col("rows_of_key") > bucket)
+    # places of the edit when the first or the second chunk is whole
+    q = F.floor(F.col("m") / 2).cast("int")
+    longer = (~F.col("own")).cast("int")
+    places = F.when(F.col("k") == 0, F.sequence(q, F.length("word") - 1)).otherwise(F.sequence(F.lit(0), q - 1 + longer))
+    cuts = hot.withColumn("i", F.explode(places))
+    replaced = cuts.filter("own").withColumn("key", F.xxhash64("key", "i", _without(F.col("i"))))
+    inserted = (cuts.filter("not own").withColumn("key", F.xxhash64("key", F.lit(-1), _without(F.col("i")))).drop("i")
+                .unionByName(hot.filter("own").withColumn("key", F.xxhash64("key", F.lit(-1), F.col("word")))))
     return cold.unionByName(met(replaced)).unionByName(met(inserted)).distinct()
 
 

@@ -50,7 +50,7 @@ ROW_GROUP = 32 << 20
 PAGE = 128 << 10
 PAGE_ROWS = 2000
 #: Characters of distinct words that a worker remembers; beyond them it starts anew, which changes no result.
-REMEMBERED = 12 << 20
+REMEMBERED = 6 << 20
 #: Texts that a worker encodes at once.
 AT_ONCE = 2000
 

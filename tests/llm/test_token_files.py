@@ -1,3 +1,4 @@
+import random
 import uuid
 import zlib
 
@@ -55,12 +56,11 @@ def test_words_equal_whole_texts(name):
     assert encoded(encoder, []) == []
 
 
-def test_memory_starts_anew(monkeypatch):
-    monkeypatch.setattr(T, "REMEMBERED", 10)
+def test_many_distinct_words_are_told_apart():
     encoder = T.Encoder(T.VOCABULARY)
-    for i in range(20):
-        texts = [f"word{i} other{i % 3} w" for i in range(i, i + 5)] * 2
-        assert encoded(encoder, texts) == whole(texts)
+    rnd = random.Random(1)
+    texts = [" ".join("".join(rnd.choices("abcé'\u65e5.,7", k=rnd.randint(1, 9))) for _ in range(300)) for _ in range(20)]
+    assert encoded(encoder, texts) == whole(texts)
 
 
 def test_edges(spark, make_docs, path):

@@ -19,8 +19,8 @@ Null texts are empty: their only id is the end id. Ids may repeat or be null (nu
 ordered by the hash of their text. Extra columns are left out unless named in `meta`, where names cannot clash.
 An empty table gives no rows. Texts are encoded whole, whatever their length.
 
-Encoding: the tokenizers library encodes every distinct word, with the space before it, once per worker, as long as the
-tokenizer is a byte-level BPE without normalizer, which always starts a new piece at a space after a word; with any other
+Encoding: the tokenizers library encodes every distinct word of a batch of texts once, with the space before it, as long as
+the tokenizer is a byte-level BPE without normalizer, which always starts a new piece at a space after a word; with any other
 tokenizer, and in texts with other white space, it encodes text by text. Strings of special tokens are ordinary text.
 """
 
@@ -49,22 +49,20 @@ END = 2
 ROW_GROUP = 32 << 20
 PAGE = 128 << 10
 PAGE_ROWS = 2000
-#: Characters of distinct words that a worker remembers; beyond them it starts anew, which changes no result.
-REMEMBERED = 6 << 20
-#: Texts that a worker encodes at once.
-AT_ONCE = 2000
+#: Distinct words that the library encodes as one text.
+TOGETHER = 256
 
 #: Texts that are encoded whole: white space before a space, a space at the end, or white space that is not ASCII or that
 #: only some libraries count as such. In all others a space that follows a word starts a new piece of the tokenizer.
 _WHOLE = (r"[\t\n\x0b\x0c\r ] | $|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}"
           r"\x{205f}\x{3000}\x{feff}]")
 
-#: Words that may be joined to one text: a space, then neither white space at once nor at the end.
-_JOINED = r"(?s)^ [^\t\n\x0b\x0c\r ](?:.*[^\t\n\x0b\x0c\r ])?$"
+#: Words that may be joined to one text: neither empty nor with white space at an end.
+_JOINED = r"(?s)^[^\t\n\x0b\x0c\r ](?:.*[^\t\n\x0b\x0c\r ])?$"
 
 
 class Encoder:
-    """Ids of whole texts; words that were met before are looked up."""
+    """Ids of whole texts; a batch's distinct words are encoded once."""
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -85,11 +83,6 @@ class Encoder:
             self.bytes_of_id = np.zeros(max(vocabulary_ids.values()) + 1, np.int64)
             for token, i in vocabulary_ids.items():
                 self.bytes_of_id[i] = len(token)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.held, self.lists = 0, pa.array([], pa.list_(pa.int32()))
 
     def _encoded(self, texts: list[str]) -> pa.ListArray:
         """The ids of every text."""
@@ -97,35 +90,21 @@ class Encoder:
         ends = np.cumsum([0, *map(len, found)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))))
 
-    def _encoded_words(self, words: list[str], sizes: np.ndarray) -> pa.ListArray:
-        """The ids of every word, each a space and at least one more character, neither last nor second white space.
+    def _after_space(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """The ids of distinct words with a space before each, and every word's place among them.
 
-        Some hundred words at a time are one text: each starts a new piece, so an id's bytes tell its word. `sizes` are
-        the words' bytes.
+        Some hundred words at a time are one text: each starts a new piece, so an id's bytes tell its word.
         """
-        flat = self._encoded(["".join(words[i:i + 256]) for i in range(0, len(words), 256)]).values.to_numpy()
+        joined = pc.match_substring_regex(words, _JOINED).to_numpy(zero_copy_only=False)
+        plain, other = words.filter(pa.array(joined)), words.filter(pa.array(~joined)).to_pylist()
+        groups = pa.ListArray.from_arrays(pa.array([*range(0, len(plain), TOGETHER), len(plain)], pa.int32()), plain)
+        flat = self._encoded([f" {t}" for t in pc.binary_join(groups, " ").to_pylist()]).values.to_numpy()
+        sizes = pc.binary_length(plain).to_numpy().astype(np.int64) + 1
         ends = np.searchsorted(np.cumsum(self.bytes_of_id[flat]), np.cumsum(sizes)) + 1
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Places of the words in self.lists, after encoding those that are new."""
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            column = pa.array(new, pa.string())
-            joined = pc.match_substring_regex(column, _JOINED).to_numpy(zero_copy_only=False)
-            one, other = column.filter(pa.array(joined)), column.filter(pa.array(~joined)).to_pylist()
-            if len(one):
-                if other:
-                    new = one.to_pylist() + other
-                sizes = pc.binary_length(one).to_numpy()
-                self.lists = pa.concat_arrays([self.lists, self._encoded_words(new[:len(one)], sizes)])
-                self.held += int(sizes.sum())
-            if other:
-                self.lists = pa.concat_arrays([self.lists, self._encoded(other)])
-                self.held += sum(map(len, other))
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+        at = np.empty(len(words), np.int64)
+        at[joined], at[~joined] = np.arange(len(plain)), np.arange(len(plain), len(words))
+        return pa.concat_arrays([lists, self._encoded([f" {w}" for w in other])]), at
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ends of the texts with 0 in front)."""
@@ -143,15 +122,14 @@ class Encoder:
             of_whole = np.repeat(whole, sizes)
             out[of_whole], out[~of_whole] = some, rest
             return out, np.concatenate([[0], np.cumsum(sizes)])
-        if self.held > REMEMBERED:
-            self._forget()
         split = pc.split_pattern(texts, " ")
-        words, start = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()), split.offsets.to_numpy()
-        start = start - start[0]
+        words, start = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = words.dictionary_encode()
-        at = self._numbers([f" {w}" for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
-        at[start[:-1]] = self._numbers(words.take(pa.array(start[:-1])).to_pylist())  # no space before the first word
-        found = self.lists.take(pa.array(at))
+        lists, place = self._after_space(coded.dictionary)
+        first = words.take(pa.array(start[:-1])).dictionary_encode()  # no space before a text's first word
+        at = place[coded.indices.to_numpy()]
+        at[start[:-1]] = len(lists) + first.indices.to_numpy()
+        found = pa.concat_arrays([lists, self._encoded(first.dictionary.to_pylist())]).take(pa.array(at))
         return found.values.to_numpy(), found.offsets.to_numpy().astype(np.int64)[start]
 
 
@@ -161,19 +139,17 @@ def _encoded(rows: DataFrame, key: str, vocabulary: str, end: int) -> DataFrame:
     def encode(batches):
         encoder, total, part = Encoder(vocabulary), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                some = batch.slice(at, AT_ONCE)
-                n = some.num_rows
-                ids, ends = encoder(some.column("text"))
-                ids = np.insert(ids, ends[1:], end)
-                ends = ends + np.arange(n + 1)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                columns = {"part": pa.array(np.full(n, part, np.int32)), "doc_id": some.column(key),
-                           "start": pa.array(total + ends[:-1]), "n_tokens": pa.array(np.diff(ends)), "ids": lists}
-                if "meta" in some.schema.names:
-                    columns["meta"] = some.column("meta")
-                total += int(ends[-1])
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            n = batch.num_rows
+            ids, ends = encoder(batch.column("text"))
+            ids = np.insert(ids, ends[1:], end)
+            ends = ends + np.arange(n + 1)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            columns = {"part": pa.array(np.full(n, part, np.int32)), "doc_id": batch.column(key),
+                       "start": pa.array(total + ends[:-1]), "n_tokens": pa.array(np.diff(ends)), "ids": lists}
+            if "meta" in batch.schema.names:
+                columns["meta"] = batch.column("meta")
+            total += int(ends[-1])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = rows.schema[key].dataType.simpleString()
     meta = f", meta {rows.schema['meta'].dataType.simpleString()}" if "meta" in rows.columns else ""

@@ -130,6 +130,37 @@ def test_hot_length_is_cut_by_hash(make_docs):
     assert M.mixed(make_docs(docs), buckets=1).filter("source = 's'").agg(F.sum("taken")).first()[0] == sum(r.taken for r in own)
 
 
+def test_columns_named_like_internal_ones(make_docs):
+    docs = make_docs([(i, "a b c" if i % 3 else "d e", "s" if i % 2 else "t") for i in range(60)])
+    names = ["mix_key", "mix_size", "mix_hash", "mix_cut", "mix_need", "mix_row", "mix_order", "mix_extra", "mix_copies", "mix_target",
+             "mix_source_size", "mix_bucket", "key", "n", "w", "limit", "level", "fixed", "c0", "upto", "inside", "cut", "size", "taken"]
+    plain = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in M.mixed(docs).collect()}
+    for c in names:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    out = M.mixed(docs)
+    assert out.columns == [*docs.columns, "size_", "source_size", "target", "taken_"]
+    for r in out.collect():
+        assert (r.size_, r.source_size, r.target, r.taken_) == plain[r.doc_id] and all(r[c] == f"own {c}" for c in names)
+
+
+@pytest.mark.parametrize("dp_words", [0, 3, 40, 1 << 16])
+def test_one_rule_at_every_size(dp_words):
+    """Whatever part of the budget the programme sees, taking shares back never ends further from the target."""
+    rnd = random.Random(dp_words)
+    for _ in range(200):
+        counts = {rnd.randint(1, 60): rnd.randint(1, 30) for _ in range(rnd.randint(1, 6))}
+        total = sum(s * n for s, n in counts.items())
+        budget = rnd.randint(0, total - 1)
+        _, take = M.fit(counts, budget, 3, dp_words)
+        used = sum(s * n for s, n in take.items())
+        if dp_words >= total:
+            reach = 1
+            for s, n in counts.items():
+                for _ in range(n):
+                    reach |= reach << s
+            assert abs(used - budget) == min(abs(i - budget) for i in range(total + 1) if reach >> i & 1)
+
+
 def test_empty_tables(make_docs):
     assert M.mixed(make_docs([])).count() == 0
     assert [r.taken for r in M.mixed(make_docs([None, ""])).collect()] == [0, 0]

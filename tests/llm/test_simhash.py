@@ -114,6 +114,38 @@ def test_edges(make_docs):
         [(3, " \n"), (7, words), (-1, "only here"), (11, "two words"), (12, "x " * 60_000)])
 
 
+def test_one_row_of_every_group_also_where_groups_share_an_id(spark, make_docs):
+    a, b = ("alpha beta gamma " * 9).strip(), " ".join(f"other{i}" for i in range(40))
+    docs = make_docs([(1, a), (1, b), (2, a), (3, b)])
+    assert sorted((r.doc_id, r.text) for r in S.one_per_group(docs).collect()) == [(1, a), (1, b)]
+    docs = make_docs([(5, a), (2, b), (2, a), (5, b), (None, "alone"), (5, "alone too")])
+    assert sorted((r.doc_id or 0, r.text) for r in S.one_per_group(docs).collect()) == sorted(
+        [(2, a), (2, b), (0, "alone"), (5, "alone too")])
+
+
+def test_copies_of_one_row_and_reruns(spark, make_docs):
+    """Rows of one id and text that differ elsewhere: one stays, the same one in every run and partitioning."""
+    docs = make_docs([(1, "the same text here")] * 50 + [(i, f"own words of {i} alone {i * 7}") for i in range(2, 40)])
+    docs = docs.withColumn("source", F.concat(F.lit("s"), F.monotonically_increasing_id().cast("string")))
+    once = spark.createDataFrame(docs.collect(), docs.schema)
+    kept = [sorted(map(tuple, S.one_per_group(once.repartition(n)).collect())) for n in (1, 5)]
+    assert kept[0] == kept[1] and len({r[0] for r in kept[0]}) == len(kept[0])
+
+
+NAMES = ["row", "id", "hash", "keep_id", "keep_hash", "n", "fp", "fingerprint_", "text_hash_", "text_", "group_", "component_",
+         "key_of_row", "row_of_id", "root", "v", "c0", "c1"]
+
+
+def test_columns_named_like_internal_ones(make_docs):
+    docs = make_docs([(1, "one two three four"), (2, "one two three four"), (3, "five six seven")])
+    for c in NAMES:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    kept = S.one_per_group(docs)
+    assert kept.columns == docs.columns
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [1, 3]
+    assert all(r[c] == f"own {c}" for r in kept.collect() for c in NAMES)
+
+
 def test_empty_table(make_docs):
     assert S.near_duplicates(make_docs([]).select("doc_id", "text")).count() == 0
     assert S.one_per_group(make_docs([])).count() == 0

@@ -104,25 +104,29 @@ def _words(take: dict[int, int]) -> int:
 def fit(counts: dict[int, int], budget: int, most: int = MOST, dp_words: int = DP_WORDS) -> tuple[int, dict[int, int]]:
     """(whole copies of every document, further documents by length) whose words come to the budget.
 
-    Where equal shares by length leave a gap and the whole remaining budget fits the programme, the
-    programme over all lengths is tried too: a small source may need other shares to come near.
+    Where equal shares by length and the programme leave a gap, the last `dp_words` words of the shares (all of them, if
+    they are fewer) are taken back and fitted by the programme too, and the nearer of both choices stays.
     """
     total = _words(counts)
     if total == 0:
         return 0, {}
     copies, rest = divmod(min(budget, most * total), total)
-    take = {size: n * rest // total for size, n in counts.items() if size > 0}
-    open_words = rest - _words(take)
-    for size in sorted(take, reverse=True):
-        more = min(counts[size] - take[size], max(0, open_words - dp_words) // size)
-        take[size] += more
-        open_words -= more * size
-    for size, n in knapsack(open_words, {s: counts[s] - n for s, n in take.items() if counts[s] > n}).items():
-        take[size] += n
-    if _words(take) != rest and rest <= dp_words:
-        other = knapsack(rest, {s: n for s, n in counts.items() if s > 0})
-        if abs(_words(other) - rest) < abs(_words(take) - rest):
-            take = other
+
+    def fitted(shared: int) -> dict[int, int]:
+        """Equal shares of about `shared` words, the words that are then open by the programme."""
+        take = {size: n * shared // total for size, n in counts.items() if size > 0}
+        open_words = rest - _words(take)
+        for size in sorted(take, reverse=True):
+            more = min(counts[size] - take[size], max(0, open_words - dp_words) // size)
+            take[size] += more
+            open_words -= more * size
+        for size, n in knapsack(open_words, {s: counts[s] - n for s, n in take.items() if counts[s] > n}).items():
+            take[size] += n
+        return take
+
+    take = fitted(rest)
+    if _words(take) != rest:
+        take = min(take, fitted(max(0, rest - dp_words)), key=lambda t: abs(_words(t) - rest))
     return copies, take
 
 
@@ -148,10 +152,12 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     `size` is the document's word count where the caller has it already, else counted from `text`.
     """
     names = [free_name(docs, n) for n in ("size", "source_size", "target", "taken")]
-    sized = docs.withColumns({
-        "mix_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")),
-        "mix_size": F.coalesce(word_count() if size is None else size, F.lit(0)).cast("long"),
-        "mix_hash": F.xxhash64("doc_id", F.lit(seed))})
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])  # no name of docs can clash
+    sized = docs.select(
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("mix_key"), F.col("source"),
+        F.coalesce(word_count() if size is None else size, F.lit(0)).cast("long").alias("mix_size"),
+        F.xxhash64("doc_id", F.lit(seed)).alias("mix_hash"),
+        F.struct(*[F.col(c) for c in ("doc_id", "text") if c in docs.columns]).alias("mix_order"), whole.alias("mix_row"))
     return _taken(sized, docs.columns, names, weights, most, buckets, dp_words)
 
 
@@ -174,14 +180,13 @@ def _taken(sized: DataFrame, columns: list[str], names: list[str], weights, most
 
     # the bucket of the cut is a key of the second join, so a length that holds many rows is spread
     rows = sized.join(plan, ["mix_key", "mix_size"])
-    order = ["mix_hash", *(c for c in ("doc_id", "text") if c in columns)]
-    rank = F.row_number().over(Window.partitionBy("mix_key", "mix_size").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("mix_key", "mix_size").orderBy("mix_hash", "mix_order"))
     split = (bucket == F.col("mix_cut")) & (F.col("mix_need") > 0)
     away = rows.filter(~split).withColumn("mix_extra", (bucket < F.col("mix_cut")).cast("int"))
     near = rows.filter(split).withColumn("mix_extra", (rank <= F.col("mix_need")).cast("int"))
     size, source_size, target, taken = names
     return away.unionByName(near).select(
-        *[F.col(f"`{c}`") for c in columns], F.col("mix_size").alias(size), F.col("mix_source_size").alias(source_size),
+        *[F.col(f"mix_row.c{i}").alias(c) for i, c in enumerate(columns)], F.col("mix_size").alias(size), F.col("mix_source_size").alias(source_size),
         F.col("mix_target").alias(target), ((F.col("mix_copies") + F.col("mix_extra")) * F.col("mix_size")).alias(taken))
 
 

@@ -17,8 +17,8 @@ member, never as all pairs. Components grow by label propagation with pointer ju
 written to the shared checkpoint folder.
 
 Null and empty texts have fingerprint zero and are linked like any other; ids may repeat or be null
-(null is never the smallest id of a component that has another one). Extra columns pass through
-`near_duplicates`.
+(null is never the smallest id of a component that has another one). `near_duplicates` leaves extra
+columns out, `one_per_group` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tripwire.llm.common import free_name, lower_words, materialized, table
+from tripwire.llm.common import lower_words, materialized, table
 
 SEED = 42
 SHINGLE = 3
@@ -234,15 +234,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """docs without texts, with `fingerprint_` (signed 64 bits), `group_` and `component_` (smallest id of the group).
+    """(doc_id, fingerprint_: signed 64 bits, text_hash_, group_, component_: smallest id of the group), a row per row of docs.
 
     Only ids and fingerprints are shuffled. The fingerprints of all rows are computed once and written
     to the shared folder; copies of one fingerprint are merged before any candidate is made.
     """
-    marked = materialized(with_fingerprint(docs, text, "fingerprint_", shingle)
-                          .withColumn("text_hash_", F.xxhash64(text)).drop(text))
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text_"))
+    marked = materialized(with_fingerprint(own, "text_", "fingerprint_", shingle)
+                          .withColumn("text_hash_", F.xxhash64("text_")).drop("text_"))
     groups = materialized(marked.groupBy(F.col("fingerprint_").alias("fp"))
-                          .agg(F.min(doc_id).alias("first"), F.count(F.lit(1)).alias("n")))
+                          .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     edges = materialized(star_edges(groups, radius, bucket))
     roots = components(edges)
     linked = groups.join(roots, groups.fp == roots.v).groupBy("root").agg(F.min("first").alias("comp"))
@@ -259,25 +260,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of every linked group, columns unchanged: the one with the smallest id.
+    """One row of every linked group, columns unchanged: the one with the smallest (id, text hash), null ids last.
 
-    Of several rows with that id one stays; a group without any id keeps the row whose text hash is
-    smallest. The search shuffles ids and fingerprints only; the texts come from a second read of
-    `docs`, which a single shuffle by id serves for both the join and the choice among equal ids.
+    Ids may be shared by rows of different groups: a group's row is named by its id and text hash together, and rows that
+    agree in both have one text and so one group. Of those the row with the smallest hash over all columns stays, so
+    reruns agree. The search shuffles ids and fingerprints only; the texts come from a second read of `docs`, which one
+    shuffle by id and hash serves for both the join and the choice among copies. Copies of one id and text that are over
+    a thousandth of all rows are found by broadcast (fewer than a thousand of them) and reduced before they are shuffled.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle=shingle, radius=radius)
-    row = free_name(docs, "row_of_id")
-
-    def first_of(rows: DataFrame, key) -> DataFrame:
-        return (rows.groupBy(key.alias("key_of_row"))
-                .agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row)).select(f"{row}.*"))
-
-    keep = groups.filter(F.col("doc_id") == F.col("component_")).select(F.col("doc_id").alias("keep_id")).distinct()
-    with_id = docs.join(keep, docs["doc_id"] == keep["keep_id"], "left_semi")
-    bare = groups.filter(F.col("component_").isNull()).groupBy("group_").agg(F.min("text_hash_").alias("keep_hash"))
-    hashed = F.xxhash64(docs["text"])
-    without = docs.filter(docs["doc_id"].isNull()).join(bare.select("keep_hash"), hashed == F.col("keep_hash"), "left_semi")
-    return first_of(with_id, F.col("doc_id")).unionByName(first_of(without, F.xxhash64("text")))
+    groups = near_duplicates(docs, shingle=shingle, radius=radius)
+    copies = groups.groupBy("group_", "doc_id", "text_hash_").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash_", "n")).alias("row")
+    keep = materialized(copies.groupBy("group_").agg(first).select(
+        F.col("row.doc_id").alias("keep_id"), F.col("row.text_hash_").alias("keep_hash"), F.col("row.n").alias("n")))
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), whole.alias("row"))
+    hot = F.col("n") * 1000 > groups.count()
+
+    def chosen(names: DataFrame) -> DataFrame:
+        same = rows["id"].eqNullSafe(F.col("keep_id")) & (rows["hash"] == F.col("keep_hash"))
+        return rows.join(names, same, "left_semi").groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+
+    both = chosen(keep.filter(~hot)).unionByName(chosen(F.broadcast(keep.filter(hot))))
+    return both.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -5,94 +5,169 @@ least `interval` has passed since the last *notified* breach. The notified set i
 first -> next(first) -> next(next(first)) ..., where next(e) is the first breach at or after
 e.ts + interval. With an interval of zero every breach is notified.
 
-One path for every key, long or short:
-1. next(e) is an as-of (forward) join computed inside (key, time bucket) partitions, with a
-   per-bucket summary for probes whose answer lies in a later bucket;
-2. the chain grows by pointer doubling: round k adds what lies 2^k steps after the part known
-   so far, and J_{k+1} = J_k o J_k is a self-join on the unique (key, event id) pair, so a hot
-   key spreads over all tasks. It ends at the fixpoint, when a round adds nothing.
-Each round is checkpointed to the cluster checkpoint directory (reliable, lineage cut).
+One path for every key and interval, linear in the rows:
+1. rows are range-partitioned by (key, time, id), so ranges hold about equally many rows however
+   they fall on keys, and sorted. One pass over a range walks the chain of every key from its first
+   row there. For a key that enters or leaves the range, the pass also notes for each row where the
+   chain through it leaves: the time `out` from which the next breach is notified.
+2. A key that fills several ranges (at most one enters and one leaves each of them) is a chain of
+   exits: `out` -> first row at or after it -> that row's own `out`. Distinct exits are resolved by
+   a backward merge (`next_at_or_after`) and the chain of exits grows by pointer doubling; it has no
+   more links than the key has ranges.
+3. Where the chain enters a range, the walk of step 1 is repeated from the entered row.
+Results between steps go to the shared checkpoint folder. The walk is sequential by nature, so it
+runs over Arrow columns in tasks; a task holds the keys, times and ids of one range.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tripwire.session import checkpoint_dir
+from tripwire.operators.segments import SEG, cut, inside, with_carry
+from tripwire.session import materialized
 
 
-def _bucket(c, width_us: int):
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(width_us)).cast("bigint")
-
-
-def next_at_or_after(events: DataFrame, key: str, ts: str, eid: str, offset: dt.timedelta,
-                     bucket: dt.timedelta | None = None) -> DataFrame:
+def next_at_or_after(events: DataFrame, key: str, ts: str, eid: str, offset: dt.timedelta, ranges: int | None = None) -> DataFrame:
     """For each event: the first event of the same key with time >= event time + offset.
 
     Returns (key, src_id, src_ts, dst_id, dst_ts); dst is NULL when there is none.
     """
-    width = int((bucket or max(offset, dt.timedelta(hours=1))).total_seconds() * 1_000_000)
-    ev = events.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(eid).alias("_id"))
-    probes = ev.select("_k", (F.col("_ts") + F.lit(offset)).alias("_t"), F.lit(0).alias("_kind"),
-                       F.col("_id").alias("_src"), F.col("_ts").alias("_src_ts"),
-                       F.lit(None).cast(ev.schema["_ts"].dataType).alias("_pt"),
-                       F.lit(None).cast(ev.schema["_id"].dataType).alias("_pid"))
-    points = ev.select("_k", F.col("_ts").alias("_t"), F.lit(1).alias("_kind"),
-                       F.lit(None).cast(ev.schema["_id"].dataType).alias("_src"),
-                       F.lit(None).cast(ev.schema["_ts"].dataType).alias("_src_ts"),
-                       F.col("_ts").alias("_pt"), F.col("_id").alias("_pid"))
-    u = probes.unionByName(points).withColumn("_bk", _bucket(F.col("_t"), width))
-    w = Window.partitionBy("_k", "_bk").orderBy("_t", "_kind", "_pid").rowsBetween(0, Window.unboundedFollowing)
-    pt = F.when(F.col("_kind") == 1, F.struct(F.col("_pt").alias("t"), F.col("_pid").alias("id")))
-    u = u.withColumn("_nx", F.first(pt, ignorenulls=True).over(w)).filter(F.col("_kind") == 0)
-    found = u.filter(F.col("_nx").isNotNull())
-    missing = u.filter(F.col("_nx").isNull())
-    # probes without an answer in their bucket: first event of the next non-empty bucket
-    firsts = ev.groupBy("_k", _bucket(F.col("_ts"), width).alias("_bk")).agg(
-        F.min(F.struct(F.col("_ts").alias("t"), F.col("_id").alias("id"))).alias("_first"))
-    # a bucket's own summary sorts before its ask, so an ask only sees strictly later buckets
-    asks = missing.select("_k", "_bk").distinct().select("_k", "_bk", F.lit(1).alias("_kind"),
-                                                          F.lit(None).cast(firsts.schema["_first"].dataType).alias("_first"))
-    have = firsts.select("_k", "_bk", F.lit(0).alias("_kind"), "_first")
-    w2 = Window.partitionBy("_k").orderBy("_bk", "_kind").rowsBetween(1, Window.unboundedFollowing)
-    later = asks.unionByName(have).withColumn("_later", F.first("_first", ignorenulls=True).over(w2)).filter(
-        F.col("_kind") == 1).select("_k", "_bk", "_later")
-    resolved = missing.join(later, ["_k", "_bk"], "left").withColumn("_nx", F.col("_later")).drop("_later")
-    out = found.unionByName(resolved)
-    return out.select(F.col("_k").alias(key), F.col("_src").alias("src_id"), F.col("_src_ts").alias("src_ts"),
-                      F.col("_nx.id").alias("dst_id"), F.col("_nx.t").alias("dst_ts"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Materialize and cut lineage in the shared checkpoint directory (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def suppress_replay(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta) -> DataFrame:
+    probes = events.select(F.col(key).alias("k"), (F.col(ts) + F.lit(offset)).alias("t"),
+                           F.struct(F.col(eid).alias("src_id"), F.col(ts).alias("src_ts")).alias("probe"))
+    points = events.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.struct(F.col(ts).alias("t"), F.col(eid).alias("id")).alias("point"))
+    found = first_at_or_after(probes, points, ranges)
+    return found.select(F.col("k").alias(key), "probe.src_id", "probe.src_ts", F.col("point.id").alias("dst_id"), F.col("point.t").alias("dst_ts"))
+
+
+def first_at_or_after(probes: DataFrame, points: DataFrame, ranges: int | None = None) -> DataFrame:
+    """probes (k, t, probe) with the smallest `point` (k, t, point) at the least time t >= the probe's; NULL if there is none.
+
+    A merge of both sides by (key, time), scanned from the end: each probe takes the last point seen. Ranges hold equal
+    row counts and hand their first point to the ranges before them, so neither a hot key nor a dense hour is one task.
+    """
+    none = F.lit(None)
+    u = (probes.select("k", "t", "probe", F.lit(0).alias("side"), none.cast(points.schema["point"].dataType).alias("point"))
+         .unionByName(points.select("k", "t", none.cast(probes.schema["probe"].dataType).alias("probe"), F.lit(1).alias("side"), "point")))
+    rows = cut(u, ["k"], ["t", "side", "point"], ranges)
+    back = inside(["k"], F.col("t").desc(), F.col("side").desc(), F.col("point").desc())
+    rows = rows.withColumn("near", F.last("point", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = with_carry(rows, ["k"], {"first": F.min_by("point", F.when(F.col("side") == 1, F.struct("t", "point")))},
+                      {"later": F.last("first", ignorenulls=True)}, later=True)
+    return rows.filter("side = 0").select("k", "t", "probe", F.coalesce("near", "later").alias("point"))
+
+
+def chain_of(t: np.ndarray, interval: int, exits: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(rows on the chain from the first row; for every row the time from which its chain continues after the last row)."""
+    n = len(t)
+    following = np.searchsorted(t, t + interval, "left")
+    on = np.zeros(n, bool)
+    step, at = following.tolist(), 0
+    while at < n:
+        on[at] = True
+        at = step[at]
+    if not exits:
+        return on, None
+    out = (t + interval).tolist()
+    for i in range(n - 1, -1, -1):
+        if step[i] < n:
+            out[i] = out[step[i]]
+    return on, np.array(out, np.int64)
+
+
+def _walked(rows: DataFrame, interval: int, run: list[str], edges: bool) -> DataFrame:
+    """Sorted partitions of rows (run columns, k, t, id, ts): rows on the chain of their run, and with `edges` all rows of
+    the first and last run of the partition: (seg, edge, k, t, id, ts, sent, out)."""
+
+    def walk(batches):
+        held = list(batches)
+        if not held:
+            return
+        held = pa.Table.from_batches(held).combine_chunks()
+        n = held.num_rows
+        if not n:
+            return
+        new = np.zeros(n, bool)
+        for c in run:
+            codes = held.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), n]
+        t = held.column("t").to_numpy()
+        sent, edge, out = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
+        for a, z in zip(starts[:-1], starts[1:]):
+            at_edge = edges and (a == 0 or z == n)
+            sent[a:z], exits = chain_of(t[a:z], interval, at_edge)
+            if at_edge:
+                edge[a:z], out[a:z] = True, exits
+        take = np.flatnonzero(sent | edge)
+        part = held.take(pa.array(take))
+        seg = np.full(len(take), TaskContext.get().partitionId(), np.int32)
+        names = ["seg", "edge", "k", "t", "id", "ts", "sent", "out"]
+        columns = [pa.array(seg), pa.array(edge[take]), *[part.column(c) for c in ("k", "t", "id", "ts")], pa.array(sent[take]), pa.array(out[take])]
+        yield from pa.table(dict(zip(names, columns))).to_batches(max_chunksize=100_000)
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(walk, f"seg int, edge boolean, k {kind['k']}, t long, id {kind['id']}, ts {kind['ts']}, sent boolean, out long")
+
+
+def suppress_replay(events: DataFrame, key: str, ts: str, eid: str, interval: dt.timedelta, ranges: int | None = None) -> DataFrame:
     """The notified events of each key's breach series under the repeat interval.
 
-    (key, eid) must be unique; ties in time are ordered by eid. A negative interval is an error.
+    (key, eid) must be unique; ties in time are ordered by eid. Events without a time are never notified. A negative
+    interval is an error.
     """
     if interval < dt.timedelta(0):
         raise ValueError("the repeat interval must not be negative")
     if not interval:
         return events.select(key, ts, eid)
-    events = _cut(events.select(key, ts, eid))
-    # rows without a successor never extend a chain: jump tables keep only rows that do
-    jump = _cut(next_at_or_after(events, key, ts, eid, interval).filter(F.col("dst_id").isNotNull())
-                .select(F.col(key).alias("_k"), F.col("src_id").alias("_s"), "dst_id", "dst_ts"))
-    first = events.groupBy(key).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(eid).alias("id"))).alias("_f"))
-    chain = _cut(first.select(F.col(key).alias("k"), F.col("_f.id").alias("id"), F.col("_f.t").alias("t")))
+    micros = interval // dt.timedelta(microseconds=1)
+    rows = events.filter(F.col(ts).isNotNull()).select(
+        F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(eid).alias("id"), F.col(ts).alias("ts"))
+    order = ["k", "t", "id"]
+    parted = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    walked = materialized(_walked(parted.sortWithinPartitions(*order), micros, ["k"], True))
+    # at most two runs of a range are at its edge: no more rows than twice the ranges
+    runs = walked.filter("edge").groupBy("k", "seg").agg(F.min_by("out", F.struct("t", "id")).alias("out"))
+    first = Window.partitionBy("k").orderBy("seg")
+    runs = runs.withColumn("nth", F.row_number().over(first)).withColumn("runs", F.count(F.lit(1)).over(Window.partitionBy("k"))).filter("runs > 1")
+    runs = materialized(runs)
+    sent = walked.filter("sent")
+    if runs.take(1):
+        later = F.broadcast(runs.filter("nth > 1").select(F.col("k").alias("rk"), F.col("seg").alias("rs")))
+        same = F.col("k").eqNullSafe(F.col("rk")) & (F.col("seg") == F.col("rs"))
+        crossing = F.broadcast(runs.filter("nth = 1").select(F.col("k").alias("ck")))
+        open_rows = walked.filter("edge").join(crossing, F.col("k").eqNullSafe(F.col("ck")), "left_semi")
+        entered = _entered(runs, open_rows, ranges)
+        again = open_rows.join(F.broadcast(entered), F.col("k").eqNullSafe(F.col("ek")) & (F.col("seg") == F.col("es"))).filter(
+            F.struct("t", "id") >= F.col("at"))
+        again = again.select("seg", "k", "t", "id", "ts").repartition("seg").sortWithinPartitions("seg", "k", "t", "id")
+        sent = (sent.join(later, same, "left_anti").select("k", "ts", "id")
+                .unionByName(_walked(again, micros, ["seg", "k"], False).select("k", "ts", "id")))
+    return sent.select(F.col("k").alias(key), F.col("ts").alias(ts), F.col("id").alias(eid))
+
+
+def _entered(runs: DataFrame, open_rows: DataFrame, ranges: int | None) -> DataFrame:
+    """(ek, es, at): the row (time, id) by which each key's chain enters its later ranges; at most one row per (key, range)."""
+    exits = open_rows.groupBy("k", "out").agg(F.lit(0).alias("probe")).select("k", F.col("out").alias("t"), F.struct("probe").alias("probe"))
+    points = open_rows.select("k", "t", F.struct("t", "id", "seg", "out").alias("point"))
+    jump = materialized(first_at_or_after(exits, points, ranges).filter(F.col("point").isNotNull()).select(
+        "k", F.col("t").alias("out"), F.col("point.seg").alias("seg"), F.struct("point.t", "point.id").alias("at"), F.col("point.out").alias("next")))
+    # the chain of exits by pointer doubling: `far` skips 2^i links, `chain` holds the first 2^i of every key
+    chain = materialized(runs.filter("nth = 1").select("k", "out"))
+    far = jump.select("k", "out", "next")
     while True:
-        # the chain holds the first 2^k links, the table jumps 2^k: the next 2^k links, all of them new
-        ahead = _cut(chain.join(jump, (F.col("k") == F.col("_k")) & (F.col("id") == F.col("_s")))
-                     .select("k", F.col("dst_id").alias("id"), F.col("dst_ts").alias("t")))
+        step = far.select(F.col("k").alias("fk"), F.col("out").alias("fo"), "next")
+        ahead = materialized(chain.join(step, F.col("k").eqNullSafe(F.col("fk")) & (F.col("out") == F.col("fo"))).select("k", F.col("next").alias("out")))
         if not ahead.take(1):
-            return chain.select(F.col("k").alias(key), F.col("t").alias(ts), F.col("id").alias(eid))
-        chain = _cut(chain.unionByName(ahead))
-        far = jump.select(F.col("_k").alias("_bk"), F.col("_s").alias("_bs"), F.col("dst_id").alias("_bd"), F.col("dst_ts").alias("_bt"))
-        jump = _cut(jump.join(far, (F.col("_k") == F.col("_bk")) & (F.col("dst_id") == F.col("_bs")))
-                    .select("_k", "_s", F.col("_bd").alias("dst_id"), F.col("_bt").alias("dst_ts")))
+            break
+        chain = materialized(chain.unionByName(ahead))
+        mid = far.select(F.col("k").alias("mk"), F.col("out").alias("mo"), F.col("next").alias("mn"))
+        far = materialized(far.join(mid, F.col("k").eqNullSafe(F.col("mk")) & (F.col("next") == F.col("mo"))).select("k", "out", F.col("mn").alias("next")))
+    on = chain.select(F.col("k").alias("fk"), F.col("out").alias("fo"))
+    return jump.join(on, F.col("k").eqNullSafe(F.col("fk")) & (F.col("out") == F.col("fo")), "left_semi").select(
+        F.col("k").alias("ek"), F.col("seg").alias("es"), "at")

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tripwire.operators.segments import SEG, cut, inside, with_carry
+
 
 def _ts(v: dt.datetime) -> Column:
     return F.lit(v).cast("timestamp_ntz")
@@ -133,39 +136,29 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], update_w
     return j.select(*cols)
 
 
-def state_replay(samples: DataFrame, key: str, ts: str, tie: str, breach: Column, bucket: str = "hour") -> DataFrame:
+def state_replay(samples: DataFrame, key: str, ts: str, tie: str, breach: Column, ranges: int | None = None) -> DataFrame:
     """Replay the ON/OFF machine over every sample of each key's series (action per sample).
 
     The action at a sample depends on the breach flag of the last earlier sample that has one
     and on whether any earlier sample breached; a sample without a flag (NULL) has no action
-    and changes nothing. Both are computed without putting a key's whole series into one
-    task: the series is cut into (key, time bucket) partitions for the local lag / running
-    max, and a small per-bucket summary (last flag, any flag) carries state across buckets.
-    A key holding a third of all rows is therefore spread over as many tasks as it has buckets.
+    and changes nothing. Each range of the series is thus a function of two flags, and what the
+    ranges before a range hand over is the composition of theirs. Ranges hold about equally many
+    rows (segments.py), so a key's dense hour or a key with a third of all rows uses all tasks.
     """
-    from pyspark.sql import Window
-
-    s = samples.withColumn("_b", F.date_trunc(bucket, F.col(ts))).withColumn("_br", breach)
     order = [F.col(ts), F.col(tie)]
-    w_local = Window.partitionBy(key, "_b").orderBy(*order)
-    before = w_local.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_prev", F.last("_br", ignorenulls=True).over(before)).withColumn(
-        "_any", F.max(F.col("_br").cast("int")).over(before))
+    rows = cut(samples.withColumn("_br", breach), [key], order, ranges)
+    before = inside([key], *order).rowsBetween(Window.unboundedPreceding, -1)
+    any_flag = F.max(F.col("_br").cast("int"))
+    rows = rows.withColumn("_prev", F.last("_br", ignorenulls=True).over(before)).withColumn("_any", any_flag.over(before))
     flagged = F.when(F.col("_br").isNotNull(), F.struct(*order))  # rows without a flag never win
-    summ = s.groupBy(key, "_b").agg(F.max_by("_br", flagged).alias("_last"),
-                                     F.max(F.col("_br").cast("int")).alias("_bany"))
-    w_b = Window.partitionBy(key).orderBy("_b")
-    carry = summ.select(
-        F.col(key).alias("_ck"), F.col("_b").alias("_cb"),
-        F.last("_last", ignorenulls=True).over(w_b.rowsBetween(Window.unboundedPreceding, -1)).alias("_c_last"),
-        F.max("_bany").over(w_b.rowsBetween(Window.unboundedPreceding, -1)).alias("_c_any"))
-    j = s.join(carry, (F.col(key) == F.col("_ck")) & (F.col("_b") == F.col("_cb")))
-    prev = F.coalesce("_prev", "_c_last")
-    any_before = F.greatest(F.coalesce(F.col("_any"), F.lit(0)), F.coalesce(F.col("_c_any"), F.lit(0))) > 0
+    rows = with_carry(rows, [key], {"_sl": F.max_by("_br", flagged), "_sa": any_flag},
+                      {"_cl": F.last("_sl", ignorenulls=True), "_ca": F.max("_sa")})
+    prev = F.coalesce("_prev", "_cl")
+    any_before = F.greatest(F.coalesce(F.col("_any"), F.lit(0)), F.coalesce(F.col("_ca"), F.lit(0))) > 0
     cur = F.col("_br")
     action = (F.when(cur.isNull(), F.lit(None))
               .when(~any_before, F.when(cur, "NEW->ON").otherwise("IGNORE"))
               .when(prev & ~cur, "ON->OFF")
               .when(~prev & cur, "OFF->ON")
               .otherwise("IGNORE"))
-    return j.withColumn("action", action).drop("_b", "_br", "_prev", "_any", "_ck", "_cb", "_c_last", "_c_any")
+    return rows.withColumn("action", action).drop(SEG, "_br", "_prev", "_any", "_cl", "_ca")

@@ -49,8 +49,11 @@ END = 2
 ROW_GROUP = 32 << 20
 PAGE = 128 << 10
 PAGE_ROWS = 2000
-#: Distinct words that the library encodes as one text.
+#: Distinct words that the library encodes as one text, and texts that it gets at once.
 TOGETHER = 256
+LIBRARY = 64
+#: Texts whose distinct words are looked for at once.
+AT_ONCE = 5000
 
 #: Texts that are encoded whole: white space before a space, a space at the end, or white space that is not ASCII or that
 #: only some libraries count as such. In all others a space that follows a word starts a new piece of the tokenizer.
@@ -85,10 +88,13 @@ class Encoder:
                 self.bytes_of_id[i] = len(token)
 
     def _encoded(self, texts: list[str]) -> pa.ListArray:
-        """The ids of every text."""
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
-        ends = np.cumsum([0, *map(len, found)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))))
+        """The ids of every text; few texts at a time, as the library's results are many times as large as the ids."""
+        sizes, parts = [0], [np.zeros(0, np.int32)]
+        for i in range(0, len(texts), LIBRARY):
+            found = [e.ids for e in self.tokenizer.encode_batch(texts[i:i + LIBRARY], add_special_tokens=False)]
+            sizes += map(len, found)
+            parts.append(np.fromiter(chain.from_iterable(found), np.int32))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))
 
     def _after_space(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
         """The ids of distinct words with a space before each, and every word's place among them.
@@ -138,7 +144,7 @@ def _encoded(rows: DataFrame, key: str, vocabulary: str, end: int) -> DataFrame:
 
     def encode(batches):
         encoder, total, part = Encoder(vocabulary), 0, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             n = batch.num_rows
             ids, ends = encoder(batch.column("text"))
             ids = np.insert(ids, ends[1:], end)

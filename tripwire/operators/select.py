@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+DAY_MINUTES = 24 * 60
+
 
 def lookback(df: DataFrame, ts_col: str, as_of: dt.datetime, minutes: int) -> DataFrame:
     """Keep facts with `as_of - minutes <= ts <= as_of` (literal bounds: pushed into the scan)."""
@@ -54,6 +56,37 @@ def last_k_per_key(df: DataFrame, keys: Sequence[str], order_desc: Sequence[str]
     return df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= k)
 
 
+RANGES = 24  # literal time ranges of one scan, at most
+
+
+def window_buckets(anchors: DataFrame, anchor_ts: str, minutes: int) -> tuple[DataFrame, int]:
+    """anchors once per time bucket that their window [anchor - minutes, anchor] touches (`_bucket`), and the bucket's width
+    in microseconds: a day or, if it is longer, the window, so an anchor has two buckets at most."""
+    width = max(minutes, DAY_MINUTES) * 60_000_000
+    end = F.unix_micros(F.col(anchor_ts).cast("timestamp"))
+    start = end - F.lit(minutes * 60_000_000)
+    buckets = F.sequence(F.floor(start / width), F.floor(end / width))
+    return anchors.filter(F.col(anchor_ts).isNotNull()).withColumn("_bucket", F.explode(buckets)), width
+
+
+def time_ranges(buckets: "Sequence[int]", most: int = RANGES) -> list[tuple[int, int]]:
+    """Runs of neighbouring buckets as (first, last); the smallest gaps are closed until at most `most` runs are left."""
+    runs: list[tuple[int, int]] = []
+    for b in sorted(buckets):
+        if runs and b <= runs[-1][1] + 1:
+            runs[-1] = (runs[-1][0], b)
+        else:
+            runs.append((b, b))
+    if len(runs) > most:
+        gaps = sorted((runs[i + 1][0] - runs[i][1], i) for i in range(len(runs) - 1))
+        close = {i for _, i in gaps[:len(runs) - most]}
+        merged = [runs[0]]
+        for i, r in enumerate(runs[1:]):
+            merged = [*merged[:-1], (merged[-1][0], r[1])] if i in close else [*merged, r]
+        runs = merged
+    return runs
+
+
 def anchor_lookback(
     facts: DataFrame,
     anchors: DataFrame,
@@ -64,25 +97,33 @@ def anchor_lookback(
     strict: bool = False,
     prune: bool = True,
 ) -> DataFrame:
-    """Interval join: facts of a key no older than `minutes` before that key's anchor time.
-
-    Equi-join on the key with a range residual. The anchor side has one row per key; AQE
-    broadcasts it when its runtime size is under the broadcast threshold and falls back to
-    a sort-merge join otherwise (with skew-join splitting for a hot key).
-
-    With `prune`, the earliest anchor (one value of the anchor table, which the caller has
-    materialized and reduced to the keys it wants) gives a literal lower bound on the fact time,
-    which Catalyst pushes into the Parquet scan: only row groups that can match are read. A key
-    never matches facts older than its own anchor minus the window, so the bound drops nothing.
+    """Interval join: facts of a key from `minutes` before that key's anchor time up to the anchor.
+
+    An anchor is the key's latest collection, so it has no later facts. Both sides are keyed by (key, time bucket): an
+    anchor stands in the one or two buckets of its window and a fact in its own, so the join is an equi-join with a
+    range residual in which a key's facts are spread over its buckets and only those of the window's buckets can meet.
+    The anchor side has few rows per key; AQE broadcasts it when its runtime size is under the broadcast threshold and
+    falls back to a sort-merge join otherwise (with skew-join splitting).
+
+    With `prune`, the distinct buckets of all windows (a number per day at most, read on the driver) become literal time
+    ranges, which Catalyst pushes into the Parquet scan: only row groups that can match are read. A key whose last
+    collection is a year old adds its own day to the scan and not the year between. The ranges cover every window, so
+    they drop nothing.
     """
+    a, width = window_buckets(anchors.select(F.col(key).alias("_ak"), F.col(anchor_ts).alias("_anchor")), "_anchor", minutes)
     if prune:
-        lo = anchors.agg(F.min(anchor_ts)).first()[0]
-        if lo is not None:  # no anchors: the inner join below is empty anyway
-            facts = facts.filter(F.col(fact_ts) >= F.lit(lo - dt.timedelta(minutes=minutes)).cast("timestamp_ntz"))
-    a = anchors.select(F.col(key).alias("_ak"), F.col(anchor_ts).alias("_anchor"))
+        runs = time_ranges([r[0] for r in a.select("_bucket").distinct().collect()])
+        epoch, day = dt.datetime(1970, 1, 1), dt.timedelta(microseconds=width)
+        keep = F.lit(False)
+        for first, last in runs:
+            low, high = (F.lit(epoch + n * day).cast("timestamp_ntz") for n in (first, last + 1))
+            keep = keep | ((F.col(fact_ts) >= low) & (F.col(fact_ts) < high))
+        facts = facts.filter(keep)
     lo = F.col("_anchor") - F.make_dt_interval(mins=F.lit(minutes))
-    cond = (F.col(key) == F.col("_ak")) & ((F.col(fact_ts) > lo) if strict else (F.col(fact_ts) >= lo))
-    return facts.join(a, cond).drop("_ak")
+    bucket = F.floor(F.unix_micros(F.col(fact_ts).cast("timestamp")) / width)
+    cond = ((F.col(key) == F.col("_ak")) & (bucket == F.col("_bucket")) & (F.col(fact_ts) <= F.col("_anchor"))
+            & ((F.col(fact_ts) > lo) if strict else (F.col(fact_ts) >= lo)))
+    return facts.join(a, cond).drop("_ak", "_bucket")
 
 
 def first_in_window(

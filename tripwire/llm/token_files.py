@@ -53,7 +53,7 @@ PAGE_ROWS = 2000
 TOGETHER = 256
 LIBRARY = 64
 #: Texts whose distinct words are looked for at once.
-AT_ONCE = 5000
+AT_ONCE = 4000
 
 #: Texts that are encoded whole: white space before a space, a space at the end, or white space that is not ASCII or that
 #: only some libraries count as such. In all others a space that follows a word starts a new piece of the tokenizer.
@@ -108,35 +108,36 @@ class Encoder:
         sizes = pc.binary_length(plain).to_numpy().astype(np.int64) + 1
         ends = np.searchsorted(np.cumsum(self.bytes_of_id[flat]), np.cumsum(sizes)) + 1
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
-        at = np.empty(len(words), np.int64)
+        at = np.empty(len(words), np.int32)
         at[joined], at[~joined] = np.arange(len(plain)), np.arange(len(plain), len(words))
         return pa.concat_arrays([lists, self._encoded([f" {w}" for w in other])]), at
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, ends of the texts with 0 in front)."""
+    def __call__(self, texts: pa.Array, end: int) -> pa.ListArray:
+        """The ids of every text with the end id behind them."""
         texts = pc.fill_null(texts, "")
+        last = pa.array([[end]], pa.list_(pa.int32()))
         whole = np.full(len(texts), True) if not self.by_word else pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
         if whole.all():
-            found = self._encoded(texts.to_pylist())
-            return found.values.to_numpy(), found.offsets.to_numpy().astype(np.int64)
+            at = np.full(2 * len(texts), len(texts), np.int32)
+            at[::2] = np.arange(len(texts))
+            found = pa.concat_arrays([self._encoded(texts.to_pylist()), last]).take(pa.array(at))
+            return pa.ListArray.from_arrays(found.offsets.take(pa.array(np.arange(0, len(at) + 1, 2))), found.values)
         if whole.any():  # in the order of the texts again
-            some, ends_some = self(texts.filter(pa.array(whole)))
-            rest, ends_rest = self(texts.filter(pa.array(~whole)))
-            sizes = np.zeros(len(texts), np.int64)
-            sizes[whole], sizes[~whole] = np.diff(ends_some), np.diff(ends_rest)
-            out = np.zeros(int(sizes.sum()), np.int32)
-            of_whole = np.repeat(whole, sizes)
-            out[of_whole], out[~of_whole] = some, rest
-            return out, np.concatenate([[0], np.cumsum(sizes)])
+            at = np.empty(len(texts), np.int64)
+            at[whole], at[~whole] = np.arange(whole.sum()), np.arange(whole.sum(), len(texts))
+            return pa.concat_arrays([self(texts.filter(pa.array(w)), end) for w in (whole, ~whole)]).take(pa.array(at))
         split = pc.split_pattern(texts, " ")
         words, start = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        first = words.take(pa.array(start[:-1])).dictionary_encode()  # no space before a text's first word
         coded = words.dictionary_encode()
+        del split, words
         lists, place = self._after_space(coded.dictionary)
-        first = words.take(pa.array(start[:-1])).dictionary_encode()  # no space before a text's first word
         at = place[coded.indices.to_numpy()]
         at[start[:-1]] = len(lists) + first.indices.to_numpy()
-        found = pa.concat_arrays([lists, self._encoded(first.dictionary.to_pylist())]).take(pa.array(at))
-        return found.values.to_numpy(), found.offsets.to_numpy().astype(np.int64)[start]
+        lists = pa.concat_arrays([lists, self._encoded(first.dictionary.to_pylist()), last])
+        at = np.insert(at, start[1:], len(lists) - 1)
+        found = lists.take(pa.array(at))
+        return pa.ListArray.from_arrays(found.offsets.take(pa.array(start + np.arange(len(start)))), found.values)
 
 
 def _encoded(rows: DataFrame, key: str, vocabulary: str, end: int) -> DataFrame:
@@ -146,16 +147,15 @@ def _encoded(rows: DataFrame, key: str, vocabulary: str, end: int) -> DataFrame:
         encoder, total, part = Encoder(vocabulary), 0, TaskContext.get().partitionId()
         for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             n = batch.num_rows
-            ids, ends = encoder(batch.column("text"))
-            ids = np.insert(ids, ends[1:], end)
-            ends = ends + np.arange(n + 1)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            lists = encoder(batch.column("text"), end)
+            ends = lists.offsets.to_numpy().astype(np.int64)
             columns = {"part": pa.array(np.full(n, part, np.int32)), "doc_id": batch.column(key),
                        "start": pa.array(total + ends[:-1]), "n_tokens": pa.array(np.diff(ends)), "ids": lists}
             if "meta" in batch.schema.names:
                 columns["meta"] = batch.column("meta")
             total += int(ends[-1])
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            pa.default_memory_pool().release_unused()
 
     kind = rows.schema[key].dataType.simpleString()
     meta = f", meta {rows.schema['meta'].dataType.simpleString()}" if "meta" in rows.columns else ""

@@ -23,18 +23,19 @@ class Run:
     clocks unless `li_now` names the second one.
 
     `config` names the config and state tables (see sources/config.py). With `reuse` a job's
-    evaluated rows are written once to the shared folder and read by all its outputs.
+    evaluated rows are written once to the shared folder and read by all its outputs. `anchors` names the
+    folder of the maintained collection dates: a run at the latest time then reads only files new to it.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, now: dt.datetime | None = None,
                  tables: Tables | None = None, li_now: dt.datetime | None = None,
-                 config: "str | dict[str, DataFrame] | None" = None, reuse: bool = False):
+                 config: "str | dict[str, DataFrame] | None" = None, reuse: bool = False, anchors: str | None = None):
         apply_session_conf(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self.tables = tables if tables is not None else Tables(spark, sf_dir)
         self._now, self._li_now = now, li_now if li_now is not None else now
-        self.tm = Telemetry(self.tables, self._now, self._li_now)
+        self.tm = Telemetry(self.tables, self._now, self._li_now, anchors)
         self._config, self._reuse = config, reuse
 
     @cached_property

@@ -15,10 +15,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripwire.session import materialized
+from tripwire.sources import anchors
 from tripwire.sources.tables import Tables
 
 
-
 def _props_int(props: Column) -> Column:
     return F.regexp_extract(props, "([0-9]+)", 1).cast("int")
 
@@ -36,12 +36,14 @@ class Telemetry:
     """Named telemetry views over one `Tables` handle, as known at an evaluation time.
 
     With `as_of` (event log) and `li_as_of` (lineitem) every fact and every collection date ends
-    there: nothing later is seen by any job.
+    there: nothing later is seen by any job. `anchors` names a folder in which the collection dates are
+    maintained (sources/anchors.py); a run at a past time needs the dates of that time and does not use it.
     """
 
-    def __init__(self, tables: Tables, as_of: dt.datetime | None = None, li_as_of: dt.datetime | None = None):
+    def __init__(self, tables: Tables, as_of: dt.datetime | None = None, li_as_of: dt.datetime | None = None, anchors: str | None = None):
         self.t = tables
         self.as_of, self.li_as_of = as_of, li_as_of
+        self.anchors = anchors
 
     @property
     def events(self) -> DataFrame:
@@ -99,7 +101,9 @@ class Telemetry:
     @cached_property
     def _collections(self) -> DataFrame:
         """One pass over three narrow columns, written once per handle: every anchored job reads this
-        small table (a repository maintains it on collection) instead of the whole history."""
+        small table instead of the whole history. With a store only files that are new to it are read."""
+        if self.anchors and self.as_of is None:
+            return anchors.update(self.t.events, f"{self.anchors}/events", "user_id", F.col("event_type"), "ts")
         return materialized(self.events.groupBy(
             F.col("user_id").alias("instance_id"), F.col("event_type").alias("reference")
         ).agg(F.max("ts").alias("snapshot_date")))
@@ -115,6 +119,9 @@ class Telemetry:
 
     @cached_property
     def _query_collections(self) -> DataFrame:
+        if self.anchors and self.li_as_of is None:
+            kept = anchors.update(self.t.lineitem, f"{self.anchors}/lineitem", "l_suppkey", F.lit("queries"), "l_shipdate")
+            return kept.select("instance_id", F.col("snapshot_date").alias("anchor"))
         return materialized(self.lineitem.groupBy(F.col("l_suppkey").alias("instance_id")).agg(F.max("l_shipdate").alias("anchor")))
 
     # -- event-based facts -----------------------------------------------------------------

@@ -1,7 +1,10 @@
 """Evaluation time, config from tables, bounded messages, chained jobs and restarting streams."""
 
 import datetime as dt
+import os
 import shutil
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from conftest import SF_SMALL
 from tripwire.operators import params as pm
 from tripwire.operators import render as rd
 from tripwire.operators import routing as rt
+from tripwire.operators import state as st
 from tripwire.plans import alerts as al
 from tripwire.plans import jobs, wip
 from tripwire.plans.context import Run
@@ -112,15 +116,75 @@ def test_inactive_databases_and_files_do_not_alert(base):
 
 # ---------------------------------------------------------------- messages
 def test_large_audiences_become_several_messages(spark):
-    rows = spark.range(1000).select(F.concat(F.lit("i"), F.col("id") % 400).alias("instance"), F.lit("a").alias("audience"),
-                                    F.lit(None).cast("string").alias("email_alert_template"), F.lit(None).cast("string").alias("webhook"),
-                                    F.lit("w").alias("webhook_alert_template"), F.concat(F.lit("<"), "id", F.lit(">")).alias("html"))
-    got = rt.route_by_audience(rows, "instance", F.col("html"), distinct_names=True, max_items=100).collect()
-    assert len(got) == 10 and sum(r.n_rows for r in got) == 1000 and max(r.n_rows for r in got) < 200
-    names = [n for r in got for n in r.instances.split(",")]
-    assert len(names) == len(set(names)) == 400
-    assert sorted("".join(r.table_html for r in got).split(">")) == sorted("".join(f"<{i}>" for i in range(1000)).split(">"))
-    assert len(rt.route_by_audience(rows, "instance", F.col("html")).collect()) == 1
+    """Parts are consecutive stretches with exact bounds; one instance with most rows is cut as well."""
+    rows = spark.range(1000).select(
+        F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("i"), F.col("id") % 40)).alias("instance"), F.lit("a").alias("audience"),
+        F.lit(None).cast("string").alias("email_alert_template"), F.lit(None).cast("string").alias("webhook"),
+        F.lit("w").alias("webhook_alert_template"), F.concat(F.lit("<"), "id", F.lit(">")).alias("html"))
+    few = rows.limit(30).withColumn("audience", F.lit(None).cast("string"))
+    whole = {r.audience: r for r in rt.route_by_audience(rows.unionByName(few), "instance", F.col("html")).collect()}
+    got = rt.route_by_audience(rows.unionByName(few), "instance", F.col("html"), distinct_names=True, max_items=90).orderBy("part").collect()
+    own = [r for r in got if r.audience == "a"]
+    assert [r.part for r in own] == list(range(1, 13)) and [r.n_rows for r in own] == [90] * 11 + [10]
+    assert "".join(r.table_html for r in own) == whole["a"].table_html
+    assert [r.n_rows for r in got if r.audience is None] == [30]
+    names = [r.instances.split(",") for r in own]
+    assert all(p == sorted(set(p)) for p in names) and sum("hot" in p for p in names) >= 8
+
+
+def test_ordered_lists_in_parts(spark):
+    rows = spark.range(5000).select((F.col("id") % 7 == 0).alias("k"), F.concat(F.lit("n"), F.col("id") * 7919 % 5003).alias("v"))
+    got = rt.ordered_list(rows, ["k"], "v", max_items=64).orderBy("k", "part").collect()
+    for k in (False, True):
+        own = [r for r in got if r.k == k]
+        want = sorted(r.v for r in rows.filter(F.col("k") == k).collect())
+        assert ",".join(r.items for r in own) == ",".join(want) and max(r.n for r in own) == 64
+    assert rt.ordered_list(rows.limit(0), ["k"], "v").count() == 0
+
+
+# ---------------------------------------------------------------- commit log
+def test_concurrent_commits_lose_no_row(spark, tmp_path):
+    """Four jobs read the same state and commit at the same time: each change arrives, whoever came first."""
+    base, start, first = f"{tmp_path}/h", threading.Barrier(4), set()
+
+    def job(i):
+        def change(old):
+            if i not in first:
+                first.add(i)
+                start.wait(60)  # all have read the state before any commits
+            new = spark.createDataFrame([(f"i{i}", 1)], "instance string, n int")
+            return new if old is None else old.unionByName(new)
+
+        return sinks.commit(spark, base, change)
+
+    with ThreadPoolExecutor(4) as pool:
+        paths = list(pool.map(job, range(4)))
+    assert len(set(paths)) == 4 and sinks.head(spark, base)[0] == 4
+    assert sorted(r.instance for r in sinks.current(spark, base).collect()) == ["i0", "i1", "i2", "i3"]
+    assert not sinks.put_if_absent(spark, f"{base}/commits/{4:09d}", "other") and sinks.head(spark, base)[1] in paths
+    assert not [n for n in os.listdir(f"{base}/commits") if "draft" in n]
+
+
+def test_two_runs_of_one_alert_keep_both_histories(spark, base, tmp_path):
+    """Both were evaluated on the same stored history; the second commit merges into the first one's result."""
+    res = al.alert_blocking(base, "duration", 7 * 24 * 60)
+    aid = base.cfg.alert("Blocking - Duration")["alert_id"]
+    mine = base.cfg.history.filter(F.col("alert_id") == aid)
+    store = f"{tmp_path}/history"
+    extra = spark.createDataFrame([("Only in the other run",)], "instance string")
+
+    def other(h):
+        return st.history_upsert(h, extra, aid, base.now)
+
+    def late(h):  # between reading and committing, the other run commits
+        if sinks.head(spark, f"{store}/alert={aid}")[0] == 0:
+            sinks.commit_alert_history(spark, store, aid, mine, other)
+        return res.change(h)
+
+    sinks.commit_alert_history(spark, store, aid, mine, late)
+    got = {r.instance for r in sinks.alert_history(spark, store, aid).collect()}
+    assert "Only in the other run" in got and {r.instance for r in res.rows.collect()} <= got | {i.lower() for i in got} | {
+        r.instance for r in res.rows.collect() if r.instance.lower() in {g.lower() for g in got}}
 
 
 def test_custom_and_unknown_alerts(spark, base):

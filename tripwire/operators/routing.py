@@ -11,7 +11,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tripwire.operators.segments import numbered
 from tripwire.operators.thresholds import instance_level, tag_level
+from tripwire.session import materialized
 
 ROUTE_FIELDS = ["audience", "email_alert_template", "webhook", "webhook_alert_template"]
 
@@ -163,7 +165,25 @@ def blackout_status(events: DataFrame, blackouts: DataFrame, ts_col: str, alert_
     return j.withColumn(out, flag).drop("_bo_alert", "_bo_windows")
 
 
-MAX_ITEMS = 20_000  # rows of one message, on average, at most
+MAX_ITEMS = 20_000  # rows of one message at most
+
+
+def ordered_parts(items: DataFrame, keys: list[str], order: list[str], max_items: int = MAX_ITEMS, part: str = "part") -> DataFrame:
+    """items with the number (from 1) of their part: consecutive rows of a group in the given order, at most `max_items` each.
+
+    A group of up to `max_items` rows is one part. Rows of larger groups are numbered by ranges of equal row counts
+    (segments.py), so no task holds a group, and the parts one after another are the group in order. `items` is read
+    twice: pass a frame that is written already.
+    """
+    sizes = items.groupBy(*[F.col(k).alias("_k_" + k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_items)
+    sizes = materialized(sizes)  # one row per large group
+    one = items.withColumn(part, F.lit(1).cast("int"))
+    if not sizes.take(1):
+        return one
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys], F.lit(True))
+    large = numbered(items.join(sizes, same, "left_semi"), keys, order, "_pos")
+    large = large.withColumn(part, (F.floor((F.col("_pos") - 1) / F.lit(max_items)) + 1).cast("int")).drop("_pos")
+    return one.join(sizes, same, "left_anti").unionByName(large)
 
 
 def route_by_audience(rows: DataFrame, instance_col: str, row_html: Column | None, keys: list[str] | None = None,
@@ -172,22 +192,15 @@ def route_by_audience(rows: DataFrame, instance_col: str, row_html: Column | Non
 
     `instances` is the comma list of instance names in name order; `table_html` the
     concatenated table rows in (name, row) order. A routing group of more than `max_items`
-    rows becomes several messages, numbered by `part`: each holds whole instances, chosen by a
-    hash of the name, so no task builds the list of a whole fleet and no row is left out.
+    rows becomes several messages of at most that many rows, numbered by `part`: consecutive stretches of
+    the group in its order, so their tables one after another are the table of the whole group. The input
+    is evaluated once and written to the shared folder.
     """
     keys = ROUTE_FIELDS if keys is None else keys
     order = F.col(order_col) if order_col else F.col(instance_col)
     html = row_html if row_html is not None else F.lit(None).cast("string")
-    items = rows.select(*keys, order.alias("_o"), F.col(instance_col).alias("_i"), html.alias("_r"))
-    # the group sizes are sums of partial counts: one row per routing group, few whatever the fleet
-    sizes = items.groupBy(*[F.col(k).alias("_k_" + k) for k in keys]).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(max_items)).cast("int").alias("_parts"))
-    if keys:
-        same = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys]
-        parted = items.join(sizes, reduce(and_, same))
-    else:  # everything is one group: its size is one row
-        parted = items.crossJoin(F.broadcast(sizes))
-    parted = parted.withColumn("part", (F.pmod(F.xxhash64("_i"), F.col("_parts")) + 1).cast("int"))
+    items = materialized(rows.select(*keys, order.alias("_o"), F.col(instance_col).alias("_i"), html.alias("_r")))
+    parted = ordered_parts(items, keys, ["_o", "_i", "_r"], max_items)
     g = parted.groupBy(*keys, "part").agg(F.collect_list(F.struct("_o", "_i", "_r")).alias("_items"))
     srt = F.array_sort("_items")
     names = F.array_sort(F.transform(F.col("_items"), lambda x: x["_i"]))
@@ -200,3 +213,15 @@ def route_by_audience(rows: DataFrame, instance_col: str, row_html: Column | Non
         F.size("_items").alias("n_rows"),
         "part",
     )
+
+
+def ordered_list(rows: DataFrame, keys: list[str], value: str, sep: str = ",", max_items: int = MAX_ITEMS) -> DataFrame:
+    """(keys, part, items, n): the values of each group in order, joined, in parts of at most `max_items` values.
+
+    Two levels: values are numbered over ranges, then joined per part, so no row holds more than `max_items` values
+    however large a group is; the parts joined by `sep` are the list of the whole group. NULL values are left out.
+    """
+    items = materialized(rows.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull()))
+    parted = ordered_parts(items, keys, ["_v"], max_items)
+    return parted.groupBy(*keys, "part").agg(
+        F.array_join(F.array_sort(F.collect_list("_v")), sep).alias("items"), F.count(F.lit(1)).alias("n"))

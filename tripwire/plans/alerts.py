@@ -25,18 +25,18 @@ from tripwire.plans.context import Run
 
 
 class AlertOutput:
-    """Evaluated rows, routed messages and (built on first use) the new history snapshot."""
+    """Evaluated rows, routed messages and the change of the history: `change(history)` is the new snapshot."""
 
-    def __init__(self, rows: DataFrame, messages: DataFrame, history):
+    def __init__(self, rows: DataFrame, messages: DataFrame, history: DataFrame, change):
         self.rows = rows
         self.messages = messages
+        self.change = change
         self._history = history
 
     @property
-    def history(self) -> DataFrame | None:
-        if callable(self._history):
-            self._history = self._history()
-        return self._history
+    def history(self) -> DataFrame:
+        """The new snapshot of the history that the alert was evaluated with."""
+        return self.change(self._history)
 
 
 def _messages(routed: DataFrame, alert_name: str, alert_type: int, row_html, order_col: str | None = None,
@@ -77,8 +77,8 @@ def alert_blocking(run: Run, metric: str = "duration", minutes: int = 3, tag: tu
     row = tx.tr(F.col("instance"), tx.fmt_n(F.col("blocked_session_count"), 0),
                 tx.fmt_n(F.col("blocked_wait_time") / F.lit(1000), 1))
     msgs = _messages(routed, name, 1, row)
-    new_hist = lambda: st.history_upsert(hist, breach, aid, run.now)
-    return AlertOutput(routed, msgs, new_hist)
+    change = lambda h: st.history_upsert(h, breach, aid, run.now)
+    return AlertOutput(routed, msgs, hist, change)
 
 
 # ---------------------------------------------------------------------------------------
@@ -113,8 +113,8 @@ def alert_cpu(run: Run, anchor_minutes: int = 2, tag: tuple[str, str] | None = N
     m = rt.route_by_audience(src, "instance", row, keys=["alert_name", *rt.ROUTE_FIELDS])
     msgs = m.select("alert_name", F.lit(0).alias("alert_type"), *rt.ROUTE_FIELDS, "instances", "table_html",
                     "n_rows", F.lit(None).cast("string").alias("subject"))
-    new_hist = lambda: st.history_state_write(hist, acted, aid, run.now)
-    return AlertOutput(routed, msgs, new_hist)
+    change = lambda h: st.history_state_write(h, acted, aid, run.now)
+    return AlertOutput(routed, msgs, hist, change)
 
 
 # ---------------------------------------------------------------------------------------
@@ -159,8 +159,8 @@ def alert_freespace(run: Run, tag: tuple[str, str] | None = None, history: DataF
         F.col("instance"), tx.fmt_n(F.col("drives_in_warning"), 0), F.replace(F.col("details_warning"), F.lit(";"), br),
         tx.fmt_n(F.col("drives_in_critical"), 0), F.replace(F.col("details_critical"), F.lit(";"), br)))
     msgs = _messages(routed, a["alert_name"], 1, row)
-    new_hist = lambda: st.history_upsert(hist, rows, aid, run.now)
-    return AlertOutput(routed, msgs, new_hist)
+    change = lambda h: st.history_upsert(h, rows, aid, run.now)
+    return AlertOutput(routed, msgs, hist, change)
 
 
 # ---------------------------------------------------------------------------------------
@@ -206,8 +206,8 @@ def alert_db_growth(run: Run, minutes: int = 60, history: DataFrame | None = Non
     order = F.concat_ws("|", "instance", "db", "file")
     msgs = _messages(routed.withColumn("_ord", order), a["alert_name"], 1, row, order_col="_ord",
                      distinct_names=True)
-    new_hist = lambda: st.history_upsert(hist, rows, aid, run.li_now)
-    return AlertOutput(routed, msgs, new_hist)
+    change = lambda h: st.history_upsert(h, rows, aid, run.li_now)
+    return AlertOutput(routed, msgs, hist, change)
 
 
 # ---------------------------------------------------------------------------------------
@@ -303,5 +303,5 @@ def report_top_blockers(run: Run, mode: str = "Report", rerun: bool = False,
     subject = "Top Head Blockers report" if mode == "Report" else None
     msgs = _messages(routed.withColumn("_ord", F.format_string("%010d", F.col("rank"))), a["alert_name"], 1, row,
                      order_col="_ord", subject=subject)
-    new_hist = (lambda: st.history_upsert(hist, ranked, aid, run.li_now)) if (mode == "Report" and not rerun) else hist
-    return AlertOutput(routed, msgs, new_hist)
+    change = (lambda h: st.history_upsert(h, ranked, aid, run.li_now)) if mode == "Report" and not rerun else (lambda h: h)
+    return AlertOutput(routed, msgs, hist, change)

@@ -7,7 +7,7 @@ Reports/TopBlockers/IncludeWithAlert is 1 and blocking was found), blocking-dura
 blocking-processes, cpu, freespace, db-growth, top-blockers-report, top-blockers-alert,
 critical-waits, perf-counters, query-summary, long-queries, blocking-multi-tag.
 
-Outputs: <out>/outbox/run=<n>-<step>, <out>/history/alert=<id>/v=<n>-..., <out>/delays/v=<n>-... (when
+Outputs: <out>/outbox/run=<n>-<step>, <out>/history/alert=<id> (commits and data), <out>/delays/v=<n>-... (when
 each type of list alert was last sent). The first run of an alert starts from the config's history.
 Config and state tables are read from the config folder (sources/config.py); missing ones are seeded.
 """
@@ -100,7 +100,7 @@ def _routed(run: Run, alert: str, out: str, version: str, minutes: int | None, t
     prev = stored if stored is not None else run.cfg.history.filter(F.col("alert_id") == aid)
     res = evaluate(run, alert, minutes, prev, tag)
     paths = {"outbox": sinks.write_outbox(_outbox(run, res.messages), f"{out}/outbox", f"{version}-{alert}", run.now),
-             "history": sinks.write_alert_history(res.history, f"{out}/history", aid)}
+             "history": sinks.commit_alert_history(run.spark, f"{out}/history", aid, prev, res.change)}
     return paths, not res.rows.isEmpty()
 
 

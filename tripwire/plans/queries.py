@@ -461,6 +461,14 @@ def q_string_agg_ordered(run: Run) -> DataFrame:
         F.expr("listagg(instance_display_name, ',') WITHIN GROUP (ORDER BY instance_display_name)").alias("instances"))
 
 
+@query("string_agg_parts")
+def q_string_agg_parts(run: Run) -> DataFrame:
+    """The ordered instance list of every tag value in parts of at most 40 names (messages take 20,000)."""
+    it = run.tm.instance_tags()
+    j = it.join(run.instances.select("instance_id", "instance_display_name"), "instance_id")
+    return rt.ordered_list(j, ["tag_name", "tag_value"], "instance_display_name", max_items=40)
+
+
 @query("string_agg_distinct")
 def q_string_agg_distinct(run: Run) -> DataFrame:
     return al.with_texts(run, al.top_blocker_groups(run, YEAR_MIN, None)).select("instance_id", "sql_handle", "top_blocker_tsql")
@@ -628,9 +636,18 @@ def q_alert_critical_waits(run: Run) -> DataFrame:
 
 @query("alert_perf_counters")
 def q_alert_perf_counters(run: Run) -> DataFrame:
-    """The counter alert's message: breaches past the type's delay gate, as one list per recipient."""
-    br = wip.counter_breaches(run, run.cfg.counter_rules, COUNTER_MIN, 3).withColumn("alert_type", F.lit("PerformanceCounters"))
-    br = wip.delay_gate(br, run.cfg.delay_by_type, "alert_type", run.now, 10)
+    """The counter alert's message: breaches past the delay gate of their type, as one list per recipient.
+
+    Counters were last sent a day ago (open), critical waits five minutes ago: their rows pass the same gate and are held
+    back, so only counters are listed.
+    """
+    counters = wip.counter_breaches(run, run.cfg.counter_rules, COUNTER_MIN, 3).withColumn("alert_type", F.lit("PerformanceCounterAlert"))
+    waits = wip.critical_wait_rates(run, CRIT_MIN, CRIT_THRESHOLD).select(
+        "instance", F.col("wait_type").alias("counter"), F.lit(3).cast("long").alias("n_breaching"),
+        F.col("wait_ms_per_sec").cast("decimal(28,9)").alias("current_value"), F.lit("CriticalWait").alias("alert_type"))
+    delays = wip.mark_sent(run.cfg.delay_by_type, "PerformanceCounterAlert", run.now - _dt.timedelta(days=1))
+    delays = wip.mark_sent(delays, "CriticalWait", run.now - _dt.timedelta(minutes=5))
+    br = wip.delay_gate(counters.unionByName(waits), delays, "alert_type", run.now, 10)
     return wip.counter_messages(br, 3, "ops@example.com").select("alert_name", "audience", "instances", "table_html", "n_rows")
 
 
@@ -780,6 +797,14 @@ def q_suppress_replay_dense(run: Run) -> DataFrame:
     return rp.suppress_replay(ev, "instance_id", "snapshot_date", "event_id", _dt.timedelta(milliseconds=333))
 
 
+@query("suppress_replay_hot")
+def q_suppress_replay_hot(run: Run) -> DataFrame:
+    """Repeat interval of a second on all events as one series, 9 ms apart: one key holds every row."""
+    ev = run.tm.events.select(F.lit(1).alias("instance_id"), F.timestamp_add(
+        "MICROSECOND", F.col("event_id") * 9000, F.lit(run.now).cast("timestamp_ntz")).alias("snapshot_date"), "event_id")
+    return rp.suppress_replay(ev, "instance_id", "snapshot_date", "event_id", _dt.timedelta(seconds=1))
+
+
 @query("suppress_replay_zero")
 def q_suppress_replay_zero(run: Run) -> DataFrame:
     """Interval zero: every breach is notified."""

@@ -4,7 +4,9 @@ State is never overwritten in place: each write goes to a new folder `<base>/v=<
 and readers take the newest complete version, so a job that dies mid-write leaves the previous
 state intact. The alert history is kept per alert (`<base>/alert=<id>/v=...`): a job writes only the
 rows of its own alert, so jobs of different alerts that run at the same time cannot undo each other's
-state. Two jobs of the same alert must not overlap (a scheduler runs one poll of an alert at a time).
+state. Two jobs of the same alert are serialized by a commit log (`commit`): a new state is written to a
+folder of its own and becomes the state when its number is put into `<base>/commits`, which fails if
+another job took that number first; the change is then merged into that job's state and tried again.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -65,14 +68,85 @@ def write_snapshot(df: DataFrame, base: str, version: int | None = None) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its whole content, unless there is one of that name already (then False).
+
+    The file is written under another name and published in one step that fails if the name is taken: a hard link on a
+    local file system, a rename elsewhere (HDFS refuses to rename onto an existing file).
+    """
+    jvm = spark.sparkContext._jvm
+    target, fs = _file_system(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    fs.mkdirs(target.getParent())
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if fs.getScheme() != "file":
+            return not fs.exists(target) and bool(fs.rename(draft, target))
+        local = [jvm.java.nio.file.Path.of(jvm.java.net.URI("file://" + x.toUri().getPath())) for x in (target, draft)]
+        try:
+            jvm.java.nio.file.Files.createLink(*local)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+    finally:
+        if fs.exists(draft):
+            fs.delete(draft, False)
+
+
+def head(spark: SparkSession, base: str) -> tuple[int, str | None]:
+    """(number of the newest commit, its data folder); (0, None) when there is none."""
+    names = [n for n in folders(spark, f"{base}/commits", "", complete=False) if n.isdigit()]
+    if not names:
+        return 0, None
+    path, fs = _file_system(spark, f"{base}/commits/{names[-1]}")
+    stream = fs.open(path)
+    try:
+        text = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return int(names[-1]), f"{base}/{text}"
+
+
+def current(spark: SparkSession, base: str) -> DataFrame | None:
+    """The committed state; where nothing was committed yet, the newest complete version, or None."""
+    _, path = head(spark, base)
+    return latest(spark, base) if path is None else spark.read.parquet(path)
+
+
+def commit(spark: SparkSession, base: str, change, tries: int = 50) -> str:
+    """Replace the state by change(state) without losing a change of another job; returns the data folder.
+
+    `change` gets the committed state (None at first) and returns the whole new one. It runs again, on the newer state,
+    whenever another job committed in between. A job that dies before its commit leaves an unnamed folder and no change.
+    """
+    for _ in range(tries):
+        number, path = head(spark, base)
+        new = change(latest(spark, base) if path is None else spark.read.parquet(path))
+        folder = f"data-{uuid.uuid4().hex}"
+        new.write.parquet(f"{base}/{folder}")
+        if put_if_absent(spark, f"{base}/commits/{number + 1:09d}", folder):
+            return f"{base}/{folder}"
+    raise RuntimeError(f"{tries} commits to {base} met newer ones")
+
+
 def alert_history(spark: SparkSession, base: str, alert_id: int, before: int | None = None) -> DataFrame | None:
     """The stored history rows of one alert, or None when none were written yet."""
-    return latest(spark, f"{base}/alert={alert_id}", before)
+    base = f"{base}/alert={alert_id}"
+    return current(spark, base) if before is None else latest(spark, base, before)
 
 
 def latest_history(spark: SparkSession, base: str) -> DataFrame | None:
     """The stored history of all alerts, or None when there is none yet."""
-    found = [latest(spark, f"{base}/{name}") for name in folders(spark, base, "alert=", complete=False)]
+    found = [current(spark, f"{base}/{name}") for name in folders(spark, base, "alert=", complete=False)]
     out = None
     for df in found:
         if df is not None:
@@ -80,6 +154,7 @@ def latest_history(spark: SparkSession, base: str) -> DataFrame | None:
     return out
 
 
-def write_alert_history(history: DataFrame, base: str, alert_id: int, version: int | None = None) -> str:
-    """Write the alert's own rows of a history snapshot."""
-    return write_snapshot(history.filter(F.col("alert_id") == alert_id), f"{base}/alert={alert_id}", version)
+def commit_alert_history(spark: SparkSession, base: str, alert_id: int, first: DataFrame, change) -> str:
+    """Commit change(history rows of the alert); `first` are its rows before anything was stored."""
+    mine = F.col("alert_id") == alert_id
+    return commit(spark, f"{base}/alert={alert_id}", lambda old: change(first if old is None else old).filter(mine))

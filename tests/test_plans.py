@@ -37,3 +37,18 @@ def test_every_query_has_an_oracle():
     from tripwire.plans.queries import REGISTRY
 
     assert set(REGISTRY) <= set(E.oracle_sql())
+
+
+def test_no_text_aggregate_below_the_top_n(spark, monkeypatch):
+    """The ranked groups come from sums alone; sessions and texts are gathered for the winners only."""
+    from tripwire.plans import alerts as al
+    from tripwire.plans.context import Run
+
+    run, seen = Run(spark, SF_SMALL), []
+    keep = al.materialized
+    monkeypatch.setattr(al, "materialized", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    out = al.top_blockers(run, 365 * 1440, None, 5)
+    assert len(seen) == 1 and "TakeOrderedAndProject" in seen[0] and "collect_set" not in seen[0] and "session_id" not in seen[0].split("Scan")[0]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan and " IN (" in plan
+    assert out.count() == 5

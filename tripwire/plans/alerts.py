@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tripwire.functions import text as tx
 from tripwire.operators import routing as rt
@@ -22,6 +22,7 @@ from tripwire.operators import state as st
 from tripwire.operators import thresholds as th
 from tripwire.operators.params import parse_thresholds
 from tripwire.plans.context import Run
+from tripwire.session import materialized
 
 
 class AlertOutput:
@@ -236,33 +237,54 @@ def _minute_boundaries(start: dt.datetime, end: dt.datetime) -> int:
     return int((b - a).total_seconds() // 60)
 
 
-def top_blocker_groups(run: Run, minutes: int, min_wait: int | None) -> DataFrame:
-    """Root-blocker activity per (instance, sql handle) within N minutes of the last collection.
+BLOCKER_KEYS = ["instance_id", "instance", "sql_handle"]  # the display name depends on the instance only
+
+
+def blocker_rows(run: Run, minutes: int, min_wait: int | None) -> DataFrame:
+    """Root-blocker activity of active instances within N minutes of the last collection.
 
     The collection dates come from their own small table; statement texts are left to `with_texts`."""
     rq = run.tm.running_queries().filter(F.col("is_root_blocker") & F.col("is_active"))
     if min_wait is not None:
         rq = rq.filter(F.col("block_wait_recursive_ms") > min_wait)
     rq = sel.anchor_lookback(rq, run.tm.query_anchors(), "instance_id", "snapshot_date", "anchor", minutes)
-    status_item = F.concat(F.lit("Status: "), F.col("status"), F.lit(";TxCnt: "), F.col("open_transaction_count").cast("string"))
-    # the display name depends on the instance only: a grouping key, not a string aggregate
-    g = rq.groupBy("instance_id", F.col("instance_display_name").alias("instance"), "sql_handle").agg(
+    return rq.withColumnRenamed("instance_display_name", "instance")
+
+
+def _sums() -> list:
+    return [
         F.count("sql_handle").alias("occurrences"),
         F.sum("block_count").alias("total_block_count"),
         F.sum("block_wait_ms").alias("total_block_wait_ms"),
         F.sum("block_count_recursive").alias("total_block_count_recursive"),
         F.sum("block_wait_recursive_ms").alias("total_block_wait_recursive_ms"),
-        F.sum("duration_ms").alias("_dur"),
-        F.count("duration_ms").alias("_n"),
-        F.count_distinct("session_id").alias("_spids"),
-        F.array_join(F.array_sort(F.collect_set(status_item)), ";").alias("_status"),
-    )
-    return g.select(
-        "instance_id", "instance", "sql_handle", "occurrences", "total_block_count", "total_block_wait_ms",
-        "total_block_count_recursive", "total_block_wait_recursive_ms",
-        tx.int_avg(F.col("_dur"), F.col("_n")).alias("avg_duration_ms"),
-        F.concat(F.lit("SPIDs: "), F.col("_spids").cast("string"), F.lit("; "), F.col("_status")).alias("additional_info"),
-    )
+        tx.int_avg(F.sum("duration_ms"), F.count("duration_ms")).alias("avg_duration_ms"),
+    ]
+
+
+def _details():
+    status_item = F.concat(F.lit("Status: "), F.col("status"), F.lit(";TxCnt: "), F.col("open_transaction_count").cast("string"))
+    return F.concat(F.lit("SPIDs: "), F.count_distinct("session_id").cast("string"), F.lit("; "),
+                    F.array_join(F.array_sort(F.collect_set(status_item)), ";")).alias("additional_info")
+
+
+def top_blocker_groups(run: Run, minutes: int, min_wait: int | None) -> DataFrame:
+    """Sums and details per (instance, sql handle), for all groups."""
+    return blocker_rows(run, minutes, min_wait).groupBy(*BLOCKER_KEYS).agg(*_sums(), _details())
+
+
+def top_blockers(run: Run, minutes: int, min_wait: int | None, n: int) -> DataFrame:
+    """The n groups of the most recursive wait, ranked, with details and statement texts, in two passes.
+
+    All groups are reduced to sums only; the distinct sessions and status texts are gathered in a second pass over the rows
+    of the n groups alone. Those groups are n rows: they are broadcast, and their instances are a literal filter that
+    reaches the scan.
+    """
+    rows = blocker_rows(run, minutes, min_wait)
+    top = materialized(top_n_ranked(rows.groupBy(*BLOCKER_KEYS).agg(*_sums()), n))
+    rows = rows.filter(F.col("instance_id").isin([r[0] for r in top.select("instance_id").distinct().collect()]))
+    details = rows.join(F.broadcast(top.select(*BLOCKER_KEYS)), BLOCKER_KEYS, "left_semi").groupBy(*BLOCKER_KEYS).agg(_details())
+    return with_texts(run, top.join(details, BLOCKER_KEYS))
 
 
 def with_texts(run: Run, groups: DataFrame) -> DataFrame:
@@ -280,7 +302,6 @@ def top_n_ranked(groups: DataFrame, n: int) -> DataFrame:
     """
     order = [F.col("total_block_wait_recursive_ms").desc(), F.col("instance_id"), F.col("sql_handle")]
     top = groups.orderBy(*order).limit(n)
-    from pyspark.sql import Window
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -290,7 +311,7 @@ def report_top_blockers(run: Run, mode: str = "Report", rerun: bool = False,
     aid = a["alert_id"]
     hist = run.cfg.history if history is None else history
     minutes, min_wait, top = top_blocker_settings(run, mode, rerun, hist)
-    ranked = run.keep(with_texts(run, top_n_ranked(top_blocker_groups(run, minutes, min_wait), top)))
+    ranked = run.keep(top_blockers(run, minutes, min_wait, top))
     routed = rt.resolve_overrides(ranked, run.cfg.overrides, run.cfg.alerts, run.cfg.webhooks, aid)
     sec = lambda c: tx.fmt_n(F.col(c) / F.lit(1000), 2)
     row = tx.tr(

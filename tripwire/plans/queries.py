@@ -702,6 +702,7 @@ def q_suppress_replay(run: Run) -> DataFrame:
 # result folder written under the checkpoint directory)
 # ---------------------------------------------------------------------------------------
 from tripwire.streaming import jobs as sj  # noqa: E402
+from tripwire.streaming import state_machine as sm  # noqa: E402
 
 
 @query("stream_poll")
@@ -711,7 +712,7 @@ def q_stream_poll(run: Run) -> DataFrame:
 
 @query("stream_state_machine")
 def q_stream_state_machine(run: Run) -> DataFrame:
-    return sj.current_actions(run.spark, sj.run_state_machine(run.spark, run.sf_dir))
+    return sj.current_actions(run.spark, sm.run_keyed_state_machine(run.spark, run.sf_dir))
 
 
 @query("stream_rate_window")

@@ -13,8 +13,8 @@ from .conftest import SF
 ENTITY = regex.compile(P.ENTITY)
 
 
-def run(docs, **kw):
-    return {r.doc_id: r for r in P.replaced(docs, **kw).collect()}
+def run(docs, key="k"):
+    return {r.doc_id: r for r in P.replaced(docs, key).collect()}
 
 
 def luhn(d):
@@ -88,7 +88,7 @@ def test_collisions_are_resolved(spark):
     names = [("given_latin_f", f"name{i}") for i in range(300)] + [("given_latin_f", n.lower()) for n in P.GIVEN["latin", "f"]]
     names += [("given_latin_u", n.lower()) for n in P.GIVEN["latin", "u"]] + [("family_greek", f"f{i}") for i in range(50)]
     names += [("ssn", f"{i:09d}") for i in range(500)] + [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"]
-    rows = P.assigned(spark.createDataFrame(names + names[:50], "kind string, value string")).collect()
+    rows = P.assigned(spark.createDataFrame(names + names[:50], "kind string, value string"), "k").collect()
     assert {(r.kind, r.value) for r in rows} == set(names) and len(rows) == len(set(names))
     pool = lambda k: "name" if k.startswith(("given", "family")) else k
     got = {(pool(r.kind), r.surrogate.lower()) for r in rows}
@@ -105,7 +105,7 @@ def test_edges(make_docs):
     long = " ".join(f"user{i}@host{i % 7}.org" if i % 50 == 0 else "".join(rnd.choices("abcdé", k=5)) for i in range(20_000))
     rows = [(0, None), (1, ""), (2, "none"), (3, "x@y.org"), (3, "x@y.org"), (None, "x@y.org"), (None, "x@y.org z"), (4, long)]
     docs = make_docs(rows).withColumn("parts", F.lit("clash")).withColumn("h", F.lit(1)).withColumn("people", F.lit(1))
-    out = P.replaced(docs)
+    out = P.replaced(docs, "k")
     assert out.columns == docs.columns + ["entities"]
     got = out.collect()
     assert len(got) == len(rows)
@@ -115,7 +115,7 @@ def test_edges(make_docs):
     assert by[0] == [None] and by[1] == [""] and by[2] == ["none"] and by[3][0] == by[3][1] != "x@y.org"
     assert sorted(by[None]) == [by[3][0], by[3][0] + " z"]
     assert len(by[4][0].split()) == 20_000 and "user0@host0.org" not in by[4][0]
-    assert P.replaced(make_docs([])).count() == 0
+    assert P.replaced(make_docs([]), "k").count() == 0
     odd = run(make_docs(["x@" + "a." * 20_000 + "b", "1" * 50_000, "+1 (" * 20_000, "Mr A" * 20_000, "a" * 10_000 + "@x.org"]))
     assert len(odd) == 5 and odd[4].text.endswith(".example") and len(odd[4].entities) == 1
 
@@ -130,8 +130,43 @@ def test_kinds_are_told_apart(spark):
              "4111 1111 1111 1111": "card", "+1 (337) 555-7349": "phone", "Mr X": "person"}
     df = spark.createDataFrame(list(cases.items()), "m string, k string")
     assert df.filter(P.kind_of(F.col("m")) != F.col("k")).count() == 0
-    with pytest.raises(ValueError):
-        P.assigned(spark.createDataFrame([("ip", "1.1.1.1")], "kind string, value string").select(F.lit("phone").alias("kind"), F.lit("1|").alias("value")), rounds=2)
+
+
+def test_a_full_format_grows(spark):
+    """More entities than the format has values: all get one of their own, none fails the job."""
+    values = [("phone", f"|{i}") for i in range(10)] + [("ip", f"192.168.{i}.{j}") for i in range(3) for j in range(20)]
+    rows = P.assigned(spark.createDataFrame(values, "kind string, value string"), "k").collect()
+    assert len({(r.kind, r.surrogate) for r in rows}) == len(values) and not {(r.kind, r.surrogate) for r in rows} & set(values)
+    assert all(r.surrogate.startswith("192.168.") for r in rows if r.kind == "ip")
+
+
+def test_one_person_has_one_surrogate(make_docs):
+    """Whatever title stands before a name and wherever it stands among a person's names."""
+    got = [r.text for _, r in sorted(run(make_docs(["Dr Maria Lopez met Mrs Maria Lopez", "Mr Garcia saw Mr Juan Garcia Lopez, Garcia knew",
+                                          "Frau Dr. Anna Schmidt", "Herr Prof. Dr. Paul Weber und Anna"])).items())]
+    m = re.fullmatch(r"Dr (\S+ \S+) met Mrs (\S+ \S+)", got[0])
+    assert m[1] == m[2] and m[1].split()[0] in P.GIVEN["latin", "f"]
+    m = re.fullmatch(r"Mr (\S+) saw Mr (\S+) (\S+) (\S+), (\S+) knew", got[1])
+    assert m[1] == m[3] == m[5] and m[4] == got[0].split()[2]
+    m = re.fullmatch(r"Frau Dr\. (\S+) (\S+)", got[2])
+    assert m[1] in P.GIVEN["latin", "f"] and m[1] != "Anna" and m[2] != "Schmidt"
+    assert re.fullmatch(r"Herr Prof\. Dr\. \S+ \S+ und Anna", got[3]) and "Weber" not in got[3] and "Paul" not in got[3].split()[3]
+
+
+def test_scripts_without_capitals(make_docs):
+    got = [r.text for _, r in sorted(run(make_docs(["Mr 王伟 met Ms 李娜, then 王伟 left", "Dr محمد and Prof. משה"])).items())]
+    m = regex.fullmatch(r"Mr (\p{IsHan}+) met Ms (\p{IsHan}+), then (\p{IsHan}+) left", got[0])
+    assert m[1] == m[3] != "王伟" and m[2] != "李娜"
+    assert "محمد" not in got[1] and "משה" not in got[1]
+
+
+def test_numbers_keep_their_trunk_and_their_range(make_docs):
+    got = [r.text for _, r in sorted(run(make_docs(["tel 030 123456789", "tel 030 12345678", "call 0800 1234567", "192.168.0.10 10.1.2.3 172.20.1.1 127.0.0.1 8.8.8.8"])).items())]
+    assert re.fullmatch(r"tel 0[1-9][0-9] [0-9]{9}", got[0]) and "123456789" not in got[0]
+    assert re.fullmatch(r"tel 0[1-9][0-9] [0-9]{8}", got[1]) and re.fullmatch(r"call 0[1-9][0-9]{2} [0-9]{7}", got[2])
+    a = got[3].split()
+    assert a[0].startswith("192.168.") and a[1].startswith("10.") and a[2].startswith("172.20.") and a[3].startswith("127.")
+    assert 240 <= int(a[4].split(".")[0]) <= 254 and not set(a) & {"192.168.0.10", "10.1.2.3", "172.20.1.1", "127.0.0.1"}
 
 
 PLANTED = [  # text, personal data in it

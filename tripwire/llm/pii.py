@@ -9,13 +9,16 @@ so "Mrs Maria Lopez" and "Mrs Lopez" share the surrogate of "Lopez". Names that
 with a title are also replaced where they stand without one, in any spelling that starts with a capital
 (McDonald, LOPEZ); in small letters they are often words (brown, may) and stay. Initials become other ones.
 
-Surrogates come from sha256(key, kind, value, attempt): numbers keep their layout, country code and
-check digits (Luhn, ISO 7064), e-mail addresses their shape with a domain under .example, names their
-script and capitals, given names the gender that the title tells.
+Surrogates come from sha256(key, kind, value, attempt): numbers keep their layout, country code or trunk
+zeros and check digits (Luhn, ISO 7064), private network addresses their range (others become reserved
+ones), e-mail addresses their shape with a domain under .example, names their capitals and their script
+(Latin, Cyrillic, Greek, Han; Latin for others), given names the gender that the titles tell. There may be
+several titles ("Frau Dr."). A name has one surrogate whatever title or place it has.
 
 Collision checks. The distinct entities of all texts get their surrogates in rounds: a surrogate that
 equals an entity of the corpus, one already given, or that of a smaller value of the round is rejected,
-and the rejected entities try again with the next attempt (names and addresses then grow longer). It
+and the rejected entities try again with the next attempt (names and addresses then grow longer, and
+after some rounds numbers too, so a kind with more entities than its format allows still ends). It
 ends when every entity has a surrogate of its own, so distinct entities stay distinct and equal ones
 equal, in all documents. Rounds are written to the shared folder.
 
@@ -33,7 +36,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tripwire.llm.common import free_name, materialized, table, written
 
-KEY = "tripwire-demo-key"
+#: Setting that holds the key of `op9_pii_surrogates`; a session without it gets a demonstration key, which protects nothing.
+KEY_SETTING = "spark.tripwire.pii.key"
 
 # Titles that introduce a person, by gender.
 TITLES_F = "Mrs Ms Miss Madam Lady Frau Madame Mme Mademoiselle Señora Señorita Sra Srta Signora госпожа г-жа Κυρία".split()
@@ -43,7 +47,9 @@ TITLES_U = "Dr Prof Professor Mx".split()
 _TITLE = "|".join(sorted(TITLES_F + TITLES_M + TITLES_U, key=lambda t: (-len(t), t)))
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 # two letters at least, inner marks (O'Brien, Anna-Lena), d'Arcy, al-Rashid; a genitive 's is not of the name
-_NAME = r"(?:[dl]['’]|(?:al|el)-)?\p{Lu}(?:[\p{L}\p{M}]|(?!['’][sS](?!\p{L}))['’-](?=\p{L}))++"
+_CASED = r"(?:[dl]['’]|(?:al|el)-)?\p{Lu}(?:[\p{L}\p{M}]|(?!['’][sS](?!\p{L}))['’-](?=\p{L}))++"
+# scripts without capitals: Han names of two to four characters, else a whole word
+_NAME = rf"(?:{_CASED}|\p{{IsHan}}{{2,4}}+|(?![ªº\p{{IsHan}}])\p{{Lo}}[\p{{Lo}}\p{{M}}]*+)"
 _INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.){0,4}"
 PARTICLES = "van von vom zu zum zur der den de del della di da do dos das du des la le el al bin ibn ben ter ten af av y".split()
 _BEFORE = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=lambda t: (-len(t), t)))}|{_INITIALS}|\p{{Lu}}) ){{0,6}}"
@@ -58,13 +64,14 @@ GROUPED = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4
 ABROAD = r"(?<![0-9A-Za-z])\+[1-9](?:[ ./()-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])"
 # with a trunk 0 (030 123456, 01 23 45 67 89), nine digits or more and no date; or as 912 34 56 78
 NATIONAL = (r"(?<![0-9A-Za-z.,+-])(?!0[0-9][./-][0-9]{2}[./-][0-9]{4})(?=\(?[0-9](?:[ ./()-]{0,2}[0-9]){8,13}(?![0-9A-Za-z]))"
-            r"(?:\(0[0-9]{1,5}\) ?[0-9]{2,8}|0[0-9]{1,5}[ ./-][0-9]{2,8}|[6-9][0-9]{1,2}[ .-][0-9]{2,3}[ .-][0-9]{2}(?=[ .-][0-9]{2}(?![0-9])))"
+            r"(?:\(0[0-9]{1,5}\) ?[0-9]{2,10}|0[0-9]{1,5}[ ./-][0-9]{2,10}|[6-9][0-9]{1,2}[ .-][0-9]{2,3}[ .-][0-9]{2}(?=[ .-][0-9]{2}(?![0-9])))"
             r"(?:[ ./-][0-9]{2,8}){0,5}(?![0-9A-Za-z])")
 PHONE = "|".join([GROUPED, ABROAD, NATIONAL])
 # calling codes of countries: one, two or three digits
 COUNTRY = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 # the look-ahead rejects most places by one character before the titles are tried
-TITLED = rf"(?<![\p{{L}}0-9])(?=[{''.join(sorted({t[0] for t in TITLES_F + TITLES_M + TITLES_U}))}])(?:{_TITLE})\.? "
+_TITLES = rf"(?:(?:{_TITLE})\.? ){{1,4}}"
+TITLED = rf"(?<![\p{{L}}0-9])(?=[{''.join(sorted({t[0] for t in TITLES_F + TITLES_M + TITLES_U}))}]){_TITLES}"
 PERSON = rf"{TITLED}{_BEFORE}{_NAME}(?: {_BEFORE}{_NAME})*+"
 ENTITY = "|".join([EMAIL, IP, IBAN, SSN, CARD, PHONE, PERSON])
 
@@ -79,11 +86,15 @@ GIVEN = {
     ("greek", "f"): "Άννα Ελένη Ζωή Ιρις Κλειώ Μαρία Νίκη Σοφία".split(),
     ("greek", "m"): "Αλέξης Γιώργος Δήμος Ηλίας Κώστας Μάρκος Νίκος Πέτρος".split(),
     ("greek", "u"): "Αγγέλη Αριάν Δάφνι Κρις Λέων Μάξι Ορφέα Φοίβη".split(),
+    ("han", "f"): "秀英 桂兰 美玲 丽华 春梅 雪芳 玉珍 婷婷".split(),
+    ("han", "m"): "建国 志强 伟明 国庆 大勇 海涛 文军 立新".split(),
+    ("han", "u"): "晓明 文华 春生 思远 永安 子涵 天佑 安然".split(),
 }
 FAMILY = {
     "latin": "ba be bo da de do fa fe fi ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to".split(),
     "cyrillic": "ба бо ва ве го да де ка ко ла ле ма ме на но ра".split(),
     "greek": "βα βο γα δα δε κα κο λα λε μα με να νο ρα ρο τα".split(),
+    "han": "林 陈 周 吴 郑 孙 朱 何 高 罗 梁 宋 唐 许 邓 冯 曹 彭 曾 萧".split(),
 }
 ALPHABET = {
     "latin": "abcdefghijklmnopqrstuvwxyz",
@@ -103,7 +114,8 @@ def _pick(words: list[str], n: Column) -> Column:
 
 
 def _script(word: Column) -> Column:
-    return (F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin"))
+    return (F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek")
+            .when(word.rlike(r"\p{IsHan}"), "han").otherwise("latin"))
 
 
 def kind_of(match: Column) -> Column:
@@ -118,13 +130,14 @@ def kind_of(match: Column) -> Column:
 
 
 def _names(match: Column) -> Column:
-    """The words after the title."""
-    return F.split(F.regexp_replace(match, rf"^(?:{_TITLE})\.? ", ""), " ")
+    """The words after the titles."""
+    return F.split(F.regexp_replace(match, rf"^{_TITLES}", ""), " ")
 
 
 def _gender(match: Column) -> Column:
-    title = F.regexp_extract(match, rf"^({_TITLE})", 1)
-    return F.when(title.isin(*TITLES_F), "f").when(title.isin(*TITLES_M), "m").otherwise("u")
+    titles = F.regexp_extract(match, rf"^{_TITLES}", 0)
+    female, male = (titles.rlike(rf"(?:^| )(?:{'|'.join(t)})\.? ") for t in (TITLES_F, TITLES_M))
+    return F.when(female & ~male, "f").when(male & ~female, "m").otherwise("u")
 
 
 def parts_of(match: Column) -> Column:
@@ -141,7 +154,8 @@ def parts_of(match: Column) -> Column:
 
     named = F.transform(people, lambda p: F.transform(p["words"], lambda word, i: name_part(p, word, i)))[0]
     number = F.regexp_replace(match, "[^0-9]", "")
-    plus = F.when(match.startswith("+"), F.regexp_extract(number, COUNTRY, 1)).otherwise("")
+    # what stays: the country after a +, else the trunk zeros
+    plus = F.when(match.startswith("+"), F.regexp_extract(number, COUNTRY, 1)).otherwise(F.regexp_extract(number, "^0*", 0))
     value = (F.when(kind == "email", F.lower(match)).when(kind == "ip", match).when(kind == "iban", F.regexp_replace(match, " ", ""))
              .when(kind == "phone", F.concat_ws("|", plus, F.substring(number, F.length(plus) + 1, F.length(number)))).otherwise(number))
     one = F.array(F.struct(kind.alias("kind"), value.alias("value")))
@@ -208,8 +222,13 @@ def _iban(value: Column, digest: Column) -> Column:
 
 
 def _ip(value: Column, digest: Column) -> Column:
-    first = F.pmod(_byte(digest, F.lit(0)), F.lit(223)) + 1
-    return F.concat_ws(".", first.cast("string"), *[_byte(digest, F.lit(i)).cast("string") for i in (1, 2, 3)])
+    """Private, loopback and link-local addresses stay in their range; others go to the reserved one, which nobody has."""
+    byte = [_byte(digest, F.lit(i)) for i in range(4)]
+    kept = F.when(value.rlike(r"^(?:10|127)\."), F.substring_index(value, ".", 1)).when(
+        value.rlike(r"^(?:192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."), F.substring_index(value, ".", 2)).otherwise(
+        (240 + F.pmod(byte[0], F.lit(15))).cast("string"))
+    rest = F.transform(F.sequence(F.size(F.split(kept, r"\.")), F.lit(3)), lambda i: _byte(digest, i).cast("string"))
+    return F.concat_ws(".", kept, F.array_join(rest, "."))
 
 
 def _email(value: Column, digest: Column, attempt: Column, key: str) -> Column:
@@ -234,9 +253,13 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 256)
     out = (F.when(kind == "email", _email(value, digest, attempt, key)).when(kind == "ip", _ip(value, digest))
            .when(kind == "iban", _iban(value, digest)).when(kind == "card", _card(value, digest))
-           .when(kind == "phone", F.concat(F.substring_index(value, "|", 1), F.lit("|"),
-                                           F.substring(_digits(digest), F.lit(1), F.length(F.substring_index(value, "|", -1)))))
+           .when(kind == "phone", F.concat(F.substring_index(value, "|", 1), F.lit("|"), F.regexp_replace(
+               F.substring(_digits(digest), F.lit(1), F.length(F.substring_index(value, "|", -1))), "^0", "7")))
            .when(kind == "ssn", F.substring(_digits(digest), 1, 9)))
+    # a format that has no free value left grows by digits, names and addresses grow from the start
+    more = F.substring(_digits(F.sha2(digest, 256)), F.lit(1), attempt - GROW + 1)
+    out = F.when(kind.isin("ip", "iban", "card", "phone", "ssn") & (attempt >= GROW), F.concat(out, more)).otherwise(out)
+    out = F.when(out.isNotNull(), out)
     for (script, gender), words in GIVEN.items():
         out = out.when(kind == f"given_{script}_{gender}", _given(words, digest, attempt))
     for script, syllables in FAMILY.items():
@@ -249,16 +272,31 @@ def _pool(kind: Column) -> Column:
     return F.when(kind.startswith("given_") | kind.startswith("family_"), "name").otherwise(kind)
 
 
+#: Rounds after which numbers get longer than their format.
+GROW = 12
+
+
 def _canonical(kind: Column, value: Column) -> Column:
     return F.when(_pool(kind) == "name", F.lower(value)).otherwise(value)
 
 
-def assigned(entities: DataFrame, key: str = KEY, rounds: int = 64) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value); no surrogate is given twice within a pool."""
+def assigned(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate) for distinct (kind, value); no surrogate is given twice within a pool.
+
+    A name has one surrogate whatever stood before it and wherever it stood in a person's names: as a family name if it is
+    one anywhere, else as a given name of the gender that its titles agree on.
+    """
     known = materialized(entities.distinct())
     pool = _pool(F.col("kind"))
-    own = known.select(pool.alias("pool"), F.col("value").alias("canonical")).distinct()
-    pending, done, attempt = known, None, 0
+    named = known.filter(pool == "name").withColumn("word", F.split("kind", "_"))
+    gender = F.collect_set(F.when((F.size("word") == 3) & (F.element_at("word", -1) != "u"), F.element_at("word", -1)))
+    people = named.groupBy("value").agg(F.max((F.col("word")[0] == "family").cast("int")).alias("family"),
+                                        F.min(F.col("word")[1]).alias("script"), gender.alias("genders"))
+    people = people.select(F.when(F.col("family") == 1, F.concat(F.lit("family_"), "script")).otherwise(F.concat_ws(
+        "_", F.lit("given"), "script", F.when(F.size("genders") == 1, F.element_at("genders", 1)).otherwise("u"))).alias("kind"), "value")
+    pending = materialized(known.filter(pool != "name").unionByName(people))
+    own = pending.select(pool.alias("pool"), F.col("value").alias("canonical")).distinct()
+    done, attempt = None, 0
     while True:
         tried = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key))
         free = tried.withColumns({"pool": pool, "canonical": _canonical(F.col("kind"), F.col("surrogate"))})
@@ -271,9 +309,8 @@ def assigned(entities: DataFrame, key: str = KEY, rounds: int = 64) -> DataFrame
         pending = materialized(pending.join(won.select("kind", "value"), ["kind", "value"], "left_anti"))
         attempt += 1
         if not pending.take(1):
-            return done.select("kind", "value", "surrogate")
-        if attempt == rounds:
-            raise ValueError("no free surrogates left for some kind: it has more entities than its format allows")
+            names = done.select(F.col("pool").alias("of"), "value", "surrogate")
+            return known.withColumn("of", pool).join(names, ["of", "value"]).select("kind", "value", "surrogate")
 
 
 # ---------------------------------------------------------------- rewriting texts
@@ -289,9 +326,10 @@ def _spelled(match: Column, given: Column) -> Column:
         return F.struct((acc["at"] + F.when(fits, 1).otherwise(0)).alias("at"),
                         F.concat(acc["out"], F.when(fits, F.substring(flat, acc["at"], F.lit(1))).otherwise(c)).alias("out"))
 
-    laid = F.aggregate(F.split(match, ""), F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), place, lambda a: a["out"])
+    laid = F.aggregate(F.split(match, ""), F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), place,
+                       lambda a: F.concat(a["out"], F.substring(flat, a["at"], F.length(flat))))  # what outgrew the format
     loud = lambda old, new: F.when((F.upper(old) == old) & (F.length(old) > 1), F.upper(new)).otherwise(new)
-    title = F.regexp_extract(match, rf"^(?:{_TITLE})\.? ", 0)
+    title = F.regexp_extract(match, rf"^{_TITLES}", 0)
     person = F.concat(title, F.array_join(F.zip_with(_names(match), given, loud), " "))
     return F.when(kind == "person", person).when(kind == "email", loud(match, given[0])).when(kind == "ip", given[0]).otherwise(laid)
 
@@ -302,7 +340,7 @@ def matches(text: Column) -> Column:
     return F.when(some, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def replaced(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: str = KEY, out: str = "entities") -> DataFrame:
+def replaced(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id", out: str = "entities") -> DataFrame:
     """docs with surrogates in `text`, and `out`: array<string> of the kinds replaced, in text order."""
     hash_, found, parts, id2, hash2 = (free_name(docs, n) for n in ("text_hash", "found", "parts", "parts_id", "parts_hash"))
     body = F.coalesce(F.col(text), F.lit(""))
@@ -316,7 +354,9 @@ def replaced(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: s
     each = materialized(each.distinct())
     # particles stay as they are, initials tell nobody apart: neither is an entity
     between = F.col("kind").isin("particle", "initials")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     initials = _shaped(F.col("value"), F.sha2(F.concat_ws("|", F.lit(key), "kind", "value"), 256))
+    initials = F.when(initials == F.col("value"), F.translate("value", capitals, capitals[1:] + "A")).otherwise(initials)
     others = each.filter(between).withColumn("surrogate", F.when(F.col("kind") == "particle", F.col("value")).otherwise(initials))
     each = each.filter(~between)
     names = assigned(each.select("kind", "value"), key)
@@ -332,10 +372,11 @@ def replaced(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: s
     joined = joined.withColumn(who, people)
 
     def told_apart(gap):
-        # a name has letters, hyphens and apostrophes only, so it is its own expression
-        word = lambda old: F.concat(F.lit(r"(?<![\p{L}\p{M}0-9-])"), F.regexp_replace(old, "'", "['’]"), F.lit(r"(?![\p{L}\p{M}0-9-])"))
+        # a name has letters, hyphens and apostrophes only, so it is its own expression; Han is written without word ends
+        word = lambda old: F.when(old.rlike(r"^\p{IsHan}+$"), old).otherwise(F.concat(
+            F.lit(r"(?<![\p{L}\p{M}0-9-])"), F.regexp_replace(old, "'", "['’]"), F.lit(r"(?![\p{L}\p{M}0-9-])")))
         loud = lambda t, p: F.regexp_replace(t, word(F.upper(p["old"])), F.upper(p["new"]))
-        start = F.lit(r"(?iu)(?=(?-i:(?:[dl]['’]|(?:al|el)-)?\p{Lu}))")
+        start = F.lit(r"(?iu)(?=(?-i:(?:[dl]['’]|(?:al|el)-)?[\p{Lu}\p{Lo}]))")
         return F.aggregate(who, gap, lambda t, p: F.regexp_replace(loud(t, p), F.concat(start, word(p["old"])), p["new"]))
 
     def spelled(m, i):
@@ -350,7 +391,8 @@ def replaced(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: s
 
 
 def op9_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    found = replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get(KEY_SETTING, "demonstration only")
+    found = replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), *[_count(k) for k in KINDS])
 
 

@@ -55,11 +55,14 @@ def test_words_equal_whole_texts(name):
     assert encoded(encoder, []) == []
 
 
-def test_many_distinct_words_are_told_apart():
+@pytest.mark.parametrize("remembered", [10, 1000, 1 << 20])
+def test_many_distinct_words_are_told_apart(monkeypatch, remembered):
+    monkeypatch.setattr(T, "REMEMBERED", remembered)
     encoder = T.Encoder(T.VOCABULARY)
     rnd = random.Random(1)
     texts = [" ".join("".join(rnd.choices("abcé'\u65e5.,7", k=rnd.randint(1, 9))) for _ in range(300)) for _ in range(20)]
-    assert encoded(encoder, texts) == whole(texts)
+    for at in (0, 3, 0, 9):
+        assert encoded(encoder, texts[at:at + 8]) == whole(texts[at:at + 8])
 
 
 def test_edges(spark, make_docs, path):

@@ -19,8 +19,8 @@ Null texts are empty: their only id is the end id. Ids may repeat or be null (nu
 ordered by the hash of their text. Extra columns are left out unless named in `meta`, where names cannot clash.
 An empty table gives no rows. Texts are encoded whole, whatever their length.
 
-Encoding: the tokenizers library encodes every distinct word of a batch of texts once, with the space before it, as long as
-the tokenizer is a byte-level BPE without normalizer, which always starts a new piece at a space after a word; with any other
+Encoding: the tokenizers library encodes every distinct word, with the space before it, once per worker, as long as the
+tokenizer is a byte-level BPE without normalizer, which always starts a new piece at a space after a word; with any other
 tokenizer, and in texts with other white space, it encodes text by text. Strings of special tokens are ordinary text.
 """
 
@@ -52,6 +52,8 @@ PAGE_ROWS = 2000
 #: Distinct words that the library encodes as one text, and texts that it gets at once.
 TOGETHER = 256
 LIBRARY = 64
+#: Distinct words that a worker remembers; beyond them it starts anew, which changes no result.
+REMEMBERED = 600_000
 #: Texts whose distinct words are looked for at once.
 AT_ONCE = 4000
 
@@ -65,7 +67,7 @@ _JOINED = r"(?s)^[^\t\n\x0b\x0c\r ](?:.*[^\t\n\x0b\x0c\r ])?$"
 
 
 class Encoder:
-    """Ids of whole texts; a batch's distinct words are encoded once."""
+    """Ids of whole texts; distinct words are encoded once and remembered."""
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -86,6 +88,7 @@ class Encoder:
             self.bytes_of_id = np.zeros(max(vocabulary_ids.values()) + 1, np.int64)
             for token, i in vocabulary_ids.items():
                 self.bytes_of_id[i] = len(token)
+        self._forget()
 
     def _encoded(self, texts: list[str]) -> pa.ListArray:
         """The ids of every text; few texts at a time, as the library's results are many times as large as the ids."""
@@ -96,8 +99,8 @@ class Encoder:
             parts.append(np.fromiter(chain.from_iterable(found), np.int32))
         return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))
 
-    def _after_space(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
-        """The ids of distinct words with a space before each, and every word's place among them.
+    def _after_space(self, words: pa.Array) -> pa.ListArray:
+        """The ids of distinct words with a space before each.
 
         Some hundred words at a time are one text: each starts a new piece, so an id's bytes tell its word.
         """
@@ -110,7 +113,23 @@ class Encoder:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
         at = np.empty(len(words), np.int32)
         at[joined], at[~joined] = np.arange(len(plain)), np.arange(len(plain), len(words))
-        return pa.concat_arrays([lists, self._encoded([f" {w}" for w in other])]), at
+        return pa.concat_arrays([lists, self._encoded([f" {w}" for w in other])]).take(pa.array(at))
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words in self.lists, after encoding those that are new."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            if len(self.words) > REMEMBERED:
+                self._forget()
+                at = pc.index_in(words, value_set=self.words)
+            new = words.filter(pc.is_null(at))
+            self.lists = pa.concat_arrays([self.lists, self._after_space(new)])
+            self.words = pa.concat_arrays([self.words, new])
+            at = pc.index_in(words, value_set=self.words)
+        return at.to_numpy()
+
+    def _forget(self) -> None:
+        self.words, self.lists = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
 
     def __call__(self, texts: pa.Array, end: int) -> pa.ListArray:
         """The ids of every text with the end id behind them."""
@@ -131,10 +150,9 @@ class Encoder:
         first = words.take(pa.array(start[:-1])).dictionary_encode()  # no space before a text's first word
         coded = words.dictionary_encode()
         del split, words
-        lists, place = self._after_space(coded.dictionary)
-        at = place[coded.indices.to_numpy()]
-        at[start[:-1]] = len(lists) + first.indices.to_numpy()
-        lists = pa.concat_arrays([lists, self._encoded(first.dictionary.to_pylist()), last])
+        at = self._known(coded.dictionary)[coded.indices.to_numpy()]
+        at[start[:-1]] = len(self.lists) + first.indices.to_numpy()
+        lists = pa.concat_arrays([self.lists, self._encoded(first.dictionary.to_pylist()), last])
         at = np.insert(at, start[1:], len(lists) - 1)
         found = lists.take(pa.array(at))
         return pa.ListArray.from_arrays(found.offsets.take(pa.array(start + np.arange(len(start)))), found.values)

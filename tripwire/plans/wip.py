@@ -179,12 +179,19 @@ def long_queries(run: Run, anchor_minutes: int = 2, threshold: int = 100000) ->
         F.count(F.lit(1)).alias("metric"))
 
 
-def long_queries_now(run: Run, anchor_minutes: int = 2, threshold: int = 100000) -> DataFrame:
+LONG_QUERY_LIMITS = "Blocking - Duration"  # its limits, in milliseconds too, stand for long queries unless another alert is named
+
+
+def long_queries_now(run: Run, anchor_minutes: int = 2, threshold: int | None = None, alert: str = LONG_QUERY_LIMITS) -> DataFrame:
     """Active instances whose latest summary row near the last collection is over the threshold; one
-    that has recovered since does not alert."""
+    that has recovered since does not alert. The threshold is resolved per instance (overrides, then the alert's
+    default) unless one is given."""
     latest = _near_summary(run, anchor_minutes).groupBy("instance_id", "instance").agg(
         F.max_by("longest_running_query_ms", F.struct("snapshot_date", "event_id")).alias("counter"))
-    return latest.filter(F.col("counter") > threshold)
+    if threshold is not None:
+        return latest.filter(F.col("counter") > threshold)
+    limits = th.resolve_threshold(latest, run.cfg.overrides, run.cfg.alerts, run.cfg.alert(alert)["alert_id"])
+    return th.threshold_breach(limits, "counter").select("instance_id", "instance", "counter")
 
 
 # ---------------------------------------------------------------------------------------

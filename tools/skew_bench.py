@@ -41,9 +41,11 @@ def main() -> None:
     state_rows = int(sys.argv[1]) if len(sys.argv) > 1 else 20_000_000
     replay_rows = int(sys.argv[2]) if len(sys.argv) > 2 else 1_000_000
     spark = get_spark("local[8]", 64)
-    for bucket in ("hour", "day"):
-        timed(f"state_replay, {state_rows} samples, {bucket} buckets",
-              lambda: state_replay(series(spark, state_rows), "k", "ts", "id", F.col("v") >= 50, bucket=bucket))
+    timed(f"state_replay, {state_rows} samples", lambda: state_replay(series(spark, state_rows), "k", "ts", "id", F.col("v") >= 50))
+    hour = spark.range(replay_rows).select(F.lit(1).alias("k"), F.timestamp_add(
+        "MICROSECOND", F.floor(F.col("id") * F.lit(3_600_000_000) / replay_rows), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")).alias("ts"), "id")
+    timed(f"suppress_replay, {replay_rows} breaches of one key in one hour, interval 333 ms",
+          lambda: suppress_replay(hour, "k", "ts", "id", dt.timedelta(milliseconds=333)))
     for interval in (dt.timedelta(hours=5), dt.timedelta(minutes=1)):
         timed(f"suppress_replay, {replay_rows} breaches, interval {interval}",
               lambda: suppress_replay(series(spark, replay_rows), "k", "ts", "id", interval))

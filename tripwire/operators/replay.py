@@ -25,11 +25,10 @@ import datetime as dt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tripwire.operators.segments import SEG, cut, inside, with_carry
+from tripwire.operators.segments import cut, inside, with_carry
 from tripwire.session import materialized
 
 

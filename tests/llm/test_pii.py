@@ -1,7 +1,6 @@
 import random
 import re
 
-import pytest
 import regex
 from pyspark.sql import functions as F
 

@@ -38,8 +38,6 @@ HEAD = 8
 #: Members whose ids are joined to one piece of text at a time.
 PIECE = 4096
 
-KEY = ["depth", "p1", "p2", "q"]
-
 
 def turn_digests(conversations: DataFrame) -> DataFrame:
     """(conv_id, pos, td, nb): place from 1, 16-byte digest of role and text, UTF-8 bytes of the text."""

@@ -114,10 +114,11 @@ def outbox(messages: DataFrame, view: DataFrame, blackouts: DataFrame, as_of: dt
         "instances", (F.col("_o.reason") == "sent").alias("send"), "_o.reason")
 
 
-def failed_delivery_events(deliveries: DataFrame, source: str = "notify") -> DataFrame:
-    """ERROR events for webhook deliveries whose status is not OK (appended to the event log)."""
+def failed_delivery_events(deliveries: DataFrame, source: str = "notify", keep: "list[str] | tuple" = ()) -> DataFrame:
+    """ERROR events for webhook deliveries whose status is not OK (appended to the event log), after the columns `keep`."""
     bad = deliveries.filter(F.col("status") != OK_STATUS)
     return bad.select(
+        *keep,
         F.col("delivered_at").alias("event_datetime"),
         F.lit(source).alias("event_source"),
         F.lit("ERROR").alias("event_type"),

@@ -6,9 +6,11 @@ Jobs: blocking (duration, then processes, each followed by the blocker report wh
 Reports/TopBlockers/IncludeWithAlert is 1 and blocking was found), blocking-duration,
 blocking-processes, cpu, freespace, db-growth, top-blockers-report, top-blockers-alert,
 critical-waits, perf-counters, query-summary, long-queries, blocking-multi-tag.
+`deliveries <receipts dir> <output dir>` takes a sender's receipts in (sources/deliveries.py).
 
 Outputs: <out>/outbox/run=<n>-<step>, <out>/history/alert=<id> (commits and data), <out>/delays/v=<n>-... (when
-each type of list alert was last sent). The first run of an alert starts from the config's history.
+each type of list alert was last sent), <out>/deliveries and <out>/event_log (append-only), <out>/pending/v=<n>-... (what
+a sender has to try next). The first run of an alert starts from the config's history.
 Config and state tables are read from the config folder (sources/config.py); missing ones are seeded.
 """
 
@@ -25,6 +27,8 @@ from tripwire.plans import alerts as al
 from tripwire.plans import tags as tg
 from tripwire.plans import wip
 from tripwire.plans.context import Run
+from tripwire.session import materialized
+from tripwire.sources import deliveries as dl
 from tripwire.sources import sinks
 
 BLOCKERS = "Top Head Blockers"
@@ -131,10 +135,34 @@ def run_job(spark: SparkSession, alert: str, sf_dir: str, out: str, minutes: int
     return paths
 
 
+def run_deliveries(spark: SparkSession, out: str, receipts: DataFrame | None = None, since=None, max_attempts: int = 3) -> dict:
+    """Log a sender's receipts, add failed webhook tries to the event log, list what is to be sent; returns the paths.
+
+    `since` (a date) leaves out messages of older evaluations. Run again with the same receipts it adds nothing, and a run
+    that died between the two logs is made whole by the next one with these receipts."""
+    paths = {"deliveries": f"{out}/deliveries", "event_log": f"{out}/event_log"}
+    messages = dl.stored_messages(spark, out, since)
+    if messages is None:
+        return paths
+    if receipts is not None:
+        entries = materialized(dl.log_entries(messages, receipts))
+        dl.append_once(entries, paths["deliveries"], dl.TRY)
+        dl.append_once(dl.failure_events(entries), paths["event_log"], dl.TRY)
+    log = dl.appended(spark, paths["deliveries"])
+    if log is not None and since is not None:
+        log = log.filter(F.col("day") >= F.lit(since))
+    paths["pending"] = sinks.write_snapshot(dl.pending(messages, log, max_attempts), f"{out}/pending")
+    return paths
+
+
 if __name__ == "__main__":
     from tripwire.session import get_spark
 
     job, data, target, *more = sys.argv[1:]
+    if job == "deliveries":
+        spark = get_spark()
+        print(run_deliveries(spark, target, spark.read.parquet(data)))
+        sys.exit()
     more += [None] * (4 - len(more))
     print(run_job(get_spark(), job, data, target, None if more[0] is None else int(more[0]), more[1],
                   (more[2], more[3]) if more[2] else None))

@@ -124,6 +124,8 @@ def q_notification_outbox(run: Run) -> DataFrame:
 # ---------------------------------------------------------------------------------------
 from tripwire.operators import params as pm  # noqa: E402
 from tripwire.plans.tags import tag_filter  # noqa: E402
+from tripwire.session import materialized  # noqa: E402
+from tripwire.sources import deliveries as dl  # noqa: E402
 
 DAY = 24 * 60
 
@@ -187,6 +189,35 @@ def q_event_log_append(run: Run) -> DataFrame:
     return rd.failed_delivery_events(deliveries)
 
 
+@query("delivery_log")
+def q_delivery_log(run: Run) -> DataFrame:
+    """Delivery state of every message, after its receipts were logged in two runs of which the second repeats the first.
+
+    Stand-in input: a message per user and day, an event as the receipt of a try (numbered by its hour), failed if an
+    `error` event; `props` is the answer."""
+    ev = run.tm.events.filter(F.col("event_type").isin("error", "purchase"))
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    text = lambda s: F.lit(s).cast("string")
+    said = ev.select(
+        text("Blocking - Duration").alias("alert_name"), F.lit(1).alias("alert_type"), text("webhook").alias("channel"),
+        text(None).alias("audience"), F.concat(F.lit("https://hooks.example.com/"), "user_id").alias("recipient"),
+        text(None).alias("subject"), F.concat(F.lit('{"text":"user '), "user_id", F.lit('"}')).alias("body"),
+        F.col("user_id").cast("string").alias("instances"), day.alias("run_at"), F.lit(True).alias("send"))
+    messages = dl.with_message_id(said)
+    tries = ev.select(
+        F.concat(F.lit("https://hooks.example.com/"), "user_id").alias("recipient"), day.alias("run_at"),
+        (F.hour("ts") + 1).alias("attempt"), F.col("ts").alias("delivered_at"),
+        F.when(F.col("event_type") == "error", F.lit("Status: 500 (Internal Server Error)")).otherwise(F.lit(rd.OK_STATUS)).alias("status"),
+        F.col("props").alias("response"))
+    receipts = tries.join(messages.select("recipient", "run_at", "message_id"), ["recipient", "run_at"])
+    base = sj.run_folder(run.spark, "deliveries")
+    entries = materialized(dl.log_entries(messages, receipts))
+    dl.append_once(entries.filter(F.dayofmonth("day") <= 15), base, dl.TRY)
+    dl.append_once(entries, base, dl.TRY)
+    return dl.delivery_status(messages, dl.appended(run.spark, base), max_attempts=2).select(
+        "alert_name", "recipient", "run_at", "attempts", "failed", "delivered", "last_response", "next_attempt")
+
+
 @query("json_properties")
 def q_json_properties(run: Run) -> DataFrame:
     """JSON text of every event parsed by path; text that is no JSON counts as such."""

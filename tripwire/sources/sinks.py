@@ -27,11 +27,6 @@ def write_outbox(outbox: DataFrame, path: str, run: str, run_at: dt.datetime) ->
     return target
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append event-log rows (e.g. failed webhook deliveries)."""
-    events.write.mode("append").parquet(path)
-
-
 def folders(spark: SparkSession, base: str, prefix: str, complete: bool = True) -> list[str]:
     """Names of the sub-folders of `base` that begin with `prefix` (complete ones), in order."""
     jvm = spark.sparkContext._jvm

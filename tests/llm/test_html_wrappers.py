@@ -214,3 +214,65 @@ def test_region_is_kept_over_many_slugs(make_pages):
     assert all(H.accepts(w, H.parse(r)) for r in rows)
     got = [r.main_text for r in H.main_text(make_pages(rows)).orderBy("page_id").collect()]
     assert got == [f"text {i}" for i in range(150)]
+
+
+# ---------------------------------------------------------------- constants inside the article
+
+
+def planted(n, line="Subscribe to our weekly letter &amp; more", share=1.0, host="p.org"):
+    """Pages of one host whose articles differ but for a line (on `share` of them) and varying parts."""
+    words = [f"w{i}" for i in range(997)]
+    rows = []
+    for i in range(n):
+        rnd = random.Random(i)
+        body = " ".join(rnd.choices(words, k=30))
+        extra = f"<p>{line}</p>" if i < share * n else ""
+        rows.append((f"http://{host}/{i}", f"<nav>n</nav><article><h1>Title {i}</h1><p>{body}</p>{extra}<p>last {i % 3} words</p></article><footer>f</footer>",
+                     f"Title {i} {body}", f"last {i % 3} words"))
+    return rows
+
+
+def texts(make_pages, rows, limit=32 << 20):
+    df = make_pages([r[1] for r in rows], [r[0] for r in rows])
+    return [r.main_text for r in H.main_text(df, broadcast_bytes=limit).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_the_wrapper_takes_constants_out_of_the_article(make_pages, limit):
+    rows = planted(40)
+    got = texts(make_pages, rows, limit)
+    assert got == [f"{a} {b}" for _, _, a, b in rows]
+    empty = {"region": "article", "slots": {}, "fixed": [], "pages": 0}
+    assert all(H.extract(r[1], dict(empty, slots={})) != t for r, t in zip(rows, got))  # class names alone keep the line
+
+
+def test_what_is_no_constant_stays(make_pages):
+    line = "Subscribe to our weekly letter & more"
+    few, most = planted(H.ARTICLES - 1), planted(60, share=0.85)
+    assert texts(make_pages, few) == [f"{a} {line} {b}" for _, _, a, b in few]
+    assert [line in t for t in texts(make_pages, most)] == [i < 51 for i in range(60)]
+
+
+def test_copies_of_an_article_are_one_article(make_pages):
+    rows = planted(25, share=0)
+    copies = [("http://p.org/c", "<article><h1>Same</h1><p>" + "the same text again and again " * 8 + "</p><p>its end</p></article>", "", "")] * 500
+    got = texts(make_pages, rows + copies)
+    assert got[:25] == [f"{a} {b}" for _, _, a, b in rows]
+    assert set(got[25:]) == {"Same " + ("the same text again and again " * 8).strip() + " its end"}
+    assert set(texts(make_pages, copies)) == set(got[25:])
+
+
+def test_a_constant_of_one_host_or_slot_stays_in_others(make_pages):
+    rows = planted(30)
+    other = [("http://q.org/1", "<article><p>Subscribe to our weekly letter &amp; more</p><p>x</p></article>", "", "")]
+    same = [("http://p.org/q", "<article><blockquote>Subscribe to our weekly letter &amp; more</blockquote><p>x</p></article>", "", "")]
+    got = texts(make_pages, rows + other + same)
+    assert got[-2:] == ["Subscribe to our weekly letter & more x"] * 2 and "Subscribe" not in got[0]
+
+
+def test_merge_tree_covers_all_partial_wrappers(spark, monkeypatch):
+    monkeypatch.setattr(H, "FAN_IN", 2)
+    pages = spark.range(90).selectExpr("'h' as host", "concat('<div><p>', id, '</p><i', id % 9, '>x</i', id % 9, '></div>') as html").repartition(24)
+    (row,) = H.wrappers(pages).collect()
+    w = __import__("json").loads(row.wrapper)
+    assert row.pages == 90 and all(H.accepts(w, H.parse(r.html)) for r in pages.collect())

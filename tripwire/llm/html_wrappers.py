@@ -15,8 +15,8 @@ pages are aligned with it, one after the other:
   which bounds a wrapper by the number of distinct tags of the site.
 
 All pages of all hosts take part: every task folds its pages into one partial wrapper per host, the
-partial wrappers of a host are aligned with each other in two steps (64 groups of them, then these), so
-a host with a third of all pages is never one group of pages.
+partial wrappers of a host are aligned with each other in a tree that joins about 64 at a time, so
+a host with a third of all pages is never one group of pages nor of partial wrappers.
 
 Extraction. Each slot of a host's wrapper is judged once, from its path and its share of the host's
 text: slots in menus, headers, footers, sidebars, notices, adverts, forms and comments are left out;
@@ -24,6 +24,11 @@ where the wrapper has an article (else a main part, else a content container), o
 are kept; without any of these, pure links and texts that half of the pages share are left out too. A page's blocks are
 then looked up by their path; a block whose path the wrapper does not have is judged by the same rules.
 
+Constants inside the region. The texts that fill a kept slot are counted over all pages of the host: one that stands in the
+same slot in at least `SHARE` of the host's different articles is part of the template (a subscribe line, a notice) and left
+out. Articles are different if their longest blocks differ, so copies of an article count once and don't make its text a
+template; hosts with fewer than `ARTICLES` different articles have no such constants.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
 one space in page order; a page of a kind that lacks the host's region is judged by its own. Null and empty pages have the empty text; pages without a url form one host.
 Repeated pages are extracted alike; extra columns pass through `main_text`. The judged slots reach the
@@ -37,9 +42,10 @@ import json
 import re
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tripwire.llm.common import free_name, table, written
+from tripwire.llm.common import free_name, raw, table, written
 
 # HTML's element groups.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small "
@@ -77,6 +83,8 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 TEXT, LINK = "T", "L"  # keys of text nodes: plain text, text that is all inside links
 JUDGED_WORDS = OTHER_WORDS | LAYOUT_WORDS | CONTENT_WORDS
 MANY, KEYS = 24, 64  # longest sequence inside an element, most distinct tokens before they are shortened to what is judged
+ARTICLES, SHARE = 20, 0.9  # different articles a host needs to have constants inside them, and the share that has one
+FAN_IN = 64  # partial wrappers merged at a time
 DEEP = 100  # elements nested deeper belong to the one at this depth
 
 
@@ -437,7 +445,7 @@ def judged(wrapper: list, pages: int) -> dict:
         keep[name] = keep.get(name, False) or kept(path, key, best)
     # a constant that at least half of the pages have (characters / length: how often it was seen)
     fixed = sorted({t for _, _, t, n in slots if t is not None and 2 * n >= pages * len(t)}) if not best and pages > 2 else []
-    return {"region": best, "slots": keep, "fixed": fixed}
+    return {"region": best, "slots": keep, "fixed": fixed, "pages": pages}
 
 
 def kept(path: tuple, key: str, best: str) -> bool:
@@ -445,11 +453,11 @@ def kept(path: tuple, key: str, best: str) -> bool:
     return not other and (region == best if best else key == TEXT)
 
 
-def extract(page, table: dict) -> str:
-    """The page's blocks in kept slots, joined by one space.
+def article(page, table: dict) -> list[tuple[str | None, str]]:
+    """(slot, text) of the page's blocks in kept slots.
 
     A page without the region that its host's wrapper has (another kind of page of the same host) is
-    judged by the best region that it has itself.
+    judged by the best region that it has itself; its blocks have no slot.
     """
     slots, best, fixed = table["slots"], table["region"], set(table["fixed"])
     regions = table.setdefault("regions", {})  # by path, filled while pages are read
@@ -471,15 +479,37 @@ def extract(page, table: dict) -> str:
     if best and all(regions[p] != best for p in elements):
         own = {judge(path)[1] for path, _, _ in blocks if not judge(path)[0]}
         best = next((r for r in ("article", "main", "content") if r in own), "")
-        return " ".join(t for path, key, t in blocks if kept(path, key, best))
+        return [(None, t) for path, key, t in blocks if kept(path, key, best)]
     out = []
     for path, key, text in blocks:
         name = "/".join(path) + "|" + key
         if name not in slots:
             slots[name] = kept(path, key, best)
         if slots[name] and text not in fixed:
-            out.append(text)
-    return " ".join(out)
+            out.append((name, text))
+    return out
+
+
+def code(slot: str, text: str) -> int:
+    """What a text in a slot is counted by (a signed 64-bit number)."""
+    return xxhash.xxh64_intdigest(raw(slot + "\0" + text)) - (1 << 63)
+
+
+def extract(page, table: dict) -> str:
+    """The article's blocks without the constants of its host, joined by one space."""
+    constants = table.get("constants")
+    return " ".join(t for slot, t in article(page, table) if not constants or slot is None or code(slot, t) not in constants)
+
+
+def fillings(page, table: dict) -> list[int]:
+    """The code of the article (of its longest block), then the codes of the texts in its slots; none on a small host."""
+    if not table["region"] or table["pages"] < ARTICLES:
+        return []
+    found = [(slot, t) for slot, t in article(page, table) if slot is not None]
+    if not found:
+        return []
+    longest = max((t for _, t in found), key=lambda t: (len(t), t))
+    return [code("", longest), *{code(slot, t) for slot, t in found}]
 
 
 # ---------------------------------------------------------------- Spark
@@ -529,9 +559,16 @@ def wrappers(pages: DataFrame, html: str = "html") -> DataFrame:
         n, whole = _merged(pdf)
         return pd.DataFrame({"host": [str(pdf["host"].iloc[0])], "pages": [n], "wrapper": [json.dumps(whole)]})
 
-    parts = partial_wrappers(pages, html).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(64)))
-    some = parts.groupBy("host", "part").applyInPandas(merge, "host string, pages long, wrapper string")
-    return some.groupBy("host").applyInPandas(merge, "host string, pages long, wrapper string")
+    found = written(partial_wrappers(pages, html), "wrappers")
+    most = found.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    groups = FAN_IN
+    while groups * FAN_IN < most:
+        groups *= FAN_IN
+    while groups >= 1:
+        part = F.pmod(F.xxhash64("wrapper"), F.lit(groups))
+        found = found.withColumn("part", part).groupBy("host", "part").applyInPandas(merge, "host string, pages long, wrapper string")
+        groups //= FAN_IN
+    return found
 
 
 def slot_tables(found: DataFrame) -> DataFrame:
@@ -544,29 +581,31 @@ def slot_tables(found: DataFrame) -> DataFrame:
     return found.select("host", judge_all("wrapper", "pages").alias("slots"))
 
 
-def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str = "main_text", broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """pages plus `out`: the text of the article."""
-    host, slots = free_name(pages, "host_of_page"), free_name(pages, "slots_of_host")
-    keyed = pages.withColumn(host, host_of(url))
-    tables = written(slot_tables(wrappers(keyed.select(F.col(host).alias("host"), F.col(html).alias("html")))), "slots")
-    empty = {"region": "", "slots": {}, "fixed": []}
+def _by_host(pages: DataFrame, tables: DataFrame, host: str, html: str, out: str, function, kind: str, broadcast_bytes: int) -> DataFrame:
+    """pages plus `out`: function(page, judged slots of its host)."""
+    slots = free_name(pages, "slots_of_host")
+    empty = {"region": "", "slots": {}, "fixed": [], "pages": 0}
+
+    def loaded(text: str) -> dict:
+        found = json.loads(text)
+        return dict(found, constants=frozenset(found.get("constants", ())))
 
     if (tables.agg(F.sum(F.length("slots") + F.length("host"))).first()[0] or 0) <= broadcast_bytes:
         every = pages.sparkSession.sparkContext.broadcast({r.host: r.slots for r in tables.collect()})
 
-        @F.pandas_udf("string")
+        @F.pandas_udf(kind)
         def by_host(texts: pd.Series, hosts: pd.Series) -> pd.Series:
             read: dict[str, dict] = {}
             found = []
             for t, h in zip(texts, hosts):
                 if h not in read:
-                    read[h] = json.loads(every.value[h]) if h in every.value else dict(empty, slots={})
-                found.append(extract(t, read[h]))
-            return pd.Series(found)
+                    read[h] = loaded(every.value[h]) if h in every.value else dict(empty, slots={})
+                found.append(function(t, read[h]))
+            return pd.Series(found, dtype=object)
 
-        return keyed.withColumn(out, by_host(F.col(html), F.col(host))).drop(host)
+        return pages.withColumn(out, by_host(F.col(html), F.col(host)))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(kind)
     def by_slots(texts: pd.Series, given: pd.Series) -> pd.Series:
         read: dict[str, dict] = {}
         found = []
@@ -574,12 +613,46 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str =
             if s not in read:
                 if len(read) > 500:
                     read.clear()
-                read[s] = json.loads(s)
-            found.append(extract(t, read[s]))
-        return pd.Series(found)
+                read[s] = loaded(s)
+            found.append(function(t, read[s]))
+        return pd.Series(found, dtype=object)
+
+    joined = pages.join(tables.select(F.col("host").alias(host), F.col("slots").alias(slots)), host)
+    return joined.withColumn(out, by_slots(F.col(html), F.col(slots))).select(*[F.col(f"`{c}`") for c in pages.columns if c != out], out)
+
+
+def constants(pages: DataFrame, tables: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(host, constants): codes of the texts that at least SHARE of a host's different articles have in one slot.
+
+    `pages` has the columns host and html. A host has at most as many constants as an article has blocks, over SHARE.
+    """
+    filled = _by_host(pages, tables, "host", "html", "codes", fillings, "array<bigint>", broadcast_bytes).filter(F.size("codes") > 0)
+    seen = filled.select("host", F.col("codes")[0].alias("article"), F.explode("codes").alias("text"))
+    seen = written(seen.distinct(), "fillings")
+    articles = seen.filter(F.col("text") == F.col("article")).groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
+    texts = seen.filter(F.col("text") != F.col("article")).groupBy("host", "text").agg(F.count(F.lit(1)).alias("n"))
+    often = texts.filter(F.col("n") >= ARTICLES * SHARE).join(articles.filter(F.col("articles") >= ARTICLES), "host")
+    return often.filter(F.col("n") >= SHARE * F.col("articles")).groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("constants"))
+
+
+def with_constants(tables: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, slots) with the constants of the host among its judged slots."""
 
-    joined = keyed.join(tables.withColumnsRenamed({"host": host, "slots": slots}), host)
-    return joined.withColumn(out, by_slots(F.col(html), F.col(slots))).select(*[F.col(f"`{c}`") for c in pages.columns], out)
+    @F.pandas_udf("string")
+    def add(slots: pd.Series, codes: pd.Series) -> pd.Series:
+        return pd.Series([s if c is None else json.dumps(dict(json.loads(s), constants=[int(x) for x in c])) for s, c in zip(slots, codes)])
+
+    return tables.join(found, "host", "left").select("host", add("slots", "constants").alias("slots"))
+
+
+def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str = "main_text", broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """pages plus `out`: the text of the article."""
+    host = free_name(pages, "host_of_page")
+    keyed = pages.withColumn(host, host_of(url))
+    known = keyed.select(F.col(host).alias("host"), F.col(html).alias("html"))
+    tables = written(slot_tables(wrappers(known)), "slots")
+    tables = written(with_constants(tables, constants(known, tables, broadcast_bytes)), "slots")
+    return _by_host(keyed, tables, host, html, out, extract, "string", broadcast_bytes).drop(host)
 
 
 def op3_html_wrappers(spark, sf_dir: str) -> DataFrame:

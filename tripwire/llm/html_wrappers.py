@@ -582,7 +582,8 @@ def slot_tables(found: DataFrame) -> DataFrame:
 
 
 def _by_host(pages: DataFrame, tables: DataFrame, host: str, html: str, out: str, function, kind: str, broadcast_bytes: int) -> DataFrame:
-    """pages plus `out`: function(page, judged slots of its host)."""
+    """pages plus `out`: function(page, judged slots of its host). The function is called once a page: as it counts as
+    non-deterministic, no filter on its result is evaluated below it a second time."""
     slots = free_name(pages, "slots_of_host")
     empty = {"region": "", "slots": {}, "fixed": [], "pages": 0}
 
@@ -603,7 +604,7 @@ def _by_host(pages: DataFrame, tables: DataFrame, host: str, html: str, out: str
                 found.append(function(t, read[h]))
             return pd.Series(found, dtype=object)
 
-        return pages.withColumn(out, by_host(F.col(html), F.col(host)))
+        return pages.withColumn(out, by_host.asNondeterministic()(F.col(html), F.col(host)))
 
     @F.pandas_udf(kind)
     def by_slots(texts: pd.Series, given: pd.Series) -> pd.Series:
@@ -618,7 +619,7 @@ def _by_host(pages: DataFrame, tables: DataFrame, host: str, html: str, out: str
         return pd.Series(found, dtype=object)
 
     joined = pages.join(tables.select(F.col("host").alias(host), F.col("slots").alias(slots)), host)
-    return joined.withColumn(out, by_slots(F.col(html), F.col(slots))).select(*[F.col(f"`{c}`") for c in pages.columns if c != out], out)
+    return joined.withColumn(out, by_slots.asNondeterministic()(F.col(html), F.col(slots))).select(*[F.col(f"`{c}`") for c in pages.columns if c != out], out)
 
 
 def constants(pages: DataFrame, tables: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -626,8 +627,8 @@ def constants(pages: DataFrame, tables: DataFrame, broadcast_bytes: int = 32 <<
 
     `pages` has the columns host and html. A host has at most as many constants as an article has blocks, over SHARE.
     """
-    filled = _by_host(pages, tables, "host", "html", "codes", fillings, "array<bigint>", broadcast_bytes).filter(F.size("codes") > 0)
-    seen = filled.select("host", F.col("codes")[0].alias("article"), F.explode("codes").alias("text"))
+    filled = _by_host(pages, tables, "host", "html", "codes", fillings, "array<bigint>", broadcast_bytes)
+    seen = filled.select("host", F.get("codes", F.lit(0)).alias("article"), F.explode("codes").alias("text"))
     seen = written(seen.distinct(), "fillings")
     articles = seen.filter(F.col("text") == F.col("article")).groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
     texts = seen.filter(F.col("text") != F.col("article")).groupBy("host", "text").agg(F.count(F.lit(1)).alias("n"))

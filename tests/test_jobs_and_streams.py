@@ -304,6 +304,13 @@ def test_poll_goes_on_after_a_restart(spark, split, tmp_path):
     assert seen == sorted(seen) and seen[-1] > 0
     assert {"send", "reason", "body"} <= set(spark.read.parquet(f"{out}/outbox").columns)
     before = len(sinks.folders(spark, f"{out}/events", "epoch="))
+    live, index = (sinks.folders(spark, f"{out}/{p}", "epoch=") for p in (f"live/minutes={WEEK}", "index"))
+    assert live == index and len(live) == 2  # the last poll's and, for its repeat, the one's before
+    rows, ids = spark.read.parquet(f"{out}/live/minutes={WEEK}/{live[-1]}"), spark.read.parquet(f"{out}/index/{index[-1]}")
+    ev = spark.read.parquet(str(own / "events*.parquet"))
+    now = ev.agg(F.max("ts")).first()[0]
+    assert rows.count() == ev.filter(F.col("ts") >= F.lit(now - dt.timedelta(minutes=WEEK)).cast("timestamp_ntz")).count() < ev.count()
+    assert dict(map(tuple, ids.collect())) == dict(map(tuple, ev.groupBy("user_id").agg(F.max("ts")).collect()))
     sj.run_poll(spark, str(own), WEEK, out=out)  # nothing new: nothing is evaluated again
     assert len(sinks.folders(spark, f"{out}/events", "epoch=")) == before == len(files)
 
@@ -323,3 +330,23 @@ def test_rate_window_drops_late_rows_and_keeps_the_rest(spark, split, tmp_path):
     _deliver(own, late, 99)
     sj.run_rate_window(spark, str(own), out=out, max_files=1)
     assert sj.current_rates(spark, out).agg(F.sum("n")).first()[0] == rates.agg(F.sum("n")).first()[0]
+
+
+def test_poll_stores_carry_on_over_repeats_and_other_lookbacks(spark, tmp_path):
+    out, t0 = str(tmp_path), dt.datetime(2024, 1, 1)
+
+    def batch(epoch, rows, minutes=60):
+        df = spark.createDataFrame([(u, None if m is None else t0 + dt.timedelta(minutes=m)) for u, m in rows], "user_id long, ts timestamp_ntz")
+        sj._add(df, f"{out}/events", epoch)
+        now, events, index = sj._carry_on(spark, out, epoch, minutes)
+        key = lambda df: sorted((r[0], None if r[1] is None else int((r[1] - t0).total_seconds() // 60)) for r in df.collect())
+        return None if now is None else int((now - t0).total_seconds() // 60), key(events), key(index)
+
+    assert batch(0, [(1, None)]) == (None, [], [(1, None)])
+    assert batch(1, [(1, 0), (2, 30)]) == (30, [(1, 0), (2, 30)], [(1, 0), (2, 30)])
+    third = (80, [(1, 20), (2, 30), (3, 80)], [(1, 20), (2, 30), (3, 80)])
+    assert batch(3, [(3, 80), (1, 20)]) == third  # the second batch was empty
+    assert batch(3, [(3, 80), (1, 20)]) == third  # repeated after a failure
+    assert batch(4, [(1, 85)], 120)[:2] == (85, [(1, 0), (1, 20), (1, 85), (2, 30), (3, 80)])  # a longer lookback: all received
+    assert batch(5, [(2, 100)])[:2] == (100, [(1, 85), (2, 100), (3, 80)])  # the shorter one again, which missed a batch
+    assert batch(6, [(4, 1)])[:2] == (100, [(1, 85), (2, 100), (3, 80)])  # late beyond the lookback

@@ -78,7 +78,7 @@ class Telemetry:
 
     @cached_property
     def _ids(self) -> DataFrame:
-        return materialized(self.t.events.select(F.col("user_id").alias("c_custkey")).distinct())
+        return materialized(self.t.event_instances())
 
     def instance_tags(self) -> DataFrame:
         c = self.t.customer

@@ -47,10 +47,30 @@ def _number(name: str) -> int:
     return int(name.split("=")[1].split("-")[0])
 
 
+def newest(spark: SparkSession, base: str, prefix: str, before: int | None = None) -> str | None:
+    """Name of the newest complete folder `<prefix><number>...` under `base` (with a number below `before`), or None.
+
+    One listing; only the newest folders are looked into, until one is complete."""
+    for name in reversed(folders(spark, base, prefix, complete=False)):
+        if before is None or _number(name) < before:
+            done, fs = _file_system(spark, f"{base}/{name}/_SUCCESS")
+            if fs.exists(done):
+                return name
+    return None
+
+
 def latest(spark: SparkSession, base: str, before: int | None = None) -> DataFrame | None:
     """The newest complete snapshot under `base` (with a number below `before`, where given), or None."""
-    v = [n for n in folders(spark, base, "v=") if before is None or _number(n) < before]
-    return spark.read.parquet(f"{base}/{v[-1]}") if v else None
+    name = newest(spark, base, "v=", before)
+    return None if name is None else spark.read.parquet(f"{base}/{name}")
+
+
+def drop_older(spark: SparkSession, base: str, prefix: str, than: str) -> None:
+    """Remove the folders of `base` that were replaced by newer ones: those that sort before `than`."""
+    for name in folders(spark, base, prefix, complete=False):
+        if name < than:
+            old, fs = _file_system(spark, f"{base}/{name}")
+            fs.delete(old, True)
 
 
 def write_snapshot(df: DataFrame, base: str, version: int | None = None) -> str:

@@ -53,6 +53,10 @@ class Tables:
         """Evaluation time for event-based telemetry: the latest event time."""
         return self.scalar("events_now", self.events.agg(F.max("ts")))
 
+    def event_instances(self) -> DataFrame:
+        """Every instance id of the event log, once (column c_custkey): one pass over one column."""
+        return self.events.select(F.col("user_id").alias("c_custkey")).distinct()
+
     def lineitem_now(self) -> dt.datetime:
         """Evaluation time for lineitem-based telemetry: the latest ship date."""
         return self.scalar("lineitem_now", self.lineitem.agg(F.max("l_shipdate")))

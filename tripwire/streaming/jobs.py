@@ -1,9 +1,10 @@
 """Structured Streaming drivers for the alert jobs; every stream can stop and start again.
 
-* `run_poll`: each micro-batch of new telemetry is one poll of the blocking alert. The batch is
-  added to the stream's own event store, the alert is evaluated on that store (history plus
-  batch) as of the latest event, the gated outbox is written, and the alert's history goes on as a
-  versioned snapshot that the next poll, also one after a restart, reads from storage.
+* `run_poll`: each micro-batch of new telemetry is one poll of the blocking alert. Two small stores go
+  on from poll to poll: the events that the lookback can still reach, and the latest event of every
+  instance. The alert is evaluated on them as of the latest event, the gated outbox is written, and the
+  alert's history goes on as a versioned snapshot that the next poll, also one after a restart, reads
+  from storage. What a poll reads depends on the lookback and the instances, not on the polls before it.
 * `run_state_machine`: the ON/OFF action of every CPU sample. A batch is replayed together with the
   stored samples of its instances from the day of their earliest new sample on; what came before is
   one small summary per instance and day. Late samples therefore correct the actions after them.
@@ -19,6 +20,7 @@ bounds the files of one batch.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -74,19 +76,54 @@ def _newest(df: DataFrame, keys: list[str]) -> DataFrame:
 # one poll per micro-batch
 # ---------------------------------------------------------------------------------------
 class _Stored(Tables):
-    """Input tables where `events` is what the stream has received so far."""
+    """Input tables where `events` is what a lookback can reach of the stream and `index` names every instance received."""
 
-    def __init__(self, spark: SparkSession, root: str, events: DataFrame):
+    def __init__(self, spark: SparkSession, root: str, events: DataFrame, index: DataFrame):
         super().__init__(spark, root)
         self._frames["events"] = events
+        self._index = index
+
+    def event_instances(self) -> DataFrame:
+        return self._index.select(F.col("instance_id").alias("c_custkey"))
+
+
+def _store(spark: SparkSession, path: str, epoch: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/epoch={epoch:09d}")
+
+
+def _carry_on(spark: SparkSession, out: str, epoch: int, minutes: int):
+    """Bring both stores to this batch: (evaluation time, events within the lookback of it, latest event per instance).
+
+    The evaluation time never falls, so an event that is older than the lookback now will not be seen again. Where the
+    poll before kept no events for this lookback (the first poll, another lookback than before), they are taken from all
+    that was received. A repeated batch starts from the same earlier stores and replaces its own.
+    """
+    live, index = f"{out}/live/minutes={minutes}", f"{out}/index"
+    name = sinks.newest(spark, index, "epoch=", epoch)
+    batch = _store(spark, f"{out}/events", epoch)
+    known = name is not None and sinks.newest(spark, live, "epoch=", epoch) == name
+    events = batch.unionByName(spark.read.parquet(f"{live}/{name}")) if known else _epochs(spark, f"{out}/events", epoch + 1).drop("epoch")
+    seen = (batch if name is not None else events).groupBy(F.col("user_id").alias("instance_id")).agg(F.max("ts").alias("last"))
+    if name is not None:
+        seen = seen.unionByName(spark.read.parquet(f"{index}/{name}")).groupBy("instance_id").agg(F.max("last").alias("last"))
+    _add(seen, index, epoch)
+    seen = _store(spark, index, epoch)
+    now = seen.agg(F.max("last")).first()[0]  # one value
+    since = None if now is None else now - dt.timedelta(minutes=minutes)
+    _add(events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz")), live, epoch)
+    if name is not None:
+        for path in (live, index):  # the poll before stays, for a repeat of this one
+            sinks.drop_older(spark, path, "epoch=", name)
+    return now, _store(spark, live, epoch), seen
 
 
 def run_poll(spark: SparkSession, sf_dir: str, minutes: int, metric: str = "duration", out: str | None = None,
              max_files: int | None = None, config=None) -> str:
     """Run the blocking alert once per micro-batch; returns the folder of the latest history.
 
-    <out>/events holds the received events, <out>/outbox the gated messages of each poll and
-    <out>/history/alert=<id> the history after each poll.
+    <out>/events holds the received events (written, not read again), <out>/live and <out>/index the two stores,
+    <out>/outbox the gated messages of each poll and <out>/history/alert=<id> the history after each poll.
+    A batch is evaluated from the first one on that has an event with a time.
     """
     out = out or run_folder(spark, "poll")
 
@@ -94,9 +131,10 @@ def run_poll(spark: SparkSession, sf_dir: str, minutes: int, metric: str = "dura
         if batch.isEmpty():
             return
         _add(batch, f"{out}/events", epoch)
-        events = _epochs(spark, f"{out}/events", epoch + 1).drop("epoch")
-        now = events.agg(F.max("ts")).first()[0]  # evaluation time of this poll: one value
-        run = Run(spark, sf_dir, now=now, tables=_Stored(spark, sf_dir, events), config=config, reuse=True)
+        now, events, index = _carry_on(spark, out, epoch, minutes)
+        if now is None:
+            return
+        run = Run(spark, sf_dir, now=now, tables=_Stored(spark, sf_dir, events, index), config=config, reuse=True)
         aid = run.cfg.alert(al.BLOCKING[metric][0])["alert_id"]
         stored = sinks.alert_history(spark, f"{out}/history", aid, before=epoch)
         res = al.alert_blocking(run, metric, minutes, history=run.cfg.history if stored is None else stored)
@@ -108,7 +146,7 @@ def run_poll(spark: SparkSession, sf_dir: str, minutes: int, metric: str = "dura
     _drain(table_stream(spark, sf_dir, "events", max_files), poll, out)
     base = f"{out}/history"
     alert = sinks.folders(spark, base, "alert=", complete=False)[-1]
-    return f"{base}/{alert}/{sinks.folders(spark, f'{base}/{alert}', 'v=')[-1]}"
+    return f"{base}/{alert}/{sinks.newest(spark, f'{base}/{alert}', 'v=')}"
 
 
 # ---------------------------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import os
 import random
 import uuid
 import zlib
@@ -65,6 +66,36 @@ def test_many_distinct_words_are_told_apart(monkeypatch, remembered):
         assert encoded(encoder, texts[at:at + 8]) == whole(texts[at:at + 8])
 
 
+def test_frequent_words_stay_remembered(monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 100)
+    asked = []
+    after_space = T.Encoder._after_space
+    monkeypatch.setattr(T.Encoder, "_after_space", lambda self, words: asked.extend(words.to_pylist()) or after_space(self, words))
+    encoder = T.Encoder(T.VOCABULARY)
+    for call in range(9):
+        texts = ["the " + " ".join(f"often{i}" for i in range(30)), "rare " + " ".join(f"only{call}x{i}" for i in range(40)), "it's\nodd a", None]
+        assert encoded(encoder, texts) == whole(texts)
+        assert len(encoder.words) == len(encoder.lists) == len(encoder.met) <= 100
+    assert [w for w in asked if w.startswith("often")] == [f"often{i}" for i in range(30)]
+    assert sorted(w for w in asked if w.startswith("only")) == sorted(f"only{c}x{i}" for c in range(9) for i in range(40))
+
+
+def test_tasks_of_a_worker_share_its_encoder(spark, make_docs, tmp_path, path):
+    encoder = T.encoder_of(T.VOCABULARY)
+    assert T.encoder_of(T.VOCABULARY) is encoder
+    other = tmp_path / "own.json"
+    other.write_bytes(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    assert encoded(T.encoder_of(str(other)), ODD) == whole(ODD, "word_bpe_49k.json")
+    other.write_bytes(open(public_tokenizers.path(T.VOCABULARY), "rb").read())
+    os.utime(other, ns=(1, 1))
+    assert encoded(T.encoder_of(str(other)), ODD) == whole(ODD)  # a file that has changed is read again
+    # one worker, tables encoded one after the other, each with another tokenizer
+    docs = make_docs([(i, x) for i, x in enumerate(ODD * 2)]).coalesce(1)
+    for at, name in enumerate((T.VOCABULARY, "word_bpe_49k.json", T.VOCABULARY)):
+        T.write_tokens(docs, f"{path}-{at}", vocabulary=name)
+        assert [r.ids for r in T.read_tokens(spark, f"{path}-{at}").orderBy("doc_id").collect()] == whole(ODD * 2, name)
+
+
 def test_edges(spark, make_docs, path):
     long = "many words " * 30_000
     docs = make_docs([(3, None), (1, ""), (2, "b b"), (2, "b b"), (None, "null id"), (2, "a"), (9, long)])

@@ -19,9 +19,10 @@ Null texts are empty: their only id is the end id. Ids may repeat or be null (nu
 ordered by the hash of their text. Extra columns are left out unless named in `meta`, where names cannot clash.
 An empty table gives no rows. Texts are encoded whole, whatever their length.
 
-Encoding: the tokenizers library encodes every distinct word, with the space before it, once per worker, as long as the
-tokenizer is a byte-level BPE without normalizer, which always starts a new piece at a space after a word; with any other
-tokenizer, and in texts with other white space, it encodes text by text. Strings of special tokens are ordinary text.
+Encoding: the tokenizers library encodes distinct words, with the space before them; a worker remembers the words it met
+most often from task to task. This goes for tokenizers that are a byte-level BPE without normalizer, which always starts a
+new piece at a space after a word; with any other tokenizer, and in texts with other white space, the library encodes text
+by text. Strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import json
 import os
 import uuid
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -52,7 +54,7 @@ PAGE_ROWS = 2000
 #: Distinct words that the library encodes as one text, and texts that it gets at once.
 TOGETHER = 256
 LIBRARY = 64
-#: Distinct words that a worker remembers; beyond them it starts anew, which changes no result.
+#: Distinct words that a worker remembers; beyond them it keeps those that it met most often, which changes no result.
 REMEMBERED = 600_000
 #: Texts whose distinct words are looked for at once.
 AT_ONCE = 4000
@@ -66,6 +68,15 @@ _WHOLE = (r"[\t\n\x0b\x0c\r ] | $|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}
 _JOINED = r"(?s)^[^\t\n\x0b\x0c\r ](?:.*[^\t\n\x0b\x0c\r ])?$"
 
 
+def _path(vocabulary: str) -> str:
+    """The file itself, or that of the public package by this name, looked up on the worker."""
+    if os.path.exists(vocabulary):
+        return vocabulary
+    import public_tokenizers
+
+    return public_tokenizers.path(vocabulary)
+
+
 class Encoder:
     """Ids of whole texts; distinct words are encoded once and remembered."""
 
@@ -73,11 +84,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        if not os.path.exists(vocabulary):  # a name of the public package, looked up on the worker
-            import public_tokenizers
-
-            vocabulary = public_tokenizers.path(vocabulary)
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer = Tokenizer.from_file(_path(vocabulary))
         self.tokenizer.encode_special_tokens = True
         parts = json.loads(self.tokenizer.to_str())
         pre = parts["pre_tokenizer"] or {}
@@ -88,13 +95,13 @@ class Encoder:
             self.bytes_of_id = np.zeros(max(vocabulary_ids.values()) + 1, np.int64)
             for token, i in vocabulary_ids.items():
                 self.bytes_of_id[i] = len(token)
-        self._forget()
+        self.words, self.lists, self.met = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), np.zeros(0, np.int32)
 
     def _encoded(self, texts: list[str]) -> pa.ListArray:
         """The ids of every text; few texts at a time, as the library's results are many times as large as the ids."""
         sizes, parts = [0], [np.zeros(0, np.int32)]
         for i in range(0, len(texts), LIBRARY):
-            found = [e.ids for e in self.tokenizer.encode_batch(texts[i:i + LIBRARY], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i:i + LIBRARY], add_special_tokens=False)]
             sizes += map(len, found)
             parts.append(np.fromiter(chain.from_iterable(found), np.int32))
         return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(parts)))
@@ -119,17 +126,20 @@ class Encoder:
         """Places of distinct words in self.lists, after encoding those that are new."""
         at = pc.index_in(words, value_set=self.words)
         if at.null_count:
-            if len(self.words) > REMEMBERED:
-                self._forget()
-                at = pc.index_in(words, value_set=self.words)
-            new = words.filter(pc.is_null(at))
-            self.lists = pa.concat_arrays([self.lists, self._after_space(new)])
-            self.words = pa.concat_arrays([self.words, new])
-            at = pc.index_in(words, value_set=self.words)
-        return at.to_numpy()
+            new, old = words.filter(pc.is_null(at)), len(self.words)
+            at = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+            at[at < 0] = np.arange(old, old + len(new))
+            self.words, self.lists, self.met = (pa.concat_arrays([self.words, new]), pa.concat_arrays([self.lists, self._after_space(new)]),
+                                                np.concatenate([self.met, np.zeros(len(new), np.int32)]))
+        else:
+            at = at.to_numpy()
+        self.met[at] += 1
+        return at
 
     def _forget(self) -> None:
-        self.words, self.lists = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+        """Keep the words that were met in most calls, fewer than half of what may be remembered."""
+        often = self.met > np.partition(self.met, -REMEMBERED // 2)[-REMEMBERED // 2]
+        self.words, self.lists, self.met = self.words.filter(pa.array(often)), self.lists.filter(pa.array(often)), self.met[often]
 
     def __call__(self, texts: pa.Array, end: int) -> pa.ListArray:
         """The ids of every text with the end id behind them."""
@@ -154,15 +164,28 @@ class Encoder:
         at[start[:-1]] = len(self.lists) + first.indices.to_numpy()
         lists = pa.concat_arrays([self.lists, self._encoded(first.dictionary.to_pylist()), last])
         at = np.insert(at, start[1:], len(lists) - 1)
+        if len(self.words) > REMEMBERED:
+            self._forget()
         found = lists.take(pa.array(at))
         return pa.ListArray.from_arrays(found.offsets.take(pa.array(start + np.arange(len(start)))), found.values)
 
 
+@lru_cache(maxsize=1)
+def _kept(path: str, changed: int) -> Encoder:
+    return Encoder(path)
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """The worker's encoder, which its tasks share: a later task need not load the tokenizer nor encode frequent words anew."""
+    path = _path(vocabulary)
+    return _kept(path, os.stat(path).st_mtime_ns)
+
+
 def _encoded(rows: DataFrame, key: str, vocabulary: str, end: int) -> DataFrame:
     """Sorted partitions (key, text, meta) as rows of the file, with the running start of every document."""
 
     def encode(batches):
-        encoder, total, part = Encoder(vocabulary), 0, TaskContext.get().partitionId()
+        encoder, total, part = encoder_of(vocabulary), 0, TaskContext.get().partitionId()
         for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             n = batch.num_rows
             lists = encoder(batch.column("text"), end)
